@@ -6,12 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from papyr.llm import exact_dedup as dedup
 from papyr.llm.language_id import identify_languages
+from papyr.llm.simhash import near_duplicates
+from papyr.llm.url_filter import Rule, judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the page filter (fixed values).
+URL_RULES = [
+    Rule("net", "/", "block"),
+    Rule("example.net", "/en/", "allow"),
+    Rule("example.com", "/de/", "block"),
+    Rule("org", "/fr/", "allow"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -21,5 +40,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "share")
 
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_url_filter, op8_exact_dedup, op9_language_id)}
 ORACLES = {"op8_exact_dedup": dedup.ORACLE}
