@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from papyr.llm import exact_dedup as dedup
+from papyr.llm import license_scan
 from papyr.llm.language_id import identify_languages
+from papyr.llm.quality_rules import quality_rules
 from papyr.llm.simhash import near_duplicates
 from papyr.llm.url_filter import Rule, judge_urls
 
@@ -18,6 +20,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the page filter (fixed values).
 URL_RULES = [
     Rule("net", "/", "block"),
@@ -31,6 +37,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -40,5 +50,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "share")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_url_filter, op8_exact_dedup, op9_language_id)}
-ORACLES = {"op8_exact_dedup": dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_license_scan, op4_url_filter, op6_quality_rules, op8_exact_dedup, op9_language_id)}
+ORACLES = {"op3_license_scan": license_scan.oracle(), "op8_exact_dedup": dedup.ORACLE}
