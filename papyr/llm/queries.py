@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from papyr.llm import exact_dedup as dedup
 from papyr.llm import license_scan
 from papyr.llm.language_id import identify_languages
+from papyr.llm.quality_cnn import classify_quality
 from papyr.llm.quality_rules import quality_rules
 from papyr.llm.simhash import near_duplicates
+from papyr.llm.toxicity import classify_toxicity
 from papyr.llm.url_filter import Rule, judge_urls
 
 
@@ -41,6 +43,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,5 +56,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "share")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_license_scan, op4_url_filter, op6_quality_rules, op8_exact_dedup, op9_language_id)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_license_scan, op4_url_filter, op6_quality_rules, op7_toxicity, op8_exact_dedup, op9_language_id, op10_quality_classifier)}
 ORACLES = {"op3_license_scan": license_scan.oracle(), "op8_exact_dedup": dedup.ORACLE}
