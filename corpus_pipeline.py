@@ -3,12 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from papyr.llm.common import checkpointed
 from papyr.llm.exact_dedup import drop_copies
+from papyr.llm.language_id import identify_languages
+from papyr.llm.mixing import mix_sources
+from papyr.llm.queries import model_bytes
+from papyr.llm.sentencepiece_codec import encode_documents
+from papyr.llm.simhash import drop_near_duplicates
 
-STAGES = []
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents in which a learned language is found; texts without letters (``und``) go."""
+    found = identify_languages(docs)
+    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the row with the smallest id of each group of equal texts."""
+    return drop_copies(docs).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each SimHash component."""
+    return drop_near_duplicates(docs).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents of rare sources (at most twice) so that the sources meet their weights; none is dropped."""
+    return mix_sources(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, checked against the peer library and by decoding."""
+    return encode_documents(docs, model_bytes()).select("doc_id", "ids", "parity", "round_trip")
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("source mixing", mix),
+    ("SentencePiece encoding", encode),
+]
+#: Learned filters, fingerprints and a subword model are beyond SQL: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage keeps is checkpointed before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from papyr.llm import exact_dedup as dedup
 from papyr.llm import license_scan
 from papyr.llm.language_id import identify_languages
+from papyr.llm.mixing import mix_sources
 from papyr.llm.quality_cnn import classify_quality
 from papyr.llm.quality_rules import quality_rules
+from papyr.llm.sentencepiece_codec import encode_documents
 from papyr.llm.simhash import near_duplicates
 from papyr.llm.toxicity import classify_toxicity
 from papyr.llm.url_filter import Rule, judge_urls
@@ -22,6 +27,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "block_order")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,20 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+#: The SentencePiece model that the queries use; another path can be put in its place.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def model_bytes(path: str | None = None) -> bytes:
+    """A model file's content, read on the driver; the tasks get it as a broadcast."""
+    return Path(path or MODEL_PATH).read_bytes()
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_documents(table(spark, sf_dir, "documents"), model_bytes())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "parity", "round_trip")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,5 +84,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_license_scan, op4_url_filter, op6_quality_rules, op7_toxicity, op8_exact_dedup, op9_language_id, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_license_scan, op4_url_filter, op5_sentencepiece, op6_quality_rules, op7_toxicity, op8_exact_dedup, op9_language_id, op10_quality_classifier)}
 ORACLES = {"op3_license_scan": license_scan.oracle(), "op8_exact_dedup": dedup.ORACLE}
