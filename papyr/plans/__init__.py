@@ -1,0 +1,8 @@
+"""All registered queries over the platform's tables, and their DuckDB SQL."""
+
+from papyr.plans import text_queries
+
+QUERIES, SQL = {}, {}
+for _module in (text_queries,):
+    QUERIES |= _module.Q
+    SQL |= _module.O
