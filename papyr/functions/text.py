@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +17,11 @@ INLINE_SPACE = SPACE.replace(r"\n", "")
 SENTENCE_END = r".!?\x{964}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 

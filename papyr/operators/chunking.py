@@ -12,10 +12,6 @@ TARGET_MIN, TARGET_MAX, HARD_MAX, MIN_CHARS = 300, 600, 1000, 20
 WORDS_PER_PIECE = int(HARD_MAX / 1.3)
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def fold_blocks(blocks: Column) -> Column:
     """Blocks -> array of (section, content): headings start sections, 300 tokens close a chunk, 600 are the most."""
     kind = "struct<section:string,content:string>"
@@ -58,7 +54,7 @@ def enforce_hard_limit(content: Column) -> Column:
         flushed = F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"])))
         words = F.filter(F.split(sentence, rf"[{T.SPACE}]+"), lambda w: w != "")
         cuts = F.sequence(F.lit(1), F.greatest(own, F.lit(1)), F.lit(WORDS_PER_PIECE))
-        pieces = _let(words, lambda w: F.transform(cuts, lambda i: F.array_join(F.slice(w, i, WORDS_PER_PIECE), " ")))
+        pieces = T.let(words, lambda w: F.transform(cuts, lambda i: F.array_join(F.slice(w, i, WORDS_PER_PIECE), " ")))
         fits = T.tokens_of_words(acc["words"] + own) <= HARD_MAX
 
         def state(buf: Column, n: Column, out: Column) -> Column:
@@ -84,7 +80,7 @@ def chunk_pages(pages: DataFrame, text_col: str = "raw_text", hard_limit: bool =
         pieces = enforce_hard_limit(c["content"]) if hard_limit else F.array(c["content"])
         return F.transform(pieces, lambda p: F.struct(c["section"].alias("section"), T.trim_all(p).alias("content")))
 
-    folded = _let(T.blocks(F.col(text_col)), fold_blocks)
+    folded = T.let(T.blocks(F.col(text_col)), fold_blocks)
     cut = F.filter(F.flatten(F.transform(folded, limited)), lambda c: F.length(c["content"]) >= MIN_CHARS)
     keep = [c for c in pages.columns if c != text_col]
     rows = pages.where(T.trim_all(F.col(text_col)) != "").select(*keep, F.posexplode(cut).alias("pos", "chunk"))
