@@ -26,15 +26,16 @@ def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-@F.pandas_udf("string")
-def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-
 def nfc(text: Column) -> Column:
     """Canonical composition; only rows with non-ASCII text go through Python."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
+
+    @F.pandas_udf("string")
+    def compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    wide = text.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, compose(F.when(wide, text))).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
