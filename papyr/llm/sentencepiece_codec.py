@@ -8,25 +8,32 @@ sentencepiece library; otherwise whole texts are encoded and checked.
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Distinct words that a task remembers before it starts anew (a matter of speed alone).
-REMEMBERED = 800_000
+#: Words that a worker remembers: so many that came once, and so many that came again (a matter of speed alone).
+FRESH, FREQUENT = 100_000, 150_000
+#: Threads that encode a batch: the cores of a task's worker.
+THREADS = 2
 #: Characters of texts whose words are looked up at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Rows that are held as Python objects at once.
+ROWS = 256
 #: Piece kinds and model kinds of the format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -138,20 +145,23 @@ class Codec:
 
     data: bytes
     model: SentencePieceModel = field(init=False)
-    words: dict[str, bytes] = field(default_factory=dict)
+    frequent: dict[str, bytes] = field(default_factory=dict)
+    fresh: dict[str, bytes] = field(default_factory=dict)
     wrong: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read once, at the process's first batch
         self.model = SentencePieceModel.parse(self.data)
         self.tokenizer = self.model.tokenizer()
-        self.bare = self.model.tokenizer()  # the model alone: for words that are normalised and split already
-        self.bare.normalizer = self.bare.pre_tokenizer = None
+        gc.set_threshold(100_000)  # the words are many small objects without cycles
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=self.data)
         self.table = self.model.piece_bytes()
         plain = not (self.model.charsmap or self.model.squeeze_spaces)
         prefix = MARK if self.model.dummy_prefix else ""
         self.normalize = (lambda t: t and prefix + t.replace(" ", MARK)) if plain else self.tokenizer.normalizer.normalize_str
         self.by_words = self.model.splits_at_words and plain and self.model.dummy_prefix
+        if self.by_words:  # the words come normalised and split: the model alone encodes them
+            self.tokenizer.normalizer = self.tokenizer.pre_tokenizer = None
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether they equal the sentencepiece library's."""
@@ -160,33 +170,51 @@ class Codec:
             peer = self.peer.encode(texts)
             return [np.array(x, np.int32) for x in ids], [a == b for a, b in zip(ids, peer, strict=True)]
         out, same, some, size = [], [], [], 0
-
-        def flush() -> None:
-            if new := set().union(*some).difference(self.words):
-                self._learn(sorted(new))
-            for words in some:
-                out.append(np.frombuffer(b"".join([self.words[w] for w in words]), np.int32))
-                same.append(not self.wrong or self.wrong.isdisjoint(words))
-            if len(self.words) > REMEMBERED:
-                self.words, self.wrong = {}, set()
-
         for text in texts:
             some.append(WORD.findall(self.normalize(text)))
             size += len(text)
             if size >= BLOCK:
-                flush()
+                self._by_words(some, out, same)
                 some, size = [], 0
-        flush()
+        self._by_words(some, out, same)
         return out, same
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words that carry their markers, and compare with the peer, which puts the first marker by itself."""
-        ids = [e.ids for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
-        peer = self.peer.encode([w[1:].replace(MARK, " ") for w in words])
-        for word, mine, theirs in zip(words, ids, peer, strict=True):
-            self.words[word] = np.array(mine, np.int32).tobytes()
-            if mine != theirs and word != MARK or b"".join([self.table[i] for i in mine]).decode() != word.replace(MARK, " "):
-                self.wrong.add(word)
+    def _by_words(self, rows: list[list[str]], out: list[np.ndarray], same: list[bool]) -> None:
+        """Append the ids of texts that are given as words; each distinct word of them is looked up once."""
+        places: dict[str, int] = {}
+        at = [places.setdefault(w, len(places)) for w in chain.from_iterable(rows)]
+        words = list(places)
+        ids = [self.frequent.get(w) for w in words]
+        missing = [i for i, x in enumerate(ids) if x is None]
+        for i in missing:
+            if (known := self.fresh.pop(words[i], None)) is not None:
+                ids[i] = self.frequent[words[i]] = known
+        missing = [i for i in missing if ids[i] is None]
+        own = self._learn([words[i] for i in missing])
+        for i in missing:
+            ids[i] = own[words[i]]
+        end = 0
+        for row in rows:
+            begin, end = end, end + len(row)
+            out.append(np.frombuffer(b"".join([ids[i] for i in at[begin:end]]), np.int32))
+            same.append(not self.wrong or self.wrong.isdisjoint(row))
+        if len(self.fresh) + len(own) > FRESH:
+            self.fresh = {}
+        self.fresh.update(own)
+        if len(self.frequent) > FREQUENT:
+            self.frequent = {}
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Encode words that carry their markers, and compare with the peer, which puts the first marker by itself.
+
+        The peer gets them as one text, as words are apart in it; only where that differs are they compared one by one.
+        """
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        if list(chain.from_iterable(ids)) != self.peer.encode("".join(words)[1:].replace(MARK, " ")):
+            for word, mine in zip(words, ids, strict=True):
+                if word != MARK and mine != self.peer.encode(word[1:].replace(MARK, " ")):
+                    self.wrong.add(word)
+        return {word: array("i", mine).tobytes() for word, mine in zip(words, ids, strict=True)}
 
     def decode(self, ids: np.ndarray) -> str:
         table = self.table
@@ -199,43 +227,51 @@ def codec(data: bytes) -> Codec:
     return Codec(data)
 
 
-def encode_column(spark: SparkSession, model: bytes, text: Column) -> Column:
-    """Struct (ids array<int>, parity boolean); null for a null text."""
-    shipped = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("ids array<int>, parity boolean")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(shipped.value)
-        for s in batches:
-            ids, same = own.encode(s.tolist())
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "parity": same})
-
-    return F.when(text.isNotNull(), encode(F.coalesce(text, F.lit(""))))
-
-
-def decode_column(spark: SparkSession, model: bytes, ids: Column) -> Column:
-    """The text of an array of ids; null for null."""
-    shipped = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(shipped.value)
-        for s in batches:
-            yield pd.Series([own.decode(np.asarray(x)) for x in s], dtype=object)
-
-    return F.when(ids.isNotNull(), decode(F.coalesce(ids, F.array().cast("array<int>"))))
+def _lists(rows: list[np.ndarray | None]) -> pa.Array:
+    """An Arrow array of int lists, null for None."""
+    sizes = [0 if r is None else len(r) for r in rows]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    values = pa.array(np.concatenate([r for r in rows if r is not None] or [np.empty(0, np.int32)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, values, mask=pa.array([r is None for r in rows]))
 
 
 def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, ids, parity, decoded, round_trip.
+    """One row per input row: doc_id, ids, parity, round_trip.
 
     parity: the ids equal the sentencepiece library's; round_trip: they decode to the text again (false for a text
     that holds the metaspace character itself). Texts are encoded whole, whatever their length; the empty text has no
     ids and round-trips; a null text gives nulls. Repeated rows give equal rows; a null id is kept as it is; other
     columns are ignored. ``model`` is the content of a model file, a bounded broadcast. No shuffle.
     """
-    spark = docs.sparkSession
-    coded = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    coded = coded.withColumn("coded", encode_column(spark, model, F.col("text"))).select("doc_id", "text", "coded.ids", "coded.parity")
-    coded = coded.withColumn("decoded", decode_column(spark, model, F.col("ids")))
-    return coded.select("doc_id", "ids", "parity", "decoded", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(shipped.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part.column("text").to_pylist()
+                found = iter(zip(*own.encode([t for t in texts if t is not None]), strict=True))
+                rows = [(None, None) if t is None else next(found) for t in texts]
+                again = [None if t is None else own.decode(ids) == t for t, (ids, _) in zip(texts, rows, strict=True)]
+                columns = [part.column("doc_id"), _lists([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.bool_()), pa.array(again, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "parity", "round_trip"])
+
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, parity boolean, round_trip boolean")
+
+
+def decode_documents(coded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, ids) -> (doc_id, text), one row per input row; null ids give a null text, no ids the empty text."""
+    shipped = coded.sparkSession.sparkContext.broadcast(model)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(shipped.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = [None if x is None else own.decode(np.array(x, np.int32)) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    rows = coded.select(coded[id_col].alias("doc_id"), coded[ids_col].alias("ids"))
+    return rows.mapInArrow(decode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
