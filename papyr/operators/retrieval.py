@@ -18,6 +18,8 @@ STRIP = "'\":*&|!()\\"
 QUERIES_AT_ONCE = 2000
 #: Vectors are compared in blocks of this many queries.
 QUERY_BLOCK = 512
+#: Vectors or queries of a user and model that one group holds, about.
+SLICE = 20_000
 
 
 def query_terms(query: Column) -> Column:
@@ -125,14 +127,17 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for q, row in zip(part["query_id"], scores, strict=True):
                 order = np.lexsort((left["chunk_id"], -row))[:k]
                 out.append(pd.DataFrame({"query_id": q, "chunk_id": left["chunk_id"].to_numpy()[order], "semantic_score": row[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "semantic_score": []})
-
-    # a user with very many vectors is cut in slices, each of which meets all of the user's queries
-    slices = 16
-    left = vectors.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)))
-    right = queries.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    keys = ("user_id", "model", "slice")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda a, b: best(a, b) if len(a) and len(b) else pd.DataFrame({"query_id": [], "chunk_id": [], "semantic_score": []}), "query_id long, chunk_id long, semantic_score double")
+        return pd.concat(out)
+
+    # A user with many vectors or queries is cut: each slice of the vectors meets each part of the queries in one group.
+    keys = ["user_id", "model"]
+    cuts = vectors.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")).join(queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("parts")), keys)
+    left = vectors.join(cuts, keys).withColumn("slice", F.pmod(F.xxhash64("chunk_id"), "slices")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = queries.join(cuts, keys).withColumn("part", F.pmod(F.xxhash64("query_id"), "parts")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    empty = pd.DataFrame({"query_id": [], "chunk_id": [], "semantic_score": []})
+    keys += ["slice", "part"]
+    groups = left.drop("slices", "parts").groupBy(*keys).cogroup(right.drop("slices", "parts").groupBy(*keys))
+    near = groups.applyInPandas(lambda a, b: best(a, b) if len(a) and len(b) else empty, "query_id long, chunk_id long, semantic_score double")
     return top_k(near, "semantic_score", k)
 
 
