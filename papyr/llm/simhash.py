@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from papyr.llm.common import checkpointed, hash_share
 from papyr.llm.components import connected_components
-from papyr.llm.exact_dedup import doc_id_type
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Aimed-at home fingerprints of a shard, and of a leaf of its local tree.
