@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyr.functions import fields as P
-from papyr.functions.text import trim_all
 from papyr.operators import field_quality as Y
 from papyr.plans.text_queries import SP, trim_sql
 from papyr.sources import entities as E
@@ -217,9 +216,6 @@ def field_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fields(spark, sf_dir).select("document_id", "field_name", triage.alias("triage"))
 
 
-CATEGORIES = ("INVOICE", "RECEIPT", "BANK_DOCUMENT", "UNKNOWN")
-
-
 @query(f"SELECT o_orderkey AS document_id, CASE WHEN {token_sql('o_orderpriority')} IN ('1_URGENT', '2_HIGH', '3_MEDIUM') THEN {token_sql('o_orderpriority')} ELSE 'UNKNOWN' END AS category, least(1.0, greatest(0.0, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / 200000 END, 0))) AS confidence FROM orders")
 def conform_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = P.enum_token(F.col("o_orderpriority"))

@@ -81,7 +81,7 @@ def test_gstin_headings_languages_and_normal_form(spark):
     assert column(spark, ["27AAPFU0939F1ZV", "27AAPFU0939F1Z", "AAPFU0939F1ZV", ""], P.is_gstin) == [True, False, False, False]
     heads = {"GOVERNMENT OF INDIA": True, "Subject:": True, "this is ordinary body text": False, "12-08-2026": False, "1234567890": False, "यह एक पंक्ति है": False, "A" * 81: False}
     assert column(spark, list(heads), T.is_heading) == list(heads.values())
-    assert column(spark, ["abcd", "abcde", "नमस्ते दुनिया", "नमस्ते hello there you", "hello नम"], T.script_language) == ["unknown", "en", "hi", "en" if False else "hi+en", "hi+en"]
+    assert column(spark, ["abcd", "abcde", "नमस्ते दुनिया", "नमस्ते hello there you", "hello नम"], T.script_language) == ["unknown", "en", "hi", "hi+en", "hi+en"]
     rough = ["é ​x \ty\r\nz", "a\n\n\n\n\nb", " \n \n\n \nq ", "", None]
     assert column(spark, rough, T.normalize) == ["é x y\nz", "a\n\nb", "q", "", ""]
 
