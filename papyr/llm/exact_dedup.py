@@ -78,10 +78,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     An id that comes on several rows (or null) is told apart by its text's digest; of rows that repeat both, one stays.
     """
     verdicts = checkpointed(exact_dedup(docs, id_col, text_col))
-    ids = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any_kept"))
+    ids = checkpointed(verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any_kept")))
     plain = ids.where("n = 1 and any_kept and doc_id is not null").select(F.col("doc_id").alias("_id"))
     single = docs.join(plain, docs[id_col] == F.col("_id"), "left_semi")
     repeated = ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    if repeated.isEmpty():  # every id is on one row: no need to read the texts for them again
+        return single
     digest = F.sha2(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), SPACES, " "), 256)
     several = docs.join(repeated, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").withColumn("_digest", digest)
     winners = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
