@@ -39,30 +39,9 @@ def _stream(text: str | None) -> bytes:
     return b" " + b" ".join(words) + b" " if words else b""
 
 
-def _pieces(stream: bytes, most: int = BLOCK, overlap: int = WINDOW) -> Iterator[bytes]:
-    """The stream, or where it is long, parts of it that overlap by at least a window of words."""
-    at = 0
-    while len(stream) - at > most:
-        end = stream.rfind(b" ", at + 1, at + most) + 1
-        if end <= at + 1:  # one word of more than ``most`` bytes: its n-grams come in parts
-            end = at + most
-        yield stream[at:end]
-        back = end - 1
-        for _ in range(overlap):
-            before = stream.rfind(b" ", at + 1, back)
-            back = before if before > at else back
-        at = back if back < end - 1 else end - max(GRAMS)
-    yield stream[at:]
-
-
-def word_grams(stream: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Buckets of all n-grams of the stream's words, the word of each, and the number of words."""
-    b = np.frombuffer(stream, np.uint8)
-    space = b == 32
-    word = np.cumsum(space) - 1  # a word owns the space before it
-    n_words = int(space.sum()) - 1
-    buckets, owners = [], []
-    whole = np.uint64(0x9E3779B97F4A7C15)
+def _grams(b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length where the n-grams of words begin, and their buckets."""
+    space, whole = b == 32, np.uint64(0x9E3779B97F4A7C15)
     for n in GRAMS:
         m = len(b) - n + 1
         if m <= 0:
@@ -74,7 +53,18 @@ def word_grams(stream: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         h = np.full(len(at), n, np.uint64)
         for j in range(n):
             h = (h << np.uint64(8)) | b[at + j]
-        buckets.append(((h * whole) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+        yield at, ((h * whole) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
+def word_grams(stream: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Buckets of all n-grams of the stream's words, the word of each, and the number of words."""
+    b = np.frombuffer(stream, np.uint8)
+    space = b == 32
+    word = np.cumsum(space) - 1  # a word owns the space before it
+    n_words = int(space.sum()) - 1
+    buckets, owners = [], []
+    for at, found in _grams(b):
+        buckets.append(found)
         owners.append(word[at])
     if not buckets:
         return np.empty(0, np.int32), np.empty(0, np.int64), max(n_words, 0)
@@ -112,28 +102,55 @@ class SubwordToxicity:
         some, size = [], 0
 
         def flush() -> None:
-            values = _word_values(self.gram_values, b"".join(p for _, p in some))
+            values = _word_values(self.gram_values, b"".join(s for _, s in some))
             at = 0
-            for i, piece in some:
-                n = piece.count(b" ") - 1
+            for i, stream in some:
+                n = stream.count(b" ") - 1
                 own = values[at : at + n]
-                top[i] = max(top[i], _window_means(own).max())
-                sums[i] += own.sum()
-                counts[i] += n
-                at += n + 1  # between two pieces stands an empty word
+                top[i], sums[i], counts[i] = _window_means(own).max(), own.sum(), n
+                at += n + 1  # between two streams stands an empty word
 
         for i, text in enumerate(texts):
-            for piece in _pieces(_stream(text)) if text else ():
-                if piece:
-                    some.append((i, piece))
-                    size += len(piece)
-                if size >= BLOCK // 4:
-                    flush()
-                    some, size = [], 0
+            stream = _stream(text)
+            if len(stream) > BLOCK:
+                top[i], sums[i], counts[i] = self._long(stream)
+            elif stream:
+                some.append((i, stream))
+                size += len(stream)
+            if size >= BLOCK // 4:
+                flush()
+                some, size = [], 0
         if some:
             flush()
         return np.stack([np.where(np.isinf(top), 0.0, top), sums / np.maximum(counts, 1)], 1)
 
+    def _long(self, stream: bytes) -> tuple[float, float, int]:
+        """Largest margin of a window, sum of the words' values and number of words, ``BLOCK`` bytes at a time.
+
+        The sums of a word and the values of a window that a cut parts are carried on, so cuts change nothing.
+        """
+        top, total, words = -np.inf, 0.0, 0
+        open_sum, open_count, last = 0.0, 0, np.empty(0)
+        b = np.frombuffer(stream, np.uint8)
+        for at in range(0, len(b), BLOCK):
+            word = np.cumsum(b[at : at + BLOCK] == 32)  # 0: the word that the block before left open
+            n = int(word[-1]) + 1
+            sums, counts = np.zeros(n), np.zeros(n, np.int64)
+            for starts, buckets in _grams(b[at : at + BLOCK + max(GRAMS) - 1]):
+                inside = np.searchsorted(starts, len(word))
+                owner = word[starts[:inside]]
+                sums += np.bincount(owner, self.gram_values[buckets[:inside]], n)
+                counts += np.bincount(owner, minlength=n)
+            sums[0] += open_sum
+            counts[0] += open_count
+            open_sum, open_count = sums[-1], counts[-1]
+            done = (sums / np.maximum(counts, 1))[0 if at else 1 : -1]
+            total, words = total + done.sum(), words + len(done)
+            last = np.concatenate((last, done))
+            if len(last) >= WINDOW:
+                top, last = max(top, _window_means(last).max()), last[len(last) - WINDOW + 1 :]
+        return (top if words >= WINDOW else last.mean()), total, words
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margins(texts) @ self.weights[:2] + self.weights[2], -30, 30)))
 

@@ -156,6 +156,38 @@ def test_toxicity_margins_equal_the_plain_loop(monkeypatch):
     assert np.isclose(split[0], got[0], atol=1e-5)
 
 
+@pytest.mark.parametrize("block", [120, 121, 499])
+def test_toxicity_margins_of_words_longer_than_a_block(monkeypatch, block):
+    rng = np.random.default_rng(4)
+    model = toxicity.SubwordToxicity(rng.normal(size=1 << toxicity.BUCKET_BITS).astype(np.float32), np.array([1.0, 1.0, 0.0]))
+
+    def word_value(w):
+        b = b" " + w + b" "
+        values = []
+        for g in (b[i : i + n] for n in toxicity.GRAMS for i in range(len(b) - n + 1)):
+            if b" " not in g[1:-1]:
+                h = len(g)
+                for c in g:
+                    h = ((h << 8) | c) % (1 << 64)
+                values.append(model.gram_values[(h * 0x9E3779B97F4A7C15) % (1 << 64) >> (64 - toxicity.BUCKET_BITS)])
+        return np.mean(values) if values else 0.0
+
+    dump = ["".join(rng.choice(list("0123456789abcdef"), 500)) for _ in range(6)]
+    cjk = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 400))
+    texts = [dump[0], cjk, "one two three four five " + dump[1], dump[2] + " six seven", " ".join(dump), "eight " * 40 + dump[3] + " nine" * 40, "x " + cjk + " y", "short", None, "z " * 300]
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    for text, got in zip(texts, model.margins(texts), strict=True):
+        v = np.array([word_value(w) for w in toxicity._stream(text).split()])
+        n = toxicity.WINDOW
+        want = 0.0 if not len(v) else v.mean() if len(v) <= n else max(v[i : i + n].mean() for i in range(len(v) - n + 1))
+        assert np.allclose(got, [want, v.mean() if len(v) else 0.0], atol=1e-5)
+
+
+def test_toxicity_takes_an_unbroken_run_beyond_the_block():
+    model = toxicity.SubwordToxicity(np.ones(1 << toxicity.BUCKET_BITS, np.float32), np.array([1.0, 1.0, 0.0]))
+    assert np.allclose(model.margins(["a1" * toxicity.BLOCK, "ab cd " + "f" * (toxicity.BLOCK + 5) + " ef"]), 1.0)
+
+
 def test_misspellings_share_vectors(documents, labels):
     rows = documents.join(labels, "doc_id").select("text", "toxic").toPandas()
     rows = pd.concat([rows[rows.toxic == 1].head(300), rows[rows.toxic == 0].head(300)])
