@@ -186,15 +186,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(docs[id_col].alias("doc_id"), fingerprint_column(docs[text_col], shingle).alias("fp"))
     rows = checkpointed(rows)
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(link_fingerprints(nodes.select("fp"), radius))
-    linked = checkpointed(roots.join(nodes, roots["node"] == nodes["fp"]).select("node", "root", "first_id"))
+    linked = _rooted(nodes, radius)
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    linked = linked.join(least, "root").select("fp", "component_id")
     classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each component, all columns kept; null ids stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs[id_col] == F.col("_id"), "left_anti")
+def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
+    """Those of the distinct ``fp`` that are linked to others, with all their columns and ``root``, one for each component."""
+    roots = connected_components(link_fingerprints(nodes.select("fp"), radius))
+    return checkpointed(roots.join(nodes, roots["node"] == nodes["fp"]).drop("node"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component, all columns kept: that of the smallest id.
+
+    Null ids sort last; of rows of one id the smallest fingerprint stays, then the smallest digest of the text, then
+    any one. An id that comes on several rows (or null) is told apart by its text's digest, so that a row that goes
+    takes no other row of its id with it.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    rows = checkpointed(docs.select(docs[id_col].alias("doc_id"), fingerprint_column(docs[text_col], shingle).alias("fp"), digest.alias("digest")))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "fp", "digest")).alias("best")))
+    linked = _rooted(nodes, radius)
+    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("best")
+    best = alone.unionByName(linked.groupBy("root").agg(F.min("best").alias("best")).select("best"))
+    winners = checkpointed(best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_sha")))
+    ids = checkpointed(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    several = F.expr("n > 1 or doc_id is null")
+    gone = ids.where(~several).join(winners, F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = ids.where(several)
+    if repeated.isEmpty():  # every id is on one row: no need to read the texts for them again
+        return docs.join(gone.select(F.col("doc_id").alias("_id")), docs[id_col] == F.col("_id"), "left_anti")
+    apart = gone.unionByName(repeated).select(F.col("doc_id").alias("_id"))
+    single = docs.where(docs[id_col].isNotNull()).join(apart, docs[id_col] == F.col("_id"), "left_anti")
+    kept = winners.join(repeated, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
+    again = docs.withColumn("_digest", digest)
+    again = again.join(kept, again[id_col].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    return single.unionByName(again.dropDuplicates([id_col, "_digest"]).drop("_digest"))

@@ -132,3 +132,23 @@ def test_drop_near_duplicates_keeps_one_of_each_component(spark):
     assert got.columns == docs.columns
     kept = [r.doc_id for r in got.collect()]
     assert 1 in kept and 2 not in kept and 3 in kept and 4 not in kept and 5 not in kept
+
+
+def test_drop_near_duplicates_tells_the_rows_of_an_id_apart(spark):
+    fox = "the quick brown fox jumps over the lazy dog " * 20
+    rows = [
+        (3, fox, "first"), (7, fox + "w0", "near 3"),  # a component of two ids
+        (7, "der hund und die katze und das haus", "clean"), (9, "der hund  und die katze und das haus", "near 7"),
+        (7, "pack my box with five dozen jugs of liquor", "clean"), (7, "pack my  box with five dozen jugs of liquor", "same id and print"),
+        (None, "a row without an id", "null"), (None, "a row  without an id", "null"), (None, "a row\nwithout an id", "null"), (None, "a row\nwithout an id", "null"),
+        (None, "another row that has no id", "lone null"), (None, fox, "near 3"),
+        (11, None, "empty"), (11, "", "empty"), (12, "  ", "empty"),
+    ]
+    prints = [brute_fingerprint(t) for _, t, _ in rows]
+    assert len(set(brute_components(prints, [r[0] for r in rows]))) == 4 and np.bitwise_count(np.uint64(prints[0] ^ prints[1])) <= 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(3)
+    got = [(r.doc_id, r.note) for r in drop_near_duplicates(docs).collect()]
+    by_text = {(i, norm(t)) for i, t, _ in ((r.doc_id, r.text, r.note) for r in drop_near_duplicates(docs).collect())}
+    assert by_text == {(3, norm(fox)), (7, "der hund und die katze und das haus"), (7, "pack my box with five dozen jugs of liquor"), (None, "a row without an id"), (None, "another row that has no id"), (11, "")}
+    assert len(got) == len(by_text)
+    assert drop_near_duplicates(empty_docs(spark)).count() == 0
