@@ -98,7 +98,7 @@ def mix_sources(
     counts blocks of ``block_tokens``; within one, rows are ordered by ``block_order``, a hash.
 
     A null source is a source of its own. Texts without words (null, empty) weigh nothing and come in every pass begun
-    up to the cut; a source of only such texts has weight 0 and comes once. Rows that repeat id and text are separate
+    up to the cut, without ``budget_tokens`` at least once; a source of only such texts has weight 0 and comes once. Rows that repeat id and text are separate
     rows. Columns of ``docs`` named like the new ones are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -126,7 +126,8 @@ def mix_sources(
     within = Window.partitionBy(*key).orderBy("_at", F.col(id_col), "_tie").rowsBetween(Window.unboundedPreceding, -1)
     used = dealt(keyed).join(sums, list(key))
     used = used.withColumn("_before", F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    used = used.where((F.col("_before") < F.col("_quota")) | ((F.col("epoch") == 0) & (F.col("_quota") == 0)))
+    always = F.col("epoch") == 0  # without a budget; with one only what weighs nothing at all
+    used = used.where((F.col("_before") < F.col("_quota")) | (always if budget_tokens is None else always & (F.col("_quota") == 0)))
     share = F.col("weight") * block_tokens
     used = used.withColumn("block", F.when(share > 0, F.floor(F.col("_before") / share)).otherwise(F.lit(0)).cast("long"))
     used = used.withColumn("block_order", F.xxhash64(F.lit(seed + 1), "block", "epoch", id_col))

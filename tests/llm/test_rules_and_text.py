@@ -156,6 +156,15 @@ def test_mixing_uses_every_document_and_meets_weights(spark):
     assert np.allclose(inner / inner.sum(), weight, atol=0.03)
 
 
+def test_mixing_keeps_every_wordless_text(spark):
+    rows = [(i, "some words here" if i % 40 == 0 else "" if i % 2 else None, s) for i, s in enumerate(["a"] * 400)] + [(i, "b b", "b") for i in range(400, 410)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs).toPandas()
+    assert sorted(got[got.epoch == 0].doc_id) == list(range(410)) and (got[got.source == "a"].epoch == 0).all()
+    alone = mix_sources(docs.where("source = 'a'")).toPandas()
+    assert sorted(alone.doc_id) == list(range(400))
+
+
 def test_mixing_against_a_plain_walk(spark):
     """With a budget that cuts sources: each source's documents in hash order until its part is full."""
     rows = [(i, "w " * (1 + i % 7), "en", "hot" if i % 3 else f"s{i % 2}", 0, True, 0.5, "x") for i in range(400)] + hard_rows()
