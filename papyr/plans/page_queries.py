@@ -150,15 +150,52 @@ def reembed_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select("chunk_id", F.when(stale, "m1").otherwise(F.col("model")).alias("model"), stale.alias("replaced"))
 
 
+@query()
+def reembed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors after the renewal of stale ones: replaced where the chunk's text is there, else as they were."""
+    docs = E.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    rows = E.embeddings(spark, sf_dir).join(docs, "chunk_id", "left")
+    replaced = (F.col("model") != "m1") & F.col("text").isNotNull()
+    fresh = F.when(replaced, R.hash_embed_column(F.coalesce("text", F.lit("")))).otherwise(F.col("embedding"))
+    return rows.select("chunk_id", F.when(replaced, "m1").otherwise(F.col("model")).alias("model"), replaced.alias("replaced"), fresh.alias("embedding"))
+
+
+def _all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.embeddings(spark, sf_dir).select(F.lit(0).alias("user_id"), "model", "chunk_id", "embedding")
+
+
+def _all_vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_vectors(spark, sf_dir).where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "user_id", "model", F.col("embedding").alias("vector"))
+
+
 @query()
 def semantic_topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest vectors by random projections on unit vectors, the candidates ranked exactly: at most ten a query."""
-    rows = E.embeddings(spark, sf_dir).where("model = 'm1'").select("chunk_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("vector"))
-    lsh = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=1.5, numHashTables=6, seed=3).fit(rows)
-    asked = rows.where("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "query_id")
-    pairs = lsh.approxSimilarityJoin(asked, rows, 1.3, "distance")
-    near = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), F.round(1 - F.col("distance") ** 2 / 2, 4).alias("semantic_score"))
-    return R.top_k(near, "semantic_score", 10)
+    """Every tenth vector's ten nearest of its model, by an index for each model."""
+    return approx_topk(_all_vectors(spark, sf_dir), _all_vector_queries(spark, sf_dir), 10)
+
+
+def approx_topk(rows: DataFrame, asked: DataFrame, k: int, bucket: float = 1.5, tables: int = 6) -> DataFrame:
+    """(model, chunk_id, embedding) x (query_id, model, vector) -> query_id, chunk_id, semantic_score, rank.
+
+    Random projections of unit vectors find the candidates, which are ranked exactly whatever their distance. A query
+    with fewer than ``k`` candidates is compared with all vectors of its model. Vectors have a length above 0.
+    """
+    unit = lambda c: array_to_vector(F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y))))
+    found = None
+    for (model,) in asked.select("model").distinct().collect():
+        own = rows.where(F.col("model") == model).select("chunk_id", unit(F.col("embedding")).alias("vector"))
+        ask = asked.where(F.col("model") == model).select("query_id", unit(F.col("vector")).alias("vector"))
+        lsh = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=3).fit(own)
+        pairs = lsh.approxSimilarityJoin(ask, own, 3.0, "distance")  # no two unit vectors are farther apart than 2
+        score = F.round(F.greatest(1 - F.col("distance") ** 2 / 2, F.lit(0.0)), 4)
+        near = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), score.alias("semantic_score"))
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return R.semantic_topk(rows, asked, k)
+    found = R.top_k(found, "semantic_score", k)
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = asked.join(full, "query_id", "left_anti")
+    return found.join(full, "query_id", "left_semi").unionByName(R.semantic_topk(rows, short, k))
 
 
 @query(oracle(f"""WITH {TERMS}, wanted AS (SELECT DISTINCT query_id, lower(unnest(terms)) AS term FROM terms), toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents),

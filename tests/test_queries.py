@@ -14,7 +14,7 @@ from papyr.functions import fields as P
 from papyr.functions import text as T
 from papyr.functions.registry import register
 from papyr.operators import chunking, retrieval
-from papyr.plans import QUERIES, SQL
+from papyr.plans import QUERIES, SQL, page_queries
 from papyr.sources import entities, files
 from papyr.streaming import jobs
 
@@ -203,3 +203,24 @@ def test_answers_embeddings_and_ingestion(spark, tmp_path):
     for run in "12":
         jobs.ingest(stream(spark, pages.coalesce(1), str(tmp_path / f"p{run}")), str(tmp_path / "chunks"), str(tmp_path / f"c{run}")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "chunks")).count() <= chunking.chunk_pages(pages).count()
+
+
+def test_approximate_search_covers_all_models_and_recalls_the_nearest(spark):
+    rows, asked = page_queries._all_vectors(spark, DATA), page_queries._all_vector_queries(spark, DATA)
+    want = {(r.query_id, r.chunk_id) for r in retrieval.semantic_topk(rows, asked, 10).collect()}
+    for found in (QUERIES["semantic_topk_approx"](spark, DATA), page_queries.approx_topk(rows, asked, 10, bucket=1e-6, tables=1)):
+        got = [(r.query_id, r.chunk_id) for r in found.collect()]
+        assert len(got) == len(set(got)) == len(want) and {q for q, _ in got} == {q for q, _ in want}
+        assert len(set(got) & want) >= 0.9 * len(want)
+
+
+def test_reembedded_vectors_are_those_of_the_texts(spark):
+    texts = {r.doc_id: r.text for r in entities.table(spark, DATA, "documents").collect()}
+    before = {r.chunk_id: r for r in entities.embeddings(spark, DATA).collect()}
+    after = QUERIES["reembed_vectors"](spark, DATA).collect()
+    assert len(after) == len(before) and any(r.replaced for r in after)
+    for r in after:
+        stale = before[r.chunk_id].model != "m1"
+        assert r.replaced == (stale and texts.get(r.chunk_id) is not None)
+        want = retrieval.hash_embed(texts[r.chunk_id], 64).tolist() if r.replaced else before[r.chunk_id].embedding
+        assert r.embedding == want and r.model == ("m1" if r.replaced else before[r.chunk_id].model)
