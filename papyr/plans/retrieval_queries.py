@@ -54,6 +54,12 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(keyword_score(spark, sf_dir), "keyword_score", 10)
 
 
+@query()
+def keyword_topk_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking of ``keyword_topk`` for the passages whole, of which the stated queries are the first 60 characters."""
+    return R.top_k(R.keyword_scores(_chunks(spark, sf_dir), E.full_text_queries(spark, sf_dir)), "keyword_score", 10)
+
+
 @query()
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = keyword_topk(spark, sf_dir).join(E.search_queries(spark, sf_dir), "query_id").join(_chunks(spark, sf_dir), "chunk_id")

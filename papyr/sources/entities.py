@@ -122,6 +122,11 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
 
 
+def full_text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's passages whole, under ids of their own: -1 - item_id."""
+    return table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), F.col("text").alias("query"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", F.upper("role").alias("role"), F.col("text").alias("content"))
 

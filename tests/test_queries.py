@@ -224,3 +224,13 @@ def test_reembedded_vectors_are_those_of_the_texts(spark):
         assert r.replaced == (stale and texts.get(r.chunk_id) is not None)
         want = retrieval.hash_embed(texts[r.chunk_id], 64).tolist() if r.replaced else before[r.chunk_id].embedding
         assert r.embedding == want and r.model == ("m1" if r.replaced else before[r.chunk_id].model)
+
+
+def test_full_text_queries_find_later_parts_of_a_passage(spark, tmp_path):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu omicron sigma tau upsilon"
+    spark.createDataFrame([(4, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, "only omicron sigma and upsilon stand here"), (2, passage), (3, "none"), (5, "alpha beta gamma")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.query_id, r.chunk_id): r.rank for r in QUERIES["keyword_topk_full_text"](spark, str(tmp_path)).collect()}
+    assert (-5, 1) in got and got[-5, 2] == 1 and (-5, 3) not in got
+    assert 1 not in {r.chunk_id for r in QUERIES["keyword_topk"](spark, str(tmp_path)).collect()}
