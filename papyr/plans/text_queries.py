@@ -184,7 +184,18 @@ def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracle(CHUNKS_SQL + f", c AS (SELECT version_id, {tokens_sql(words_sql('content'))} AS t FROM (SELECT version_id, {trim_sql('content')} AS content FROM raw) WHERE length(content) >= 20) SELECT doc_id AS version_id, count(t) AS chunk_count, CAST(floor(coalesce(avg(t), 0) + 0.5) AS INTEGER) AS average_tokens, count(t) = 0 AS no_chunks FROM documents LEFT JOIN c ON version_id = doc_id GROUP BY doc_id", "ocr_pages").replace("WITH ocr_pages", "WITH RECURSIVE ocr_pages", 1).replace("RECURSIVE blocked", "blocked", 1))
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.chunk_pages(E.ocr_pages(spark, sf_dir), hard_limit=False)
+    """Of the fold alone, as in ``chunk_pages``; ``chunk_document_stats`` counts the chunks cut by the hard limit."""
+    return _chunk_stats(spark, sf_dir, hard_limit=False)
+
+
+@query()
+def chunk_document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and mean tokens of the chunks of ``chunk_documents``, of every document."""
+    return _chunk_stats(spark, sf_dir, hard_limit=True)
+
+
+def _chunk_stats(spark: SparkSession, sf_dir: str, hard_limit: bool) -> DataFrame:
+    chunks = chunking.chunk_pages(E.ocr_pages(spark, sf_dir), hard_limit=hard_limit)
     per = chunks.groupBy("version_id").agg(F.count(F.lit(1)).alias("n"), F.avg("token_count").alias("avg"))
     docs = E.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(per, F.col("id") == F.col("version_id"), "left")
     return docs.select(F.col("id").alias("version_id"), F.coalesce("n", F.lit(0)).alias("chunk_count"), F.floor(F.coalesce("avg", F.lit(0)) + 0.5).cast("int").alias("average_tokens"), F.col("n").isNull().alias("no_chunks"))

@@ -234,3 +234,17 @@ def test_full_text_queries_find_later_parts_of_a_passage(spark, tmp_path):
     got = {(r.query_id, r.chunk_id): r.rank for r in QUERIES["keyword_topk_full_text"](spark, str(tmp_path)).collect()}
     assert (-5, 1) in got and got[-5, 2] == 1 and (-5, 3) not in got
     assert 1 not in {r.chunk_id for r in QUERIES["keyword_topk"](spark, str(tmp_path)).collect()}
+
+
+def test_chunk_document_stats_are_those_of_the_chunks(spark, tmp_path):
+    docs = [(1, "word " * 5000, "en"), (2, "a short text of a few words", "en"), (3, "", "en"), (4, "word " * 900 + "\n\nthe last block of this text", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    chunks = {}
+    for r in QUERIES["chunk_documents"](spark, str(tmp_path)).collect():
+        chunks.setdefault(r.version_id, []).append(r.token_count)
+    got = {r.version_id: r for r in QUERIES["chunk_document_stats"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4} and max(map(max, chunks.values())) <= 1000
+    for i, r in got.items():
+        own = chunks.get(i, [])
+        assert (r.chunk_count, r.average_tokens, r.no_chunks) == (len(own), math.floor(sum(own) / max(len(own), 1) + 0.5), not own)
+    assert got[1].chunk_count > 1
