@@ -12,11 +12,24 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: A key with more than one row in so many is hot: there are at most so many hot keys.
+HOT_KEYS = 4096
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that ``spark.checkpoint.dir`` names; set a folder only where none is set."""
+    """Use the shared folder that ``spark.checkpoint.dir`` names; a local session without one gets a folder of its own.
+
+    On a cluster the setting must be there: a folder of the driver alone would lose what executors write.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="papyr-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        folder = tempfile.mkdtemp(prefix="papyr-checkpoint-")
+    sc.setCheckpointDir(folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -43,3 +56,15 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def hash_share(key: Column, share: float, salt: int) -> Column:
     """True for about ``share`` of the keys, chosen by hash: the same rows on every run and any layout."""
     return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1_000_000_007)) < F.lit(round(share * 1_000_000_007))
+
+
+def join_by_hot_key(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has each key once and in ``n`` how many of the rows carry it.
+
+    ``total`` is the number of rows or more. Keys with over ``total / HOT_KEYS`` rows, of which there are no more than
+    ``HOT_KEYS``, are broadcast, so that their rows stay where they are; only the other keys are shuffled.
+    """
+    is_hot = F.col("n") * HOT_KEYS > F.lit(total)
+    hot = F.broadcast(keyed.where(is_hot).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(~is_hot).drop("n"), key)
+    return rows.join(hot, key).unionByName(cold)

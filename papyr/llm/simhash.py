@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyr.llm.common import checkpointed, hash_share
+from papyr.llm.common import checkpointed, hash_share, join_by_hot_key
 from papyr.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -156,8 +156,11 @@ def link_fingerprints(fingerprints: DataFrame, radius: int = RADIUS) -> DataFram
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             items = pdf["fp"].to_numpy(np.int64)
-            for leaf, at, own in shipped.value.route(items.view(np.uint64), np.ones(len(items), bool), radius):
-                yield pd.DataFrame({"shard": leaf, "fp": items[at], "home": own})
+            dealt = list(shipped.value.route(items.view(np.uint64), np.ones(len(items), bool), radius))
+            if dealt:
+                leaves, at, own = zip(*dealt, strict=True)
+                shard = np.repeat(np.array(leaves, np.int64), [len(a) for a in at])
+                yield pd.DataFrame({"shard": shard, "fp": items[np.concatenate(at)], "home": np.concatenate(own)})
 
     dealt = checkpointed(fingerprints.select("fp").mapInPandas(deal, "shard long, fp long, home boolean"))
     # A shard above BLOCK members is cut in blocks; each two of its blocks meet in one group.
@@ -185,12 +188,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(docs[id_col].alias("doc_id"), fingerprint_column(docs[text_col], shingle).alias("fp"))
     rows = checkpointed(rows)
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")))
     linked = _rooted(nodes, radius)
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", "component_id")
-    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    linked = join_by_hot_key(linked.drop("n"), least, "root", linked.count()).select("fp", "component_id")
+    classes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "n")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = join_by_hot_key(rows, checkpointed(classes), "fp", total)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
@@ -200,28 +205,29 @@ def _rooted(nodes: DataFrame, radius: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component, all columns kept: that of the smallest id.
+    """``docs`` with one row of each component, all columns kept, whatever their names: that of the smallest id.
 
     Null ids sort last; of rows of one id the smallest fingerprint stays, then the smallest digest of the text, then
     any one. An id that comes on several rows (or null) is told apart by its text's digest, so that a row that goes
     takes no other row of its id with it.
     """
-    digest = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
-    rows = checkpointed(docs.select(docs[id_col].alias("doc_id"), fingerprint_column(docs[text_col], shingle).alias("fp"), digest.alias("digest")))
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    digest = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)).alias("digest")
+    packed = docs.select(docs[id_col].alias("doc_id"), whole)
+    rows = checkpointed(docs.select(docs[id_col].alias("doc_id"), fingerprint_column(docs[text_col], shingle).alias("fp"), digest))
     nodes = checkpointed(rows.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "fp", "digest")).alias("best")))
     linked = _rooted(nodes, radius)
     alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("best")
     best = alone.unionByName(linked.groupBy("root").agg(F.min("best").alias("best")).select("best"))
-    winners = checkpointed(best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_sha")))
+    winners = checkpointed(best.select("best.doc_id", "best.digest"))
     ids = checkpointed(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     several = F.expr("n > 1 or doc_id is null")
-    gone = ids.where(~several).join(winners, F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = ids.where(several)
+    gone = ids.where(~several).join(winners, "doc_id", "left_anti").select("doc_id")
+    repeated = ids.where(several).select("doc_id")
     if repeated.isEmpty():  # every id is on one row: no need to read the texts for them again
-        return docs.join(gone.select(F.col("doc_id").alias("_id")), docs[id_col] == F.col("_id"), "left_anti")
-    apart = gone.unionByName(repeated).select(F.col("doc_id").alias("_id"))
-    single = docs.where(docs[id_col].isNotNull()).join(apart, docs[id_col] == F.col("_id"), "left_anti")
-    kept = winners.join(repeated, F.col("_id").eqNullSafe(F.col("doc_id")), "left_semi")
-    again = docs.withColumn("_digest", digest)
-    again = again.join(kept, again[id_col].eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    return single.unionByName(again.dropDuplicates([id_col, "_digest"]).drop("_digest"))
+        return packed.join(gone, "doc_id", "left_anti").select("row.*")
+    single = packed.where("doc_id is not null").join(gone.unionByName(repeated), "doc_id", "left_anti").select("row")
+    kept = winners.alias("w").join(repeated.alias("r"), F.expr("w.doc_id <=> r.doc_id"), "left_semi")
+    again = docs.select(docs[id_col].alias("doc_id"), digest, whole)
+    again = again.alias("a").join(kept.alias("k"), F.expr("a.doc_id <=> k.doc_id and a.digest = k.digest"), "left_semi")
+    return single.unionByName(again.dropDuplicates(["doc_id", "digest"]).select("row")).select("row.*")

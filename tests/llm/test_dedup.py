@@ -5,7 +5,10 @@ import numpy as np
 import pytest
 import xxhash
 
-from papyr.llm import simhash
+from pyspark.sql import functions as F
+
+from papyr.llm import common, simhash
+from papyr.llm import exact_dedup as exact_dedup_module
 from papyr.llm.components import connected_components
 from papyr.llm.exact_dedup import drop_copies, exact_dedup
 from papyr.llm.simhash import VantageTree, drop_near_duplicates, near_duplicates
@@ -42,6 +45,59 @@ def test_exact_dedup_hot_group_and_empty(spark):
     assert exact_dedup(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("piece,batch", [(1 << 16, 10000), (5, 3), (2, 7)])
+def test_runs_that_edges_and_pieces_cut(spark, monkeypatch, piece, batch):
+    """Few partitions, small batches and small pieces: every run is cut somewhere, and joined again."""
+    monkeypatch.setattr(exact_dedup_module, "PIECE", piece)
+    rows = [(i, ["same", "same  ", "other", f"t {i % 40}", None][i % 5] if i % 7 else "hot text") for i in range(400)] + [(None, "same"), (None, "null ids only"), (None, "null ids only"), (3, "same"), (3, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(norm(t), []).append(i)
+    want = {hashlib.sha256(t.encode()).hexdigest(): (min((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items()}
+    for partitions in ("1", "3", "24"):
+        with_conf(spark, {"spark.sql.shuffle.partitions": partitions, "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+        got = exact_dedup(docs).collect()
+        assert len(got) == len(rows) and {(r.text_sha256, r.keep_id, r.group_size) for r in got} == {(t, *w) for t, w in want.items()}
+        kept = [(r.text_sha256, r.doc_id) for r in got if r.kept]
+        assert sorted(kept, key=str) == sorted(((t, w[0]) for t, w in want.items()), key=str)
+
+
+def with_conf(spark, settings):
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+
+
+@pytest.fixture(autouse=True)
+def settings_as_before(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    yield
+    with_conf(spark, before)
+
+
+def test_operators_keep_columns_that_are_named_like_their_own(spark):
+    names = ["_id", "row", "digest", "fp", "n", "text_sha256", "_digest", "kept", "open"]
+    rows = [(i, t, *(f"{c}{i}" for c in names)) for i, t in [(1, "one text of some words"), (2, "one  text of some words"), (3, "und noch ein ganz anderer text"), (3, "a repeated id with a text of its own"), (None, "no id")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    for drop in (drop_copies, drop_near_duplicates):
+        for some, gone in ((docs, 2), (docs.where("doc_id < 3"), 2)):
+            want = [r for r in some.collect() if r.doc_id != gone]
+            got = drop(some)
+            assert got.columns == docs.columns and sorted(got.collect(), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 4096])
+def test_hot_keys_are_joined_like_the_others(spark, monkeypatch, parts):
+    monkeypatch.setattr(common, "HOT_KEYS", parts)
+    rows = spark.range(300).selectExpr("case when id % 3 = 0 then 7 else id end as k", "id")
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("most"))
+    got = sorted(map(tuple, common.join_by_hot_key(rows, keyed, "k", 300).select("k", "id", "most").collect()))
+    assert got == sorted(map(tuple, rows.join(keyed.drop("n"), "k").select("k", "id", "most").collect())) and len(got) == 300
+    edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(50)], "a long, b long")
+    assert {r.root for r in connected_components(edges).collect()} == {0}
+
+
 def test_drop_copies_keeps_columns_and_one_of_each_text(spark):
     docs = hard_docs(spark)
     got = drop_copies(docs)
