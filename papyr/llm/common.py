@@ -53,9 +53,10 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(True))
 
 
-def hash_share(key: Column, share: float, salt: int) -> Column:
+def hash_share(key: Column, share: float | Column, salt: int) -> Column:
     """True for about ``share`` of the keys, chosen by hash: the same rows on every run and any layout."""
-    return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1_000_000_007)) < F.lit(round(share * 1_000_000_007))
+    bound = share * 1_000_000_007 if isinstance(share, Column) else F.lit(round(share * 1_000_000_007))
+    return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1_000_000_007)) < bound
 
 
 def join_by_hot_key(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:

@@ -1,8 +1,9 @@
 """Language identification with language-bitmask n-gram filters.
 
 One bit-sliced Bloom filter serves all languages: every slot holds one bit per language, so the AND of the slots of
-an n-gram is the mask of all languages whose filter holds it. A text's languages are ranked by how many of its
-n-grams each holds, after the share of false positives that the slice's fill implies is taken off.
+an n-gram is the mask of all languages in whose learned texts it stands, common and rare n-grams alike. A text's
+languages are ranked by how many of its n-grams each holds, after the share of false positives that the slice's fill
+implies is taken off.
 """
 
 from __future__ import annotations
@@ -15,16 +16,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from papyr.llm.common import checkpointed, hash_share, held_out
 
 GRAMS = (3, 4)
 HASHES = 3
-SLOT_BITS = 19
-#: Bounds of the fit: documents a language, n-grams a language, fewest occurrences, and the share of the best
-#: language's frequency from which a language counts as containing an n-gram.
-SAMPLE_DOCS, TOP_GRAMS, MIN_COUNT, COMPARABLE = 2000, 20_000, 3, 0.5
+#: Slots for each n-gram of the richest language, and the most bytes that all slots take; both only set how many false
+#: positives there are to correct.
+SLOTS_A_GRAM, FILTER_BYTES = 12, 1 << 26
+#: The fit takes at most about so many documents of a language.
+SAMPLE_DOCS = 2000
+#: Up to so many languages their sizes are broadcast; beyond that Spark chooses the join.
+BROADCAST_LANGUAGES = 10_000
+#: The columns that the operator adds.
+ADDED = ("held_out", "lang_pred", "score", "share")
 #: Code points worked on at once.
 BLOCK = 1 << 19
 
@@ -95,15 +100,12 @@ class LanguageFilters:
     fpr: np.ndarray
 
     @staticmethod
-    def build(languages: tuple[str, ...], members: list[np.ndarray], slot_bits: int = SLOT_BITS) -> LanguageFilters:
+    def of_slots(languages: tuple[str, ...], slot_bits: int, words: np.ndarray, at: np.ndarray, bits: np.ndarray) -> LanguageFilters:
+        """From the slots that hold anything: word of 64 languages, slot, mask."""
         slots = np.zeros(((len(languages) + 63) // 64 or 1, 1 << slot_bits), np.uint64)
-        fpr = np.zeros(len(languages))
-        for i, grams in enumerate(members):
-            bit = np.uint64(1) << np.uint64(i % 64)
-            for at in _slots_of(grams, slot_bits):
-                slots[i // 64][at] |= bit
-            fpr[i] = np.count_nonzero(slots[i // 64] & bit) ** HASHES / float(1 << slot_bits) ** HASHES
-        return LanguageFilters(languages, slots, fpr)
+        slots[words, at] = bits
+        fill = [np.count_nonzero(slots[i // 64] & (np.uint64(1) << np.uint64(i % 64))) for i in range(len(languages))]
+        return LanguageFilters(languages, slots, (np.array(fill, float) / (1 << slot_bits)) ** HASHES)
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         """Of each n-gram, the mask of the languages that contain it: (word of 64 languages, n-gram)."""
@@ -133,43 +135,52 @@ def _slots_of(grams: np.ndarray, slot_bits: int) -> list[np.ndarray]:
     return [((grams >> np.uint64(i * 21)) & mask).astype(np.int64) for i in range(HASHES)]
 
 
-def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _own_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(number, text) -> the distinct n-grams of each block of a language's texts."""
     for pdf in batches:
-        for lang, texts in pdf.groupby("lang")["text"]:
+        for number, texts in pdf.groupby("number")["text"]:
             for block in _blocks(texts.tolist()):
                 for n in GRAMS:
-                    grams, counts = np.unique(_grams(block, n)[1], return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "size": n, "gram": grams.view(np.int64), "n": counts})
+                    yield pd.DataFrame({"number": number, "gram": np.unique(_grams(block, n)[1]).view(np.int64)})
 
 
-def fit_language_filters(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, top_grams: int = TOP_GRAMS) -> LanguageFilters:
+def slot_bits_for(grams: int, languages: int) -> int:
+    """Enough slots for the richest language, as far as all slots together stay in ``FILTER_BYTES``."""
+    wanted = max(grams * SLOTS_A_GRAM, 1 << 10).bit_length()
+    return min(wanted, (FILTER_BYTES // (8 * ((languages + 63) // 64 or 1))).bit_length() - 1, 63 // HASHES)
+
+
+def fit_language_filters(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> LanguageFilters:
     """Learn the filters from at most about ``sample_docs`` whole texts of each language, chosen by hash of the id.
 
-    To the driver go ``top_grams`` hashes a language, whatever the size of the input. Rows without text or language
-    are passed over; without any row the filters know no language.
+    A language's filter takes every n-gram of those texts. The slots are filled on Spark; to the driver go the slots
+    themselves, at most ``FILTER_BYTES``, which are the model. Rows without text or language are passed over; without
+    any row the filters know no language.
     """
     rows = labelled.select(labelled[id_col].alias("id"), labelled[lang_col].alias("lang"), labelled[text_col].alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return LanguageFilters((), np.zeros((1, 1 << SLOT_BITS), np.uint64), np.zeros(0))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & hash_share(F.col("id").cast("string"), min(1.0, sample_docs / n), 9))
-    counts = rows.where(chosen).select("lang", "text").mapInPandas(_count_grams, "lang string, size int, gram long, n long")
-    counts = checkpointed(counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counts.where(F.col("n") >= MIN_COUNT).withColumn("rank", rank).where(F.col("rank") <= top_grams).select("lang", "size", "gram", "n").toPandas()
-    totals = {(r["lang"], r["size"]): r["n"] for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    languages = tuple(sorted(sizes))
-    top["p"] = [n / totals[lang, size] for lang, size, n in zip(top["lang"], top["size"], top["n"], strict=True)]
-    top = top[top["p"] >= COMPARABLE * top.groupby("gram")["p"].transform("max")]
-    return LanguageFilters.build(languages, [top["gram"][top["lang"] == x].to_numpy(np.int64).view(np.uint64) for x in languages])
+    sizes = checkpointed(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    languages = tuple(sorted(r["lang"] for r in sizes.select("lang").collect()))  # the names are part of the model
+    if not languages:
+        return LanguageFilters((), np.zeros((1, 1), np.uint64), np.zeros(0))
+    numbers = rows.sparkSession.createDataFrame([(lang, i) for i, lang in enumerate(languages)], "lang string, number int")
+    sizes = sizes.join(numbers, "lang")
+    sizes = F.broadcast(sizes) if len(languages) <= BROADCAST_LANGUAGES else sizes
+    chosen = rows.join(sizes, "lang").where(hash_share(F.col("id").cast("string"), F.least(F.lit(1.0), sample_docs / F.col("n")), 9))
+    grams = checkpointed(chosen.select("number", "text").mapInPandas(_own_grams, "number int, gram long").distinct())
+    richest = grams.groupBy("number").count().agg(F.max("count")).first()[0] or 0
+    bits = slot_bits_for(richest, len(languages))
+    slots = F.array(*(F.shiftrightunsigned("gram", i * 21).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(HASHES)))
+    mask = F.expr("shiftleft(1L, number % 64)")
+    filled = grams.select((F.col("number") / 64).cast("int").alias("word"), F.explode(slots).alias("slot"), mask.alias("mask"))
+    filled = filled.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    return LanguageFilters.of_slots(languages, bits, filled["word"].to_numpy(), filled["slot"].to_numpy(), filled["mask"].to_numpy(np.int64).view(np.uint64))
 
 
 def language_column(spark: SparkSession, filters: LanguageFilters, text: Column) -> Column:
     """Struct (lang_pred, score, share): the language, its part of all languages' shares, its corrected share itself.
 
-    ``und`` with score 0 for null, for a text without any letter, and where no language was learned.
+    Of languages with equal shares, also where every share is 0, the first by name is taken. ``und`` with score 0 for
+    null, for a text without any letter, and where no language was learned.
     """
     shipped = spark.sparkContext.broadcast(filters)
 
@@ -191,13 +202,13 @@ def language_column(spark: SparkSession, filters: LanguageFilters, text: Column)
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, remainder: int = 0) -> DataFrame:
     """All rows of ``docs`` with held_out, lang_pred, score, share added; learns only from rows that aren't held out.
 
-    Every text is scored whole. Null and letterless texts get ``und`` and 0. Rows with a null id are scored but never
-    learned from. Repeated rows get equal results. Columns of ``docs`` named like the new ones are replaced.
+    Every text is scored whole. Null and letterless texts get ``und`` and 0; languages that tie are settled by name.
+    Rows with a null id are scored but never learned from. Repeated rows get equal results. Columns of ``docs`` named
+    like the four new ones are replaced, all others kept. An empty table gives an empty result.
     """
     out = held_out(docs[id_col], modulus, remainder)
     filters = fit_language_filters(docs.where(~out), lang_col, text_col, id_col)
-    return (
-        docs.withColumn("_language", language_column(docs.sparkSession, filters, docs[text_col]))
-        .withColumns({"held_out": out, "lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score"), "share": F.col("_language.share")})
-        .drop("_language")
-    )
+    kept = [docs[c] for c in docs.columns if c not in ADDED]
+    found = F.struct(language_column(docs.sparkSession, filters, docs[text_col]).alias("found"), out.alias("held_out"))
+    judged = docs.select(F.struct(*kept).alias("row"), found.alias("own"))
+    return judged.select("row.*", "own.held_out", *(F.col(f"own.found.{c}").alias(c) for c in ADDED[1:]))

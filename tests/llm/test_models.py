@@ -58,12 +58,70 @@ def test_long_texts_count_each_gram_once(monkeypatch):
         assert sorted(parts) == grams[n]
 
 
+def filters_of(languages, members, slot_bits):
+    """The slots of given n-grams, bit by bit."""
+    slots = {}
+    for i, grams in enumerate(members):
+        for at in language_id._slots_of(grams, slot_bits):
+            for x in at.tolist():
+                slots[i // 64, x] = slots.get((i // 64, x), 0) | 1 << i % 64
+    words, at = np.array(list(slots)).T
+    return LanguageFilters.of_slots(languages, slot_bits, words, at, np.array(list(slots.values()), np.uint64))
+
+
+def plain_grams(text):
+    """All 3- and 4-grams of a text, letters lower-cased and anything else a space, whose inner characters are letters."""
+    plain = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in f" {text or ''} ")
+    plain += "  "
+    return [plain[i : i + n] for n in (3, 4) for i in range(len(plain) - n + 1) if " " not in plain[i + 1 : i + n - 1]]
+
+
+def test_language_shares_and_predictions_against_brute_force(spark):
+    """Sets of all n-grams of a language's learned texts, without a filter: the shares differ by chance hits alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(9001, "Das ist ein Satz mit Wörtern, die es gibt", None), (9002, "", "en"), (9003, None, "en"), (9004, "12 34", "en"), (9005, "the " * 3000, None), (None, "the cat", "xx")]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string")).repartition(3)
+    got = identify_languages(docs).toPandas()
+    learned = got[(~got.held_out) & got.lang.notna() & got.text.notna()]
+    sets = {lang: set().union(*map(plain_grams, texts)) for lang, texts in learned.groupby("lang")["text"]}
+    languages, close = sorted(sets), 0
+    assert "xx" not in sets
+    for r in got.itertuples():
+        grams = plain_grams(r.text)
+        if not any(map(str.isalpha, r.text or "")):
+            assert (r.lang_pred, r.score, r.share) == ("und", 0.0, 0.0)
+            continue
+        shares = np.array([sum(g in sets[x] for g in grams) / max(len(grams), 1) for x in languages])
+        first, second = np.sort(shares)[::-1][:2]
+        if first - second > 0.02:
+            close += 1
+            assert r.lang_pred == languages[shares.argmax()]
+            assert abs(r.share - first) < 0.02 and abs(r.score - first / shares.sum()) < 0.02
+    assert close > 0.9 * len(got)
+
+
+def test_languages_that_tie_are_settled_by_name(spark):
+    rows = [(i, "alpha beta gamma", x) for i, x in enumerate(["b", "a", "c"] * 20)] + [(100, "zzz qqq", None)]
+    got = identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in got.collect()} == {"a"}
+    clash = spark.createDataFrame([(1, "one two", "en", 5, "k", "u")], "doc_id long, text string, lang string, score int, row string, own string")
+    (r,) = identify_languages(clash).collect()
+    assert (r.row, r.own) == ("k", "u") and 0 <= r.score <= 1
+
+
+def test_filter_size_is_bounded():
+    for grams, languages in ((1, 1), (50_000, 4), (10**7, 4), (10**6, 500), (10**9, 10**5)):
+        bits = language_id.slot_bits_for(grams, languages)
+        assert 3 * bits <= 63 and 8 * -(-languages // 64) << bits <= max(language_id.FILTER_BYTES, 1)
+    assert 1 << language_id.slot_bits_for(50_000, 4) >= 50_000 * language_id.SLOTS_A_GRAM
+
+
 def test_bit_slices_return_all_languages_and_correct_false_positives():
     rng = np.random.default_rng(1)
     members = [rng.integers(0, 1 << 62, 3000).astype(np.uint64) for _ in range(70)]
     shared = rng.integers(0, 1 << 62, 50).astype(np.uint64)
     members = [np.concatenate([m, shared]) if i in (3, 68) else m for i, m in enumerate(members)]
-    filters = LanguageFilters.build(tuple(f"l{i:02}" for i in range(70)), members, 14)
+    filters = filters_of(tuple(f"l{i:02}" for i in range(70)), members, 14)
     masks = filters.masks(shared)
     assert ((masks[0] >> np.uint64(3)) & np.uint64(1)).all() and ((masks[1] >> np.uint64(4)) & np.uint64(1)).all()
     others = rng.integers(0, 1 << 62, 20000).astype(np.uint64)
