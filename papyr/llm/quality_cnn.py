@@ -19,10 +19,10 @@ from papyr.llm.common import held_out
 from papyr.llm.labelled import sample_labelled
 
 TAPS, FILTERS, CHUNK, STRIDE, PAD = 5, 16, 384, 320, 256
-#: Bounds of the fit: labelled documents a class, chunks of a document (spread over all of it), passes.
-SAMPLE_DOCS, SAMPLE_CHUNKS, EPOCHS = 1500, 6, 10
-#: Byte positions convolved at once.
-BLOCK = 1 << 16
+#: Bounds of the fit: labelled documents a class, all of whose chunks are learned from, and passes.
+SAMPLE_DOCS, EPOCHS = 1500, 6
+#: Byte positions convolved at once, and chunks of a training batch at once.
+BLOCK, CHUNKS_AT_ONCE = 1 << 16, 256
 
 
 @dataclass(frozen=True)
@@ -78,12 +78,8 @@ def chunk_starts(n: int) -> list[int]:
     return list(range(0, max(n - CHUNK + STRIDE, 1), STRIDE))
 
 
-def training_chunks(text: bytes, most: int = SAMPLE_CHUNKS) -> np.ndarray:
-    """Up to ``most`` chunks spread evenly over the whole text, each with its lead-in, padded to one length."""
-    raw = np.frombuffer(text, np.uint8).astype(np.uint16) if text else np.full(1, PAD, np.uint16)
-    starts = np.array(chunk_starts(len(raw)))
-    if len(starts) > most:
-        starts = starts[np.linspace(0, len(starts) - 1, most).astype(int)]
+def training_chunks(raw: np.ndarray, starts: list[int]) -> np.ndarray:
+    """The chunks of a text's bytes at ``starts``, each with its lead-in, padded to one length."""
     out = np.full((len(starts), TAPS - 1 + CHUNK), PAD, np.uint16)
     for k, s in enumerate(starts):
         own = raw[max(s - TAPS + 1, 0) : s + CHUNK]
@@ -92,10 +88,58 @@ def training_chunks(text: bytes, most: int = SAMPLE_CHUNKS) -> np.ndarray:
     return out
 
 
+def _blocks(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All chunks of several texts, ``CHUNKS_AT_ONCE`` at a time, and the text that each is of."""
+    parts, owner = [], []
+    for i, raw in enumerate(texts):
+        starts = chunk_starts(len(raw))
+        for at in range(0, len(starts), CHUNKS_AT_ONCE):
+            own = starts[at : at + CHUNKS_AT_ONCE]
+            if len(owner) + len(own) > CHUNKS_AT_ONCE and owner:
+                yield np.concatenate(parts), np.array(owner)
+                parts, owner = [], []
+            parts.append(training_chunks(raw, own))
+            owner += [i] * len(own)
+    if owner:
+        yield np.concatenate(parts), np.array(owner)
+
+
+def gradients(w: dict[str, np.ndarray], texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted cross-entropy of a batch of whole texts, over all their chunks; memory by ``CHUNKS_AT_ONCE``.
+
+    First each chunk's pooled values and where its filters peak (the bytes under the peaks alone are kept), then, with
+    the texts' logits known, the derivatives.
+    """
+    peaks, pooled, owners = [], [], []
+    for x, owner in _blocks(texts):
+        acc = w["tables"][0].take(x[:, :CHUNK], axis=0)
+        for j in range(1, TAPS):
+            acc += w["tables"][j].take(x[:, j : j + CHUNK], axis=0)
+        acc[x[:, TAPS - 1 :] == PAD] = -1e9
+        acc[x[:, TAPS - 1] == PAD, 0] = 0  # the empty text
+        where = acc.argmax(1)
+        rows = np.arange(len(x))[:, None]
+        peaks.append(np.stack([x[rows, where + j] for j in range(TAPS)]))
+        pooled.append(np.take_along_axis(acc, where[:, None], 1)[:, 0] + w["bias"])
+        owners.append(owner)
+    peak, best, owner = np.concatenate(peaks, axis=1), np.concatenate(pooled), np.concatenate(owners)
+    sizes = np.bincount(owner, minlength=len(texts))
+    logit = np.bincount(owner, np.maximum(best, 0) @ w["out"], len(texts)) / sizes + w["out_bias"][0]
+    off = ((1 / (1 + np.exp(-logit)) - labels) * weight / len(texts)).astype(np.float32)
+    chunk_off = (off / sizes)[owner][:, None].astype(np.float32)
+    back = chunk_off * w["out"] * (best > 0)
+    grad = {"tables": np.zeros_like(w["tables"]), "bias": back.sum(0), "out": (chunk_off * np.maximum(best, 0)).sum(0), "out_bias": off.sum(keepdims=True)}
+    cells = peak.astype(np.int64) * FILTERS + np.arange(FILTERS)
+    for j in range(TAPS):
+        grad["tables"][j] = np.bincount(cells[j].ravel(), back.ravel(), 257 * FILTERS).reshape(257, FILTERS)
+    grad["tables"][:, PAD] = 0
+    return grad
+
+
 def fit(texts: list[bytes], labels: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = 10, rate: float = 0.02, batch: int = 64) -> ByteCNN:
-    """Fit on texts and 0/1 labels by Adam; the classes weigh alike, and ``prior`` then shifts the log-odds."""
+    """Fit on all bytes of the texts and 0/1 labels by Adam; the classes weigh alike, and ``prior`` then shifts the log-odds."""
     rng = np.random.default_rng(seed)
-    chunks = [training_chunks(t) for t in texts]
+    raw = [np.frombuffer(t, np.uint8).astype(np.uint16) if t else np.full(1, PAD, np.uint16) for t in texts]
     w = {
         "tables": rng.normal(0, 0.15, (TAPS, 257, FILTERS)).astype(np.float32),
         "bias": np.zeros(FILTERS, np.float32),
@@ -108,30 +152,9 @@ def fit(texts: list[bytes], labels: np.ndarray, prior: float, epochs: int = EPOC
     weight = np.where(labels == 1, 0.5 / max((labels == 1).mean(), 1e-9), 0.5 / max((labels == 0).mean(), 1e-9))
     first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(texts)), max(len(texts) // batch, 1)):
-            x = np.concatenate([chunks[i] for i in at])
-            sizes = np.array([len(chunks[i]) for i in at])
-            owner = np.repeat(np.arange(len(at)), sizes)
-            acc = w["tables"][0].take(x[:, :CHUNK], axis=0)
-            for j in range(1, TAPS):
-                acc += w["tables"][j].take(x[:, j : j + CHUNK], axis=0)
-            acc[x[:, TAPS - 1 :] == PAD] = -1e9
-            acc[x[:, TAPS - 1] == PAD, 0] = 0  # the empty text
-            where = acc.argmax(1)
-            best = np.take_along_axis(acc, where[:, None], 1)[:, 0] + w["bias"]
-            pooled = np.maximum(best, 0)
-            logit = np.bincount(owner, pooled @ w["out"], len(at)) / sizes + w["out_bias"][0]
-            off = ((1 / (1 + np.exp(-logit)) - labels[at]) * weight[at] / len(at)).astype(np.float32)
-            chunk_off = (off / sizes)[owner][:, None].astype(np.float32)
-            back = chunk_off * w["out"] * (best > 0)
-            grad = {"tables": np.zeros_like(w["tables"]), "bias": back.sum(0), "out": (chunk_off * pooled).sum(0), "out_bias": off.sum(keepdims=True)}
-            filters = np.broadcast_to(np.arange(FILTERS), where.shape)
-            rows = np.arange(len(x))[:, None]
-            for j in range(TAPS):
-                np.add.at(grad["tables"][j], (x[rows, where + j], filters), back)
-            grad["tables"][:, PAD] = 0
+        for at in np.array_split(rng.permutation(len(raw)), max(len(raw) // batch, 1)):
             step += 1
-            for k, g in grad.items():
+            for k, g in gradients(w, [raw[i] for i in at], labels[at], weight[at]).items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
                 w[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
@@ -157,8 +180,8 @@ def score_column(spark: SparkSession, model: ByteCNN, text: Column) -> Column:
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 3, remainder: int = 1, per_class: int = SAMPLE_DOCS) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Learns from at most about ``per_class`` labelled, not held-out documents of each class; every text is scored
-    whole. Null texts score like the empty text. Rows with a null id are scored and count as held out. Without labels
+    Learns from all bytes of at most about ``per_class`` labelled, not held-out documents of each class; every text is
+    scored whole. Null texts score like the empty text. Rows with a null id are scored and count as held out. Without labels
     of both classes every score is the labels' share of 1 (0.5 without any). Repeated rows get equal scores; other
     columns are ignored.
     """

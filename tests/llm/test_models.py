@@ -187,6 +187,41 @@ def test_cnn_scores_equal_the_plain_loop(monkeypatch):
         assert np.allclose(cnn().scores(texts), [slow_cnn(cnn(), t or b"") for t in texts], atol=1e-4)
 
 
+def test_cnn_gradients_cover_every_chunk(monkeypatch):
+    """Against differences of the loss that the scoring code gives, blocks of any size alike."""
+    rng = np.random.default_rng(3)
+    texts = [b"", b"short", bytes(rng.integers(0, 256, 3000).tolist()), b"abc " * 700, LONG.encode()[:9000]]
+    raw = [np.frombuffer(t, np.uint8).astype(np.uint16) if t else np.full(1, quality_cnn.PAD, np.uint16) for t in texts]
+    labels, weight = np.array([0, 1, 1, 0, 1]), np.array([1.0, 0.5, 2.0, 1.0, 1.0])
+    model = cnn(5)
+    model.tables[:, quality_cnn.PAD] = 0
+    w = {"tables": model.tables.copy(), "bias": model.bias.copy(), "out": model.out.copy(), "out_bias": np.array([0.1], np.float32)}
+    whole = quality_cnn.gradients(w, raw, labels, weight)
+    monkeypatch.setattr(quality_cnn, "CHUNKS_AT_ONCE", 3)
+    for k, g in quality_cnn.gradients(w, raw, labels, weight).items():
+        assert np.allclose(g, whole[k], atol=1e-5)
+
+    def loss(w):
+        p = quality_cnn.ByteCNN(w["tables"], w["bias"], w["out"], float(w["out_bias"][0])).scores(texts)
+        return -np.mean(weight * np.where(labels == 1, np.log(p), np.log(1 - p)))
+
+    for k, at in [("out", (3,)), ("out_bias", (0,)), ("tables", (1, ord("b"), int(np.abs(whole["tables"][1, ord("b")]).argmax()))), ("tables", (0, 32, int(np.abs(whole["tables"][0, 32]).argmax())))]:
+        up, down = ({n: v.astype(np.float64) for n, v in w.items()} for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        assert np.isclose((loss(up) - loss(down)) / 2e-4, whole[k][at], atol=2e-3)
+
+
+def test_cnn_learns_from_the_end_of_a_long_text():
+    """The classes differ only in the last bytes of long texts."""
+    rng = np.random.default_rng(6)
+    filler = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    texts = [(filler(5000) + ("QXZQXZ" * 60 if i % 2 else filler(360))).encode() for i in range(80)]
+    labels = np.arange(80) % 2
+    model = quality_cnn.fit(texts, labels, 0.5, epochs=40, batch=16)
+    assert ((model.scores(texts) >= 0.5) == labels).mean() > 0.95
+
+
 def test_toxicity_margins_equal_the_plain_loop(monkeypatch):
     rng = np.random.default_rng(2)
     model = toxicity.SubwordToxicity(rng.normal(size=1 << toxicity.BUCKET_BITS).astype(np.float32), np.array([1.0, 1.0, 0.0]))
