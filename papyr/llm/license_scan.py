@@ -1,26 +1,30 @@
 """Licence scan on DataFrame functions alone: MinHash bands retrieve templates, exact shingles verify them.
 
-Texts are cut into overlapping windows of word shingles. A window's MinHash in a band is the smallest of its shingle
-hashes under that band's permutation; a template is retrieved where a window agrees with it in any band. Windows are
-short against their templates, so a band fails only if its smallest shingle is among the changed ones: at a
-containment of 0.8 the chance that all ``BANDS`` bands of one row fail is about 0.2 ** BANDS, below 0.0001.
+Texts are cut into overlapping windows of word shingles, whose length goes by the template's. A window's MinHash in a
+band is the smallest of its shingle hashes under that band's permutation; a template is retrieved where a window
+agrees with it in any band. The number of bands follows from the bound on misses, see ``bands_for``.
+
+A window can agree with a template only if it holds the template's smallest shingle of that band. So the windows
+around such shingles are the only ones that are worked out; the others' MinHashes can't be in the table of bands.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyr.llm.common import let
 
-SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 6
-#: Notices are short: below this many shingles a window is one shingle long (five words, overlapping by four).
-SHORT = 256
-#: Templates come as a small table: with more band keys than this the scan refuses them.
-MAX_KEYS = 20_000
+SHINGLE, CONTAINMENT = 5, 0.8
+#: Highest chance that no band retrieves a template that is there.
+MISS = 1e-6
+#: Band keys that one pass over the texts looks for; more templates are looked for in several passes.
+KEYS_AT_ONCE = 20_000
 
 #: Licence notices (fixed values).
 TEMPLATES = {
@@ -68,56 +72,84 @@ def _mask(band: int) -> Column:
     return F.lit(bits - (bits >> 63 << 64)).cast("long")
 
 
-def block_of(shingles: int) -> int:
-    """Half a window, in shingles: a power of two, at most a sixteenth of the template.
-
-    0 for windows of one shingle, which templates of under ``SHORT`` shingles take.
-    """
-    return 1 << ((shingles // 16).bit_length() - 1) if shingles >= SHORT else 0
-
-
-def _smallest(hashes: Column, mask: Column) -> Column:
-    """The hash that comes first in the permuted order."""
-    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(mask))).bitwiseXOR(mask)
+def window_of(shingles: int) -> int:
+    """Shingles of a template's windows: the power of two from an eighth to a quarter of the template, at least one."""
+    return 1 << max((shingles // 4).bit_length() - 1, 0)
 
 
-def _window_keys(hashes: Column, block: int) -> Column:
-    """Smallest shingle hashes, by band, of all windows of a text: two blocks each, overlapping by one block.
+def bands_for(shingles: int, containment: float = CONTAINMENT, miss: float = MISS) -> int:
+    """Bands of one row that retrieve a template of so many shingles but for a chance of ``miss``.
 
-    In a window of one shingle (block 0) that shingle is the smallest in every band.
+    A band fails where the template's smallest shingle was changed, which 1 - containment of them may be, or where one
+    of the w - 1 others of a window around it is foreign and smaller, below (w - 1) / (m + w - 1) for m shingles.
     """
-    if not block:
-        return hashes
-    starts = F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(block))
+    w = window_of(shingles)
+    fails = 1 - containment * (1 - (w - 1) / (shingles + w - 1))
+    return math.ceil(math.log(miss) / math.log(fails)) if 0 < fails < 1 else 1
 
-    def band(mask: Column) -> Column:
-        permuted = F.transform(hashes, lambda h: h.bitwiseXOR(mask))
-        return let(permuted, lambda p: F.transform(starts, lambda i: F.array_min(F.slice(p, i, 2 * block)).bitwiseXOR(mask)))
 
-    return F.flatten(F.array(*(band(_mask(b)) for b in range(BANDS))))
+def _smallest(hashes: Column, mask: Column) -> Column:
+    """The MinHash: the hash that comes first in the permuted order."""
+    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(mask))).bitwiseXOR(mask)
 
 
 @dataclass(frozen=True)
 class Templates:
-    """The template table, and per block size the band keys with the templates that they stand for."""
+    """The template table, and per band key its entries (window, band, templates that it stands for)."""
 
     table: DataFrame
-    keys: dict[int, dict[int, list[str]]]
+    keys: dict[int, list[tuple[int, int, list[str]]]]
 
 
-def prepare_templates(spark: SparkSession, templates: dict[str, str]) -> Templates:
-    """Shingles, hashes and band keys of the templates; one of under ``SHINGLE`` words can match nothing."""
+def prepare_templates(spark: SparkSession, templates: dict[str, str], containment: float = CONTAINMENT) -> list[Templates]:
+    """Shingles, hashes and band keys of the templates, in parts; one of under ``SHINGLE`` words can match nothing."""
     rows = spark.createDataFrame(sorted(templates.items()), "license_id string, notice string")
     rows = rows.withColumn("words", license_words(F.col("notice")))
     rows = rows.select("license_id", F.array_distinct(shingle_texts(F.col("words"))).alias("shingles"), F.array_distinct(shingle_hashes(F.col("words"))).alias("hashes"))
-    bands = F.array(*(_smallest(F.col("hashes"), _mask(b)) for b in range(BANDS)))
-    keys: dict[int, dict[int, list[str]]] = {}
-    for r in rows.where(F.size("hashes") > 0).select("license_id", F.size("hashes").alias("m"), F.array_distinct(bands).alias("bands")).collect():
-        for key in r["bands"]:
-            keys.setdefault(block_of(r["m"]), {}).setdefault(key, []).append(r["license_id"])
-    if sum(map(len, keys.values())) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} band keys: scan with the templates in several parts")
-    return Templates(rows, keys)
+    sizes = sorted(r[0] for r in rows.where(F.size("hashes") > 0).select(F.size("hashes")).distinct().collect())
+    most = max((bands_for(m, containment) for m in sizes), default=1)
+    bands = F.array(*(_smallest(F.col("hashes"), _mask(b)) for b in range(most)))
+    found = rows.where(F.size("hashes") > 0).select("license_id", F.size("hashes").alias("m"), bands.alias("bands")).orderBy("license_id").collect()
+    parts, names, keys, size = [], [], {}, 0
+    for r in found:
+        own = r["bands"][: bands_for(r["m"], containment)]
+        if size and size + len(own) > KEYS_AT_ONCE:
+            parts, names, keys, size = [*parts, (names, keys)], [], {}, 0
+        names.append(r["license_id"])
+        size += len(own)
+        for band, key in enumerate(own):
+            keys.setdefault(key, {}).setdefault((window_of(r["m"]), band), []).append(r["license_id"])
+    parts = [*parts, (names, keys)] if names else parts
+    return [Templates(rows.where(F.col("license_id").isin(names)), {k: [(w, b, ids) for (w, b), ids in v.items()] for k, v in keys.items()}) for names, keys in parts]
+
+
+def _retrieved(hashes: Column, keys: dict[int, list[tuple[int, int, list[str]]]]) -> Column:
+    """Templates whose MinHash in some band is that of a window of a text, given by its shingle hashes in order.
+
+    Windows begin at every half of their length. In a window of one shingle that shingle is the smallest in all bands,
+    so that the band doesn't matter there.
+    """
+    entries = {k: {(w, b if w > 1 else 0): None for w, b, _ in v} for k, v in keys.items()}
+    ids = {k: {e: sorted({i for w, b, own in v for i in own if (w, b if w > 1 else 0) == e}) for e in entries[k]} for k, v in keys.items()}
+    table = F.create_map(*(x for k, v in ids.items() for x in (F.lit(k), F.array(*(F.struct(F.lit(w).alias("w"), _mask(b).alias("mask"), F.array(*map(F.lit, own)).alias("ids")) for (w, b), own in v.items())))))
+    is_key = lambda h: h.isin(list(keys))
+
+    def windows_agree(entry: Column, at: Column) -> Column:
+        half = (entry["w"] / 2).cast("int")
+        first = F.floor(at / half).cast("int") * half
+
+        def agrees(begin: Column) -> Column:
+            return (begin >= 0) & (_smallest(F.slice(hashes, F.greatest(begin, F.lit(0)) + 1, entry["w"]), entry["mask"]) == F.get(hashes, at))
+
+        return (entry["w"] == 1) | agrees(first) | agrees(first - half)
+
+    def of_position(at: Column) -> Column:
+        agreeing = F.filter(F.element_at(table, F.get(hashes, at)), lambda entry: windows_agree(entry, at))
+        return F.flatten(F.transform(agreeing, lambda entry: entry["ids"]))
+
+    spots = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: is_key(F.get(hashes, i)))
+    found = F.array_distinct(F.flatten(F.transform(spots, of_position)))
+    return F.when(F.exists(hashes, is_key), found).otherwise(F.array().cast("array<string>"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
@@ -126,22 +158,21 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     Words are lower-cased runs of letters and digits. A template is found where the text has at least ``containment``
     of its distinct five-word shingles; ``first_word`` is the word index of the first of them. Whole texts are
     scanned; null, empty and shorter ones match nothing. Repeated rows are scanned each; a null id is kept as it is.
-    Other columns are ignored. No shuffle: the templates, a bounded table, go to the texts.
+    Other columns are ignored; an empty table, or no template, gives an empty result. No shuffle: the templates go to
+    the texts, at most ``KEYS_AT_ONCE`` band keys in one pass.
     """
-    prepared = prepare_templates(docs.sparkSession, templates)
+    prepared = prepare_templates(docs.sparkSession, templates, containment)
     rows = docs.select(docs[id_col].alias("doc_id"), license_words(docs[text_col]).alias("words"))
+    if not prepared:
+        prepared = [Templates(docs.sparkSession.createDataFrame([], "license_id string, shingles array<string>, hashes array<long>"), {})]
+    return reduce(DataFrame.unionByName, [_scan(rows, part, containment) for part in prepared])
 
-    def retrieved(hashes: Column) -> Column:
-        def by_windows(block: int, keys: dict[int, list[str]]) -> Column:
-            ids = F.create_map(*(x for k, v in keys.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-            found = F.array_distinct(F.filter(_window_keys(hashes, block), lambda k: k.isin(list(keys))))
-            return F.flatten(F.transform(found, lambda k: F.element_at(ids, k)))
-
-        hits = [by_windows(block, keys) for block, keys in sorted(prepared.keys.items())]
-        return F.array_distinct(F.concat(F.array().cast("array<string>"), *hits))
 
-    candidates = rows.withColumn("license_id", F.explode(let(shingle_hashes(F.col("words")), retrieved)))
-    pairs = candidates.join(F.broadcast(prepared.table), "license_id").withColumn("own", shingle_texts(F.col("words")))
+def _scan(rows: DataFrame, templates: Templates, containment: float) -> DataFrame:
+    """(doc_id, words) against one part of the templates."""
+    ids = let(shingle_hashes(F.col("words")), lambda h: _retrieved(h, templates.keys)) if templates.keys else F.array().cast("array<string>")
+    candidates = rows.withColumn("license_id", F.explode(ids))
+    pairs = candidates.join(F.broadcast(templates.table), "license_id").withColumn("own", shingle_texts(F.col("words")))
     shared = F.size(F.array_intersect("shingles", "own"))
     at = F.transform("shingles", lambda s: F.array_position("own", s))
     found = pairs.select(

@@ -26,28 +26,55 @@ def shingles(text):
     return [" ".join(w[i : i + 5]) for i in range(len(w) - 4)]
 
 
-@pytest.mark.parametrize("short", [256, 16])
-def test_license_scan_against_brute_force(spark, monkeypatch, short):
-    """Also with windows of several shingles, which long templates take."""
-    monkeypatch.setattr(license_scan, "SHORT", short)
+def long_notice(n):
+    return " ".join(f"clause{i * 7919 % 1000} of{i}" for i in range(n // 2))
+
+
+@pytest.mark.parametrize("keys_at_once", [license_scan.KEYS_AT_ONCE, 30])
+def test_license_scan_against_brute_force(spark, monkeypatch, keys_at_once):
+    """Templates with windows of 1 to 64 shingles, whole, changed, scattered and cut; also in several passes."""
+    monkeypatch.setattr(license_scan, "KEYS_AT_ONCE", keys_at_once)
+    templates = TEMPLATES | {f"long-{n}": long_notice(n) for n in (14, 40, 120, 400)}
     mit = TEMPLATES["MIT-text"].split()
+    texts = [f"words before {t} and\nwords after " for t in templates.values()]
+    for t in templates.values():
+        w = t.split()
+        texts.append(" ".join("changed" if i == len(w) // 2 else x for i, x in enumerate(w)))
+        cuts = [w[i : i + 30] for i in range(0, len(w), 30)]
+        texts.append(" foreign words stand here between the parts ".join(map(" ".join, cuts)))
+        texts.append(" ".join(w[: int(len(w) * 0.82)]))
+        texts.append(" ".join(w[: int(len(w) * 0.7)]))
     changed = " ".join(mit[:20] + ["changed"] + mit[21:])
-    cut = " ".join(mit[:20])
-    rows = [(10 + i, f"words before {t} and\nwords after " * k, "en", "a", 0, True, 0.5, "x") for i, (t, k) in enumerate([(v, 1) for v in TEMPLATES.values()] + [(changed, 1), (cut, 1), (TEMPLATES["MIT"].upper(), 300)])]
-    rows += hard_rows()
-    got = sorted((r.doc_id, r.license_id, r.n_found, r.n_shingles, r.first_word) for r in scan_licenses(hard_docs(spark, rows)).collect())
+    texts += [changed, " ".join(mit[:20]), TEMPLATES["MIT"].upper() * 300]
+    rows = hard_rows() + [(100 + i, t, "en", "a", 0, True, 0.5, "x") for i, t in enumerate(texts)]
+    got = sorted((r.doc_id, r.license_id, r.n_found, r.n_shingles, r.first_word) for r in scan_licenses(hard_docs(spark, rows), templates).collect())
     want = []
     for r in rows:
         own = shingles(r[1])
-        for name, notice in TEMPLATES.items():
+        for name, notice in templates.items():
             t = list(dict.fromkeys(shingles(notice)))
             hit = [s for s in t if s in own]
             if len(hit) / len(t) >= 0.8:
                 want.append((r[0], name, len(hit), len(t), min(own.index(s) for s in hit)))
     assert got == sorted(want)
-    assert any(x[0] == 10 + len(TEMPLATES) for x in got)  # one word changed of sixty still matches
-    assert scan_licenses(empty_docs(spark)).count() == 0
-    assert scan_licenses(hard_docs(spark), {}).count() == 0
+    assert any(x[0] == 100 + texts.index(changed) for x in got)  # one word changed of sixty still matches
+    assert scan_licenses(empty_docs(spark), templates).count() == 0
+    assert scan_licenses(hard_docs(spark), {}).count() == 0 and scan_licenses(hard_docs(spark), {"short": "three words only"}).count() == 0
+
+
+def test_license_bands_follow_from_the_miss_bound():
+    """Simulated misses: a fifth of a template's shingles changed, each window full of foreign ones."""
+    rng = np.random.default_rng(8)
+    assert [license_scan.window_of(m) for m in (1, 4, 7, 8, 16, 60, 400)] == [1, 1, 1, 2, 4, 8, 64]
+    for m in (5, 40, 400):
+        w, bands = license_scan.window_of(m), license_scan.bands_for(m, miss=0.01)
+        missed = 0
+        for _ in range(4000):
+            own, foreign, lost = rng.random((bands, m)), rng.random((bands, w - 1)), rng.permutation(m) < m // 5
+            first = own.argmin(1)
+            missed += not (~lost[first] & ((foreign > own.min(1)[:, None]).all(1))).any()
+        assert missed / 4000 < 0.015
+        assert license_scan.bands_for(m) > bands
 
 
 def brute_counts(text):
