@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from papyr.llm import license_scan
+from papyr.llm import license_scan, mixing
 from papyr.llm.license_scan import TEMPLATES, scan_licenses
 from papyr.llm.mixing import entropy, mix_sources, passes, solve_exponent, tempered
 from papyr.llm.quality_rules import CUTOFFS, RISK, RULES, binomial_tail, quality_rules, risk_controlled_cutoffs
@@ -167,6 +167,39 @@ def test_exponent_meets_its_targets():
     assert np.isclose(passes(tokens, tempered(tokens, 1.0), 2 * tokens.sum()).max(), 2.0)
 
 
+def test_exponents_above_one_and_targets_out_of_reach():
+    tokens = np.array([1e6, 9e5, 5e4, 1e3])
+    a = solve_exponent(tokens, target_entropy=0.3)
+    assert a > 1 and np.isclose(entropy(tempered(tokens, a)), 0.3)
+    b = solve_exponent(tokens, max_epochs=1.5, budget=tokens.sum())
+    assert np.isclose(passes(tokens, tempered(tokens, b), tokens.sum()).max(), 1.5)
+    for targets in ({"max_epochs": 2.0, "budget": 10 * tokens.sum()}, {"target_entropy": 0.3, "max_epochs": 1.0}):
+        with pytest.raises(ValueError):
+            solve_exponent(tokens, **targets)
+    with pytest.raises(ValueError):
+        solve_exponent(np.array([5.0, 5.0]), target_entropy=0.1)  # equal sources stay equal
+
+
+@pytest.mark.parametrize("targets", [{}, {"max_epochs": None, "target_entropy": 0.9}, {"budget_tokens": 3000, "max_epochs": None}])
+def test_mixing_many_sources_like_few(spark, monkeypatch, targets):
+    rows = [(i if i % 9 else None, "w " * (1 + i % 11), ["hot", f"s{i % 13}", None][(i % 2) + (i % 26 == 1)]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = mix_sources(docs, **targets).toPandas()
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 3)
+    many = mix_sources(docs, **targets).toPandas()
+    key = ["source", "doc_id", "n_tokens", "epoch", "block", "block_order"]
+    assert few[key].sort_values(key).astype(str).values.tolist() == many[key].sort_values(key).astype(str).values.tolist()
+    assert np.allclose(sorted(few.weight), sorted(many.weight))
+
+
+def test_mixing_keeps_columns_that_are_named_like_its_own(spark):
+    names = ["_id", "_quota", "_bucket", "_source", "_tie", "_at", "row", "own", "n", "tokens"]
+    rows = [(i, "some words", "ab"[i % 2], *(f"{c}{i}" for c in names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    got = mix_sources(docs)
+    assert got.columns == [*docs.columns, *mixing.ADDED] and sorted(map(tuple, got.select(docs.columns).distinct().collect())) == sorted(rows)
+
+
 def test_mixing_uses_every_document_and_meets_weights(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = mix_sources(docs, block_tokens=20_000).toPandas()
