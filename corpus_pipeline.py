@@ -14,29 +14,56 @@ from papyr.llm.sentencepiece_codec import encode_documents
 from papyr.llm.simhash import drop_near_duplicates
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns numbered, so that none meets a column that an operator adds; and the new names by old."""
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The numbered columns alone, under their old names."""
+    return rows.select(*names.values()).toDF(*names)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents in which a learned language is found; texts without letters (``und``) go."""
-    found = identify_languages(docs)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    """Keep the documents in which a learned language is found; texts without letters (``und``) go.
+
+    Null and letterless texts go, all texts where no language is learned (no ``lang``, an empty table). Every column of
+    a document that stays is as it was, also one named like those that the operator adds.
+    """
+    numbered, names = _numbered(docs)
+    found = identify_languages(numbered, names["doc_id"], names["text"], names["lang"])
+    return _named(found.where(F.col("lang_pred") != "und"), names)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row with the smallest id of each group of equal texts."""
+    """Keep the row with the smallest id of each group of equal texts, all columns as they were.
+
+    Null texts count as empty, null ids sort last; of rows that repeat id and text one stays. Empty stays empty.
+    """
     return drop_copies(docs).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each SimHash component."""
+    """Keep the document with the smallest id of each SimHash component, all columns as they were.
+
+    Null and wordless texts have fingerprint zero and are linked like any other; null ids sort last. Empty stays empty.
+    """
     return drop_near_duplicates(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents of rare sources (at most twice) so that the sources meet their weights; none is dropped."""
-    return mix_sources(docs).select(*docs.columns)
+    """Repeat documents of rare sources (at most twice) so that the sources meet their weights; none is dropped.
+
+    A null source is one of its own; texts without words come once at least. All columns are as they were, also those
+    named like the operator's own. Empty stays empty.
+    """
+    numbered, names = _numbered(docs)
+    return _named(mix_sources(numbered, names["doc_id"], names["text"], names["source"]), names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, checked against the peer library and by decoding."""
+    """Token ids of every row, checked against the peer library and by decoding; a null text gives nulls, other columns go."""
     return encode_documents(docs, model_bytes()).select("doc_id", "ids", "parity", "round_trip")
 
 
