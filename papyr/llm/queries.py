@@ -13,7 +13,7 @@ from papyr.llm.language_id import identify_languages
 from papyr.llm.mixing import mix_sources
 from papyr.llm.quality_cnn import classify_quality
 from papyr.llm.quality_rules import quality_rules
-from papyr.llm.sentencepiece_codec import encode_documents
+from papyr.llm.sentencepiece_codec import decode_documents, encode_documents
 from papyr.llm.simhash import near_duplicates
 from papyr.llm.toxicity import classify_toxicity
 from papyr.llm.url_filter import Rule, judge_urls
@@ -28,7 +28,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "block_order")
 
 
@@ -60,7 +60,13 @@ def model_bytes(path: str | None = None) -> bytes:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), model_bytes())
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "parity", "round_trip")
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "parity", "round_trip")
+
+
+def sentencepiece_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the token ids of all documents decode to."""
+    data = model_bytes()
+    return decode_documents(encode_documents(table(spark, sf_dir, "documents"), data), data)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +82,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identify_languages(table(spark, sf_dir, "documents"))
+    found = identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "share")
 
 
@@ -84,5 +90,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op3_license_scan, op4_url_filter, op5_sentencepiece, op6_quality_rules, op7_toxicity, op8_exact_dedup, op9_language_id, op10_quality_classifier)}
-ORACLES = {"op3_license_scan": license_scan.oracle(), "op8_exact_dedup": dedup.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_source_mixing, op3_license_scan, op4_url_filter, op5_sentencepiece, op6_quality_rules, op7_toxicity, op8_exact_dedup,
+        op9_language_id, op10_quality_classifier, sentencepiece_decoding,
+    )
+}
+ORACLES = {
+    "op3_license_scan": license_scan.oracle(), "op8_exact_dedup": dedup.ORACLE,
+    # The marker character itself can't be told from a space.
+    "sentencepiece_decoding": "SELECT doc_id, replace(text, chr(9601), ' ') AS text FROM documents",
+}

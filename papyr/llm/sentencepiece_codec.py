@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers, pre_tokenizers
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -116,7 +116,7 @@ class SentencePieceModel:
             raise ValueError(f"model type {self.kind}: only unigram and BPE models are known")
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze_spaces:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]  # spaces alone
         if self.dummy_prefix:
             steps.append(normalizers.Prepend(MARK if self.escape_spaces else " "))
         if self.escape_spaces:
@@ -127,7 +127,6 @@ class SentencePieceModel:
         own = [AddedToken(p, normalized=False) for p, _, kind in self.pieces if kind == USER_DEFINED]
         if own:
             built.add_tokens(own)
-        built.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
         return built
 
     def piece_bytes(self) -> list[bytes]:

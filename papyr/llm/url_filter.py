@@ -10,11 +10,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyr.llm.common import checkpointed, hash_share, let
+from papyr.llm.common import checkpointed, hash_share, join_by_hot_key, let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The fit takes at most about this many labelled URLs, chosen by hash.
 SAMPLE_URLS = 20_000
+#: A labelled URL's suffix statistics leave out the URLs of its own fold, of so many.
+FOLDS = 8
 #: Weight of the overall share of blocked URLs in a suffix's smoothed share.
 PRIOR = 20.0
 FEATURES = (
@@ -97,22 +99,28 @@ def lexical_features(urls: DataFrame) -> DataFrame:
             "query_length": F.length(query),
             "has_fragment": F.contains(url, F.lit("#")).cast("int"),
             "longest_label": F.array_max(F.transform(F.split("host", r"\."), F.length)),
-            "suffix": F.regexp_extract("host", r"([^.]+)(:\d+)?$", 1),
+            "suffix": F.regexp_extract("host", r"([^.]+?)(:\d+)?$", 1),
             "segment": F.regexp_extract("path", r"^/([^/]*)/", 1),
         }
     )
 
 
-def _shares(urls: DataFrame, key: str) -> DataFrame:
-    """Per suffix or segment: log of its count, and its share of blocked URLs, smoothed to the overall share.
+def with_shares(urls: DataFrame, key: str, total: int) -> DataFrame:
+    """Adds, by suffix or segment: log of its count, and its share of blocked URLs, smoothed to the overall share.
 
-    URLs without a label count too: what is hardly ever known to be bad has a low share.
+    URLs without a label count too: what is hardly ever known to be bad has a low share. A labelled URL's own label
+    must not tell on it: its statistics are those of the other folds alone (equal URLs are in one fold). ``total`` is
+    the number of rows; hot keys are not shuffled.
     """
-    sums = urls.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("label", F.lit(0.0))).alias("bad"))
-    overall = urls.agg(F.coalesce(F.avg(F.coalesce("label", F.lit(0.0))), F.lit(0.0))).first()[0]
-    return sums.select(
-        key, F.log1p("n").alias(f"{key}_log"), ((F.col("bad") + PRIOR * overall) / (F.col("n") + PRIOR)).alias(f"{key}_share")
-    )
+    bad = F.coalesce("label", F.lit(0.0))
+    folds = urls.groupBy(key, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(bad).alias("bad"))
+    sums = checkpointed(folds.groupBy(key).agg(F.sum("n").alias("n"), F.sum("bad").alias("all_bad"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "bad")))).alias("folds")))
+    overall = F.lit(sums.agg(F.sum("all_bad") / F.sum("n")).first()[0] or 0.0)
+    rows = join_by_hot_key(urls, sums.withColumn("all_n", F.col("n")), key, total)
+    own = F.when(F.col("label").isNotNull(), F.element_at("folds", F.col("fold")))
+    n = F.col("all_n") - F.coalesce(own["n"], F.lit(0))
+    share = (F.col("all_bad") - F.coalesce(own["bad"], F.lit(0.0)) + PRIOR * overall) / (n + PRIOR)
+    return rows.withColumns({f"{key}_log": F.log1p(n), f"{key}_share": share}).drop("all_n", "all_bad", "folds")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", sample_urls: int = SAMPLE_URLS) -> DataFrame:
@@ -120,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
 
     A URL that a rule fits gets the longest rule's verdict. The trees learn from such labelled URLs (at most about
     ``sample_urls``, chosen by hash) and judge the others: block at a score of 0.5 or more. The suffix statistics
-    cover all URLs. Null and ``://``-less URLs have empty host and path and are judged by the trees. Where the labels
+    cover all URLs, but a labelled URL's own fold. Null and ``://``-less URLs have empty host and path and are judged by the trees. Where the labels
     are missing or of one kind only, no trees are grown: score null, and that verdict (allow if none) for all.
     Repeated rows get equal results; other columns are ignored; an empty table gives an empty result.
     """
@@ -130,13 +138,15 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     said = F.lit(None).cast("string")
     for rule in rules:
         said = F.when(F.col("rule") == rule.text, F.lit(rule.verdict)).otherwise(said)
-    urls = checkpointed(lexical_features(urls.withColumn("said", said)).withColumn("label", (F.col("said") == "block").cast("double")))
+    urls = lexical_features(urls.withColumn("said", said)).withColumn("label", (F.col("said") == "block").cast("double"))
+    urls = checkpointed(urls.withColumn("fold", F.pmod(F.xxhash64(F.lit(6), "url"), F.lit(FOLDS))))
     counts = {r["said"]: r["count"] for r in urls.groupBy("said").count().collect()}
+    total = sum(counts.values())
     counts.pop(None, None)
     if len(counts) < 2:
         verdict = F.coalesce("said", F.lit(next(iter(counts), "allow")))
         return urls.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    full = urls.join(_shares(urls, "suffix"), "suffix").join(_shares(urls, "segment"), "segment")
+    full = checkpointed(with_shares(with_shares(urls, "suffix", total), "segment", total))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
     share = min(1.0, sample_urls / sum(counts.values()))
     labelled = checkpointed(vectors.where(F.col("label").isNotNull() & hash_share(F.col("url"), share, 4)).select("features", "label"))

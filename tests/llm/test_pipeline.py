@@ -1,11 +1,13 @@
 import re
+from collections import Counter
 
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from papyr.llm.queries import model_bytes
 
-from .common_cases import hard_docs
+from .common_cases import empty_docs, hard_docs
 from .test_dedup import brute_components, brute_fingerprint, norm
 
 
@@ -35,8 +37,28 @@ def test_run_gives_the_stages_rows(spark):
     assert got.columns == ["doc_id", "ids", "parity", "round_trip"] and got.count() > 0
 
 
-def test_stages_take_hard_rows(spark):
-    docs = hard_docs(spark)
+CLASHES = ["score", "share", "held_out", "lang_pred", "epoch", "weight", "block", "block_order", "n_tokens", "_id", "_quota", "_bucket", "_language", "row", "digest", "kept", "column_0"]
+
+
+def test_stages_take_hard_rows_and_keep_their_columns(spark):
+    """After each stage every value of every column of each row is one that the row had before."""
+    docs = hard_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    key = F.xxhash64("doc_id", "text", "lang", "source")
+    docs = docs.select("*", *(F.concat(F.lit(c), key.cast("string")).alias(c) for c in CLASHES)).cache()
+    before = Counter(map(repr, docs.collect()))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        columns, docs = docs.columns, stage(spark, docs, "").cache()
+        after = Counter(map(repr, docs.collect()))
+        assert after
+        if k == 4:
+            assert sum(after.values()) == sum(before.values())
+            break
+        assert docs.columns == columns and set(after) <= set(before)
+        assert all(n <= (2 * before[r] if k == 3 else before[r]) for r, n in after.items())
+        assert k != 3 or set(after) == set(before)
+        before = after
+
+
+def test_stages_take_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, "").cache()
-        assert docs.count() > 0
+        assert stage(spark, empty_docs(spark), "").count() == 0

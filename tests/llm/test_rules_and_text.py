@@ -12,7 +12,7 @@ from papyr.llm.mixing import entropy, mix_sources, passes, solve_exponent, tempe
 from papyr.llm.quality_rules import CUTOFFS, RISK, RULES, binomial_tail, quality_rules, risk_controlled_cutoffs
 from papyr.llm.queries import URL_RULES, model_bytes
 from papyr.llm.sentencepiece_codec import Codec, decode_documents, encode_documents
-from papyr.llm.url_filter import judge_urls
+from papyr.llm.url_filter import judge_urls, lexical_features, with_shares
 
 from .common_cases import empty_docs, hard_docs, hard_rows
 
@@ -283,3 +283,130 @@ def test_codec_whole_texts_and_small_memory(monkeypatch):
         ids, same = codec.encode(texts)
     assert all(same) and [i.tolist() for i in ids] == peer.encode(texts) and len(codec.fresh) < 50
     assert [codec.decode(i) for i in ids] == texts
+
+
+def unigram_model(dummy_prefix, squeeze):
+    """A small unigram model with byte fallback, written by hand."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    kind = pb.ModelProto.SentencePiece
+
+    def add(piece, score, of):
+        model.pieces.add(piece=piece, score=score, type=of)
+
+    add("<unk>", 0.0, kind.UNKNOWN)
+    add("<s>", 0.0, kind.CONTROL)
+    add("</s>", 0.0, kind.CONTROL)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0.0, kind.BYTE)
+    pieces = ["▁the", "▁th", "the", "he", "▁c", "at", "cat", "▁cat", "▁d", "og", "dog", "▁und", "nd", "un", "▁mat", "lorem", "▁lor", "em", "▁ip", "sum", "ipsum", "▁", *"abcdefghijklmnopqrstuvwxyz"]
+    for i, piece in enumerate(pieces):
+        add(piece, -2.0 - 0.37 * i - 0.011 * i * i, kind.NORMAL)
+    model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    model.trainer_spec.byte_fallback = True
+    model.trainer_spec.vocab_size = len(model.pieces)
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.add_dummy_prefix = dummy_prefix
+    model.normalizer_spec.remove_extra_whitespaces = squeeze
+    return model.SerializeToString()
+
+
+@pytest.mark.parametrize("dummy_prefix,squeeze", [(True, False), (False, False), (True, True)])
+def test_unigram_models_are_encoded_like_the_peer(dummy_prefix, squeeze):
+    data = unigram_model(dummy_prefix, squeeze)
+    codec, peer = Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = [r[1] or "" for r in hard_rows()] + ["the cat und the dog", "Zebra über 日本 🤷", "  two  spaces ", "x" * 50, "lorem ipsum " * 200]
+    ids, same = codec.encode(texts)
+    assert all(same) and [i.tolist() for i in ids] == peer.encode(texts)
+    assert any(len(i) > 3 for i in ids)
+    if not squeeze:
+        assert [codec.decode(i) for i in ids] == texts
+
+
+def plain_features(url):
+    """The lexical features of a URL, host and path as the rules see them."""
+    host, path = url_parts(url)
+    text = url or ""
+    query = re.search(r"\?([^#]*)", text)
+    query = query[1] if query else ""
+
+    def bits(t):
+        return -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)) if t else 0.0
+
+    def digits(t):
+        return sum(c in "0123456789" for c in t)
+
+    return {
+        "length": len(text), "host_length": len(host), "path_length": len(path), "depth": len([x for x in path.split("/") if x]), "labels": len(host.split(".")),
+        "digit_ratio": digits(text) / max(len(text), 1), "host_digit_ratio": digits(host) / max(len(host), 1), "host_hyphens": host.count("-"), "entropy": bits(text),
+        "host_entropy": bits(host), "params": len([x for x in query.split("&") if x]), "query_length": len(query), "has_fragment": int("#" in text),
+        "longest_label": max(map(len, host.split("."))), "suffix": re.search(r"([^.]*?)(:\d+)?$", host)[1] if host else "", "segment": (re.match(r"/([^/]*)/", path) or ["", ""])[1],
+    }
+
+
+def test_url_features_and_shares_against_brute_force(spark):
+    """Features of odd, very long and repeated URLs; a labelled URL's shares leave out its own fold."""
+    urls = ["http://a-b.example.com:8080/x1/y2/z?a=1&b=2&&c#frag", "https://net/", "no url at all", "", None, "http://x.org?q#", "ftp://1.2.3.4/a//b/", "http://long.example.de/" + "seg/" * 20000 + "?" + "k=v&" * 5000] * 3
+    urls += [f"http://h{i % 7}.{'com' if i % 3 else 'net'}/{'en' if i % 2 else 'de'}/{i}" for i in range(120)]
+    rows = [(i, u, *url_parts(u), [None, 1.0, 0.0][i % 3]) for i, u in enumerate(urls)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, host string, path string, label double")
+    got = {r.page_id: r for r in lexical_features(frame).collect()}
+    for i, u in enumerate(urls):
+        want = plain_features(u)
+        assert all(math.isclose(getattr(got[i], k), v, abs_tol=1e-9) if isinstance(v, float) else getattr(got[i], k) == v for k, v in want.items()), (u, want)
+    featured = lexical_features(frame).withColumn("fold", F.pmod(F.xxhash64(F.lit(6), "url"), F.lit(8)))
+    shared = {r.page_id: r for r in with_shares(featured, "suffix", len(urls)).collect()}
+    assert len(shared) == len(urls)
+    overall = sum(r[4] or 0 for r in rows) / len(rows)
+    for i, r in shared.items():
+        others = [shared[j] for j in shared if shared[j].suffix == r.suffix and (r.label is None or shared[j].fold != r.fold)]
+        assert r.label is None or i not in {o.page_id for o in others}
+        assert math.isclose(r.suffix_share, (sum(o.label or 0 for o in others) + 20 * overall) / (len(others) + 20), abs_tol=1e-9)
+        assert math.isclose(r.suffix_log, math.log1p(len(others)), abs_tol=1e-9)
+    judged = judge_urls(frame, URL_RULES).collect()
+    by_url = {}
+    for r in judged:
+        by_url.setdefault(urls[r.page_id], set()).add((r.verdict, r.block_score))
+    assert len(judged) == len(urls) and all(len(v) == 1 for v in by_url.values())  # repeated URLs are judged alike
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    """With labels enough to prove cutoffs, ``kept`` follows from counts, cutoffs and the binomial bound alone."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(6000):
+        own = list(rng.choice(words, 30, replace=False)) + ["#"] * int(rng.choice([0, 0, 0, 0, 1, 2, 9], p=[0.5, 0.2, 0.1, 0.1, 0.05, 0.03, 0.02]))
+        own += [f"##{j}|" for j in range(40 if i >= 5800 and i % 5 == 0 else 0)]
+        rows.append((i, " ".join(own) if i % 50 else "too short", "en" if i % 4 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(5800)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules(docs, labels).collect()}
+
+    def share(a, b):
+        return a / b if b else 0.0
+
+    stats, failed = {}, {}
+    for i, text, _ in rows:
+        n, chars, symbols, dup, repeated = brute_counts(text)
+        bare = sum(not re.search(r"[^\W_]", w) for w in text.split())
+        stats[i] = dict(zip(RULES, (share(symbols, chars), share(bare, n), share(dup, 1), share(repeated, n)), strict=True))
+        failed[i] = n < 20 or 100 * repeated > 30 * n
+    strata = {lang or "" for _, _, lang in rows}
+    proven = {}
+    for stratum in strata:
+        good = [stats[i] for i, _, lang in rows if (lang or "") == stratum and not failed[i] and i < 5800 and i % 10]
+        for rule in RULES:
+            for cutoff in CUTOFFS:
+                k = sum(x[rule] > cutoff for x in good)
+                p = RISK / len(RULES)
+                tail = sum(math.exp(math.lgamma(len(good) + 1) - math.lgamma(j + 1) - math.lgamma(len(good) - j + 1) + j * math.log(p) + (len(good) - j) * math.log(1 - p)) for j in range(k + 1))
+                if k < len(good) * p and tail <= 0.05 / (len(strata) * len(RULES) * len(CUTOFFS)):
+                    proven[stratum, rule] = cutoff
+                    break
+    assert proven and any(r.failed_rule not in (None, "base") for r in got.values())
+    for i, _, lang in rows:
+        over = [r for r in RULES if stats[i][r] > proven.get((lang or "", r), math.inf)]
+        assert got[i].kept == (not failed[i] and not over), i
+        assert got[i].failed_rule == ("base" if failed[i] else over[0] if over else None)
