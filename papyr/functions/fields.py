@@ -30,9 +30,11 @@ TYPE_BY_NAME = (
     (r"address", "ADDRESS"),
     (r"name$|holder|sender|recipient|parties|auditor", "NAME"),
 )
+#: Marks of currencies, the two patterns of a tax number, and the lower bounds of the confidence bands (fixed values).
 CURRENCY_MARKS = r"(?i)(INR|RS\.?|RUPEES?|₹|USD|EUR|GBP|AED|[$€£])"
 LOOKS_LIKE_GSTIN = r"[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z]"
 GSTIN = r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]$"
+HIGH, MEDIUM = 0.85, 0.65
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -88,7 +90,7 @@ def is_gstin(raw: Column) -> Column:
 
 
 def confidence_band(confidence: Column) -> Column:
-    return F.when(confidence >= 0.85, "HIGH").when(confidence >= 0.65, "MEDIUM").otherwise("LOW")
+    return F.when(confidence >= HIGH, "HIGH").when(confidence >= MEDIUM, "MEDIUM").otherwise("LOW")
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

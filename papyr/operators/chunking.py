@@ -88,6 +88,11 @@ def chunk_pages(pages: DataFrame, text_col: str = "raw_text", hard_limit: bool =
 
 
 def chunk_documents(pages: DataFrame, hard_limit: bool = True) -> DataFrame:
-    """Chunks of all pages of a version, numbered from 0 in page order."""
+    """Chunks of all pages of a version, numbered from 0 in page order.
+
+    Where pages have them, a chunk's ``language`` is that of the page, else of the document (``document_language``).
+    """
     order = Window.partitionBy("version_id").orderBy("page_number", "pos")
+    if "document_language" in pages.columns:
+        pages = pages.withColumn("language", F.coalesce("language", "document_language")).drop("document_language")
     return chunk_pages(pages, hard_limit=hard_limit).withColumn("chunk_index", F.row_number().over(order) - 1).drop("pos")

@@ -216,24 +216,9 @@ def field_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fields(spark, sf_dir).select("document_id", "field_name", triage.alias("triage"))
 
 
-@query(f"SELECT o_orderkey AS document_id, CASE WHEN {token_sql('o_orderpriority')} IN ('1_URGENT', '2_HIGH', '3_MEDIUM') THEN {token_sql('o_orderpriority')} ELSE 'UNKNOWN' END AS category, least(1.0, greatest(0.0, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice / 200000 END, 0))) AS confidence FROM orders")
-def conform_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    token = P.enum_token(F.col("o_orderpriority"))
-    known = F.when(token.isin("1_URGENT", "2_HIGH", "3_MEDIUM"), token).otherwise("UNKNOWN")
-    conf = F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.col("o_totalprice") / 200000)
-    return E.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), known.alias("category"), P.clamp(F.coalesce(conf, F.lit(0.0))).alias("confidence"))
-
-
 @query(oracle("SELECT document_id, CASE WHEN document_id % 5 = 0 THEN category WHEN (document_id % 100) / 100 >= 0.5 THEN coalesce(category, 'UNKNOWN') ELSE 'UNKNOWN' END AS gated FROM documents_meta", "documents_meta"))
 def category_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth document carries a user's own category, which stays; else a category needs a confidence of 0.5."""
     key = F.col("document_id")
     gated = F.when(key % 5 == 0, F.col("category")).when((key % 100) / 100 >= 0.5, F.coalesce("category", F.lit("UNKNOWN"))).otherwise("UNKNOWN")
     return E.documents_meta(spark, sf_dir).select("document_id", gated.alias("gated"))
-
-
-@query(oracle("SELECT document_id, avg(confidence) FILTER (NOT is_rejected) AS field_confidence, count(DISTINCT field_name) FILTER (NOT is_rejected) / 6 AS completeness FROM fields GROUP BY document_id", "fields"))
-def schema_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean confidence and the share of the six expected invoice fields present, per document."""
-    live = F.when(~F.col("is_rejected"), F.col("field_name"))
-    return E.fields(spark, sf_dir).groupBy("document_id").agg(F.avg(F.when(~F.col("is_rejected"), F.col("confidence"))).alias("field_confidence"), (F.size(F.collect_set(live)) / 6).alias("completeness"))

@@ -71,27 +71,46 @@ def blocks_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("version_id", "page_number", order.alias("block_order"), "block_text", conf.alias("confidence"))
 
 
-_ENGINES = """candidates AS (SELECT version_id, page_number, unnest(['layer', 'vision', 'paddle', 'tesseract']) AS engine, unnest([1, 2, 3, 4]) AS e FROM ocr_pages),
-usable AS (SELECT *, (version_id * 7 + page_number * e) % 100 / 100 AS confidence, (version_id + page_number * e) % 9 AS blocks FROM candidates)"""
+ENGINES_SQL = """WITH page AS (SELECT *, version_id % 6 = 1 AS vision_first, octet_length(encode(raw_text)) % 90000 > 50000 AS big, (version_id * 7 + page_number) % 3 = 0 AND trim(raw_text) <> '' AS layer, (version_id * 7 + page_number * 3) % 100 / 100 AS paddle_confidence,
+  (version_id + page_number * 3) % 9 AS paddle_blocks, (version_id * 5 + page_number) % 11 = 0 AS paddle_failed, (version_id + page_number * 2) % 4 <> 0 AS vision, (version_id + page_number * 4) % 5 <> 0 AS tesseract FROM ocr_pages),
+weighed AS (SELECT *, paddle_confidence < 0.75 OR paddle_failed OR paddle_blocks = 0 OR (paddle_blocks < 5 AND big) AS weak FROM page),
+chosen_engines AS (SELECT version_id, page_number, CASE WHEN layer THEN 'layer' WHEN vision_first AND vision THEN 'vision' WHEN NOT weak THEN 'paddle' WHEN vision THEN 'vision' WHEN tesseract THEN 'tesseract' ELSE 'paddle' END AS engine FROM weighed)"""
+
+
+def engine_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engines gave for each page, one row an engine: whether there is text, blocks, confidence, failure."""
+    v, p = F.col("version_id"), F.col("page_number")
+    none, well = F.lit(0), F.lit(1.0)
+    results = (
+        ("layer", ((v * 7 + p) % 3 == 0) & (F.trim("raw_text") != ""), F.lit(1), well, F.lit(False)), ("vision", (v + p * 2) % 4 != 0, F.lit(1), well, F.lit(False)),
+        ("paddle", F.lit(True), (v + p * 3) % 9, (v * 7 + p * 3) % 100 / 100, (v * 5 + p) % 11 == 0), ("tesseract", (v + p * 4) % 5 != 0, none, well, F.lit(False)),
+    )
+    made = F.array(*(F.struct(F.lit(n).alias("engine"), text.alias("has_text"), b.cast("long").alias("blocks"), c.alias("confidence"), f.alias("failed")) for n, text, b, c, f in results))
+    pages = E.ocr_pages(spark, sf_dir).select("version_id", "page_number", (v % 6 == 1).alias("vision_first"), F.octet_length("raw_text").alias("n"), F.explode(made).alias("r"))
+    return pages.select("version_id", "page_number", "vision_first", (F.col("n") % 90000).alias("image_bytes"), "r.*")
 
 
-@query(oracle(f"""WITH {_ENGINES}, paddle AS (SELECT version_id, page_number, confidence < 0.75 OR blocks = 0 OR (blocks < 5 AND version_id % 2 = 0) AS weak FROM usable WHERE engine = 'paddle'),
-ranked AS (SELECT u.version_id, u.page_number, engine, row_number() OVER (PARTITION BY u.version_id, u.page_number ORDER BY CASE WHEN engine = 'layer' AND blocks > 5 THEN 1 WHEN engine = 'paddle' AND NOT weak THEN 2 WHEN engine = 'vision' AND weak AND blocks > 0 THEN 3 WHEN engine = 'tesseract' AND blocks > 0 THEN 4 WHEN engine = 'paddle' THEN 5 ELSE 6 END, e) AS n FROM usable u JOIN paddle USING (version_id, page_number))
-SELECT version_id, page_number, engine FROM ranked WHERE n = 1""", "ocr_pages"))
+@query(oracle(f"{ENGINES_SQL} SELECT * FROM chosen_engines", "ocr_pages"))
 def ocr_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first usable engine of each page: text layer, a strong paddle result, vision, tesseract, any paddle result."""
-    engines = F.posexplode(F.array(*map(F.lit, ("layer", "vision", "paddle", "tesseract"))))
-    rows = E.ocr_pages(spark, sf_dir).select("version_id", "page_number", engines.alias("e", "engine")).withColumn("e", F.col("e") + 1)
-    rows = rows.withColumns({"confidence": (F.col("version_id") * 7 + F.col("page_number") * F.col("e")) % 100 / 100, "blocks": (F.col("version_id") + F.col("page_number") * F.col("e")) % 9})
-    page = Window.partitionBy("version_id", "page_number")
-    is_weak = (F.col("confidence") < 0.75) | (F.col("blocks") == 0) | ((F.col("blocks") < 5) & (F.col("version_id") % 2 == 0))
-    rows = rows.withColumn("weak", F.max(F.when(F.col("engine") == "paddle", is_weak)).over(page))
-    engine, some = F.col("engine"), F.col("blocks") > 0
-    place = (
-        F.when((engine == "layer") & (F.col("blocks") > 5), 1).when((engine == "paddle") & ~F.col("weak"), 2).when((engine == "vision") & F.col("weak") & some, 3)
-        .when((engine == "tesseract") & some, 4).when(engine == "paddle", 5).otherwise(6)
+    """The engine whose result each page takes."""
+    return choose_engine(engine_results(spark, sf_dir))
+
+
+def choose_engine(results: DataFrame, threshold: float = 0.75, few_blocks: int = 5, big_image: int = 50_000) -> DataFrame:
+    """The first usable result of each page: a text layer with any text, vision where it is set first, a strong paddle
+    result, vision, tesseract, else what paddle gave.
+
+    A paddle result is weak where it failed, has no block or a confidence below the threshold, or few blocks of a big
+    image. One aggregate by page.
+    """
+    paddle = F.col("engine") == "paddle"
+    weak = (F.col("confidence") < threshold) | F.col("failed") | (F.col("blocks") == 0) | ((F.col("blocks") < few_blocks) & (F.col("image_bytes") > big_image))
+    has = lambda e: F.max((F.col("engine") == e) & F.col("has_text")).alias(e)
+    page = results.groupBy("version_id", "page_number").agg(has("layer"), has("vision"), has("tesseract"), F.max("vision_first").alias("first"), F.max(paddle & weak).alias("weak"))
+    engine = (
+        F.when(F.col("layer"), "layer").when(F.col("first") & F.col("vision"), "vision").when(~F.col("weak"), "paddle").when(F.col("vision"), "vision").when(F.col("tesseract"), "tesseract").otherwise("paddle")
     )
-    return rows.withColumn("n", F.row_number().over(page.orderBy(place, "e"))).where("n = 1").select("version_id", "page_number", "engine")
+    return page.select("version_id", "page_number", engine.alias("engine"))
 
 
 @query(oracle("SELECT d.document_id, d.title, coalesce(v.versions, '') AS versions, coalesce(f.fields, '') AS fields FROM documents_meta d LEFT JOIN (SELECT document_id, string_agg(CAST(version_number AS VARCHAR), ',' ORDER BY version_number DESC) AS versions FROM versions GROUP BY document_id) v ON v.document_id = d.document_id LEFT JOIN (SELECT document_id, string_agg(field_name, ',' ORDER BY confidence DESC, field_name) AS fields FROM fields WHERE NOT is_rejected GROUP BY document_id) f ON f.document_id = d.document_id WHERE NOT d.is_deleted", "documents_meta", "versions", "fields"))

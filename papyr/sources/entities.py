@@ -39,6 +39,8 @@ def documents_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor("o_totalprice").cast("long").alias("file_size_bytes"),
         F.col("o_orderdate").alias("created_at"),
         (key % 17 == 0).alias("is_deleted"),
+        F.date_add("o_orderdate", (key % 29).cast("int")).cast("timestamp_ntz").alias("updated_at"),
+        F.when(key % 4 == 1, "hi").when(key % 4 == 3, "hi+en").otherwise("en").alias("primary_language"),
     )
 
 
@@ -50,9 +52,41 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("long").alias("page_count"),
         F.when(F.col("l_linestatus") == "F", "COMPLETED").otherwise("QUEUED").alias("version_status"),
         F.col("l_shipdate").alias("version_created_at"),
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("OCR failed on page "), (F.col("l_quantity").cast("long") % 9 + 1).cast("string"))).alias("error"),
+        F.when(F.col("l_quantity") == 2, "PENDING").when(F.col("l_quantity") != 1, F.concat(F.lit("documents/"), F.col("l_orderkey").cast("string"))).alias("storage_key"),
+        F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("last_version"),
     )
 
 
+def version_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of each version, in the order of extraction: a name can come twice, values with blanks around them."""
+    v, n = F.col("version_number"), F.col("page_count")
+    made = [
+        (v % 3 != 0, "pages", n.cast("string")), (F.lit(True), "status", F.col("version_status")),
+        (F.lit(True), "pace", F.concat(F.when(n % 2 == 1, " ").otherwise(""), F.floor(n / 10).cast("string"), F.lit(" "))),
+        (F.lit(True), "shipped", F.date_format("version_created_at", "yyyy-MM")), (n % 7 == 0, "status", F.lit("RECHECKED")), (F.col("error").isNotNull(), "error", F.col("error")),
+    ]
+    rows = F.posexplode(F.filter(F.array(*(F.when(on, F.struct(F.lit(name).alias("name"), value.alias("value"))) for on, name, value in made)), F.isnotnull))
+    return versions(spark, sf_dir).select("document_id", "version_number", "last_version", rows.alias("seq", "f")).select("document_id", "version_number", "last_version", "seq", "f.name", "f.value")
+
+
+#: File kinds: declared type, first bytes as hexadecimal, and whether the bytes are what is declared.
+FILE_KINDS = (
+    ("application/pdf", "255044462D312E370A"), ("image/png", "89504E470D0A1A0A"), ("image/jpeg", "FFD8FFE000104A46"), ("image/webp", "524946463132333457454250"),
+    ("text/plain", ""), ("application/pdf", "89504E470D0A1A0A"), ("application/pdf", "00"),
+)
+
+
+def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as a listing gives them, made of the documents: path, declared_mime, content, size_bytes."""
+    k = F.col("doc_id")
+    kind = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in FILE_KINDS)), (k % len(FILE_KINDS) + 1).cast("int"))
+    pages = F.concat(F.repeat(F.lit("/Type /Page "), (k % 130).cast("int")), F.lit("/Type /Pages /Count "), (k % 40).cast("string"), F.lit("\n"))
+    content = F.concat(F.unhex(kind(1)), F.encode(F.concat(pages, F.coalesce("text", F.lit(""))), "UTF-8"))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("files/"), k.cast("string")).alias("path"), kind(0).alias("declared_mime"), content.alias("content"))
+    return rows.withColumn("size_bytes", F.octet_length("content").cast("long"))
+
+
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id, field_name, field_type, raw_value, confidence, is_verified, is_rejected."""
     cents = F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5)
@@ -132,14 +166,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("audit_id"), F.col("user_id").alias("actor_id"), "event_type", F.col("ts").alias("created_at"), F.col("props").alias("changes"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("audit_id"), F.col("user_id").alias("actor_id"), "event_type", F.col("ts").alias("created_at"), F.col("props").alias("changes"), F.when(F.col("event_type") == "purchase", "DOCUMENT").when(F.col("event_type") == "click", "FIELD").otherwise("USER").alias("resource_type"), F.col("event_id").alias("document_id"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to the service: user_id, method, path, ts."""
+    kind, chat = F.col("event_type"), (F.col("event_type") == "error") & (F.col("event_id") % 2 == 0)
+    path = F.when(kind == "signup", "/auth/register").when(kind == "view", "/search").when(kind == "click", "/review/fields").when(kind == "purchase", "/documents").when(chat, "/conversations/1/messages").otherwise("/other")
+    return table(spark, sf_dir, "events").select("user_id", F.when(kind.isin("view") | ((kind == "error") & ~chat), "GET").otherwise("POST").alias("method"), path.alias("path"), "ts")
 
 
 def verification_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews of the total amount: documents are drawn from the event's number."""
+    """Reviews of two fields of every document: six events in a row are of one document."""
     action = F.when(F.col("event_type") == "click", "ACCEPTED").when(F.col("event_type") == "purchase", "EDITED").otherwise("REJECTED")
     rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase", "error"))
-    return rows.select("event_id", (F.col("event_id") % 3000).alias("document_id"), F.col("user_id").alias("reviewer_id"), action.alias("action"), F.concat(F.lit(" "), F.col("value").cast("decimal(12,2)").cast("string"), F.lit(" ")).alias("new_value"), F.col("ts").alias("created_at"))
+    field = F.when(F.col("event_id") % 2 == 0, "total_amount").otherwise("tax_amount")
+    return rows.select("event_id", F.floor(F.col("event_id") / 6).alias("document_id"), field.alias("field_name"), F.col("user_id").alias("reviewer_id"), action.alias("action"), F.concat(F.lit(" "), F.col("value").cast("decimal(12,2)").cast("string"), F.lit(" ")).alias("new_value"), F.col("ts").alias("created_at"))
 
 
 _MONEY = """CASE WHEN k % 5 = 0 THEN '₹' || {t} WHEN k % 5 = 1 THEN 'Rs. ' || {t} WHEN k % 5 = 2 AND k % 3 = 0 THEN '(' || {t} || ')'
@@ -157,9 +199,18 @@ SQL = {
     "documents_meta": """SELECT o_orderkey AS document_id, o_custkey AS user_id, 'Order ' || o_orderkey AS title,
   CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' WHEN o_orderstatus = 'O' THEN 'QUEUED' WHEN o_orderkey % 3 = 0 THEN 'PROCESSING' WHEN o_orderkey % 3 = 1 THEN 'FAILED' ELSE 'NEEDS_REVIEW' END AS status,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'INVOICE' WHEN '2' THEN 'RECEIPT' WHEN '3' THEN 'BANK_DOCUMENT' WHEN '5' THEN 'UNKNOWN' END AS category,
-  CAST(floor(o_totalprice) AS BIGINT) AS file_size_bytes, o_orderdate AS created_at, o_orderkey % 17 = 0 AS is_deleted FROM orders""",
+  CAST(floor(o_totalprice) AS BIGINT) AS file_size_bytes, o_orderdate AS created_at, o_orderkey % 17 = 0 AS is_deleted,
+  CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 29 AS INTEGER) AS TIMESTAMP) AS updated_at, CASE o_orderkey % 4 WHEN 1 THEN 'hi' WHEN 3 THEN 'hi+en' ELSE 'en' END AS primary_language FROM orders""",
     "versions": """SELECT l_orderkey AS document_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS version_number,
-  CAST(l_quantity AS BIGINT) AS page_count, CASE WHEN l_linestatus = 'F' THEN 'COMPLETED' ELSE 'QUEUED' END AS version_status, l_shipdate AS version_created_at FROM lineitem""",
+  CAST(l_quantity AS BIGINT) AS page_count, CASE WHEN l_linestatus = 'F' THEN 'COMPLETED' ELSE 'QUEUED' END AS version_status, l_shipdate AS version_created_at,
+  CASE WHEN l_returnflag = 'R' THEN 'OCR failed on page ' || (CAST(l_quantity AS BIGINT) % 9 + 1) END AS error, CASE WHEN l_quantity = 2 THEN 'PENDING' WHEN l_quantity <> 1 THEN 'documents/' || l_orderkey END AS storage_key,
+  count(*) OVER (PARTITION BY l_orderkey) AS last_version FROM lineitem""",
+    "version_fields": """SELECT document_id, version_number, last_version, 0 AS seq, 'pages' AS name, CAST(page_count AS VARCHAR) AS value FROM versions WHERE version_number % 3 <> 0
+  UNION ALL SELECT document_id, version_number, last_version, 1, 'status', version_status FROM versions
+  UNION ALL SELECT document_id, version_number, last_version, 2, 'pace', CASE WHEN page_count % 2 = 1 THEN ' ' ELSE '' END || (page_count // 10) || ' ' FROM versions
+  UNION ALL SELECT document_id, version_number, last_version, 3, 'shipped', strftime(version_created_at, '%Y-%m') FROM versions
+  UNION ALL SELECT document_id, version_number, last_version, 4, 'status', 'RECHECKED' FROM versions WHERE page_count % 7 = 0
+  UNION ALL SELECT document_id, version_number, last_version, 5, 'error', error FROM versions WHERE error IS NOT NULL""",
     "fields": f"""SELECT k AS document_id, field_name, field_type, raw_value, ((k * 31 + no * 17) % 100) / 100 AS confidence, k % 7 = 0 AND no = 1 AS is_verified, (k + no) % 19 = 0 AS is_rejected FROM (
   SELECT k, unnest([0, 1, 2, 3, 4, 5]) AS no, unnest(['subtotal', 'tax_amount', 'total_amount', 'invoice_date', 'payment_due_date', 'gstin']) AS field_name,
     unnest(['CURRENCY', 'CURRENCY', 'CURRENCY', 'DATE', 'DATE', 'ID_NUMBER']) AS field_type,
@@ -175,8 +226,8 @@ SQL = {
     "doc_embeddings": "SELECT vec_id AS chunk_id, vec_id AS document_id, CASE WHEN label < 8 THEN 'm1' ELSE 'local-hash-fallback' END AS model, CAST(len(embedding) AS INTEGER) AS dimension, embedding FROM embeddings",
     "search_queries": "SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark",
     "messages": "SELECT conv_id AS conversation_id, turn, upper(role) AS role, text AS content FROM conversations",
-    "audit_logs": "SELECT event_id AS audit_id, user_id AS actor_id, event_type, ts AS created_at, props AS changes FROM events",
-    "verification_events": "SELECT event_id, event_id % 3000 AS document_id, user_id AS reviewer_id, CASE event_type WHEN 'click' THEN 'ACCEPTED' WHEN 'purchase' THEN 'EDITED' ELSE 'REJECTED' END AS action, ' ' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) || ' ' AS new_value, ts AS created_at FROM events WHERE event_type IN ('click', 'purchase', 'error')",
+    "audit_logs": "SELECT event_id AS audit_id, user_id AS actor_id, event_type, ts AS created_at, props AS changes, CASE event_type WHEN 'purchase' THEN 'DOCUMENT' WHEN 'click' THEN 'FIELD' ELSE 'USER' END AS resource_type, event_id AS document_id FROM events",
+    "verification_events": "SELECT event_id, event_id // 6 AS document_id, CASE WHEN event_id % 2 = 0 THEN 'total_amount' ELSE 'tax_amount' END AS field_name, user_id AS reviewer_id, CASE event_type WHEN 'click' THEN 'ACCEPTED' WHEN 'purchase' THEN 'EDITED' ELSE 'REJECTED' END AS action, ' ' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) || ' ' AS new_value, ts AS created_at FROM events WHERE event_type IN ('click', 'purchase', 'error')",
 }
 
 

@@ -5,34 +5,34 @@ Each takes a streaming DataFrame and gives one (or a started query); the registe
 
 from __future__ import annotations
 
+import datetime
+import hashlib
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from papyr.operators.chunking import chunk_pages
+from papyr.functions.text import script_language
+from papyr.operators import platform
+from papyr.operators.chunking import chunk_documents
+from papyr.operators.retrieval import hash_embed_column
 
-#: Requests allowed in a window, and its length in seconds (fixed values).
-LIMITS = {"signup": (10, 900), "purchase": (20, 60), "view": (80, 60)}
-DEFAULT_LIMIT = (150, 60)
+#: Folders that the versions of a batch are dealt over.
+BUCKETS = 16
 
 
-def rate_windows(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """(user_id, event_type, ts) -> requests in each fixed window of a user and kind, with the limit that holds.
+def rate_windows(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(user_id, method, path, ts) -> requests in each fixed window of a user, method and path, with the limit that holds.
 
     A window is closed ``late`` after its end; requests later than that are left out. Null users form one user.
     """
-    span = F.when(F.col("event_type") == "signup", F.lit(900)).otherwise(F.lit(60))
-    allowed = F.lit(DEFAULT_LIMIT[0])
-    for kind, (most, _) in LIMITS.items():
-        allowed = F.when(F.col("event_type") == kind, F.lit(most)).otherwise(allowed)
-    start = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / span) * span)
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumns({"window_start": start, "allowed": allowed})
-    counted = rows.groupBy("user_id", "event_type", "allowed", F.window("ts", "15 minutes").alias("w"), "window_start").agg(F.count(F.lit(1)).alias("requests"))
-    return counted.select("user_id", "event_type", "window_start", "requests", (F.col("requests") > F.col("allowed")).alias("limited"), F.greatest(F.col("allowed") - F.col("requests"), F.lit(0)).alias("remaining"))
+    rows = platform.with_rate_rule(requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late))
+    counted = rows.groupBy("user_id", "method", "path", "allowed", "span", F.window("ts", "15 minutes").alias("w"), "window_start").agg(F.count(F.lit(1)).alias("requests"))
+    return platform.rate_verdicts(counted)
 
 
 def audit_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -46,46 +46,85 @@ def embed_once(texts: DataFrame, ttl: str = "24 hours") -> DataFrame:
     return keyed.withWatermark("seen_at", ttl).dropDuplicatesWithinWatermark(["content_key"])
 
 
-def assemble_answers(deltas: DataFrame) -> DataFrame:
-    """(message_id, seq, delta, done) -> message_id, answer: deltas joined in order of ``seq`` once the last has come.
+def assemble_answers(deltas: DataFrame, patience: str = "1 hour") -> DataFrame:
+    """(message_id, seq, delta, done) -> message_id, answer, complete: deltas joined in order of ``seq``.
 
     The last delta carries ``done``; a message is given out when all numbers up to it are there, whatever their order.
-    Repeated deltas count once.
+    Repeated deltas count once. A message that gets no delta for ``patience`` is given out as it is, not complete, and
+    forgotten, so that the state doesn't grow with what never ends.
     """
+    wait = int(pd.Timedelta(patience).total_seconds() * 1000)
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = dict(zip(*state.get[:2], strict=True)) if state.exists else {}
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"message_id": [key[0]], "answer": ["".join(held[i] for i in sorted(held))], "complete": [False]})
+            return
         last = state.get[2] if state.exists else -1
         for pdf in parts:
             held |= dict(zip(pdf["seq"], pdf["delta"].fillna(""), strict=True))
             last = max([last, *pdf.loc[pdf["done"], "seq"]])
         if last >= 0 and all(i in held for i in range(last + 1)):
-            state.remove()
-            yield pd.DataFrame({"message_id": [key[0]], "answer": ["".join(held[i] for i in range(last + 1))]})
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"message_id": [key[0]], "answer": ["".join(held[i] for i in range(last + 1))], "complete": [True]})
         else:
             state.update((list(held), list(held.values()), last))
+            state.setTimeoutDuration(wait)
 
-    return deltas.groupBy("message_id").applyInPandasWithState(fold, "message_id long, answer string", "seqs array<long>, deltas array<string>, last long", "append", GroupStateTimeout.NoTimeout)
+    out = "message_id long, answer string, complete boolean"
+    return deltas.groupBy("message_id").applyInPandasWithState(fold, out, "seqs array<long>, deltas array<string>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def ingest(pages: DataFrame, chunk_path: str, checkpoint: str) -> StreamingQuery:
-    """Pages (version_id, page_number, raw_text) -> chunks under ``chunk_path``, one folder a version.
+def ingest(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Pages (version_id, page_number, raw_text) -> tables of pages, chunks and vectors under ``path``; see ``ingested``.
 
-    A version's folder is overwritten as a whole, so that a batch that runs again leaves the same chunks.
+    A batch adds its pages to the page table and makes the chunks of every version that it touches anew, from all the
+    version's pages so far: pages of a version can come in any number of batches, and a page that comes again replaces
+    the earlier one. A batch writes folders of its own alone, so that one that runs again leaves the same rows, and
+    nothing is overwritten that another batch wrote.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, name = batch.sparkSession, f"{run}-{number}"
+        landed = F.lit(datetime.datetime.now(datetime.UTC).isoformat()).cast("timestamp")
+
+        def add(rows: DataFrame, table: str) -> None:
+            marked = rows.withColumns({"batch": F.lit(name), "bucket": F.pmod(F.xxhash64("version_id"), F.lit(BUCKETS)).cast("int"), "landed": landed})
+            marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{path}/{table}")
 
-    def write(batch: DataFrame, _: int) -> None:
-        chunks = chunk_pages(batch)
-        chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version_id").parquet(chunk_path)
+        add(batch.select("version_id", "page_number", "raw_text"), "pages")
+        everything = spark.read.parquet(f"{path}/pages")
+        own = everything.where(F.col("batch") == name).select("version_id", "bucket").distinct()
+        buckets = [r[0] for r in own.select("bucket").distinct().collect()]  # at most BUCKETS
+        touched = everything.where(F.col("bucket").isin(buckets)).join(own.select("version_id"), "version_id", "left_semi")
+        now = touched.groupBy("version_id", "page_number").agg(F.max_by("raw_text", F.struct("landed", "raw_text")).alias("raw_text"))
+        now = now.withColumn("language", script_language(F.col("raw_text")))
+        add(chunk_documents(now).withColumn("embedding", hash_embed_column(F.col("content"))), "chunks")
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks, with vectors, of every version as of the last batch that touched it."""
+    last = spark.read.parquet(f"{path}/pages").groupBy("version_id").agg(F.max("landed").alias("landed"))
+    return spark.read.parquet(f"{path}/chunks").join(last, ["version_id", "landed"], "left_semi").drop("batch", "bucket", "landed")
+
+
 def append_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append audit rows to a table."""
-    return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Append audit rows to a table; a batch that can't be written is logged and passed over, the stream goes on."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        try:
+            batch.write.mode("append").parquet(path)
+        except Exception:  # what is audited must never wait for its audit
+            logging.getLogger(__name__).exception("audit batch %s was not written", number)
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stuck_versions(versions: DataFrame, now: str, timeout: str = "10 minutes") -> DataFrame:
-    """Versions still queued or processing ``timeout`` after they were created, as of ``now``."""
-    return versions.where(F.col("version_status").isin("QUEUED", "PROCESSING") & (F.col("version_created_at") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {timeout}")))
+def stuck_versions(versions: DataFrame, now: str) -> DataFrame:
+    """Versions that wait beyond the job timeout and their back-off as of ``now``, and whether to try again."""
+    return platform.stuck_versions(versions, F.lit(now).cast("timestamp"))

@@ -58,30 +58,32 @@ def column(spark, values, of):
     return [r.x for r in rows.orderBy("i").collect()]
 
 
+DATES = {
+    "20-08-2026": "2026-08-20", "15/08/2026": "2026-08-15", "15.08.2026": "2026-08-15", "5-8-2026": "2026-08-05", "2026-08-20": "2026-08-20", "20 Aug 2026": "2026-08-20",
+    "Aug 20, 2026": "2026-08-20", "September 3 2026": "2026-09-03", "20 अगस्त 2026": "2026-08-20", "15 जनवरी 2026": "2026-01-15", "1 फ़रवरी 2026": "2026-02-01",
+    "6th May 2026": "2026-05-06", "22nd of August 2026": "2026-08-22", "29-02-2024": "2024-02-29", "31-02-2026": None, "15-13-2026": None, "00-01-2026": None,
+    "29-02-2025": None, "": None, "not a date": None, "20-08": None, None: None,
+}
+AMOUNTS = {
+    "₹1,200.50": 1200.5, "Rs. 45,000": 45000, "INR 1000": 1000, "1,00,000": 100000, "₹12,34,567.89": 1234567.89, "5000/-": 5000, "-500": -500, "(1,200)": -1200,
+    "$100.00 USD": 100, "€250": 250, "AED 1,500": 1500, "12 bags of cement": None, "N/A": None, "": None, "1.2.3": None, None: None,
+}
+HEADINGS = {"GOVERNMENT OF INDIA": True, "Subject:": True, "this is ordinary body text": False, "12-08-2026": False, "1234567890": False, "यह एक पंक्ति है": False, "A" * 81: False}
+LANGUAGES = {"abcd": "unknown", "abcde": "en", "नमस्ते दुनिया": "hi", "नमस्ते hello there you": "hi+en", "hello नम": "hi+en"}
+
+
 def test_dates(spark):
-    given = {
-        "20-08-2026": "2026-08-20", "15/08/2026": "2026-08-15", "15.08.2026": "2026-08-15", "5-8-2026": "2026-08-05", "2026-08-20": "2026-08-20", "20 Aug 2026": "2026-08-20",
-        "Aug 20, 2026": "2026-08-20", "September 3 2026": "2026-09-03", "20 अगस्त 2026": "2026-08-20", "15 जनवरी 2026": "2026-01-15", "1 फ़रवरी 2026": "2026-02-01",
-        "6th May 2026": "2026-05-06", "22nd of August 2026": "2026-08-22", "29-02-2024": "2024-02-29", "31-02-2026": None, "15-13-2026": None, "00-01-2026": None,
-        "29-02-2025": None, "": None, "not a date": None, "20-08": None, None: None,
-    }
-    got = column(spark, list(given), lambda v: P.parse_date(v).cast("string"))
-    assert got == list(given.values())
+    assert column(spark, list(DATES), lambda v: P.parse_date(v).cast("string")) == list(DATES.values())
 
 
 def test_amounts(spark):
-    given = {
-        "₹1,200.50": 1200.5, "Rs. 45,000": 45000, "INR 1000": 1000, "1,00,000": 100000, "₹12,34,567.89": 1234567.89, "5000/-": 5000, "-500": -500, "(1,200)": -1200,
-        "$100.00 USD": 100, "€250": 250, "AED 1,500": 1500, "12 bags of cement": None, "N/A": None, "": None, "1.2.3": None, None: None,
-    }
-    assert column(spark, list(given), P.parse_amount) == list(given.values())
+    assert column(spark, list(AMOUNTS), P.parse_amount) == list(AMOUNTS.values())
 
 
 def test_gstin_headings_languages_and_normal_form(spark):
     assert column(spark, ["27AAPFU0939F1ZV", "27AAPFU0939F1Z", "AAPFU0939F1ZV", ""], P.is_gstin) == [True, False, False, False]
-    heads = {"GOVERNMENT OF INDIA": True, "Subject:": True, "this is ordinary body text": False, "12-08-2026": False, "1234567890": False, "यह एक पंक्ति है": False, "A" * 81: False}
-    assert column(spark, list(heads), T.is_heading) == list(heads.values())
-    assert column(spark, ["abcd", "abcde", "नमस्ते दुनिया", "नमस्ते hello there you", "hello नम"], T.script_language) == ["unknown", "en", "hi", "hi+en", "hi+en"]
+    assert column(spark, list(HEADINGS), T.is_heading) == list(HEADINGS.values())
+    assert column(spark, list(LANGUAGES), T.script_language) == list(LANGUAGES.values())
     rough = ["é ​x \ty\r\nz", "a\n\n\n\n\nb", " \n \n\n \nq ", "", None]
     assert column(spark, rough, T.normalize) == ["é x y\nz", "a\n\nb", "q", "", ""]
 
@@ -137,10 +139,15 @@ def test_citations_and_fusion(spark):
     assert (r.semantic_score, r.keyword_score, r.final_score) == (1.0, 1.0, 1.0)
 
 
-def test_sql_functions(spark):
+def test_sql_functions_are_the_column_expressions(spark):
     register(spark)
     got = spark.sql("SELECT est_tokens('a b c') AS t, confidence_band(0.7D) AS b, is_gstin('27AAPFU0939F1ZV') AS g, cosine_sim(array(1D, 0D), array(1D, 0D)) AS c, query_lang('नमस्ते') AS l").first()
     assert tuple(got) == (4, "MEDIUM", True, 1.0, "hi")
+    texts = [*DATES, *AMOUNTS, *HEADINGS, *LANGUAGES, " 27AAPFU0939F1ZV\u00a0", "\u200327aapfu0939f1zv", "\n\t", "x" * 200, "A:\nB:", "(1.5)", "+7", "Aug. 3 2026", "99 abc 2026"]
+    twins = {"est_tokens": T.estimate_tokens, "query_lang": T.query_language, "detect_lang": T.script_language, "is_heading": T.is_heading, "parse_doc_date": P.parse_date, "parse_amount": P.parse_amount, "is_gstin": P.is_gstin}
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for name, of in twins.items():
+        assert [tuple(r) for r in rows.select("text", of(F.col("text")).alias("x")).collect()] == [tuple(r) for r in rows.selectExpr("text", f"{name}(text) as x").collect()], name
 
 
 def test_files_and_payloads(spark, tmp_path):
@@ -150,10 +157,17 @@ def test_files_and_payloads(spark, tmp_path):
     (tmp_path / "d.txt").write_bytes(b"plain")
     rows = {os.path.basename(r.path): r for r in files.pdf_page_audit(files.ingest_manifest(spark, str(tmp_path))).collect()}
     assert [rows[n].mime_type for n in sorted(rows)] == ["application/pdf", "image/png", "image/webp", None]
-    assert rows["d.txt"].reject_reason == "UNSUPPORTED_TYPE" and rows["a.pdf"].page_count == 2 and rows["b.png"].page_error == "CORRUPT_PDF"
+    assert rows["d.txt"].reject_reason == "UNSUPPORTED_TYPE" and rows["a.pdf"].page_count == 2
+    assert rows["b.png"].page_error is None and rows["b.png"].page_count == 1  # an image is no broken PDF
+    listed = spark.createDataFrame([("application/pdf", b"%PDF /Count 7 /Count 9"), ("application/pdf", b"\x89PNG"), ("application/pdf", b"%PDF" + b"/Type /Page " * 101), ("image/png", b"%PDF"), (None, b"")], "declared_mime string, content binary")
+    assert [(r.page_count, r.page_error) for r in files.pdf_page_audit(listed).collect()] == [(7, None), (1, "CORRUPT_PDF"), (101, "TOO_MANY_PAGES"), (1, None), (1, None)]
+    assert [(r.mime_type, r.status) for r in files.compare_mime(listed).collect()] == [("application/pdf", "OK"), ("image/png", "FAILED"), ("application/pdf", "OK"), ("application/pdf", "FAILED"), (None, "FAILED")]
+    names = ["https://x.y/a b/Report Final.PDF", "dir/ümläut__file.tar.gz", "/", ".hidden", "n" * 150 + ".png", "no_ext", "shout.PDF"]
+    key = files.storage_key(F.lit("u"), F.lit("d"), F.lit("v"), F.col("v"))
+    assert [k.removeprefix("documents/u/d/v/original/") for k in column(spark, names, lambda _: key)] == ["Report_Final_PDF.pdf", "_ml_ut_file_tar.gz", "", "_hidden", "n" * 100 + ".png", "no_ext", "shout_PDF.pdf"]
     ocr = spark.createDataFrame([(1, 2, '{"blocks": [{"text": "x", "confidence": 0.5}, {}]}'), (1, 3, "{}"), (1, 4, "bad")], "version_id long, page_number long, payload string")
     got = files.parse_ocr_payloads(ocr).select("block_id", "block_text", "confidence", "block_order", "block_type").collect()
-    assert [tuple(r) for r in got] == [("paddle-2-0", "x", 0.5, 0, "text"), ("paddle-2-1", "", 0.0, 1, "text")]
+    assert [tuple(r) for r in got] == [("paddle-2-0", "x", 0.5, 0, "text"), ("paddle-2-1", "", 0.0, 1, "text"), (None,) * 5, (None,) * 5]  # pages without blocks stay
     replies = spark.createDataFrame([('```json\n{"a": 1}\n```',), ('{"a": 2}',), ("oops",), (None,)], "reply string")
     assert [(r.parsed and r.parsed.a, r.malformed) for r in files.parse_llm_payloads(replies, "a int").collect()] == [(1, False), (2, False), (None, True), (None, True)]
 
@@ -163,6 +177,8 @@ def test_upsert_and_partition_replacement(spark, tmp_path):
     new = spark.createDataFrame([(2, "c", 1), (3, "d", 2)], "k long, v string, version_id long")
     merged = files.upsert_by_key(old, new, ["k"])
     assert sorted(map(tuple, merged.collect())) == [(1, "a", 1), (2, "c", 1), (3, "d", 2)]
+    some = files.upsert_by_key(old.withColumn("w", F.lit("old")), new.withColumn("w", F.lit("new")), ["k"], ["v"])
+    assert sorted((r.k, r.v, r.w) for r in some.collect()) == [(1, "a", "old"), (2, "c", "old"), (3, "d", "new")]
     path = str(tmp_path / "t")
     files.replace_partitions(merged, path)
     files.replace_partitions(spark.createDataFrame([(9, "z", 2)], "k long, v string, version_id long"), path)
@@ -181,12 +197,22 @@ def drain(spark, frame, name, mode="append"):
     return spark.table(name)
 
 
+def until(spark, frame, name, rows):
+    """A stream that waits for time to pass never ends by itself: it is stopped when the rows are there."""
+    q = frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(processingTime="1 second").start()
+    for _ in range(60):
+        if spark.table(name).count() >= rows or not q.isActive:
+            break
+        q.awaitTermination(1)
+    q.stop()
+    assert q.exception() is None
+    return spark.table(name)
+
+
 def test_streams_equal_their_batch_twins(spark, tmp_path):
-    events = entities.table(spark, DATA, "events").select("user_id", "event_type", "ts")
-    got = drain(spark, jobs.rate_windows(stream(spark, events, str(tmp_path / "e")), "60 days"), "rates", "complete")
-    have = sorted((r.user_id, r.event_type, int(r.window_start.timestamp()), r.requests, r.limited, r.remaining) for r in got.collect())
-    twin = QUERIES["rate_windows"](spark, DATA).collect()
-    assert [h[:2] + h[3:] for h in have] == [h[:2] + h[3:] for h in sorted((r.user_id, r.rule, r.window_start, r.requests, r.limited, r.remaining) for r in twin)]
+    got = drain(spark, jobs.rate_windows(stream(spark, entities.requests(spark, DATA), str(tmp_path / "e")), "60 days"), "rates", "complete")
+    columns = ("user_id", "method", "path", "window_start", "requests", "limited", "remaining", "reset_at")
+    assert sorted(got.select(*columns).collect()) == sorted(QUERIES["rate_windows"](spark, DATA).select(*columns).collect())
     audit = entities.audit_logs(spark, DATA)
     got = drain(spark, jobs.audit_counts(stream(spark, audit, str(tmp_path / "a")), "60 days"), "audit", "complete")
     assert sorted((r.event_type, str(r.day.start.date()), r["count"]) for r in got.collect()) == sorted((r.event_type, r.day, r.events) for r in QUERIES["audit_counts"](spark, DATA).collect())
@@ -194,15 +220,57 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
 
 def test_answers_embeddings_and_ingestion(spark, tmp_path):
     deltas = spark.createDataFrame([(1, 1, "b", False), (1, 0, "a", False), (1, 2, None, True), (2, 0, "open", False), (3, 0, "x", True), (1, 0, "a", False)], "message_id long, seq long, delta string, done boolean")
-    got = drain(spark, jobs.assemble_answers(stream(spark, deltas, str(tmp_path / "d"))), "answers")
-    assert {r.message_id: r.answer for r in got.collect()}[3] == "x" and {r.message_id: r.answer for r in got.collect()}[1] == "ab"
+    got = until(spark, jobs.assemble_answers(stream(spark, deltas, str(tmp_path / "d"))), "answers", 2)
+    assert {r.message_id: (r.answer, r.complete) for r in got.collect()} == {1: ("ab", True), 3: ("x", True)}
     texts = spark.createDataFrame([("m", t, datetime.datetime(2024, 1, 1, h)) for h, t in enumerate(["a", "b", "a", "a"])], "model string, text string, seen_at timestamp")
     once = drain(spark, jobs.embed_once(stream(spark, texts, str(tmp_path / "t"))), "once")
     assert sorted(r.text for r in once.collect()) == ["a", "b"]
+
+
+def test_open_answers_are_given_up(spark, tmp_path):
+    deltas = spark.createDataFrame([(2, 1, "open", False), (2, 0, "an ", False)], "message_id long, seq long, delta string, done boolean")
+    path = str(tmp_path / "d")
+    deltas.write.parquet(path)
+    source = spark.readStream.schema(deltas.schema).parquet(path)
+    got = until(spark, jobs.assemble_answers(source, "1 second"), "given_up", 1)
+    assert [tuple(r) for r in got.collect()] == [(2, "an open", False)]
+
+
+def test_ingestion_gives_the_batch_result_whatever_the_batches(spark, tmp_path):
+    """Every page of a version comes in a batch of its own, some come again, and the stream runs twice."""
     pages = entities.ocr_pages(spark, DATA).select("version_id", "page_number", "raw_text")
-    for run in "12":
-        jobs.ingest(stream(spark, pages.coalesce(1), str(tmp_path / f"p{run}")), str(tmp_path / "chunks"), str(tmp_path / f"c{run}")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "chunks")).count() <= chunking.chunk_pages(pages).count()
+    several = pages.where("version_id % 5 = 0 and page_number <= 3").cache()
+    stale = several.where("page_number = 1").withColumn("raw_text", F.lit("an earlier reading of this page, which the later one replaces"))
+    landing, path = tmp_path / "landing", str(tmp_path / "ingested")
+    for i, part in enumerate((stale, several.where("page_number = 2"), several.where("page_number = 1"), several.where("page_number = 3"))):
+        part.coalesce(1).write.parquet(str(landing / f"{i}"))
+        source = spark.readStream.schema(pages.schema).option("recursiveFileLookup", "true").parquet(str(landing))
+        jobs.ingest(source, path, str(tmp_path / "checkpoint")).awaitTermination(120)
+    jobs.ingest(spark.readStream.schema(pages.schema).parquet(str(landing / "3")), path, str(tmp_path / "another")).awaitTermination(120)
+    columns = ("version_id", "page_number", "chunk_index", "section_title", "content", "token_count")
+    got = jobs.ingested(spark, path)
+    have = sorted(map(tuple, got.select(*columns).collect()), key=str)
+    assert have == sorted(map(tuple, chunking.chunk_documents(several).select(*columns).collect()), key=str) and max(r[1] for r in have) == 3
+    r = got.first()
+    assert len(r.embedding) == 64 and r.language in ("en", "hi", "hi+en", "unknown")
+
+
+def test_audit_stream_outlives_a_failure(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "audit_id long, event_type string")
+    source = stream(spark, rows, str(tmp_path / "a"))
+    (tmp_path / "file").write_text("not a folder")
+    q = jobs.append_audit(source, str(tmp_path / "file" / "t"), str(tmp_path / "c1"))
+    q.awaitTermination(60)
+    assert q.exception() is None
+    jobs.append_audit(source, str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination(60)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "a"), (2, "b")]
+
+
+def test_stuck_versions(spark):
+    now = "2024-01-01 12:00:00"
+    rows = spark.createDataFrame([(1, "QUEUED", "2024-01-01 11:49:50", 0), (2, "QUEUED", "2024-01-01 11:51:00", 0), (3, "PROCESSING", "2024-01-01 11:00:00", 3), (4, "COMPLETED", "2023-01-01 00:00:00", 0), (5, "QUEUED", "2024-01-01 11:49:50", 2)], "document_id long, version_status string, at string, attempts long")
+    got = jobs.stuck_versions(rows.withColumn("version_created_at", F.col("at").cast("timestamp")), now)
+    assert sorted((r.document_id, r.action) for r in got.collect()) == [(1, "RETRY"), (3, "FAIL")]
 
 
 def test_approximate_search_covers_all_models_and_recalls_the_nearest(spark):
