@@ -10,6 +10,10 @@ from papyr.functions import fields as P
 from papyr.functions.text import trim_all
 
 
+#: Fields that end and start a term, in the order in which they count, and those that must add up (fixed values).
+ENDS, STARTS, SUMS = ("deadline", "payment_due_date", "expiry_date"), ("issue_date", "invoice_date", "date"), ("subtotal", "tax_amount", "total_amount")
+
+
 def _with_band(rows: DataFrame, confidence: Column) -> DataFrame:
     rows = rows.withColumn("confidence", F.round(confidence, 9))
     return rows.withColumn("confidence_level", P.confidence_band(F.col("confidence")))
@@ -17,22 +21,31 @@ def _with_band(rows: DataFrame, confidence: Column) -> DataFrame:
 
 def validate_fields(fields: DataFrame) -> DataFrame:
     """Rescore the fields that aren't rejected by what their type demands; adds parsed_date, amount, normalized_value."""
-    raw, c = F.col("raw_value"), F.col("confidence")
-    rows = fields.where("not is_rejected")
+    return validated(fields.where("not is_rejected"))
+
+
+def validated(fields: DataFrame) -> DataFrame:
+    """The same with rejected fields left in, as they are and without values of their own.
+
+    Only a value that looks like a tax number is held to that form.
+    """
+    raw, c, open_one = F.col("raw_value"), F.col("confidence"), ~F.col("is_rejected")
     is_id = (F.col("field_type") == "ID_NUMBER") | F.contains("field_name", F.lit("gstin"))
-    rows = rows.withColumns({"parsed_date": F.when(F.col("field_type") == "DATE", P.parse_date(raw)), "amount": F.when(F.col("field_type") == "CURRENCY", P.parse_amount(raw))})
+    by_type = {"parsed_date": ("DATE", P.parse_date), "amount": ("CURRENCY", P.parse_amount)}
+    rows = fields.withColumns({c: F.when(open_one & (F.col("field_type") == t), parse(raw)) for c, (t, parse) in by_type.items()})
     by_date = F.when(F.col("parsed_date").isNull(), F.least(c, F.lit(0.40))).otherwise(c)
     by_amount = (
         F.when(F.col("amount").isNull(), F.least(c, F.lit(0.40))).when(F.col("amount") < 0, F.greatest(F.lit(0.1), c - 0.25))
         .when(F.col("amount") > 100_000_000, F.least(c, F.lit(0.60))).otherwise(c)
     )
-    by_id = F.when(P.is_gstin(raw), F.least(F.lit(1.0), c + 0.1)).when(P.looks_like_gstin(raw), F.least(c, F.lit(0.30))).otherwise(c)
+    valid = P.looks_like_gstin(raw) & P.is_gstin(raw)
+    by_id = F.when(valid, F.least(F.lit(1.0), c + 0.1)).when(P.looks_like_gstin(raw), F.least(c, F.lit(0.30))).otherwise(c)
     scored = F.when(F.col("field_type") == "DATE", by_date).when(F.col("field_type") == "CURRENCY", by_amount).when(is_id, by_id).otherwise(c)
     normal = (
         F.when(F.col("field_type") == "DATE", F.col("parsed_date").cast("string"))
-        .when(F.col("field_type") == "CURRENCY", F.col("amount").cast("decimal(20,2)").cast("string")).when(is_id & P.is_gstin(raw), F.upper(trim_all(raw)))
+        .when(F.col("field_type") == "CURRENCY", F.col("amount").cast("decimal(20,2)").cast("string")).when(open_one & is_id & valid, F.upper(trim_all(raw)))
     )
-    return _with_band(rows.withColumn("normalized_value", normal), P.clamp(scored))
+    return _with_band(rows.withColumn("normalized_value", normal), F.when(open_one, P.clamp(scored)).otherwise(c))
 
 
 def _named(column: str, name: str) -> Column:
@@ -41,26 +54,37 @@ def _named(column: str, name: str) -> Column:
 
 def chronology_conflicts(validated: DataFrame) -> DataFrame:
     """document_id, target: the end date's field of documents whose end date is before the issue date."""
-    ends, starts = ("deadline", "payment_due_date", "expiry_date"), ("issue_date", "invoice_date", "date")
-    wide = validated.groupBy("document_id").agg(*(_named("parsed_date", n) for n in ends + starts))
-    target = F.coalesce(*(F.when(F.col(n).isNotNull(), F.lit(n)) for n in ends))
-    late = wide.where(F.coalesce(*map(F.col, ends)) < F.coalesce(*map(F.col, starts)))
+    wide = validated.groupBy("document_id").agg(*(_named("parsed_date", n) for n in ENDS + STARTS))
+    target = F.coalesce(*(F.when(F.col(n).isNotNull(), F.lit(n)) for n in ENDS))
+    late = wide.where(F.coalesce(*map(F.col, ENDS)) < F.coalesce(*map(F.col, STARTS)))
     return late.select("document_id", target.alias("target"))
 
 
 def invoice_conflicts(validated: DataFrame) -> DataFrame:
     """Documents whose subtotal and tax miss the total by over 5 % of it and over 5."""
-    wide = validated.groupBy("document_id").agg(*(_named("amount", n) for n in ("subtotal", "tax_amount", "total_amount")))
+    wide = validated.groupBy("document_id").agg(*(_named("amount", n) for n in SUMS))
     off = F.abs(F.col("subtotal") + F.col("tax_amount") - F.col("total_amount"))
     return wide.where((off > F.col("total_amount") * 0.05) & (off > 5)).select("document_id", "subtotal", "tax_amount", "total_amount")
 
 
 def cross_check(validated: DataFrame) -> DataFrame:
-    """Lower the confidence of the fields in conflict: end dates to 0.35, totals and taxes to 0.45."""
-    late = chronology_conflicts(validated).select("document_id", F.col("target").alias("field_name"), F.lit(0.35).alias("set"))
-    sums = invoice_conflicts(validated).select("document_id", F.explode(F.array(F.lit("total_amount"), F.lit("tax_amount"))).alias("field_name"), F.lit(0.45).alias("set"))
-    rows = validated.join(late.unionByName(sums), ["document_id", "field_name"], "left")
-    return _with_band(rows, F.coalesce("set", "confidence")).drop("set")
+    """Lower the confidence of fields in conflict: end dates to 0.35, totals and taxes to 0.45.
+
+    The dates and amounts of a document are gathered over its own rows: one shuffle, by document.
+    """
+    of = Window.partitionBy("document_id")
+    named = lambda column, name: F.max(F.when(F.col("field_name") == name, F.col(column))).over(of)
+    dates = {n: named("parsed_date", n) for n in ENDS + STARTS}
+    amounts = {n: named("amount", n) for n in SUMS}
+    rows = validated.withColumns({f"_{n}": v for n, v in (dates | amounts).items()})
+    end, start = (F.coalesce(*(F.col(f"_{n}") for n in names)) for names in (ENDS, STARTS))
+    target = F.coalesce(*(F.when(F.col(f"_{n}").isNotNull(), F.lit(n)) for n in ENDS))
+    subtotal, tax, total = (F.col(f"_{n}") for n in SUMS)
+    off = F.abs(subtotal + tax - total)
+    late = (end < start) & (F.col("field_name") == target)
+    wrong = (off > total * 0.05) & (off > 5) & F.col("field_name").isin("total_amount", "tax_amount")
+    set_to = F.when(late, F.lit(0.35)).when(wrong, F.lit(0.45)).otherwise(F.col("confidence"))
+    return _with_band(rows, set_to).drop(*(f"_{n}" for n in dates | amounts))
 
 
 def best_block_confidence(fields: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -74,7 +98,10 @@ def best_block_confidence(fields: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def score_confidence(fields: DataFrame, best: DataFrame) -> DataFrame:
     """0.7 of the model's confidence and 0.3 of the best block's; the model's alone where no block matched."""
-    rows = fields.join(best, ["document_id", "field_name"], "left")
+    return _mixed(fields.join(best, ["document_id", "field_name"], "left"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
     mixed = F.when(F.col("best_block").isNull(), F.col("confidence")).otherwise(0.7 * F.col("confidence") + 0.3 * F.col("best_block"))
     return _with_band(rows, P.clamp(mixed)).drop("best_block")
 
@@ -86,11 +113,27 @@ def conform_extractions(raw: DataFrame) -> DataFrame:
     return rows.withColumns({"confidence": P.clamp(F.coalesce("confidence", F.lit(0.85))), "source_page": page.cast("long"), "field_type": P.field_type(F.col("field_type"), F.col("field_name"))})
 
 
-def merge_extractions(old: DataFrame, new: DataFrame, order: list[Column]) -> DataFrame:
-    """Verified and rejected old fields stay and block new ones of their name; of the new, the first of a name counts."""
-    preserved = old.where("is_verified or is_rejected")
-    names = preserved.select("document_id", "field_name").distinct()
-    first = F.row_number().over(Window.partitionBy("document_id", "field_name").orderBy(*order))
-    fresh = new.where(trim_all("raw_value") != "").join(names, ["document_id", "field_name"], "left_anti")
-    fresh = fresh.withColumn("_first", first).where("_first = 1").drop("_first")
-    return preserved.unionByName(fresh.withColumns({"is_verified": F.lit(False), "is_rejected": F.lit(False)}).select(preserved.columns))
+def merge_extractions(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """Verified and rejected old fields stay and block new ones of their name; of the new, the first of a name counts.
+
+    Blank new values are passed over. One shuffle, by document and name.
+    """
+    preserved = old.where("is_verified or is_rejected").withColumn("_old", F.lit(True))
+    fresh = new.where(trim_all("raw_value") != "").withColumns({"is_verified": F.lit(False), "is_rejected": F.lit(False), "_old": F.lit(False)})
+    of = Window.partitionBy("document_id", "field_name")
+    extra = [c for c in order if c not in preserved.columns]
+    both = preserved.unionByName(fresh.select(*preserved.columns, *extra), allowMissingColumns=True)
+    both = both.withColumns({"_blocked": F.max("_old").over(of), "_first": F.row_number().over(of.orderBy("_old", *order))})
+    return both.where(F.col("_old") | (~F.col("_blocked") & (F.col("_first") == 1))).select(*old.columns)
+
+
+def field_quality_pipeline(old: DataFrame, raw: DataFrame, blocks: DataFrame, order: list[str]) -> DataFrame:
+    """New extractions through all steps: conform, merge with what people settled, score by blocks, validate, cross-check.
+
+    Rejected fields stay in the table as they are, but for what a cross-check sets: it reaches every field of the
+    document that has the name in question.
+    """
+    merged = merge_extractions(old, conform_extractions(raw), order)
+    best = F.when(~F.col("is_rejected"), F.col("best_block"))
+    scored = merged.join(best_block_confidence(merged, blocks), ["document_id", "field_name"], "left").withColumn("best_block", best)
+    return cross_check(validated(_mixed(scored)))

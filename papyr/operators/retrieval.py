@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,8 +18,11 @@ from pyspark.sql.window import Window
 from papyr.functions.text import SPACE, let, trim_all
 
 STRIP = "'\":*&|!()\\"
-#: Queries that are broadcast together.
-QUERIES_AT_ONCE = 2000
+#: Queries that one pass over the chunks looks for, and words of whole passages among them.
+QUERIES_AT_ONCE, TERMS_AT_ONCE = 5000, 500_000
+#: Weight of a position, its highest number and count a word, and the limit of the sum of 1 / n^2 (fixed values).
+WEIGHT, LAST_POSITION, MOST_POSITIONS, LIMIT = 0.1, 16383, 256, 1.64493406685
+TOKEN = re.compile(r"[^\W_]+")
 #: Vectors are compared in blocks of this many queries.
 QUERY_BLOCK = 512
 #: Vectors or queries of a user and model that one group holds, about.
@@ -29,33 +36,130 @@ def query_terms(query: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(trim_all(query)))
 
 
-def partial_match_score(content: Column, terms: Column) -> Column:
-    """0.10 plus 0.35 times the share of the terms that the content holds, both in lower case."""
-    hits = F.size(F.filter(terms, lambda w: F.contains(content, w)))
-    return 0.10 + 0.35 * hits / F.greatest(F.size(terms), F.lit(1))
-
-
 def round4(x: Column) -> Column:
     return F.floor(x * 10000 + 0.5) / 10000
 
 
-def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """(chunk_id, content) x (query_id, query) -> query_id, chunk_id, keyword_score of the chunks that qualify.
-
-    A chunk qualifies where it holds the whole query or a term of three characters or more. Any substring can match,
-    so the stated queries meet all chunks, in broadcast blocks of at most about ``QUERIES_AT_ONCE``; the chunks are
-    never shuffled. Blank queries match nothing.
+@dataclass(frozen=True)
+class KeywordQueries:
+    """A block of queries: ids, whole texts, search words, and words for the full-text rank, all in lower case."""
+
+    ids: np.ndarray
+    wholes: list[str]
+    terms: list[list[str]]
+    tokens: list[list[str]]
+
+
+class KeywordMatcher:
+    """Finds all words of a block of queries in one pass over a text, each distinct one once, and scores the queries."""
+
+    def __init__(self, block: KeywordQueries) -> None:
+        self.block, self.count = block, len(block.ids)
+        self.n_terms = np.array([max(len(t), 1) for t in block.terms])
+        self.n_tokens = np.array([len(t) for t in block.tokens])
+        needles: dict[str, tuple[list[int], list[int]]] = {}
+        for i, (whole, terms) in enumerate(zip(block.wholes, block.terms, strict=True)):
+            needles.setdefault(whole, ([], []))[1].append(i)
+            for term in terms:
+                needles.setdefault(term, ([], []))[0].append(i)
+        self.of_term = [np.array(own[0], np.int64) for own in needles.values()]
+        self.of_whole = [np.array(own[1], np.int64) for own in needles.values()]
+        self.long = np.array([len(n) >= 3 for n in needles], bool)
+        self.automaton = ahocorasick.Automaton()
+        for j, needle in enumerate(needles):
+            self.automaton.add_word(needle, j)
+        self.automaton.make_automaton()
+        self.of_token: dict[str, np.ndarray] = {}
+        for i, tokens in enumerate(block.tokens):
+            for token in tokens:
+                self.of_token.setdefault(token, []).append(i)
+
+    def _sum(self, lists: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate(lists), minlength=self.count) if lists else np.zeros(self.count, np.int64)
+
+    def ranks(self, text: str) -> dict[int, float]:
+        """Of each query all of whose words the text has: the full-text rank."""
+        places: dict[str, list[int]] = {}
+        for at, token in enumerate(TOKEN.findall(text), 1):
+            if token in self.of_token:
+                own, at = places.setdefault(token, []), min(at, LAST_POSITION)
+                if len(own) < MOST_POSITIONS and not (own and own[-1] == at):
+                    own.append(at)
+        have = self._sum([np.array(self.of_token[t], np.int64) for t in places])
+        full = np.flatnonzero((have == self.n_tokens) & (self.n_tokens > 0))
+        return {int(i): text_rank([np.array(places[t]) for t in self.block.tokens[i]]) for i in full}
+
+    def scores(self, text: str) -> tuple[np.ndarray, ...]:
+        """(queries that qualify, holds the whole query, share of the words found, full-text rank)."""
+        hits = list({j for _, j in self.automaton.iter(text)}) if self.count else []
+        found = self._sum([self.of_term[j] for j in hits])
+        long = self._sum([self.of_term[j] for j in hits if self.long[j]])
+        whole = self._sum([self.of_whole[j] for j in hits]) > 0
+        rank = np.zeros(self.count)
+        for i, r in self.ranks(text).items():
+            rank[i] = r
+        at = np.flatnonzero((long > 0) | whole | (rank > 0))
+        return at, whole[at], (found / self.n_terms)[at], rank[at]
+
+
+def text_rank(places: list[np.ndarray]) -> float:
+    """Rank of a text that has all words, by their positions: one word counts its places, several how near they are."""
+    if len(places) == 1:
+        return float((WEIGHT / np.arange(1, len(places[0]) + 1) ** 2).sum() / LIMIT)
+    apart = 0.0
+    for i in range(len(places)):
+        for k in range(i):
+            d = np.abs(places[i][:, None] - places[k][None, :]).astype(float)
+            near = np.where(d > 100, 1e-30, 1 / (1.005 + 0.05 * np.exp(np.minimum(d, 100) / 1.5 - 2)))
+            apart += np.log1p(-WEIGHT * np.sqrt(near[d > 0])).sum()
+    return float(-np.expm1(apart)) or 1e-20
+
+
+def keyword_matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(chunk_id, content) x (query_id, query) -> query_id, chunk_id, whole, partial_score, text_rank, keyword_score.
+
+    A chunk qualifies where it holds the whole query, a search word of three characters or more, or all words of the
+    query as words. The score is the best of 0.95 for the whole query, 1.5 times the full-text rank, and 0.10 plus 0.35
+    times the share of search words that it holds, all in lower case and without stemming. Blank queries and null
+    chunks match nothing. The queries, a stated set, are looked for in blocks; chunks are read once a block and never
+    shuffled.
     """
-    q = queries.where(trim_all("query") != "").select("query_id", trim_all("query").alias("query")).withColumn("terms", query_terms(F.col("query")))
-    q = q.select("query_id", F.lower("query").alias("query"), F.transform("terms", F.lower).alias("terms"))
-    low = chunks.select("chunk_id", F.lower("content").alias("content"))
-    whole = F.contains("content", F.col("query"))
-    any_term = F.exists("terms", lambda w: (F.length(w) >= 3) & F.contains(F.col("content"), w))
-    score = F.greatest(F.when(whole, F.lit(0.95)).otherwise(F.lit(0.0)), partial_match_score(F.col("content"), F.col("terms")))
-    blocks = -(-q.count() // QUERIES_AT_ONCE) or 1
-    parts = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
-    found = [low.join(F.broadcast(part), whole | any_term).select("query_id", "chunk_id", round4(score).alias("keyword_score")) for part in parts]
-    return reduce(DataFrame.unionByName, found)
+    asked = queries.where(trim_all("query") != "").select("query_id", trim_all("query").alias("query"))
+    low = F.lower("query")
+    terms = F.transform(query_terms(F.col("query")), F.lower)
+    q = asked.select("query_id", low.alias("query"), terms.alias("terms"), F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), 0)).alias("tokens"))
+    sizes = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(-(-sizes[0] // QUERIES_AT_ONCE), -(-sizes[1] // TERMS_AT_ONCE), 1)
+    texts = chunks.select("chunk_id", F.lower("content").alias("content")).where("content is not null")
+    found = [_match(texts, q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)]
+    rows = reduce(DataFrame.unionByName, found)
+    partial = 0.10 + 0.35 * F.col("share")
+    score = F.greatest(F.when(F.col("whole"), F.lit(0.95)).otherwise(F.lit(0.0)), 1.5 * F.col("text_rank"), partial)
+    return rows.select("query_id", "chunk_id", "whole", round4(partial).alias("partial_score"), "text_rank", round4(score).alias("keyword_score"))
+
+
+def _match(texts: DataFrame, block: DataFrame) -> DataFrame:
+    rows = block.collect()  # one block of the stated queries
+    id_type, key = block.schema["query_id"].dataType.simpleString(), texts.schema["chunk_id"].dataType.simpleString()
+    asked = KeywordQueries(np.array([r["query_id"] for r in rows]), [r["query"] for r in rows], [list(r["terms"]) for r in rows], [list(r["tokens"]) for r in rows])
+    shipped = texts.sparkSession.sparkContext.broadcast(asked)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = KeywordMatcher(shipped.value)
+        for batch in batches:
+            parts = [matcher.scores(t) for t in batch.column("content").to_pylist()]
+            if not parts or not matcher.count:
+                continue
+            at, whole, share, rank = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            chunk = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(matcher.block.ids[at]), batch.column("chunk_id").take(pa.array(chunk)), pa.array(whole), pa.array(share), pa.array(rank)], names=["query_id", "chunk_id", "whole", "share", "text_rank"])
+
+    return texts.mapInArrow(match, f"query_id {id_type}, chunk_id {key}, whole boolean, share double, text_rank double")
+
+
+def keyword_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id and keyword_score of the pairs of ``keyword_matches``."""
+    return keyword_matches(chunks, queries).select("query_id", "chunk_id", "keyword_score")
 
 
 def top_k(scores: DataFrame, score: str, k: int, by: str = "query_id", tie: str = "chunk_id") -> DataFrame:
@@ -94,6 +198,13 @@ def hash_embed_column(text: Column, dim: int = 64) -> Column:
     return embed(text)
 
 
+def checked_vectors(rows: DataFrame, dim: int) -> DataFrame:
+    """The rows as they are; a missing vector or one of another dimension fails the job."""
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    wrong = F.concat(F.lit(f"expected {dim} dimensions but got "), size.cast("string"))
+    return rows.withColumn("embedding", F.when(size == dim, F.col("embedding")).otherwise(F.raise_error(wrong).cast("array<float>")))
+
+
 def hash_embed(text: str, dim: int) -> np.ndarray:
     units = np.frombuffer(text.lower().strip().encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.int64)
     vec = np.bincount((units * 31 + np.arange(len(units))) % dim, minlength=dim).astype(float)
@@ -155,15 +266,44 @@ def fuse(semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     return top_k(rows, "final_score", k)
 
 
+def text_semantic_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(chunk_id, content) x (query_id, query): nearest chunks by the hash vectors of the texts."""
+    one = (F.lit(0).alias("user_id"), F.lit("hash").alias("model"))
+    vectors = chunks.select(*one, "chunk_id", hash_embed_column(F.col("content")).alias("embedding"))
+    return semantic_topk(vectors, queries.select("query_id", *one, hash_embed_column(F.col("query")).alias("vector")), k)
+
+
+def hybrid_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``fuse`` of twice ``k`` semantic and lexical candidates each."""
+    lexical = top_k(keyword_scores(chunks, queries), "keyword_score", 2 * k)
+    return fuse(text_semantic_topk(chunks, queries, 2 * k), lexical, k)
+
+
 def cited_sources(answer: Column) -> Column:
     """Source numbers that an answer cites, in order of first mention, each once."""
     numbers = F.regexp_extract_all(answer, F.lit(r"(?i)[\[【]?Source\s*(\d+)[^\]】\n]*[\]】]?"), 1)
     return F.array_distinct(F.transform(numbers, lambda n: n.cast("int")))
 
 
-def context_line(rank: Column, title: Column, page: Column, section: Column, category: Column, content: Column) -> Column:
+#: What a prompt gets where nothing was found (fixed value).
+NO_CONTEXT = "No relevant document context found."
+
+
+def build_context(queries: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, query), (query_id, chunk_id, rank[, snippet]), (chunk_id, title, page, section, category, content) -> query_id, context.
+
+    A source line and the whole text of each chunk in order of rank; of a chunk that is gone the snippet that was kept,
+    if any. A query without results gets a fixed message.
+    """
+    if "snippet" not in ranked.columns:
+        ranked = ranked.withColumn("snippet", F.lit(None).cast("string"))
+    rows = ranked.select("query_id", "chunk_id", "rank", "snippet").join(chunks, "chunk_id", "left")
+    text = F.replace(F.coalesce("content", "snippet", F.lit("")), F.lit("**"), F.lit(""))
+    section = F.when(F.col("section").isNotNull(), F.concat(F.lit(" Section: "), F.col("section"), F.lit(","))).otherwise("")
     head = F.concat(
-        F.lit("[Source "), rank.cast("string"), F.lit(": "), title, F.lit(", Page "), page.cast("string"),
-        F.when(section.isNotNull(), F.concat(F.lit(", Section: "), section)).otherwise(""), F.lit(", Category: "), F.coalesce(category, F.lit("General")), F.lit("]\n"),
+        F.lit("[Source "), F.col("rank").cast("string"), F.lit(": "), F.coalesce("title", F.lit("Document")), F.lit(", Page "), F.coalesce(F.col("page").cast("string"), F.lit("1")), F.lit(","),
+        section, F.lit(" Category: "), F.coalesce("category", F.lit("General")), F.lit("]\n"),
     )
-    return F.concat(head, F.replace(content, F.lit("**"), F.lit("")))
+    lines = rows.select("query_id", "rank", F.concat(head, text).alias("line")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("l"))
+    context = F.array_join(F.transform("l", lambda x: x["line"]), "\n\n")
+    return queries.select("query_id").join(lines, "query_id", "left").select("query_id", F.coalesce(context, F.lit(NO_CONTEXT)).alias("context"))

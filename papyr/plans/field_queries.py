@@ -80,7 +80,7 @@ VALIDATED = f"""parsed AS (SELECT *, CASE WHEN field_type = 'DATE' THEN {date_sq
 ), validated AS (SELECT document_id, field_name, field_type, raw_value, is_verified, is_rejected, parsed_date, amount, round(least(greatest(CASE
     WHEN field_type = 'DATE' THEN CASE WHEN parsed_date IS NULL THEN least(confidence, 0.40) ELSE confidence END
     WHEN field_type = 'CURRENCY' THEN CASE WHEN amount IS NULL THEN least(confidence, 0.40) WHEN amount < 0 THEN greatest(0.1, confidence - 0.25) WHEN amount > 100000000 THEN least(confidence, 0.60) ELSE confidence END
-    WHEN field_type = 'ID_NUMBER' OR contains(field_name, 'gstin') THEN CASE WHEN {_GST} THEN least(1.0, confidence + 0.1) WHEN {_LOOKS} THEN least(confidence, 0.30) ELSE confidence END
+    WHEN field_type = 'ID_NUMBER' OR contains(field_name, 'gstin') THEN CASE WHEN {_LOOKS} AND {_GST} THEN least(1.0, confidence + 0.1) WHEN {_LOOKS} THEN least(confidence, 0.30) ELSE confidence END
     ELSE confidence END, 0.0), 1.0), 9) AS confidence,
     CASE WHEN field_type = 'DATE' THEN CAST(parsed_date AS VARCHAR) WHEN field_type = 'CURRENCY' THEN CAST(CAST(amount AS DECIMAL(20,2)) AS VARCHAR) WHEN {_GST} THEN upper({trim_sql('raw_value')}) END AS normalized_value FROM parsed
 )"""
@@ -162,11 +162,47 @@ def score_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(oracle(f"WITH {_validated()}, {LATE}, {MATH}, {CHECKED} SELECT document_id, field_name, normalized_value, confidence, {band_sql('confidence')} AS confidence_level FROM checked", "fields"))
-def field_quality_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conform, score, validate and cross-check in the order of the platform."""
+def cross_check_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation and cross-checks of the fields as they are."""
     return Y.cross_check(Y.validate_fields(E.fields(spark, sf_dir))).select("document_id", "field_name", "normalized_value", "confidence", "confidence_level")
 
 
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new extraction of every document, as a model spells it: names and types out of form, some twice, some blank."""
+    k = F.col("document_id")
+    kind = F.when(k % 3 == 0, F.lower("field_type")).when(k % 3 == 1, F.lit("weird")).otherwise(F.replace("field_type", F.lit("_"), F.lit(" ")))
+    rows = E.fields(spark, sf_dir).select(k, F.concat(F.lit(" "), "field_name").alias("field_name"), kind.alias("field_type"), "raw_value", (F.col("confidence") * 1.3 - 0.1).alias("confidence"), (k % 4 - 0.5).alias("source_page"), F.lit(0).alias("seq"))
+    again = rows.where(k % 6 == 0).withColumns({"raw_value": F.when(k % 12 == 0, F.lit("  ")).otherwise(F.lit("1,000")), "seq": F.lit(1)})
+    return rows.unionByName(again)
+
+
+def _field_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OCR blocks of the documents: lines that hold a field's value, some of them cut short."""
+    k = F.col("document_id")
+    text = F.when(k % 2 == 0, F.concat(F.upper("field_name"), F.lit(": "), "raw_value")).otherwise(F.substring("raw_value", 1, 4))
+    return E.fields(spark, sf_dir).where(k % 5 != 0).select(k.alias("version_id"), text.alias("block_text"), ((k * 7 + F.length("field_name")) % 100 / 100).alias("confidence"))
+
+
+_PIPELINE = f"""extracted AS (SELECT document_id, ' ' || field_name AS field_name, CASE document_id % 3 WHEN 0 THEN lower(field_type) WHEN 1 THEN 'weird' ELSE replace(field_type, '_', ' ') END AS field_type, raw_value, confidence * 1.3 - 0.1 AS confidence, document_id % 4 - 0.5 AS source_page, 0 AS seq FROM fields),
+raw AS (SELECT * FROM extracted UNION ALL SELECT * REPLACE (CASE WHEN document_id % 12 = 0 THEN '  ' ELSE '1,000' END AS raw_value, 1 AS seq) FROM extracted WHERE document_id % 6 = 0),
+blocks AS (SELECT document_id, lower({trim_sql("CASE WHEN document_id % 2 = 0 THEN upper(field_name) || ': ' || raw_value ELSE substr(raw_value, 1, 4) END")}) AS b, (document_id * 7 + length(field_name)) % 100 / 100 AS block_confidence FROM fields WHERE document_id % 5 <> 0),
+kept AS (SELECT document_id, field_name, field_type, raw_value, confidence, is_verified, is_rejected FROM fields WHERE is_verified OR is_rejected),
+conformed AS (SELECT document_id, {trim_sql('field_name')} AS field_name, {type_sql('field_type', trim_sql('field_name'))} AS field_type, {trim_sql('raw_value')} AS raw_value, least(greatest(coalesce(confidence, 0.85), 0.0), 1.0) AS confidence, seq FROM raw WHERE {trim_sql('raw_value')} <> ''),
+fresh AS (SELECT * FROM conformed WHERE (document_id, field_name) NOT IN (SELECT (document_id, field_name) FROM kept) QUALIFY row_number() OVER (PARTITION BY document_id, field_name ORDER BY seq) = 1),
+merged AS (SELECT * FROM kept UNION ALL SELECT document_id, field_name, field_type, raw_value, confidence, false, false FROM fresh),
+best AS (SELECT document_id, field_name, max(block_confidence) AS best FROM (SELECT document_id, field_name, lower({trim_sql('raw_value')}) AS v FROM merged WHERE NOT is_rejected) JOIN blocks USING (document_id) WHERE length(v) >= 3 AND length(b) >= 3 AND (contains(b, v) OR contains(v, b)) GROUP BY ALL),
+rescored AS (SELECT document_id, field_name, field_type, raw_value, is_verified, is_rejected, CASE WHEN is_rejected OR best IS NULL THEN confidence ELSE 0.7 * confidence + 0.3 * best END AS confidence FROM merged LEFT JOIN best USING (document_id, field_name))"""
+
+
+@query(oracle(f"""WITH {_PIPELINE}, {_validated('rescored')}, {LATE}, {MATH}, everything AS (SELECT document_id, field_name, field_type, normalized_value, confidence, is_rejected FROM validated UNION ALL SELECT document_id, field_name, field_type, NULL, confidence, true FROM rescored WHERE is_rejected),
+final AS (SELECT e.* REPLACE (round(CASE WHEN l.document_id IS NOT NULL THEN 0.35 WHEN s.document_id IS NOT NULL THEN 0.45 ELSE confidence END, 9) AS confidence) FROM everything e LEFT JOIN late l ON l.document_id = e.document_id AND l.target = e.field_name LEFT JOIN sums s ON s.document_id = e.document_id AND e.field_name IN ('total_amount', 'tax_amount'))
+SELECT document_id, field_name, field_type, normalized_value, confidence, is_rejected, {band_sql('confidence')} AS confidence_level FROM final""", "fields"))
+def field_quality_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new extraction of all documents through every step in the order of the platform, rejected fields kept."""
+    rows = Y.field_quality_pipeline(E.fields(spark, sf_dir), _extracted(spark, sf_dir), _field_blocks(spark, sf_dir), ["seq"])
+    return rows.select("document_id", "field_name", "field_type", "normalized_value", "confidence", "is_rejected", "confidence_level")
+
+
 def _raw_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_orderkey")
     kinds = F.array(*map(F.lit, ["date", " id number", "Money", "string", "weird", "", "bool", "Address"]))
@@ -201,7 +237,7 @@ fresh AS (SELECT *, row_number() OVER (PARTITION BY document_id, field_name ORDE
 SELECT * FROM kept UNION ALL SELECT document_id, field_name, field_type, raw_value, confidence, false, false FROM fresh WHERE n = 1""", "fields"))
 def merge_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = Y.conform_extractions(_raw_extractions(spark, sf_dir))
-    return Y.merge_extractions(E.fields(spark, sf_dir), new, [F.col(c) for c in ("seq", "seq2", "confidence", "raw_value")])
+    return Y.merge_extractions(E.fields(spark, sf_dir), new, ["seq", "seq2", "confidence", "raw_value"])
 
 
 @query(oracle("SELECT document_id, field_name FROM fields WHERE is_verified OR is_rejected", "fields"))

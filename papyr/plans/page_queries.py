@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyr.operators import retrieval as R
-from papyr.plans.retrieval_queries import LEXICAL, TERMS, keyword_topk
+from papyr.plans.retrieval_queries import LEXICAL, TERMS, _vector_queries, _vectors, keyword_topk
 from papyr.sources import entities as E
 from papyr.sources.entities import oracle
 
@@ -123,16 +124,11 @@ def document_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", "title", text(F.col("v").cast("array<string>")).alias("versions"), text(F.transform("f", lambda x: x["field_name"])).alias("fields"))
 
 
-@query(oracle(f"WITH {LEXICAL} SELECT query_id, chunk_id, round(keyword_score, 4) AS score FROM scored WHERE keyword_score < 0.95 AND keyword_score > 0.3", "search_queries"))
+@query(oracle(f"WITH {LEXICAL} SELECT query_id, chunk_id, partial_score AS score FROM scored WHERE NOT holds", "search_queries"))
 def partial_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs whose score comes from a part of the terms alone."""
-    found = _keyword_pairs(spark, sf_dir)
-    return found.where("keyword_score < 0.95 and keyword_score > 0.3").select("query_id", "chunk_id", F.round("keyword_score", 4).alias("score"))
-
-
-def _keyword_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score by the share of words alone, of the pairs where the whole query isn't found."""
     chunks = E.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return R.keyword_scores(chunks, E.search_queries(spark, sf_dir))
+    return R.keyword_matches(chunks, E.search_queries(spark, sf_dir)).where("not whole").select("query_id", "chunk_id", F.col("partial_score").alias("score"))
 
 
 _TOPS = f"{LEXICAL}, ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10)"
@@ -150,33 +146,40 @@ def match_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "chunk_id", F.when(none, F.col("rank").cast("long")).otherwise(F.array_position("n", F.col("rank"))).alias("place"))
 
 
-@query("SELECT doc_id AS chunk_id, 'hash' AS model, 64 AS dimension FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 8)")
+@query("""SELECT doc_id AS chunk_id, 'hash' AS model, 64 AS dimension, CASE WHEN length(text) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM documents WHERE sha256('m1' || chr(0) || text) NOT IN (SELECT sha256('m1' || chr(0) || text) FROM documents, embeddings WHERE doc_id = vec_id AND label < 8)""")
 def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors for the chunks that have none of the current model."""
-    have = E.embeddings(spark, sf_dir).where("model = 'm1'").select("chunk_id")
-    missing = E.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(have, "chunk_id", "left_anti")
-    made = missing.withColumn("embedding", R.hash_embed_column(F.col("text")))
-    return made.select("chunk_id", F.lit("hash").alias("model"), F.size("embedding").alias("dimension"))
+    """Vectors for the chunks whose text has none of the current model: a text that was embedded once is covered."""
+    docs = E.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.sha2(F.concat(F.lit("m1\0"), "text"), 256).alias("content_key"))
+    have = E.embeddings(spark, sf_dir).where("model = 'm1'").select("chunk_id").join(docs.select("chunk_id", "content_key"), "chunk_id").select("content_key")
+    missing = docs.join(have, "content_key", "left_anti")
+    made = R.checked_vectors(missing.withColumn("embedding", R.hash_embed_column(F.col("text"))), 64)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return made.select("chunk_id", F.lit("hash").alias("model"), F.size("embedding").alias("dimension"), F.round(norm, 3).alias("norm"))
 
 
-@query(oracle("SELECT e.chunk_id, CASE WHEN e.model <> 'm1' THEN 'm1' ELSE e.model END AS model, e.model <> 'm1' AS replaced FROM doc_embeddings e", "doc_embeddings"))
+@query(oracle("SELECT e.chunk_id, CASE WHEN e.model <> 'hash' AND d.text IS NOT NULL THEN 'hash' ELSE e.model END AS model, e.model <> 'hash' AND d.text IS NOT NULL AS replaced, CASE WHEN e.model <> 'hash' AND d.text IS NOT NULL THEN 1 ELSE round(list_sum(list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x * x)), 3) END AS norm FROM doc_embeddings e LEFT JOIN documents d ON d.doc_id = e.chunk_id", "doc_embeddings"))
 def reembed_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stale vectors get the current model's; where a chunk's text is there, the vector is made anew from it."""
-    stale = F.col("model") != "m1"
+    """Vectors of other models than the hash one are made anew where the text is there, and carry the model that made them.
+
+    The squared length stands for the vector, which is 1 for those made anew; ``reembed_vectors`` has the vectors.
+    """
+    rows = _reembedded(spark, sf_dir, "hash")
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return rows.select("chunk_id", "model", "replaced", F.round(norm, 3).alias("norm"))
+
+
+def _reembedded(spark: SparkSession, sf_dir: str, current: str) -> DataFrame:
     docs = E.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     rows = E.embeddings(spark, sf_dir).join(docs, "chunk_id", "left")
-    fresh = rows.withColumn("embedding", F.when(stale & F.col("text").isNotNull(), R.hash_embed_column(F.coalesce("text", F.lit("")))).otherwise(F.col("embedding")))
-    return fresh.select("chunk_id", F.when(stale, "m1").otherwise(F.col("model")).alias("model"), stale.alias("replaced"))
+    replaced = (F.col("model") != current) & F.col("text").isNotNull()
+    fresh = F.when(replaced, R.hash_embed_column(F.when(replaced, F.col("text")))).otherwise(F.col("embedding"))
+    return rows.select("chunk_id", F.when(replaced, "hash").otherwise(F.col("model")).alias("model"), replaced.alias("replaced"), fresh.alias("embedding"))
 
 
 @query()
 def reembed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors after the renewal of stale ones: replaced where the chunk's text is there, else as they were."""
-    docs = E.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    rows = E.embeddings(spark, sf_dir).join(docs, "chunk_id", "left")
-    replaced = (F.col("model") != "m1") & F.col("text").isNotNull()
-    fresh = F.when(replaced, R.hash_embed_column(F.coalesce("text", F.lit("")))).otherwise(F.col("embedding"))
-    return rows.select("chunk_id", F.when(replaced, "m1").otherwise(F.col("model")).alias("model"), replaced.alias("replaced"), fresh.alias("embedding"))
+    """All vectors after the renewal of those that aren't of model m1: made anew (by hash) where the chunk's text is there."""
+    return _reembedded(spark, sf_dir, "m1")
 
 
 def _all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,34 +192,64 @@ def _all_vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth vector's ten nearest of its model, by an index for each model."""
+    """Every tenth vector's ten nearest of its user group and model, by random projections."""
+    return approx_topk(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10)
+
+
+@query()
+def semantic_topk_approx_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all users' vectors, deleted documents too: every vector is indexed."""
     return approx_topk(_all_vectors(spark, sf_dir), _all_vector_queries(spark, sf_dir), 10)
 
 
-def approx_topk(rows: DataFrame, asked: DataFrame, k: int, bucket: float = 1.5, tables: int = 6) -> DataFrame:
-    """(model, chunk_id, embedding) x (query_id, model, vector) -> query_id, chunk_id, semantic_score, rank.
+#: Share of the spread that a bucket covers, and tables.
+BUCKET_SHARE, TABLES = 1 / 8, 10
+
+
+def approx_topk(rows: DataFrame, asked: DataFrame, k: int, share: float = BUCKET_SHARE, tables: int = TABLES) -> DataFrame:
+    """(user_id, model, chunk_id, embedding) x (query_id, user_id, model, vector) -> query_id, chunk_id, semantic_score, rank.
 
-    Random projections of unit vectors find the candidates, which are ranked exactly whatever their distance. A query
-    with fewer than ``k`` candidates is compared with all vectors of its model. Vectors have a length above 0.
+    Random projections of unit vectors find the candidates within a user and model, which are ranked exactly whatever
+    their distance. The buckets' length follows from the spread of the projections, measured on a bounded sample, so
+    that a bucket holds about ``share`` of the vectors. A query with fewer than ``k`` candidates is compared with all
+    vectors of its user and model. Vectors have a length above 0.
     """
     unit = lambda c: array_to_vector(F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y))))
-    found = None
-    for (model,) in asked.select("model").distinct().collect():
-        own = rows.where(F.col("model") == model).select("chunk_id", unit(F.col("embedding")).alias("vector"))
-        ask = asked.where(F.col("model") == model).select("query_id", unit(F.col("vector")).alias("vector"))
-        lsh = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=3).fit(own)
-        pairs = lsh.approxSimilarityJoin(ask, own, 3.0, "distance")  # no two unit vectors are farther apart than 2
-        score = F.round(F.greatest(1 - F.col("distance") ** 2 / 2, F.lit(0.0)), 4)
-        near = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"), score.alias("semantic_score"))
-        found = near if found is None else found.unionByName(near)
-    if found is None:
+    own = rows.select("user_id", "model", "chunk_id", unit(F.col("embedding")).alias("vector"))
+    ask = asked.select("query_id", "user_id", "model", unit(F.col("vector")).alias("vector"))
+    sample = own.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_003)) < _sample_bound(own)).select("vector").limit(SAMPLE).collect()
+    if not sample:
         return R.semantic_topk(rows, asked, k)
-    found = R.top_k(found, "semantic_score", k)
+    length = float(max(_spread([r[0].toArray() for r in sample]) * share, 1e-9))
+    lsh = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=3).fit(own)
+    bucket = F.posexplode(F.transform("hashes", lambda h: vector_to_array(h)[0]))
+    left = lsh.transform(ask).select("query_id", "user_id", "model", bucket.alias("table", "bucket"))
+    right = lsh.transform(own).select("chunk_id", "user_id", "model", bucket.alias("table", "bucket"))
+    pairs = left.join(right, ["user_id", "model", "table", "bucket"]).select("query_id", "chunk_id").distinct()
+    near = pairs.join(ask.select("query_id", F.col("vector").alias("q")), "query_id").join(own.select("chunk_id", "vector"), "chunk_id")
+    dot = F.aggregate(F.zip_with(vector_to_array("q"), vector_to_array("vector"), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    found = R.top_k(near.select("query_id", "chunk_id", F.round(F.greatest(dot, F.lit(0.0)), 4).alias("semantic_score")), "semantic_score", k)
     full = found.where(F.col("rank") == k).select("query_id")
     short = asked.join(full, "query_id", "left_anti")
     return found.join(full, "query_id", "left_semi").unionByName(R.semantic_topk(rows, short, k))
 
 
+#: Vectors that the spread is measured on.
+SAMPLE = 2000
+
+
+def _sample_bound(rows: DataFrame) -> Column:
+    return F.lit(max(int(1_000_003 * min(1.0, 2 * SAMPLE / max(rows.count(), 1))), 1))
+
+
+def _spread(vectors: list[np.ndarray]) -> float:
+    """Range that holds the middle of the projections on random directions: four standard deviations."""
+    x = np.array(vectors)
+    directions = np.random.default_rng(5).normal(size=(x.shape[1], 64))
+    directions /= np.linalg.norm(directions, axis=0)
+    return 4 * float((x @ directions).std(0).mean())
+
+
 @query(oracle(f"""WITH {TERMS}, wanted AS (SELECT DISTINCT query_id, lower(unnest(terms)) AS term FROM terms), toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM toks WHERE term IN (SELECT term FROM wanted) GROUP BY ALL), len AS (SELECT doc_id, count(*) AS n FROM toks GROUP BY doc_id), stats AS (SELECT count(*) AS docs, sum(n) / count(*) AS mean FROM len),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)

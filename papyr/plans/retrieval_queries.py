@@ -31,12 +31,22 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TERMS = f"""q AS (SELECT query_id, {trim_sql('query')} AS query, list_filter(list_transform(regexp_split_to_array({trim_sql('query')}, '[{SP}]+'), lambda w: regexp_replace(w, '[''":*&|!()\\\\]', '', 'g')), lambda w: length(w) >= 2) AS kept FROM search_queries WHERE {trim_sql('query')} <> ''
 ), terms AS (SELECT query_id, query, CASE WHEN len(kept) > 0 THEN kept ELSE [query] END AS terms FROM q)"""
-LEXICAL = f"""{TERMS}, scored AS (SELECT query_id, chunk_id, floor(greatest(CASE WHEN contains(low, lower(query)) THEN 0.95 ELSE 0.0 END, 0.10 + 0.35 * len(list_filter(terms, lambda w: contains(low, lower(w)))) / greatest(len(terms), 1)) * 10000 + 0.5) / 10000 AS keyword_score
-  FROM terms, (SELECT doc_id AS chunk_id, lower(text) AS low FROM documents) WHERE contains(low, lower(query)) OR len(list_filter(terms, lambda w: length(w) >= 3 AND contains(low, lower(w)))) > 0)"""
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+LEXICAL = f"""{TERMS}, places AS (SELECT DISTINCT doc_id, token, least(pos, 16383) AS pos FROM (SELECT doc_id, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents))),
+wanted AS (SELECT DISTINCT query_id, unnest({_WORDS.format('query')}) AS token FROM terms), needed AS (SELECT query_id, count(*) AS n FROM wanted GROUP BY query_id),
+near AS (SELECT query_id, doc_id, token, pos FROM wanted JOIN places USING (token) QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, token ORDER BY pos) <= 256),
+whole AS (SELECT query_id, doc_id, any_value(n) AS n FROM near JOIN needed USING (query_id) GROUP BY query_id, doc_id HAVING count(DISTINCT token) = any_value(n)),
+one AS (SELECT query_id, doc_id, sum(0.1 / k / k) / 1.64493406685 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS k FROM near JOIN whole USING (query_id, doc_id) WHERE n = 1) GROUP BY query_id, doc_id),
+several AS (SELECT query_id, doc_id, 1 - exp(sum(ln(1 - 0.1 * sqrt(CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) END)))) AS rank FROM (SELECT a.query_id, a.doc_id, abs(a.pos - b.pos) AS d FROM near a JOIN whole USING (query_id, doc_id) JOIN near b ON b.query_id = a.query_id AND b.doc_id = a.doc_id AND b.token < a.token WHERE n > 1) WHERE d > 0 GROUP BY query_id, doc_id),
+ranks AS (SELECT query_id, doc_id AS chunk_id, coalesce(one.rank, several.rank, 1e-20) AS text_rank FROM whole LEFT JOIN one USING (query_id, doc_id) LEFT JOIN several USING (query_id, doc_id)),
+held AS (SELECT query_id, chunk_id, contains(low, lower(query)) AS holds, 0.10 + 0.35 * len(list_filter(terms, lambda w: contains(low, lower(w)))) / greatest(len(terms), 1) AS share, len(list_filter(terms, lambda w: length(w) >= 3 AND contains(low, lower(w)))) > 0 AS long
+  FROM terms, (SELECT doc_id AS chunk_id, lower(text) AS low FROM documents)),
+scored AS (SELECT query_id, chunk_id, holds, floor(share * 10000 + 0.5) / 10000 AS partial_score, floor(greatest(CASE WHEN holds THEN 0.95 ELSE 0.0 END, 1.5 * coalesce(text_rank, 0), share) * 10000 + 0.5) / 10000 AS keyword_score
+  FROM held LEFT JOIN ranks USING (query_id, chunk_id) WHERE holds OR long OR text_rank IS NOT NULL)"""
 
 
-def _top(rows: str, score: str, k: int) -> str:
-    return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_id) AS INTEGER) AS rank FROM {rows}) WHERE rank <= {k}"
+def _top(rows: str, score: str, k: int, columns: str = "*") -> str:
+    return f"SELECT * FROM (SELECT {columns}, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_id) AS INTEGER) AS rank FROM {rows}) WHERE rank <= {k}"
 
 
 @query(oracle(f"WITH {TERMS} SELECT query_id, array_to_string(terms, '|') AS terms FROM terms", "search_queries"))
@@ -44,12 +54,19 @@ def tokenize_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.search_queries(spark, sf_dir).select("query_id", F.array_join(R.query_terms(F.col("query")), "|").alias("terms"))
 
 
-@query(oracle(f"WITH {LEXICAL} SELECT * FROM scored", "search_queries"))
+@query(oracle(f"WITH {LEXICAL} SELECT query_id, chunk_id, round(text_rank, 5) AS text_rank FROM ranks", "search_queries"))
+def text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full-text rank, without stemming, of the chunks that have all words of a query."""
+    found = R.keyword_matches(_chunks(spark, sf_dir), E.search_queries(spark, sf_dir)).where("text_rank > 0")
+    return found.select("query_id", "chunk_id", F.round("text_rank", 5).alias("text_rank"))
+
+
+@query(oracle(f"WITH {LEXICAL} SELECT query_id, chunk_id, keyword_score FROM scored", "search_queries"))
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyword_scores(_chunks(spark, sf_dir), E.search_queries(spark, sf_dir))
 
 
-@query(oracle(f"WITH {LEXICAL} {_top('scored', 'keyword_score', 10)}", "search_queries"))
+@query(oracle(f"WITH {LEXICAL} {_top('scored', 'keyword_score', 10, 'query_id, chunk_id, keyword_score')}", "search_queries"))
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(keyword_score(spark, sf_dir), "keyword_score", 10)
 
@@ -108,38 +125,36 @@ def cosine_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("b_id") == F.col("a_id") + 1).select("a_id", "b_id", F.round(F.greatest(R.cosine(F.col("a"), F.col("b")), F.lit(0.0)), 4).alias("similarity"))
 
 
-def _text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir).select(F.lit(0).alias("user_id"), F.lit("hash").alias("model"), "chunk_id", R.hash_embed_column(F.col("content")).alias("embedding"))
-
-
 @query()
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash vectors and terms of the benchmark's passages over all documents: 20 candidates each, the best 10."""
-    asked = E.search_queries(spark, sf_dir)
-    vectors = asked.select("query_id", F.lit(0).alias("user_id"), F.lit("hash").alias("model"), R.hash_embed_column(F.col("query")).alias("vector"))
-    semantic = R.semantic_topk(_text_vectors(spark, sf_dir), vectors, 20)
-    return R.fuse(semantic, R.top_k(keyword_score(spark, sf_dir), "keyword_score", 20), 10)
+    return R.hybrid_topk(_chunks(spark, sf_dir), E.search_queries(spark, sf_dir), 10)
+
 
+def _text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of ``_vector_queries`` as words: the opening of the document that each vector is of."""
+    asked = _vector_queries(spark, sf_dir).select("query_id")
+    return asked.join(_chunks(spark, sf_dir), F.col("chunk_id") == F.col("query_id")).select("query_id", F.substring("content", 1, 60).alias("query"))
 
-_CANDIDATES = f"{VECTORS}, near AS ({_top('nearest', 'semantic_score', 20)}), lex AS (SELECT query_id, chunk_id, ((chunk_id * 7 + query_id) % 95 + 5) / 100 AS keyword_score FROM nearest WHERE (chunk_id + query_id) % 3 = 0), lexk AS ({_top('lex', 'keyword_score', 20)})"
+
+_ASKED = "search_queries AS (SELECT doc_id AS query_id, substr(text, 1, 60) AS query FROM documents WHERE doc_id IN (SELECT chunk_id FROM vectors WHERE chunk_id % 10 = 0))"
+_CANDIDATES = f"{VECTORS}, {_ASKED}, {LEXICAL}, near20 AS ({_top('nearest', 'semantic_score', 20)}), lexk AS ({_top('scored', 'keyword_score', 20, 'query_id, chunk_id, keyword_score')})"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Semantic candidates, and lexical scores made from the keys of the same pairs."""
-    asked = _vector_queries(spark, sf_dir)
-    pairs = _vectors(spark, sf_dir).join(asked, ["user_id", "model"]).where((F.col("chunk_id") + F.col("query_id")) % 3 == 0)
-    lexical = pairs.select("query_id", "chunk_id", (((F.col("chunk_id") * 7 + F.col("query_id")) % 95 + 5) / 100).alias("keyword_score"))
-    return R.semantic_topk(_vectors(spark, sf_dir), asked, 20), R.top_k(lexical, "keyword_score", 20)
+    """Semantic candidates by the vectors and lexical ones by the words of the same queries, 20 each."""
+    lexical = R.keyword_scores(_chunks(spark, sf_dir), _text_queries(spark, sf_dir))
+    return R.semantic_topk(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 20), R.top_k(lexical, "keyword_score", 20)
 
 
 @query(oracle(f"""WITH {_CANDIDATES}, fused AS (SELECT query_id, chunk_id, coalesce(round(s, 4), 0.0) AS semantic_score, coalesce(round(w, 4), 0.0) AS keyword_score,
   round(CASE WHEN s IS NOT NULL AND w IS NOT NULL THEN round(s, 4) * 0.6 + w * 0.4 WHEN s IS NOT NULL THEN s * 0.6 ELSE w * 0.4 END, 4) AS final_score
-  FROM (SELECT query_id, chunk_id, semantic_score / greatest(max(semantic_score) OVER (PARTITION BY query_id), 0.001) AS s FROM near) FULL JOIN (SELECT query_id, chunk_id, keyword_score / greatest(max(keyword_score) OVER (PARTITION BY query_id), 0.001) AS w FROM lexk) USING (query_id, chunk_id)) {_top('fused', 'final_score', 10)}""", "doc_embeddings", "documents_meta"))
+  FROM (SELECT query_id, chunk_id, semantic_score / greatest(max(semantic_score) OVER (PARTITION BY query_id), 0.001) AS s FROM near20) FULL JOIN (SELECT query_id, chunk_id, keyword_score / greatest(max(keyword_score) OVER (PARTITION BY query_id), 0.001) AS w FROM lexk) USING (query_id, chunk_id)) {_top('fused', 'final_score', 10)}""", "doc_embeddings", "documents_meta"))
 def fuse_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fuse(*_candidates(spark, sf_dir), 10)
 
 
-@query(oracle(f"WITH {_CANDIDATES} SELECT query_id, chunk_id, semantic_score, keyword_score FROM near FULL JOIN lexk USING (query_id, chunk_id)", "doc_embeddings", "documents_meta"))
+@query(oracle(f"WITH {_CANDIDATES} SELECT query_id, chunk_id, semantic_score, keyword_score FROM near20 FULL JOIN lexk USING (query_id, chunk_id)", "doc_embeddings", "documents_meta"))
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     semantic, lexical = _candidates(spark, sf_dir)
     return semantic.drop("rank").join(lexical.drop("rank"), ["query_id", "chunk_id"], "full_outer")
@@ -158,13 +173,20 @@ def model_mismatch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owned.join(owned.where("model = 'm1'").select("user_id").distinct(), "user_id", "left_anti").groupBy("user_id", "model").agg(F.count(F.lit(1)).alias("vectors"))
 
 
-@query(oracle("SELECT query_id, chunk_id, CASE WHEN query_id % 3 = 0 THEN 'hybrid' WHEN query_id % 3 = 1 THEN 'semantic' ELSE 'keyword' END AS mode, score FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM (SELECT query_id, doc_id AS chunk_id, (doc_id * 13 + query_id) % 97 / 97 AS score FROM search_queries JOIN documents ON doc_id % 40 = query_id % 40)) WHERE n <= 5", "search_queries"))
+@query()
 def search_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's mode picks its ranking; here all modes rank by one made-up score of the pair's keys."""
-    pairs = E.search_queries(spark, sf_dir).join(E.table(spark, sf_dir, "documents").select("doc_id"), F.col("doc_id") % 40 == F.col("query_id") % 40)
-    scored = pairs.select("query_id", F.col("doc_id").alias("chunk_id"), ((F.col("doc_id") * 13 + F.col("query_id")) % 97 / 97).alias("score"))
-    modes = [R.top_k(scored.where(F.col("query_id") % 3 == i), "score", 5).select("query_id", "chunk_id", F.lit(m).alias("mode"), "score") for i, m in enumerate(("hybrid", "semantic", "keyword"))]
-    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+    """Each query's mode picks its ranking: hybrid, semantic or keyword; with the number of results that it got."""
+    asked = E.search_queries(spark, sf_dir).withColumn("mode", F.get(F.array(*map(F.lit, ("hybrid", "semantic", "keyword"))), (F.col("query_id") % 3).cast("int")))
+    return dispatch(_chunks(spark, sf_dir), asked, 5)
+
+
+def dispatch(chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, query, mode) -> query_id, mode, chunk_id, score, rank, total_results: at most ``k`` chunks a query."""
+    both = R.hybrid_topk(chunks, asked.where("mode = 'hybrid'"), k).select("query_id", "chunk_id", F.col("final_score").alias("score"), "rank")
+    near = R.text_semantic_topk(chunks, asked.where("mode = 'semantic'"), k).select("query_id", "chunk_id", F.col("semantic_score").alias("score"), "rank")
+    words = R.top_k(R.keyword_scores(chunks, asked.where("mode = 'keyword'")), "keyword_score", k).select("query_id", "chunk_id", F.col("keyword_score").alias("score"), "rank")
+    rows = both.unionByName(near).unionByName(words).join(asked.select("query_id", "mode"), "query_id")
+    return rows.withColumn("total_results", F.count(F.lit(1)).over(Window.partitionBy("query_id"))).select("query_id", "mode", "chunk_id", "score", "rank", "total_results")
 
 
 _ANSWER = "'See [Source ' || (conv_id % 4 + 1) || ', p. 2] and 【Source 1】.' || chr(10) || CASE WHEN conv_id % 5 = 0 THEN 'Source 3 too' ELSE '[source 2]' END"
@@ -179,19 +201,21 @@ def citation_first_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join(R.cited_sources(answer), ",").alias("cited"))
 
 
-@query(oracle("""SELECT query_id, string_agg('[Source ' || rank || ': ' || title || ', Page ' || (chunk_id % 9 + 1) || CASE WHEN chunk_id % 2 = 0 THEN ', Section: S' || (chunk_id % 5) ELSE '' END || ', Category: ' || coalesce(category, 'General') || ']' || chr(10) || replace(text, '**', ''), chr(10) || chr(10) ORDER BY rank) AS context
-FROM (SELECT query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM search_queries JOIN documents ON doc_id % 97 = query_id % 97) JOIN documents ON doc_id = chunk_id JOIN documents_meta ON document_id = chunk_id WHERE rank <= 8 GROUP BY query_id""", "search_queries", "documents_meta"))
+@query(oracle(f"""WITH {LEXICAL}, ranked AS ({_top('scored', 'keyword_score', 8, 'query_id, chunk_id, keyword_score')}), lines AS (SELECT query_id, string_agg('[Source ' || rank || ': ' || coalesce(title, 'Document') || ', Page ' || (chunk_id % 9 + 1) || ',' || CASE WHEN chunk_id % 2 = 0 THEN ' Section: S' || (chunk_id % 5) || ',' ELSE '' END || ' Category: ' || coalesce(category, 'General') || ']' || chr(10) || replace(text, '**', ''), chr(10) || chr(10) ORDER BY rank) AS context
+FROM ranked JOIN documents ON doc_id = chunk_id LEFT JOIN documents_meta ON document_id = chunk_id GROUP BY query_id) SELECT q.query_id, coalesce(context, 'No relevant document context found.') AS context FROM search_queries q LEFT JOIN lines USING (query_id)""", "search_queries", "documents_meta"))
 def build_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt context of each query from eight ranked chunks."""
-    docs = E.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    pairs = E.search_queries(spark, sf_dir).join(docs.select("chunk_id"), F.col("chunk_id") % 97 == F.col("query_id") % 97)
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where("rank <= 8").select("query_id", "chunk_id", "rank")
-    meta = E.documents_meta(spark, sf_dir).select(F.col("document_id").alias("chunk_id"), "title", "category")
+    """The prompt context of each query from its eight best chunks."""
+    asked = E.search_queries(spark, sf_dir)
+    ranked = R.top_k(R.keyword_scores(_chunks(spark, sf_dir), asked), "keyword_score", 8)
+    return R.build_context(asked, ranked, _titled_chunks(spark, sf_dir))
+
+
+def _titled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with what a context line says of them: title, page, section (every other has one), category."""
     key = F.col("chunk_id")
+    meta = E.documents_meta(spark, sf_dir).select(F.col("document_id").alias("chunk_id"), "title", "category")
     section = F.when(key % 2 == 0, F.concat(F.lit("S"), (key % 5).cast("string")))
-    rows = ranked.join(docs, "chunk_id").join(meta, "chunk_id").select("query_id", "rank", R.context_line(F.col("rank"), F.col("title"), key % 9 + 1, section, F.col("category"), F.col("text")).alias("line"))
-    lines = F.array_sort(F.collect_list(F.struct("rank", "line")))
-    return rows.groupBy("query_id").agg(lines.alias("l")).select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n\n").alias("context"))
+    return _chunks(spark, sf_dir).join(meta, "chunk_id", "left").select("chunk_id", F.coalesce("title", F.lit("Document")).alias("title"), (key % 9 + 1).alias("page"), section.alias("section"), "category", "content")
 
 
 @query(oracle("SELECT conversation_id, turn, (SELECT string_agg(m.role || ': ' || m.content, chr(10) ORDER BY m.turn) FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS n FROM messages) m WHERE m.conversation_id = q.conversation_id AND m.n < q.n AND m.n >= q.n - 6) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS n FROM messages) q WHERE role = 'USER'", "messages"))
@@ -204,11 +228,14 @@ def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per question: language, instruction, history and question, as the input of a model run elsewhere."""
+    """One row per question: language, instruction, history, context and question, as the input of a model run elsewhere."""
     asked = E.messages(spark, sf_dir).where("role = 'USER'").withColumn("language", query_language(F.col("content")))
-    rows = asked.join(chat_history(spark, sf_dir), ["conversation_id", "turn"])
+    questions = asked.select(F.struct("conversation_id", "turn").alias("id"), "content").select(F.to_json("id").alias("query_id"), F.col("content").alias("query"))
+    ranked = R.top_k(R.keyword_scores(_chunks(spark, sf_dir), questions), "keyword_score", 5)
+    context = R.build_context(questions, ranked, _titled_chunks(spark, sf_dir))
+    rows = asked.join(chat_history(spark, sf_dir), ["conversation_id", "turn"]).withColumn("query_id", F.to_json(F.struct("conversation_id", "turn"))).join(context, "query_id")
     instruction = F.when(F.col("language") == "hi", "Answer in Hindi and cite the sources.").otherwise("Answer in English and cite the sources.")
-    return rows.select("conversation_id", "turn", "language", instruction.alias("system"), "history", F.col("content").alias("question"))
+    return rows.select("conversation_id", "turn", "language", instruction.alias("system"), "history", "context", F.col("content").alias("question"))
 
 
 @query("SELECT doc_id, substr(text, 1, 2500) AS for_classification, substr(text, 1, 16000) AS for_extraction FROM documents")

@@ -82,9 +82,10 @@ def normalize_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.table(spark, sf_dir, "documents").select("doc_id", T.normalize(_rough(F.col("text"))).alias("normalized"))
 
 
-@query(oracle("SELECT version_id, string_agg(raw_text, chr(10) || chr(10) ORDER BY page_number) AS full_text FROM ocr_pages GROUP BY version_id", "ocr_pages"))
+@query(oracle(f"SELECT version_id, string_agg({normalize_sql('raw_text')}, chr(10) || chr(10) ORDER BY page_number) AS full_text FROM ocr_pages GROUP BY version_id", "ocr_pages"))
 def concat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = E.ocr_pages(spark, sf_dir).groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "raw_text"))).alias("p"))
+    """The normalised pages of a version, joined by a blank line."""
+    pages = E.ocr_pages(spark, sf_dir).withColumn("raw_text", T.normalize(F.col("raw_text"))).groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "raw_text"))).alias("p"))
     return pages.select("version_id", F.array_join(F.transform("p", lambda x: x["raw_text"]), "\n\n").alias("full_text"))
 
 
@@ -179,7 +180,7 @@ def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = pages.where("lang <> 'unknown'").groupBy("version_id", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("page_number").alias("first_page"))
     ranked = votes.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first_page", "lang"))).alias("v"))
     langs = F.transform("v", lambda x: x["lang"])
-    return ranked.select("version_id", langs[0].alias("primary_language"), F.array_join(F.slice(langs, 2, 100), ",").alias("secondary_languages"))
+    return ranked.select("version_id", langs[0].alias("primary_language"), F.array_join(F.slice(langs, F.lit(2), F.size(langs)), ",").alias("secondary_languages"))
 
 
 @query(oracle(CHUNKS_SQL + f", c AS (SELECT version_id, {tokens_sql(words_sql('content'))} AS t FROM (SELECT version_id, {trim_sql('content')} AS content FROM raw) WHERE length(content) >= 20) SELECT doc_id AS version_id, count(t) AS chunk_count, CAST(floor(coalesce(avg(t), 0) + 0.5) AS INTEGER) AS average_tokens, count(t) = 0 AS no_chunks FROM documents LEFT JOIN c ON version_id = doc_id GROUP BY doc_id", "ocr_pages").replace("WITH ocr_pages", "WITH RECURSIVE ocr_pages", 1).replace("RECURSIVE blocked", "blocked", 1))
