@@ -50,9 +50,12 @@ def normalize(text: Column) -> Column:
 
 def script_language(text: Column, least: int = 5) -> Column:
     """hi, en, hi+en by the share of Devanagari among Devanagari and Latin letters; unknown below ``least``."""
-    deva = F.regexp_count(text, F.lit(DEVANAGARI))
-    total = deva + F.regexp_count(text, F.lit("[a-zA-Z]"))
-    return F.when(total < least, "unknown").when(deva / total > 0.6, "hi").when(deva / total < 0.2, "en").otherwise("hi+en")
+
+    def by(counts: Column) -> Column:
+        deva, total = counts["deva"], counts["deva"] + counts["latin"]
+        return F.when(total < least, "unknown").when(deva / total > 0.6, "hi").when(deva / total < 0.2, "en").otherwise("hi+en")
+
+    return let(F.struct(F.regexp_count(text, F.lit(DEVANAGARI)).alias("deva"), F.regexp_count(text, F.lit("[a-zA-Z]")).alias("latin")), by)
 
 
 def query_language(text: Column) -> Column:
@@ -65,19 +68,23 @@ def _parts(text: Column, pattern: str) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces after a sentence mark and white space; the whole text where there is none."""
-    found = _parts(text, rf"(?<=[{SENTENCE_END}])[{SPACE}]+")
-    return F.when(F.size(found) > 0, found).otherwise(F.filter(F.array(trim_all(text)), lambda p: p != ""))
+    whole = F.filter(F.array(trim_all(text)), lambda p: p != "")
+    return let(_parts(text, rf"(?<=[{SENTENCE_END}])[{SPACE}]+"), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
 
 def blocks(text: Column) -> Column:
     """Paragraphs; where there is one only, lines; where there is one only, sentences."""
-    by_blank, by_line = _parts(text, rf"\n[{SPACE}]*\n+"), _parts(text, r"\n+")
-    return F.when(F.size(by_blank) > 1, by_blank).when(F.size(by_line) > 1, by_line).otherwise(sentences(text))
+    by_line = let(_parts(text, r"\n+"), lambda lines: F.when(F.size(lines) > 1, lines).otherwise(sentences(text)))
+    return let(_parts(text, rf"\n[{SPACE}]*\n+"), lambda parts: F.when(F.size(parts) > 1, parts).otherwise(by_line))
 
 
 def is_heading(block: Column) -> Column:
     """One line of up to 80 characters that ends with a colon, or has capital and no small letters."""
-    t = trim_all(block)
+    return let(trim_all(block), is_trimmed_heading)
+
+
+def is_trimmed_heading(t: Column) -> Column:
+    """``is_heading`` of a text without white space around it."""
     capital = (F.length(t) > 3) & t.rlike(r"\p{Lu}") & ~t.rlike(r"\p{Ll}")
     return (F.length(t) <= 80) & ~F.contains(t, F.lit("\n")) & (F.endswith(t, F.lit(":")) | capital)
 

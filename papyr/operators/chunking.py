@@ -13,7 +13,10 @@ WORDS_PER_PIECE = int(HARD_MAX / 1.3)
 
 
 def fold_blocks(blocks: Column) -> Column:
-    """Blocks -> array of (section, content): headings start sections, 300 tokens close a chunk, 600 are the most."""
+    """Trimmed blocks -> array of (section, content): headings start sections, 300 tokens close a chunk, 600 are the most.
+
+    Words and headings are looked up once a block, before the fold.
+    """
     kind = "struct<section:string,content:string>"
     start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("words"), F.lit(None).cast("string").alias("section"), F.array().cast(f"array<{kind}>").alias("out"))
 
@@ -23,8 +26,8 @@ def fold_blocks(blocks: Column) -> Column:
     def piece(section: Column, content: Column) -> Column:
         return F.array(F.struct(section.alias("section"), content.alias("content")))
 
-    def step(acc: Column, block: Column) -> Column:
-        own = T.word_count(block)
+    def step(acc: Column, known: Column) -> Column:
+        block, own = known["text"], known["words"]
         words = acc["words"] + own
         flushed = F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], piece(acc["section"], acc["buf"])))
         joined = F.when(acc["buf"] == "", block).otherwise(F.concat(acc["buf"], F.lit("\n\n"), block))
@@ -32,7 +35,7 @@ def fold_blocks(blocks: Column) -> Column:
         alone = T.tokens_of_words(own) >= TARGET_MAX
         empty, none = F.lit(""), F.lit(0)
         return (
-            F.when(T.is_heading(block), state(block, own, block, flushed))
+            F.when(known["heading"], state(block, own, block, flushed))
             .when(full & (acc["buf"] != "") & alone, state(empty, none, acc["section"], F.concat(flushed, piece(acc["section"], block))))
             .when(full & (acc["buf"] != ""), state(block, own, acc["section"], flushed))
             .when(T.tokens_of_words(words) >= TARGET_MIN, state(empty, none, acc["section"], F.concat(acc["out"], piece(acc["section"], joined))))
@@ -42,15 +45,16 @@ def fold_blocks(blocks: Column) -> Column:
     def finish(acc: Column) -> Column:
         return F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], piece(acc["section"], acc["buf"])))
 
-    return F.aggregate(blocks, start, step, finish)
+    known = F.transform(blocks, lambda b: F.struct(b.alias("text"), T.word_count(b).alias("words"), T.is_trimmed_heading(b).alias("heading")))
+    return F.aggregate(known, start, step, finish)
 
 
 def enforce_hard_limit(content: Column) -> Column:
     """A text of over 1000 tokens -> sentences packed up to 1000; a longer sentence is cut every 769 words."""
     start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("words"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, sentence: Column) -> Column:
-        own = T.word_count(sentence)
+    def step(acc: Column, known: Column) -> Column:
+        sentence, own = known["text"], known["words"]
         flushed = F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"])))
         words = F.filter(F.split(sentence, rf"[{T.SPACE}]+"), lambda w: w != "")
         cuts = F.sequence(F.lit(1), F.greatest(own, F.lit(1)), F.lit(WORDS_PER_PIECE))
@@ -66,7 +70,8 @@ def enforce_hard_limit(content: Column) -> Column:
             .otherwise(state(sentence, own, flushed))
         )
 
-    packed = F.aggregate(T.sentences(content), start, step, lambda acc: F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"]))))
+    known = F.transform(T.sentences(content), lambda s: F.struct(s.alias("text"), T.word_count(s).alias("words")))
+    packed = F.aggregate(known, start, step, lambda acc: F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"]))))
     return F.when(T.estimate_tokens(content) <= HARD_MAX, F.array(content)).otherwise(packed)
 
 

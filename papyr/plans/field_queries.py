@@ -99,18 +99,18 @@ def _validated(src: str = "fields") -> str:
 
 @query(oracle(f"SELECT document_id, field_name, raw_value, CAST({date_sql('raw_value')} AS VARCHAR) AS parsed FROM fields WHERE field_type = 'DATE'", "fields"))
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.fields(spark, sf_dir).where("field_type = 'DATE'").select("document_id", "field_name", "raw_value", P.parse_date(F.col("raw_value")).cast("string").alias("parsed"))
+    return E.fields(spark, sf_dir, "DATE").select("document_id", "field_name", "raw_value", P.parse_date(F.col("raw_value")).cast("string").alias("parsed"))
 
 
 @query(oracle(f"SELECT document_id, field_name, raw_value, {amount_sql('raw_value')} AS amount FROM fields WHERE field_type = 'CURRENCY'", "fields"))
 def parse_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.fields(spark, sf_dir).where("field_type = 'CURRENCY'").select("document_id", "field_name", "raw_value", P.parse_amount(F.col("raw_value")).alias("amount"))
+    return E.fields(spark, sf_dir, "CURRENCY").select("document_id", "field_name", "raw_value", P.parse_amount(F.col("raw_value")).alias("amount"))
 
 
 @query(oracle(f"SELECT document_id, raw_value, {_LOOKS} AS looks_like, {_GST} AS valid FROM fields WHERE field_name = 'gstin'", "fields"))
 def validate_gstin(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw_value")
-    return E.fields(spark, sf_dir).where("field_name = 'gstin'").select("document_id", "raw_value", P.looks_like_gstin(raw).alias("looks_like"), P.is_gstin(raw).alias("valid"))
+    return E.fields(spark, sf_dir, "ID_NUMBER").select("document_id", "raw_value", P.looks_like_gstin(raw).alias("looks_like"), P.is_gstin(raw).alias("valid"))
 
 
 @query(oracle(f"SELECT document_id, field_name, {band_sql('confidence')} AS confidence_level FROM fields", "fields"))

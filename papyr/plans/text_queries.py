@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papyr.functions import text as T
 from papyr.operators import chunking
+from papyr.operators.joins import join_by_hot_key
 from papyr.sources import entities as E
 from papyr.sources.entities import oracle
 
@@ -204,10 +205,11 @@ def _chunk_stats(spark: SparkSession, sf_dir: str, hard_limit: bool) -> DataFram
 
 @query("SELECT doc_id, sha256('m1' || chr(0) || text) AS content_key, min(doc_id) OVER (PARTITION BY text) AS embed_with, row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1 AS embeds FROM documents")
 def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct text is embedded once: by its document of the smallest id. Only hashes are shuffled."""
+    """Each distinct text is embedded once: by its document of the smallest id. Only hashes are shuffled, hot ones aren't."""
     rows = E.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat(F.lit("m1\0"), "text"), 256).alias("content_key"))
-    first = rows.groupBy("content_key").agg(F.min("doc_id").alias("embed_with"))
-    return rows.join(first, "content_key").select("doc_id", "content_key", "embed_with", (F.col("doc_id") == F.col("embed_with")).alias("embeds"))
+    first = rows.groupBy("content_key").agg(F.min("doc_id").alias("embed_with"), F.count(F.lit(1)).alias("n"))
+    total = E.table(spark, sf_dir, "documents").count()
+    return join_by_hot_key(rows, first, "content_key", total).select("doc_id", "content_key", "embed_with", (F.col("doc_id") == F.col("embed_with")).alias("embeds"))
 
 
 @query(r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') || '<', '>([^<]+)<', 1), lambda p: trim(regexp_replace(p, '[\x20\t\n\r]+', ' ', 'g'))), lambda p: p <> ''), ' ') AS page_text FROM pages""")

@@ -87,8 +87,11 @@ def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("size_bytes", F.octet_length("content").cast("long"))
 
 
-def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """document_id, field_name, field_type, raw_value, confidence, is_verified, is_rejected."""
+def fields(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFrame:
+    """document_id, field_name, field_type, raw_value, confidence, is_verified, is_rejected; all or of one type.
+
+    The type is chosen before the fields are unpivoted, so that no other field is made.
+    """
     cents = F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100 + 0.5)
     tax = F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * F.col("l_tax") * 100 + 0.5)
     sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(cents.cast("long")).alias("sub"), F.sum(tax.cast("long")).alias("tax"))
@@ -119,13 +122,14 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("invoice_date", "DATE", day(F.col("o_orderdate"))), ("payment_due_date", "DATE", day(due)),
         ("gstin", "ID_NUMBER", F.when(k % 4 == 2, F.lit("no number")).otherwise(gstin)),
     ]
-    unpivoted = F.posexplode(F.array(*(F.struct(F.lit(n).alias("field_name"), F.lit(t).alias("field_type"), v.alias("raw_value")) for n, t, v in made)))
-    rows = rows.select(k.alias("document_id"), unpivoted.alias("no", "f"))
+    chosen = [(i, n, t, v) for i, (n, t, v) in enumerate(made) if kind in (None, t)]
+    unpivoted = F.explode(F.array(*(F.struct(F.lit(i).alias("no"), F.lit(n).alias("field_name"), F.lit(t).alias("field_type"), v.alias("raw_value")) for i, n, t, v in chosen)))
+    rows, no = rows.select(k.alias("document_id"), unpivoted.alias("f")), F.col("f.no")
     return rows.select(
         "document_id", "f.field_name", "f.field_type", "f.raw_value",
-        (((F.col("document_id") * 31 + F.col("no") * 17) % 100) / 100).alias("confidence"),
-        ((F.col("document_id") % 7 == 0) & (F.col("no") == 1)).alias("is_verified"),
-        ((F.col("document_id") + F.col("no")) % 19 == 0).alias("is_rejected"),
+        (((F.col("document_id") * 31 + no * 17) % 100) / 100).alias("confidence"),
+        ((F.col("document_id") % 7 == 0) & (no == 1)).alias("is_verified"),
+        ((F.col("document_id") + no) % 19 == 0).alias("is_rejected"),
     )
 
 
