@@ -38,6 +38,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns numbered, so that none meets a column that an operator adds; and the new names by old."""
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def named(rows: DataFrame, names: dict[str, str], *more: Column | str) -> DataFrame:
+    """The numbered columns under their old names, and ``more``."""
+    return rows.select(*(F.col(new).alias(old) for old, new in names.items()), *more)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, however often ``body`` or its lambdas use it."""
     return F.transform(F.array(value), body)[0]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyr.llm.common import checkpointed, hash_share, held_out
+from papyr.llm.common import checkpointed, hash_share, held_out, named, numbered
 
 GRAMS = (3, 4)
 HASHES = 3
@@ -206,9 +206,9 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with a null id are scored but never learned from. Repeated rows get equal results. Columns of ``docs`` named
     like the four new ones are replaced, all others kept. An empty table gives an empty result.
     """
-    out = held_out(docs[id_col], modulus, remainder)
-    filters = fit_language_filters(docs.where(~out), lang_col, text_col, id_col)
-    kept = [docs[c] for c in docs.columns if c not in ADDED]
-    found = F.struct(language_column(docs.sparkSession, filters, docs[text_col]).alias("found"), out.alias("held_out"))
-    judged = docs.select(F.struct(*kept).alias("row"), found.alias("own"))
-    return judged.select("row.*", "own.held_out", *(F.col(f"own.found.{c}").alias(c) for c in ADDED[1:]))
+    docs, names = numbered(docs)
+    out = held_out(F.col(names[id_col]), modulus, remainder)
+    filters = fit_language_filters(docs.where(~out), names[lang_col], names[text_col], names[id_col])
+    found = docs.withColumns({"found": language_column(docs.sparkSession, filters, F.col(names[text_col])), "held_out": out})
+    kept = {old: new for old, new in names.items() if old not in ADDED}
+    return named(found, kept, "held_out", *(F.col(f"found.{c}").alias(c) for c in ADDED[1:]))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyr.llm.common import checkpointed, join_by_hot_key
+from papyr.llm.common import checkpointed, join_by_hot_key, named, numbered
 
 #: Up to so many sources their totals are summed on the driver and their plan is broadcast; with more, Spark sums them
 #: for each exponent tried and joins the plan by key.
@@ -155,12 +155,12 @@ def mix_sources(
     Rows that repeat both are separate rows. Columns of ``docs`` named like the five new ones are replaced, all others
     kept whatever their names. An empty table gives an empty result.
     """
-    kept = [docs[c] for c in docs.columns if c not in ADDED]
-    tie = F.xxhash64(docs[text_col])
-    source = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit(""))
-    keys = [source.alias("_source"), docs[id_col].alias("_id"), word_tokens(docs[text_col]).alias("n_tokens"), tie.alias("_tie")]
-    keyed = docs.select(*keys, F.struct(*kept).alias("row"))
-    light = checkpointed(docs.select(*keys))
+    docs, names = numbered(docs)
+    text = F.col(names[text_col])
+    source = F.coalesce(F.concat(F.lit("="), F.col(names[source_col]).cast("string")), F.lit(""))
+    own = {"_source": source, "_id": F.col(names[id_col]), "n_tokens": word_tokens(text), "_tie": F.xxhash64(text)}
+    keyed = docs.withColumns(own)
+    light = checkpointed(keyed.select(*own))
     totals = checkpointed(light.groupBy("_source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
     plan, sources = plan_sources(totals, max_epochs, target_entropy, budget_tokens)
     plan = checkpointed(plan)
@@ -186,4 +186,4 @@ def mix_sources(
     share = F.col("weight") * block_tokens
     used = used.withColumn("block", F.when(share > 0, F.floor(F.col("_before") / share)).otherwise(F.lit(0)).cast("long"))
     used = used.withColumn("block_order", F.xxhash64(F.lit(seed + 1), "block", "epoch", "_id"))
-    return used.select(F.struct(*ADDED).alias("own"), "row").select("row.*", "own.*")
+    return named(used, {old: new for old, new in names.items() if old not in ADDED}, *ADDED)
