@@ -179,7 +179,7 @@ def snippet(content: Column, query: Column) -> Column:
         def around(at: Column) -> Column:
             first, last = F.greatest(at - 71, F.lit(0)), F.least(n, at + 129)
             window = F.concat(F.when(first > 0, "...").otherwise(""), F.substring(clean, first + 1, last - first), F.when(last < n, "...").otherwise(""))
-            escaped = F.transform(terms, lambda t: F.concat(F.lit("(?i)("), F.regexp_replace(t, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(")")))
+            escaped = F.transform(terms, lambda t: F.concat(F.lit("(?iu)("), F.regexp_replace(t, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(")")))
             return F.aggregate(escaped, window, lambda acc, p: F.regexp_replace(acc, p, F.lit("**$1**")))
 
         return F.when(F.size(found) > 0, let(F.get(found, F.lit(0)), around)).otherwise(start)

@@ -2,18 +2,20 @@
 
 import datetime
 import decimal
+import json
 import math
 import os
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from papyr.functions import fields as P
 from papyr.functions import text as T
 from papyr.functions.registry import register
-from papyr.operators import chunking, retrieval
+from papyr.operators import chunking, field_quality, platform, retrieval
 from papyr.plans import QUERIES, SQL, page_queries
 from papyr.sources import entities, files
 from papyr.streaming import jobs
@@ -273,15 +275,223 @@ def test_stuck_versions(spark):
     assert sorted((r.document_id, r.action) for r in got.collect()) == [(1, "RETRY"), (3, "FAIL")]
 
 
-def test_approximate_search_covers_all_models_and_recalls_the_nearest(spark):
-    rows, asked = page_queries._all_vectors(spark, DATA), page_queries._all_vector_queries(spark, DATA)
+@pytest.mark.parametrize("vectors,queries,name", [("_vectors", "_vector_queries", "semantic_topk_approx"), ("_all_vectors", "_all_vector_queries", "semantic_topk_approx_all")])
+def test_approximate_search_recalls_the_nearest_and_gives_whole_lists(spark, vectors, queries, name):
+    rows, asked = getattr(page_queries, vectors)(spark, DATA), getattr(page_queries, queries)(spark, DATA)
     want = {(r.query_id, r.chunk_id) for r in retrieval.semantic_topk(rows, asked, 10).collect()}
-    for found in (QUERIES["semantic_topk_approx"](spark, DATA), page_queries.approx_topk(rows, asked, 10, bucket=1e-6, tables=1)):
+    for found in (QUERIES[name](spark, DATA), page_queries.approx_topk(rows, asked, 10, share=1e-6, tables=1)):
         got = [(r.query_id, r.chunk_id) for r in found.collect()]
         assert len(got) == len(set(got)) == len(want) and {q for q, _ in got} == {q for q, _ in want}
         assert len(set(got) & want) >= 0.9 * len(want)
 
 
+def plain_rank(words, tokens):
+    """Full-text rank of a text that has all tokens, by a plain double loop over positions."""
+    places = [[i for i, w in enumerate(words, 1) if w == t][:256] for t in tokens]
+    if not all(places) or not tokens:
+        return 0.0
+    if len(places) == 1:
+        return sum(0.1 / n**2 for n in range(1, len(places[0]) + 1)) / 1.64493406685
+    rest = 1.0
+    for i, own in enumerate(places):
+        for other in places[:i]:
+            for x in own:
+                for y in other:
+                    d = abs(x - y)
+                    rest *= 1 - 0.1 * math.sqrt(1e-30 if d > 100 else 1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2)))
+    return 1 - rest
+
+
+def plain_keyword(content, query):
+    """(qualifies, score) of one text for one query."""
+    low, q = content.lower(), query.strip().lower()
+    words = ["".join(c for c in w if c not in "'\":*&|!()\\") for w in q.split()]
+    words = [w for w in words if len(w) >= 2] or [q]
+    rank = plain_rank(re.findall(r"[^\W_]+", low), list(dict.fromkeys(re.findall(r"[^\W_]+", q))))
+    share = 0.10 + 0.35 * sum(w in low for w in words) / len(words)
+    score = max(0.95 if q in low else 0.0, 1.5 * rank, share)
+    return bool(q) and (q in low or any(len(w) >= 3 and w in low for w in words) or rank > 0), math.floor(score * 10000 + 0.5) / 10000
+
+
+def test_keyword_scores_against_brute_force(spark, monkeypatch):
+    texts = ["Notice of the Scholarship notice", "scholarship: apply (online) by 15-09-2026", "c++ and c", "", None, "of of of", "NOTICE notice notice of", "x" * 50 + "scholarship", "apply " * 300 + "online", "ümlaut Straße", "apply now online " * 60]
+    asked = ["scholarship notice", "of", "c++", "apply online", '"of" (the) & notice', "  ", "a", "zzz", "notice notice", "Straße", "absent scholarship"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    want = {}
+    for i, q in enumerate(asked):
+        for k, t in enumerate(texts):
+            qualifies, score = plain_keyword(t, q) if t is not None else (False, 0)
+            if qualifies:
+                want[i, k] = score
+    for at_once in (5000, 3):
+        monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", at_once)
+        got = {(r.query_id, r.chunk_id): r.keyword_score for r in retrieval.keyword_scores(chunks, queries).collect()}
+        assert got == pytest.approx(want)
+    assert retrieval.keyword_scores(chunks, queries.limit(0)).count() == 0 and retrieval.keyword_scores(chunks.limit(0), queries).count() == 0
+    assert want[3, 10] > 0.95  # many words near each other outrank the whole query
+
+
+def brute_search(texts, queries, k):
+    """query -> best chunks: keyword, semantic and hybrid, by plain loops."""
+    vectors = {i: retrieval.hash_embed(t, 64).astype(float) for i, t in texts.items()}
+    out = {}
+    for q, text in queries.items():
+        words = {i: s for i, (ok, s) in ((i, plain_keyword(t, text)) for i, t in texts.items()) if ok}
+        v = retrieval.hash_embed(text, 64).astype(float)
+        near = {i: round(max(float(v @ x / np.linalg.norm(v) / np.linalg.norm(x)), 0), 4) for i, x in vectors.items()}
+        best = lambda scores, n: dict(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:n])
+        a, b = best(near, 2 * k), best(words, 2 * k)
+        a, b = ({i: x / max(max(s.values(), default=0), 0.001) for i, x in s.items()} for s in (a, b))
+        both = {i: round(round(a[i], 4) * 0.6 + b[i] * 0.4 if i in a and i in b else a[i] * 0.6 if i in a else b[i] * 0.4, 4) for i in {*a, *b}}
+        out[q] = {"keyword": best(words, k), "semantic": best(near, k), "hybrid": best(both, k)}
+    return out
+
+
+def test_hybrid_search_dispatch_and_snippets_against_brute_force(spark):
+    texts = {r.doc_id: r.text for r in entities.table(spark, DATA, "documents").collect()}
+    queries = {r.query_id: r.query for r in entities.search_queries(spark, DATA).collect()}
+    want = brute_search(texts, queries, 10)
+    got = {}
+    for r in QUERIES["hybrid_topk"](spark, DATA).collect():
+        got.setdefault(r.query_id, {})[r.chunk_id] = r.final_score
+    for q, own in got.items():
+        expected = want[q]["hybrid"]
+        assert sorted(own.values()) == pytest.approx(sorted(expected.values()), abs=2e-4)  # near ties may swap by rounding
+        assert len(set(own) & set(expected)) >= len(expected) - 1
+    modes = {}
+    for r in QUERIES["search_dispatch"](spark, DATA).collect():
+        modes.setdefault((r.query_id, r.mode), {})[r.chunk_id] = r.score
+        assert r.total_results <= 5
+    assert {q for q, _ in modes} == set(queries) and all(m == ("hybrid", "semantic", "keyword")[q % 3] for q, m in modes)
+    for (q, mode), own in modes.items():
+        expected = brute_search(texts, {q: queries[q]}, 5)[q][mode] if mode == "hybrid" else dict(list(want[q][mode].items())[:5])
+        assert sorted(own.values()) == pytest.approx(sorted(expected.values()), abs=2e-4)
+    for r in QUERIES["snippets"](spark, DATA).collect():
+        clean, terms = " ".join(texts[r.chunk_id].split()), [t for t in queries[r.query_id].lower().split() if len(t) > 2]
+        at = next((clean.lower().find(t) for t in terms if t in clean.lower()), None)
+        if at is None:
+            assert r.snippet == clean[:200] + ("..." if len(clean) > 200 else "")
+            continue
+        lo, hi = max(0, at - 70), min(len(clean), at + 130)
+        expected = ("..." if lo else "") + clean[lo:hi] + ("..." if hi < len(clean) else "")
+        for t in terms:
+            expected = re.sub(f"({re.escape(t)})", r"**\1**", expected, flags=re.I)
+        assert r.snippet == expected
+
+
+def test_contexts_and_prompts(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id long, query string")
+    ranked = spark.createDataFrame([(1, 7, 2, None), (1, 8, 1, None), (2, 9, 1, "a **kept** snippet")], "query_id long, chunk_id long, rank int, snippet string")
+    chunks = spark.createDataFrame([(7, "Deed", 3, None, None, "the **bold** text"), (8, "Bill", 1, "Dues", "INVOICE", "one")], "chunk_id long, title string, page long, section string, category string, content string")
+    got = {r.query_id: r.context for r in retrieval.build_context(queries, ranked, chunks).collect()}
+    assert got == {
+        1: "[Source 1: Bill, Page 1, Section: Dues, Category: INVOICE]\none\n\n[Source 2: Deed, Page 3, Category: General]\nthe bold text",
+        2: "[Source 1: Document, Page 1, Category: General]\na kept snippet", 3: "No relevant document context found.",
+    }
+    rows = {(r.conversation_id, r.turn): r for r in QUERIES["prompt_rows"](spark, DATA).collect()}
+    messages = entities.messages(spark, DATA).collect()
+    texts = {r.doc_id: r.text for r in entities.table(spark, DATA, "documents").collect()}
+    users = [m for m in messages if m.role == "USER"]
+    assert set(rows) == {(m.conversation_id, m.turn) for m in users}
+    for m in users:
+        r = rows[m.conversation_id, m.turn]
+        before = sorted((x.turn, f"{x.role}: {x.content}") for x in messages if x.conversation_id == m.conversation_id and x.turn < m.turn)[-6:]
+        assert r.question == m.content and r.history == ("\n".join(t for _, t in before) or None) and r.language == "en" and "English" in r.system
+        best = sorted(((-s, i) for i, (ok, s) in ((i, plain_keyword(t, m.content)) for i, t in texts.items()) if ok))[:5]
+        parts = re.split(r"(?:^|\n\n)\[Source \d+: [^\n]*\]\n", r.context)[1:]
+        assert parts == [texts[i].replace("**", "") for _, i in best] if best else r.context == "No relevant document context found."
+
+
+def brute_chunks(text, hard=True):
+    """Chunks of one page by a plain walk over its blocks."""
+    tokens = lambda t: math.floor(len(t.split()) * 1.3 + 0.5)
+    parts = lambda pattern: [p.strip() for p in re.split(pattern, text) if p.strip()]
+    blocks = parts(r"\n\s*\n+")
+    blocks = blocks if len(blocks) > 1 else parts(r"\n+")
+    blocks = blocks if len(blocks) > 1 else parts(r"(?<=[.!?।])\s+")
+    out, buf, section = [], "", None
+    for b in blocks:
+        heading = len(b) <= 80 and "\n" not in b and (b.endswith(":") or (len(b) > 3 and any(c.isupper() for c in b) and not any(c.islower() for c in b)))
+        total = tokens(f"{buf} {b}")
+        if heading:
+            out += [(section, buf)] if buf else []
+            buf, section = b, b
+        elif buf and total > 600:
+            out.append((section, buf))
+            out, buf = ([*out, (section, b)], "") if tokens(b) >= 600 else (out, b)
+        elif total >= 300:
+            out, buf = [*out, (section, f"{buf}\n\n{b}" if buf else b)], ""
+        else:
+            buf = f"{buf}\n\n{b}" if buf else b
+    out += [(section, buf)] if buf else []
+    pieces = [(s, p.strip()) for s, c in out for p in (brute_pieces(c) if hard else [c])]
+    return [(s, p) for s, p in pieces if len(p) >= 20]
+
+
+def test_chunks_of_whole_documents_against_a_plain_walk(spark):
+    pages = entities.ocr_pages(spark, DATA).select("version_id", "page_number", "raw_text")
+    extra = [(90001, 1, "HEAD ONE\n\n" + "word " * 900 + "\n\nSubject:\n\n" + "a b c. " * 400), (90001, 2, "x " * 3000), (90002, 1, None), (90002, 2, " \n ")]
+    pages = pages.unionByName(spark.createDataFrame(extra, "version_id long, page_number long, raw_text string"))
+    want = {}
+    for r in sorted(pages.collect(), key=lambda r: (r.version_id, r.page_number)):
+        want.setdefault(r.version_id, []).extend((r.page_number, *c) for c in brute_chunks(r.raw_text or ""))
+    got = {}
+    for r in sorted(chunking.chunk_documents(pages).collect(), key=lambda r: (r.version_id, r.chunk_index)):
+        got.setdefault(r.version_id, []).append((r.page_number, r.section_title, r.content))
+        assert r.chunk_index == len(got[r.version_id]) - 1 and r.token_count <= 1000
+    assert got == {k: v for k, v in want.items() if v}
+    languages = pages.where("version_id = 90001").withColumns({"language": F.when(F.col("page_number") == 1, "hi"), "document_language": F.lit("en")})
+    assert {(r.page_number, r.language) for r in chunking.chunk_documents(languages).collect()} == {(1, "hi"), (2, "en")}
+
+
+def test_engine_choice(spark):
+    """One page a case: what the engines gave, and the engine whose result the page takes."""
+    cases = [
+        ({"layer": (True, 0, 0.0, False)}, False, 0, "layer"), ({"layer": (True, 3, 1.0, False), "paddle": (True, 9, 1.0, False)}, False, 0, "layer"),
+        ({"paddle": (True, 9, 0.8, False), "vision": (True, 4, 1.0, False)}, False, 0, "paddle"), ({"paddle": (True, 9, 0.8, False), "vision": (True, 4, 1.0, False)}, True, 0, "vision"),
+        ({"paddle": (True, 9, 0.7, False), "vision": (True, 4, 1.0, False)}, False, 0, "vision"), ({"paddle": (True, 9, 0.9, True), "tesseract": (True, 4, 1.0, False)}, False, 0, "tesseract"),
+        ({"paddle": (True, 4, 0.9, False), "tesseract": (True, 4, 1.0, False)}, False, 50_000, "paddle"), ({"paddle": (True, 4, 0.9, False), "tesseract": (True, 4, 1.0, False)}, False, 50_001, "tesseract"),
+        ({"paddle": (True, 0, 0.9, False), "vision": (False, 0, 0.0, False), "tesseract": (False, 0, 0.0, False)}, False, 0, "paddle"), ({"layer": (False, 0, 0.0, False), "paddle": (True, 9, 0.75, False)}, False, 0, "paddle"),
+    ]
+    rows = [(i, 1, first, size, engine, *r) for i, (results, first, size, _) in enumerate(cases) for engine, r in results.items()]
+    frame = spark.createDataFrame(rows, "version_id long, page_number long, vision_first boolean, image_bytes long, engine string, has_text boolean, blocks long, confidence double, failed boolean")
+    assert {r.version_id: r.engine for r in page_queries.choose_engine(frame).collect()} == {i: want for i, (*_, want) in enumerate(cases)}
+
+
+def test_platform_rules_on_fixed_rows(spark):
+    """Rules that the given tables can't tell apart."""
+    def history(*marks):
+        return json.dumps([{"stage": s, "status": t, "at": a} for s, t, a in marks])
+
+    rows = spark.createDataFrame([(1, history(("OCR", "PROCESSING", 0), ("OCR", "PROCESSING", 5000), ("OCR", "COMPLETED", 8000), ("CHUNKING", "PROCESSING", 8000), ("CHUNKING", "COMPLETED", 14001))), (2, history(("OCR", "PROCESSING", 0), ("OCR", "COMPLETED", 2001), ("X", "PROCESSING", 0))), (3, history(("OCR", "PROCESSING", 0))), (4, None)], "document_id long, stage_history string")
+    got = {r.document_id: (r.stages, r.total_ms, r.worst) for r in platform.stage_timings(rows).collect()}
+    assert got == {1: (2, 9001, "SLOW"), 2: (1, 2001, "WARN")}
+    inventory = spark.createDataFrame([(1, "COMPLETED", "INVOICE", 3, 2, "m1"), (2, "QUEUED", "-", 0, 0, ""), (3, "FAILED", "UNKNOWN", 1, 1, "m1,old")], "document_id long, status string, category string, field_count long, chunk_count long, models string")
+    reasons = {r.document_id: r.reasons for r in platform.needs_repair(inventory).collect()}
+    assert reasons == {2: ["no-fields", "bad-category", "no-chunks", "stuck"], 3: ["bad-category", "stale-embeddings"]}
+    assert [r.document_id for r in platform.needs_repair(inventory, reasons=("stuck",)).collect()] == [2] and [r.document_id for r in platform.needs_repair(inventory, ids=[1]).collect()] == [1]
+    requests = spark.createDataFrame([(m, p) for m, p in [("POST", "/api/auth/login"), ("GET", "/documents"), ("POST", "/documents/1"), ("POST", "/conversations/3/messages"), ("GET", "/conversations"), ("GET", "/search?q"), ("POST", "/review/1")]], "method string, path string").withColumn("ts", F.lit("2024-01-01 00:14:59").cast("timestamp"))
+    assert [(r.allowed, r.span) for r in platform.with_rate_rule(requests).collect()] == [(10, 900), (150, 60), (20, 60), (40, 60), (150, 60), (80, 60), (150, 60)]
+    docs = spark.createDataFrame([(1, "FAILED", 1), (2, "QUEUED", 5), (3, "COMPLETED", 0)], "document_id long, status string, retry_count long")
+    assert [tuple(r) for r in platform.retry_reset(docs, by_admin=False).collect()] == [(1, "user", "QUEUED", 2, True, False)]
+    assert [r.document_id for r in platform.retry_reset(docs, by_admin=True).collect()] == [1, 2]
+    versions = spark.createDataFrame([(1, 1, 2, 0, "a", "x"), (1, 1, 2, 1, "b", " same "), (1, 1, 2, 2, "a", "last"), (1, 2, 2, 0, "b", "same"), (1, 2, 2, 1, "c", "new"), (2, 1, 1, 0, "a", "alone")], "document_id long, version_number long, last_version long, seq int, name string, value string")
+    diff = platform.version_field_diff(versions).orderBy("place").collect()
+    assert [(r.version_number, r.field_name, r.old_value, r.new_value, r.change) for r in diff] == [(2, "c", None, "new", "ADDED"), (2, "a", "last", None, "REMOVED"), (2, "b", " same ", "same", "UNCHANGED")]
+
+
+def test_rejected_fields_stay_and_get_what_a_cross_check_sets(spark):
+    old = spark.createDataFrame([(1, "total_amount", "CURRENCY", "900", 0.9, False, True), (1, "tax_amount", "CURRENCY", "10", 0.9, True, False), (1, "gone", "TEXT", "x", 0.9, False, False)], "document_id long, field_name string, field_type string, raw_value string, confidence double, is_verified boolean, is_rejected boolean")
+    raw = spark.createDataFrame([(1, " subtotal ", "money", "100", None, 0.0, 0), (1, "invoice_date", "weird", "20-08-2026", 1.5, 2.7, 0), (1, "payment_due_date", "date", "1 Aug 2026", 0.8, 1.0, 0), (1, "tax_amount", "money", "99", 0.5, 1.0, 0), (1, "subtotal", "money", "7", 0.5, 1.0, 1)], "document_id long, field_name string, field_type string, raw_value string, confidence double, source_page double, seq int")
+    blocks = spark.createDataFrame([(1, "Subtotal: 100 Rs", 0.5), (2, "20-08-2026", 0.1)], "version_id long, block_text string, confidence double")
+    got = {r.field_name: (r.field_type, r.normalized_value, r.confidence, r.is_rejected) for r in field_quality.field_quality_pipeline(old, raw, blocks, ["seq"]).collect()}
+    assert got == {
+        "total_amount": ("CURRENCY", None, 0.9, True), "tax_amount": ("CURRENCY", "10.00", 0.9, False), "subtotal": ("CURRENCY", "100.00", pytest.approx(0.7 * 0.85 + 0.15), False),
+        "invoice_date": ("DATE", "2026-08-20", 1.0, False), "payment_due_date": ("DATE", "2026-08-01", 0.35, False),
+    }
+
+
 def test_reembedded_vectors_are_those_of_the_texts(spark):
     texts = {r.doc_id: r.text for r in entities.table(spark, DATA, "documents").collect()}
     before = {r.chunk_id: r for r in entities.embeddings(spark, DATA).collect()}
@@ -291,7 +501,7 @@ def test_reembedded_vectors_are_those_of_the_texts(spark):
         stale = before[r.chunk_id].model != "m1"
         assert r.replaced == (stale and texts.get(r.chunk_id) is not None)
         want = retrieval.hash_embed(texts[r.chunk_id], 64).tolist() if r.replaced else before[r.chunk_id].embedding
-        assert r.embedding == want and r.model == ("m1" if r.replaced else before[r.chunk_id].model)
+        assert r.embedding == want and r.model == ("hash" if r.replaced else before[r.chunk_id].model)  # the model that made it
 
 
 def test_full_text_queries_find_later_parts_of_a_passage(spark, tmp_path):
