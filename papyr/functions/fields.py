@@ -37,14 +37,19 @@ GSTIN = r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]$"
 HIGH, MEDIUM = 0.85, 0.65
 
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    """A calendar date of the years 1000 to 9999; null where there is no such day."""
-    made = F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
-    return F.when((year != "") & (month > 0) & (day != "") & (F.length(year) == 4) & (year >= "1000"), made)
+def _date(text: Column, pattern: str, year: int, month: Column | int, day: int) -> Column:
+    """A calendar date of the years 1000 to 9999 from a pattern's groups; null where there is no such day.
 
+    ``month`` is a group's number, or the month itself. The groups are looked up once.
+    """
+    group = lambda i: F.regexp_extract(text, pattern, i)
+    parts = F.struct(group(year).alias("y"), (group(month).try_cast("int") if isinstance(month, int) else month).alias("m"), group(day).alias("d"))
 
-def _groups(text: Column, pattern: str, *order: int) -> list[Column]:
-    return [F.regexp_extract(text, pattern, i) for i in order]
+    def made(g: Column) -> Column:
+        date = F.concat_ws("-", g["y"], F.lpad(g["m"].cast("string"), 2, "0"), F.lpad(g["d"], 2, "0")).try_cast("date")
+        return F.when((g["m"] > 0) & (g["d"] != "") & (F.length(g["y"]) == 4) & (g["y"] >= "1000"), date)
+
+    return let(parts, made)
 
 
 def parse_date(raw: Column) -> Column:
@@ -53,20 +58,20 @@ def parse_date(raw: Column) -> Column:
 
 
 def _parse_trimmed(t: Column) -> Column:
-    day, month, year = _groups(t, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", 1, 2, 3)
-    numeric = _date(year, month.try_cast("int"), day)
-    year, month, day = _groups(t, r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})$", 1, 2, 3)
-    iso = _date(year, month.try_cast("int"), day)
+    names = F.create_map(*(F.lit(x) for kv in ENGLISH_MONTHS.items() for x in kv))
     plain = F.regexp_replace(F.regexp_replace(t, r"(?i)(\d{1,2})(st|nd|rd|th)\b", "$1"), r"(?i)\bof\b", " ")
     plain = trim_all(F.regexp_replace(plain, rf"[{SPACE}]+", " "))
-    names = F.create_map(*(F.lit(x) for kv in ENGLISH_MONTHS.items() for x in kv))
-    day, month, year = _groups(plain, r"^(\d{1,2}) ([a-zA-Z]+) (\d{4})$", 1, 2, 3)
-    english = _date(year, F.try_element_at(names, F.lower(month)), day)
-    month, day, year = _groups(plain, r"^([a-zA-Z]+)\.? (\d{1,2}),? (\d{4})$", 1, 2, 3)
-    american = _date(year, F.try_element_at(names, F.lower(month)), day)
-    hindi_month = F.coalesce(*(F.when(F.contains(t, F.lit(name)), F.lit(n)) for name, n in HINDI_MONTHS.items()))
-    day, year = _groups(t, r"(\d{1,2})\D+(\d{4})", 1, 2)
-    return F.coalesce(numeric, iso, english, american, _date(year, hindi_month, day))
+
+    def named(p: Column) -> Column:
+        english, american = r"^(\d{1,2}) ([a-zA-Z]+) (\d{4})$", r"^([a-zA-Z]+)\.? (\d{1,2}),? (\d{4})$"
+        month = lambda pattern, i: F.try_element_at(names, F.lower(F.regexp_extract(p, pattern, i)))
+        return F.coalesce(_date(p, english, 3, month(english, 2), 1), _date(p, american, 3, month(american, 1), 2))
+
+    hindi = F.coalesce(*(F.when(F.contains(t, F.lit(name)), F.lit(n)) for name, n in HINDI_MONTHS.items()))
+    return F.coalesce(
+        _date(t, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", 3, 2, 1), _date(t, r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})$", 1, 2, 3),
+        let(plain, named), F.when(t.rlike("[\\x{900}-\\x{97F}]"), _date(t, r"(\d{1,2})\D+(\d{4})", 2, hindi, 1)),
+    )
 
 
 def parse_amount(raw: Column) -> Column:
@@ -104,10 +109,12 @@ def enum_token(raw: Column) -> Column:
 
 def field_type(raw: Column, field_name: Column) -> Column:
     """A known type, its other names, what the field's name tells, else TEXT."""
-    token, name = enum_token(raw), F.lower(field_name)
-    found = F.when(token.isin(*FIELD_TYPES), token)
-    for alias, kind in TYPE_ALIASES.items():
-        found = found.when(token == alias, kind)
-    for pattern, kind in TYPE_BY_NAME:
-        found = found.when(name.rlike(pattern), kind)
-    return found.otherwise("TEXT")
+    aliases = F.create_map(*(F.lit(x) for kv in TYPE_ALIASES.items() for x in kv))
+
+    def found(given: Column) -> Column:
+        by_name = F.lit("TEXT")
+        for pattern, kind in reversed(TYPE_BY_NAME):
+            by_name = F.when(given["name"].rlike(pattern), kind).otherwise(by_name)
+        return F.when(given["token"].isin(*FIELD_TYPES), given["token"]).otherwise(F.coalesce(F.try_element_at(aliases, given["token"]), by_name))
+
+    return let(F.struct(enum_token(raw).alias("token"), F.lower(field_name).alias("name")), found)
