@@ -224,17 +224,21 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(user_id, model, chunk_id, embedding) x (query_id, user_id, model, vector) -> query_id, chunk_id, semantic_score.
 
     Queries meet the vectors of their user and model only; each task multiplies a block of vectors with the block of
-    queries and passes on its own best k a query, so that the shuffle to the final ranking stays small.
+    queries and passes on its own best k a query, so that the shuffle to the final ranking stays small. A vector of
+    length 0, that of an empty text, is like none: score 0.
     """
 
+    def unit(x: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(length > 0, length, 1)
+
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        a = np.array(left["embedding"].tolist(), np.float64)
-        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        a = unit(np.array(left["embedding"].tolist(), np.float64))
         for at in range(0, len(right), QUERY_BLOCK):
             part = right.iloc[at : at + QUERY_BLOCK]
             b = np.array(part["vector"].tolist(), np.float64)
-            scores = np.round(np.maximum((b / np.linalg.norm(b, axis=1, keepdims=True)) @ a.T, 0), 4)
+            scores = np.round(np.maximum(unit(b) @ a.T, 0), 4)
             for q, row in zip(part["query_id"], scores, strict=True):
                 order = np.lexsort((left["chunk_id"], -row))[:k]
                 out.append(pd.DataFrame({"query_id": q, "chunk_id": left["chunk_id"].to_numpy()[order], "semantic_score": row[order]}))

@@ -125,7 +125,23 @@ def cosine_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("b_id") == F.col("a_id") + 1).select("a_id", "b_id", F.round(F.greatest(R.cosine(F.col("a"), F.col("b")), F.lit(0.0)), 4).alias("similarity"))
 
 
-@query()
+#: Hash vectors of texts and queries, and their likeness.
+HASHED = f"""source AS (SELECT 'd' AS kind, doc_id AS id, string_split({trim_sql('lower(text)')}, '') AS c FROM documents UNION ALL SELECT 'q', query_id, string_split({trim_sql('lower(query)')}, '') FROM search_queries),
+marks AS (SELECT kind, id, unnest(list_transform(range(1, len(c) + 1), lambda i: (ascii(c[i]) * 31 + i - 1) % 64)) AS slot, 1.0 AS w FROM source
+  UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(c) - 1), lambda i: (ascii(c[i]) * 961 + ascii(c[i + 1]) * 31 + ascii(c[i + 2])) % 64)), 2.0 FROM source),
+summed AS (SELECT kind, id, slot, CAST(sum(w) AS DOUBLE) AS w FROM marks GROUP BY ALL), lengths AS (SELECT kind, id, sqrt(sum(w * w)) AS n FROM summed GROUP BY ALL),
+hashed AS (SELECT kind, id, list(CAST(CAST(coalesce(w, 0) / n AS FLOAT) AS DOUBLE) ORDER BY slot) AS v FROM lengths CROSS JOIN range(64) r(slot) LEFT JOIN summed USING (kind, id, slot) GROUP BY ALL),
+likeness AS (SELECT q.id AS query_id, d.id AS chunk_id, round(greatest(list_cosine_similarity(q.v, d.v), 0), 4) AS semantic_score FROM hashed q, hashed d WHERE q.kind = 'q' AND d.kind = 'd')"""
+
+
+def _hybrid(k: int, name: str) -> str:
+    """Candidates, twice as many as are wanted, and their blend, as tables named after ``name``."""
+    return f"""{name}_near AS ({_top('likeness', 'semantic_score', 2 * k)}), {name}_words AS ({_top('scored', 'keyword_score', 2 * k, 'query_id, chunk_id, keyword_score')}), {name} AS (SELECT query_id, chunk_id, coalesce(round(s, 4), 0.0) AS semantic_score, coalesce(round(w, 4), 0.0) AS keyword_score,
+  round(CASE WHEN s IS NOT NULL AND w IS NOT NULL THEN round(s, 4) * 0.6 + w * 0.4 WHEN s IS NOT NULL THEN s * 0.6 ELSE w * 0.4 END, 4) AS final_score
+  FROM (SELECT query_id, chunk_id, semantic_score / greatest(max(semantic_score) OVER (PARTITION BY query_id), 0.001) AS s FROM {name}_near) FULL JOIN (SELECT query_id, chunk_id, keyword_score / greatest(max(keyword_score) OVER (PARTITION BY query_id), 0.001) AS w FROM {name}_words) USING (query_id, chunk_id))"""
+
+
+@query(oracle(f"WITH {LEXICAL}, {HASHED}, {_hybrid(10, 'blend')} {_top('blend', 'final_score', 10)}", "search_queries"))
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash vectors and terms of the benchmark's passages over all documents: 20 candidates each, the best 10."""
     return R.hybrid_topk(_chunks(spark, sf_dir), E.search_queries(spark, sf_dir), 10)
@@ -173,7 +189,8 @@ def model_mismatch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owned.join(owned.where("model = 'm1'").select("user_id").distinct(), "user_id", "left_anti").groupBy("user_id", "model").agg(F.count(F.lit(1)).alias("vectors"))
 
 
-@query()
+@query(oracle(f"""WITH {LEXICAL}, {HASHED}, {_hybrid(5, 'blend')}, answers AS (SELECT query_id, 'hybrid' AS mode, chunk_id, final_score AS score FROM blend WHERE query_id % 3 = 0 UNION ALL SELECT query_id, 'semantic', chunk_id, semantic_score FROM likeness WHERE query_id % 3 = 1
+  UNION ALL SELECT query_id, 'keyword', chunk_id, keyword_score FROM scored WHERE query_id % 3 = 2), best AS ({_top('answers', 'score', 5)}) SELECT *, count(*) OVER (PARTITION BY query_id) AS total_results FROM best""", "search_queries"))
 def search_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's mode picks its ranking: hybrid, semantic or keyword; with the number of results that it got."""
     asked = E.search_queries(spark, sf_dir).withColumn("mode", F.get(F.array(*map(F.lit, ("hybrid", "semantic", "keyword"))), (F.col("query_id") % 3).cast("int")))
