@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyr.llm.common import SPACES, checkpointed
+from papyr.llm.common import SPACES, checkpointed, without_keys
 
 #: Characters of the normalised text that take part in the range key.
 PREFIX = 48
@@ -119,8 +119,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each group of equal texts, all columns kept, whatever their names.
 
     An id that comes on several rows (or null) is told apart by its text's digest; of rows that repeat both, one stays.
-    The ids that go, the smaller side, are anti-joined: texts are shuffled a second time only where those ids are too
-    many to be broadcast.
+    The ids that go, the smaller side, are anti-joined: texts are shuffled a second time only where those ids are more
+    than ``BROADCAST_KEYS``.
     """
     verdicts = checkpointed(exact_dedup(docs, id_col, text_col))
     ids = checkpointed(verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any_kept")))
@@ -129,8 +129,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = F.struct(*(docs[c] for c in docs.columns)).alias("row")
     packed = docs.select(docs[id_col].alias("doc_id"), whole)
     if repeated.isEmpty():  # every id is on one row: no need to read the texts for them again
-        return packed.join(gone, "doc_id", "left_anti").select("row.*")
-    single = packed.where("doc_id is not null").join(gone.unionByName(repeated), "doc_id", "left_anti").select("row")
+        return without_keys(packed, gone, "doc_id").select("row.*")
+    single = without_keys(packed.where("doc_id is not null"), gone.unionByName(repeated), "doc_id").select("row")
     digest = F.sha2(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), SPACES, " "), 256).alias("digest")
     several = docs.select(docs[id_col].alias("doc_id"), digest, whole).alias("a")
     several = several.join(repeated.alias("r"), F.expr("a.doc_id <=> r.doc_id"), "left_semi").alias("a")

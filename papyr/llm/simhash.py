@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyr.llm.common import checkpointed, hash_share, join_by_hot_key
+from papyr.llm.common import checkpointed, hash_share, join_by_hot_key, without_keys
 from papyr.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -222,11 +222,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     winners = checkpointed(best.select("best.doc_id", "best.digest"))
     ids = checkpointed(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
     several = F.expr("n > 1 or doc_id is null")
-    gone = ids.where(~several).join(winners, "doc_id", "left_anti").select("doc_id")
+    gone = checkpointed(ids.where(~several).join(winners, "doc_id", "left_anti").select("doc_id"))
     repeated = ids.where(several).select("doc_id")
     if repeated.isEmpty():  # every id is on one row: no need to read the texts for them again
-        return packed.join(gone, "doc_id", "left_anti").select("row.*")
-    single = packed.where("doc_id is not null").join(gone.unionByName(repeated), "doc_id", "left_anti").select("row")
+        return without_keys(packed, gone, "doc_id").select("row.*")
+    single = without_keys(packed.where("doc_id is not null"), gone.unionByName(repeated), "doc_id").select("row")
     kept = winners.alias("w").join(repeated.alias("r"), F.expr("w.doc_id <=> r.doc_id"), "left_semi")
     again = docs.select(docs[id_col].alias("doc_id"), digest, whole)
     again = again.alias("a").join(kept.alias("k"), F.expr("a.doc_id <=> k.doc_id and a.digest = k.digest"), "left_semi")

@@ -267,8 +267,8 @@ def score_column(spark: SparkSession, model: SubwordToxicity, text: Column) -> C
 def classify_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, remainder: int = 0, per_class: int = SAMPLE_DOCS) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Learns from at most about ``per_class`` labelled, not held-out documents of each class; every text is scored
-    whole. Null, empty and wordless texts have margin 0, that is, no evidence. Rows with a null id are scored and
+    Learns from at most about ``per_class`` labelled, not held-out documents of each class; n-grams that fewer than
+    ``MIN_DOCS`` of them share have no vector, as part of the model. Every text is scored whole. Null, empty and wordless texts have margin 0, that is, no evidence. Rows with a null id are scored and
     count as held out. Without labels of both classes every score is the labels' share of 1. Repeated rows get equal
     scores; other columns are ignored.
     """

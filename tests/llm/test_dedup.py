@@ -76,7 +76,10 @@ def settings_as_before(spark):
     with_conf(spark, before)
 
 
-def test_operators_keep_columns_that_are_named_like_their_own(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_operators_keep_columns_that_are_named_like_their_own(spark, monkeypatch, most):
+    """Also where the ids that go are too many to be broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_KEYS", most)
     names = ["_id", "row", "digest", "fp", "n", "text_sha256", "_digest", "kept", "open"]
     rows = [(i, t, *(f"{c}{i}" for c in names)) for i, t in [(1, "one text of some words"), (2, "one  text of some words"), (3, "und noch ein ganz anderer text"), (3, "a repeated id with a text of its own"), (None, "no id")]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
