@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyr.llm.common import checkpointed
+from papyr.llm.common import checkpointed, named, numbered
 from papyr.llm.exact_dedup import drop_copies
 from papyr.llm.language_id import identify_languages
 from papyr.llm.mixing import mix_sources
@@ -14,26 +14,15 @@ from papyr.llm.sentencepiece_codec import encode_documents
 from papyr.llm.simhash import drop_near_duplicates
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with its columns numbered, so that none meets a column that an operator adds; and the new names by old."""
-    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
-    return docs.toDF(*names.values()), names
-
-
-def _named(rows: DataFrame, names: dict[str, str]) -> DataFrame:
-    """The numbered columns alone, under their old names."""
-    return rows.select(*names.values()).toDF(*names)
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in which a learned language is found; texts without letters (``und``) go.
 
     Null and letterless texts go, all texts where no language is learned (no ``lang``, an empty table). Every column of
     a document that stays is as it was, also one named like those that the operator adds.
     """
-    numbered, names = _numbered(docs)
-    found = identify_languages(numbered, names["doc_id"], names["text"], names["lang"])
-    return _named(found.where(F.col("lang_pred") != "und"), names)
+    plain, names = numbered(docs)
+    found = identify_languages(plain, names["doc_id"], names["text"], names["lang"])
+    return named(found.where(F.col("lang_pred") != "und"), names)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +47,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null source is one of its own; texts without words come once at least. All columns are as they were, also those
     named like the operator's own. Empty stays empty.
     """
-    numbered, names = _numbered(docs)
-    return _named(mix_sources(numbered, names["doc_id"], names["text"], names["source"]), names)
+    plain, names = numbered(docs)
+    return named(mix_sources(plain, names["doc_id"], names["text"], names["source"]), names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
