@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-#: Keys that are broadcast together: about 16 MB of numbers.
-BROADCAST_KEYS = 1_000_000
 #: A key with more than one row in so many is hot: there are at most so many hot keys.
 HOT_KEYS = 4096
 
@@ -82,12 +80,3 @@ def join_by_hot_key(rows: DataFrame, keyed: DataFrame, key: str, total: int) ->
     hot = F.broadcast(keyed.where(is_hot).drop("n"))
     cold = rows.join(hot.select(key), key, "left_anti").join(keyed.where(~is_hot).drop("n"), key)
     return rows.join(hot, key).unionByName(cold)
-
-
-def without_keys(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``rows`` but those whose key is in ``gone`` (checkpointed); a null key stays.
-
-    Up to ``BROADCAST_KEYS`` keys are broadcast, so that the rows stay where they are; more are joined by a shuffle.
-    """
-    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
