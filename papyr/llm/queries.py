@@ -7,13 +7,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyr.llm import chat_format, license_scan, ranked_search
 from papyr.llm import exact_dedup as dedup
-from papyr.llm import license_scan
+from papyr.llm.alignment import align_documents, weigh_links
 from papyr.llm.language_id import identify_languages
 from papyr.llm.mixing import mix_sources
 from papyr.llm.quality_cnn import classify_quality
 from papyr.llm.quality_rules import quality_rules
-from papyr.llm.sentencepiece_codec import decode_documents, encode_documents
+from papyr.llm.sentencepiece_codec import SentencePieceModel, decode_documents, encode_documents
 from papyr.llm.simhash import near_duplicates
 from papyr.llm.toxicity import classify_toxicity
 from papyr.llm.url_filter import Rule, judge_urls
@@ -90,15 +91,40 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The byte-level tokenizer that op11 aligns with the model; another path can be put in its place.
+TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = model_bytes()
+    aligned = align_documents(table(spark, sf_dir, "documents"), Path(TOKENIZER_PATH).read_bytes(), b)
+    digest = F.when(F.col("groups").isNull(), "").otherwise(F.sha2("groups", 256))
+    found = weigh_links(aligned.withColumn("groups_sha256", digest).drop("groups"), len(SentencePieceModel.parse(b).pieces))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Conversation -1 says what the template's own marks are (fixed values).
+MARKS_SAID = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.conversation_digests(chat_format.format_conversations(given.unionByName(spark.createDataFrame(MARKS_SAID, given.schema))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_source_mixing, op3_license_scan, op4_url_filter, op5_sentencepiece, op6_quality_rules, op7_toxicity, op8_exact_dedup,
-        op9_language_id, op10_quality_classifier, sentencepiece_decoding,
+        op9_language_id, op10_quality_classifier, op11_tokenizer_alignment, op12_ranked_search, op13_chat_formatting, sentencepiece_decoding,
     )
 }
 ORACLES = {
-    "op3_license_scan": license_scan.oracle(), "op8_exact_dedup": dedup.ORACLE,
+    "op3_license_scan": license_scan.oracle(), "op8_exact_dedup": dedup.ORACLE, "op12_ranked_search": ranked_search.ORACLE, "op13_chat_formatting": chat_format.ORACLE,
     # The marker character itself can't be told from a space.
     "sentencepiece_decoding": "SELECT doc_id, replace(text, chr(9601), ' ') AS text FROM documents",
 }
