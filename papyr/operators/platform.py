@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from papyr.functions.fields import clamp, confidence_band
 from papyr.functions.schemas import CATEGORIES, EXPECTED_FIELDS
-from papyr.functions.text import trim_all
+from papyr.functions.text import let, trim_all
 
 #: Milliseconds above which a stage is slow, or worth a warning (fixed values).
 SLOW_MS, WARN_MS = 5000, 2000
@@ -28,17 +28,46 @@ JOB_TIMEOUT, BACKOFF, ATTEMPTS = 600, 5, 3
 def stage_timings(histories: DataFrame) -> DataFrame:
     """(document_id, stage_history JSON) -> stages that ended, their total and longest time, and the flag of the longest.
 
-    A stage's time runs from its last start to its end. Histories without an ended stage give no row.
+    A stage's time runs from the last start before an end to that end, in the order of the history; the last end
+    counts, also where the stage was begun again after it. An end without a start before it is not timed. Histories
+    without an ended stage give no row. All within the row: no shuffle.
     """
-    marks = F.from_json("stage_history", "array<struct<stage:string,status:string,at:bigint>>")
-    rows = histories.select("document_id", F.explode(marks).alias("m")).select("document_id", "m.*")
-    ends = rows.groupBy("document_id", "stage").agg(F.max(F.when(F.col("status") == "PROCESSING", F.col("at"))).alias("began"), F.max(F.when(F.col("status") == "COMPLETED", F.col("at"))).alias("ended"))
-    timed = ends.withColumn("ms", F.col("ended") - F.col("began")).where("ms is not null")
-    worst = F.max("ms").alias("slowest_ms")
-    sums = timed.groupBy("document_id").agg(F.count(F.lit(1)).alias("stages"), F.sum("ms").alias("total_ms"), worst)
+    runs = _stage_runs(F.from_json("stage_history", "array<struct<stage:string,status:string,at:bigint>>"))
+    rows = histories.select("document_id", runs.alias("runs")).where(F.size("runs") > 0)
+    ms = F.transform("runs", lambda r: r["ms"])
+    sums = rows.select("document_id", F.size("runs").cast("long").alias("stages"), F.aggregate(ms, F.lit(0).cast("long"), lambda x, y: x + y).alias("total_ms"), F.array_max(ms).alias("slowest_ms"))
     return sums.withColumn("worst", F.when(F.col("slowest_ms") > SLOW_MS, "SLOW").when(F.col("slowest_ms") > WARN_MS, "WARN").otherwise("OK"))
 
 
+def _stage_runs(marks: Column) -> Column:
+    """Marks -> (stage, ms) of each stage's last end that has a start before it."""
+
+    def of(all_marks: Column) -> Column:
+        def run(end: Column, i: Column) -> Column:
+            starts = F.filter(all_marks, lambda m, j: (j < i) & (m["stage"] == end["stage"]) & (m["status"] == "PROCESSING"))
+            return F.when(end["status"] == "COMPLETED", F.struct(end["stage"].alias("stage"), (end["at"] - F.try_element_at(starts, F.lit(-1))["at"]).alias("ms")))
+
+        return F.filter(F.transform(all_marks, run), lambda r: r["ms"].isNotNull())
+
+    def last(runs: Column) -> Column:
+        return F.filter(runs, lambda r, i: ~F.exists(F.slice(runs, i + 2, F.size(runs)), lambda later: later["stage"] == r["stage"]))
+
+    return let(let(F.coalesce(marks, F.array().cast("array<struct<stage:string,status:string,at:bigint>>")), of), last)
+
+
+def stage_time_quantiles(histories: DataFrame, accuracy: int = 1000) -> DataFrame:
+    """(document_id, stage_history) -> per stage the number of timed runs and the 50th, 90th and 99th percentile of them.
+
+    Percentiles come from mergeable sketches: each task keeps one per stage, and only those are shuffled. Their rank
+    error is 1 / ``accuracy`` at most.
+    """
+    runs = _stage_runs(F.from_json("stage_history", "array<struct<stage:string,status:string,at:bigint>>"))
+    rows = histories.select(F.inline(runs))
+    marks = F.percentile_approx("ms", [0.5, 0.9, 0.99], accuracy)
+    found = rows.groupBy("stage").agg(F.count(F.lit(1)).alias("runs"), marks.alias("q"))
+    return found.select("stage", "runs", *(F.col("q")[i].alias(n) for i, n in enumerate(("p50_ms", "p90_ms", "p99_ms"))))
+
+
 def search_filters(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """The documents of each request's user that meet its filters: category, language, document, first and last day.
 
@@ -175,15 +204,31 @@ def delete_conversations(messages: DataFrame, citations: DataFrame, gone: DataFr
     return tuple(t.join(gone.select("conversation_id"), "conversation_id", "left_anti") for t in (messages, citations))
 
 
-def retry_reset(docs: DataFrame, by_admin: bool) -> DataFrame:
-    """(document_id, status, retry_count) of live documents -> the patches of a retry.
+#: What a retry empties, by who asks for it (fixed values).
+CLEARED = {
+    "user": ("processing_error", "processing_error_code", "processing_error_stack", "started_at", "completed_at", "processing_duration_ms"),
+    "admin": ("processing_error", "processing_error_code", "started_at", "completed_at"),
+}
+
 
-    A user's retry is for failed documents, counts up and clears the stage history; the admin's bulk retry takes queued
-    ones too, leaves count and history. The attempt is final when it is the last one allowed.
+def retry_reset(docs: DataFrame, versions: DataFrame, by_admin: bool) -> DataFrame:
+    """Live documents (document_id, status) and versions -> the patches of a retry, one per document.
+
+    versions: document_id, version_number, storage_key, stage_history, processing_stage, retry_count. Only the latest
+    version counts, and only if it has a storage key. A user's retry takes a document whatever its status, begins again
+    from the first stage with an empty history, and counts up; the admin's bulk retry takes failed and queued ones and
+    leaves stage, history and count. The attempt is final when it is the last one allowed. One aggregate by document.
     """
-    rows = docs.where(F.col("status").isin("FAILED", "QUEUED") if by_admin else F.col("status") == "FAILED")
+    path = "admin" if by_admin else "user"
+    newest = versions.groupBy("document_id").agg(F.max_by(F.struct("version_number", "storage_key", "stage_history", "processing_stage", "retry_count"), "version_number").alias("v"))
+    rows = docs.where(F.col("status").isin("FAILED", "QUEUED")) if by_admin else docs
+    rows = rows.join(newest, "document_id").select("document_id", "v.*").where("storage_key <> ''")
     count = F.col("retry_count") + (0 if by_admin else 1)
-    return rows.select("document_id", F.lit("admin" if by_admin else "user").alias("path"), F.lit("QUEUED").alias("status"), count.alias("retry_count"), F.lit(not by_admin).alias("clears_history"), (count >= ATTEMPTS).alias("final_attempt"))
+    return rows.select(
+        "document_id", "version_number", F.lit(path).alias("path"), F.lit("QUEUED").alias("status"), F.lit("QUEUED").alias("processing_status"),
+        (F.col("processing_stage") if by_admin else F.lit("FILE_VALIDATION")).alias("processing_stage"), (F.col("stage_history") if by_admin else F.lit("[]")).alias("stage_history"),
+        count.alias("retry_count"), (count >= ATTEMPTS).alias("final_attempt"), F.lit(",".join(CLEARED[path])).alias("cleared"),
+    )
 
 
 def conform_category(rows: DataFrame, token: Callable[[Column], Column]) -> DataFrame:

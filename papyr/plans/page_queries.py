@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papyr.operators import ocr
 from papyr.operators import retrieval as R
 from papyr.plans.retrieval_queries import LEXICAL, TERMS, _vector_queries, _vectors, keyword_topk
+from papyr.plans.text_queries import trim_sql
 from papyr.sources import entities as E
 from papyr.sources.entities import oracle
 
@@ -27,30 +29,32 @@ def query(sql: str | None = None):
     return register
 
 
-_BOX = "boxes AS (SELECT version_id, block_index, CASE block_index % 4 WHEN 0 THEN 'box_2d' WHEN 1 THEN 'unit' WHEN 2 THEN 'absolute' ELSE 'none' END AS kind, CAST(block_index * 37 % 1100 AS DOUBLE) AS a, CAST(block_index * 53 % 900 AS DOUBLE) AS b, 800 + version_id % 700 AS w, 1200 AS h FROM ocr_blocks)"
+#: Boxes as models give them, by the number of the block: grounded (out of order and beyond the page too), parts of the page, thousandths, pixels, three numbers, none.
+_BOXES = f"""given AS (SELECT *, row_number() OVER (PARTITION BY version_id, page_number ORDER BY block_index) - 1 AS i, (version_id * 7 + block_index) % 7 AS kind, CAST(block_index * 37 % 1150 AS DOUBLE) AS a, CAST((version_id + block_index * 53) % 930 AS DOUBLE) AS b,
+  700 + version_id % 500 AS w, 800 + version_id % 300 AS h FROM (SELECT * REPLACE ({trim_sql('block_text')} AS block_text) FROM ocr_blocks) WHERE block_text <> '')"""
 
 
-@query(oracle(f"""WITH {_BOX} SELECT version_id, block_index,
-  CASE kind WHEN 'box_2d' THEN least(a, 1000) / 1000 * w WHEN 'unit' THEN a / 2000 * w WHEN 'absolute' THEN a ELSE 0.0 END AS x1,
-  CASE kind WHEN 'box_2d' THEN least(b, 1000) / 1000 * h WHEN 'unit' THEN b / 2000 * h WHEN 'absolute' THEN b ELSE block_index * 30.0 END AS y1,
-  CASE kind WHEN 'box_2d' THEN least(a + 50, 1000) / 1000 * w WHEN 'unit' THEN (a + 50) / 2000 * w WHEN 'absolute' THEN a + 50 ELSE CAST(w AS DOUBLE) END AS x2,
-  CASE kind WHEN 'box_2d' THEN least(b + 20, 1000) / 1000 * h WHEN 'unit' THEN (b + 20) / 2000 * h WHEN 'absolute' THEN b + 20 ELSE block_index * 30.0 + 30 END AS y2 FROM boxes""", "ocr_blocks"))
+@query(oracle(f"""WITH {_BOXES}, raw AS (SELECT *, CASE kind WHEN 0 THEN greatest(0, least(w, floor(a / 1000 * w + 0.5))) WHEN 1 THEN greatest(0, least(w, floor(least(a + 50, a - 60) / 1000 * w + 0.5))) WHEN 2 THEN floor(a / 2000 / 1.0 * w + 0.5)
+      WHEN 3 THEN CASE WHEN greatest(a + 50, b + 20) <= 1000 AND (w > 1000 OR h > 1000) THEN floor(a / 1000 * w + 0.5) ELSE floor(a + 0.5) END WHEN 4 THEN floor(a + 3.5 + 0.5) ELSE 0 END AS x1,
+    CASE WHEN kind IN (0, 1) THEN greatest(0, least(h, floor(b / 1000 * h + 0.5))) WHEN kind = 2 THEN floor(b / 2000 / 1.0 * h + 0.5) WHEN kind = 3 THEN CASE WHEN greatest(a + 50, b + 20) <= 1000 AND (w > 1000 OR h > 1000) THEN floor(b / 1000 * h + 0.5) ELSE floor(b + 0.5) END
+      WHEN kind = 4 THEN floor(b - 20.5 + 0.5) ELSE i * 30 END AS y1,
+    CASE kind WHEN 0 THEN greatest(0, least(w, floor((a + 50) / 1000 * w + 0.5))) WHEN 1 THEN greatest(0, least(w, floor((a + 50) / 1000 * w + 0.5))) WHEN 2 THEN floor((a + 50) / 2000 / 1.0 * w + 0.5)
+      WHEN 3 THEN CASE WHEN greatest(a + 50, b + 20) <= 1000 AND (w > 1000 OR h > 1000) THEN floor((a + 50) / 1000 * w + 0.5) ELSE floor(a + 50 + 0.5) END WHEN 4 THEN floor(a + 1200.25 + 0.5) ELSE w END AS x2,
+    CASE WHEN kind IN (0, 1) THEN greatest(0, least(h, floor((b + 20) / 1000 * h + 0.5))) WHEN kind = 2 THEN floor((b + 20) / 2000 / 1.0 * h + 0.5) WHEN kind = 3 THEN CASE WHEN greatest(a + 50, b + 20) <= 1000 AND (w > 1000 OR h > 1000) THEN floor((b + 20) / 1000 * h + 0.5) ELSE floor(b + 20 + 0.5) END
+      WHEN kind = 4 THEN floor(b + 20 + 0.5) ELSE (i + 1) * 30 END AS y2 FROM given)
+SELECT version_id, page_number, i AS block_order, replace(block_text, chr(0), '') AS block_text, CAST(x1 AS BIGINT) AS x1, CAST(y1 AS BIGINT) AS y1, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2,
+  CASE WHEN block_index % 5 = 0 THEN 0.95 ELSE greatest(0.1, least(1.0, confidence * 1.2)) END AS confidence FROM raw""", "ocr_blocks"))
 def bbox_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes given as 0-1000 in y, x order, as parts of the page, in pixels, or not at all -> pixels."""
+    """Boxes in any of the forms that models give -> whole pixels; blank blocks go, the others are counted anew."""
     i, v = F.col("block_index"), F.col("version_id")
-    a, b = (i * 37 % 1100).cast("double"), (i * 53 % 900).cast("double")
-    kind = F.when(i % 4 == 0, "box_2d").when(i % 4 == 1, "unit").when(i % 4 == 2, "absolute").otherwise("none")
-    given = F.when(i % 4 == 0, F.array(b, a, b + 20, a + 50)).when(i % 4 == 1, F.array(a / 2000, b / 2000, (a + 50) / 2000, (b + 20) / 2000)).when(i % 4 == 2, F.array(a, b, a + 50, b + 20))
-    rows = E.ocr_blocks(spark, sf_dir).select("version_id", "block_index", kind.alias("kind"), given.alias("g"), (800 + v % 700).alias("w"), F.lit(1200).alias("h"))
-    g, w, h = F.col("g"), F.col("w"), F.col("h")
-    clamped = F.transform("g", lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1000.0)) / 1000)
-    line = i * 30.0
-    box = (
-        F.when(F.col("kind") == "box_2d", F.array(clamped[1] * w, clamped[0] * h, clamped[3] * w, clamped[2] * h))
-        .when(F.col("kind") == "unit", F.array(g[0] * w, g[1] * h, g[2] * w, g[3] * h)).when(F.col("kind") == "absolute", g)
-        .otherwise(F.array(F.lit(0.0), line, w.cast("double"), line + 30))
+    a, b, kind = (i * 37 % 1150).cast("double"), ((v + i * 53) % 930).cast("double"), (v * 7 + i) % 7
+    grounded = F.when(kind == 0, F.array(b, a, b + 20, a + 50)).when(kind == 1, F.array(b + 20, a + 50, b, a - 60))
+    boxed = (
+        F.when(kind == 2, F.array(*((x / 2000) for x in (a, b, a + 50, b + 20)))).when(kind == 3, F.array(a, b, a + 50, b + 20))
+        .when(kind == 4, F.array(a + 3.5, b - 20.5, a + 1200.25, b + 20)).when(kind == 5, F.array(a, b, a))
     )
-    return rows.withColumn("box", box).select("version_id", "block_index", *(F.col("box")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))))
+    conf = F.when(i % 5 != 0, F.col("confidence") * 1.2)
+    return ocr.standard_blocks(E.ocr_blocks(spark, sf_dir).select("version_id", "page_number", "block_index", "block_text", grounded.alias("box_2d"), boxed.alias("bbox"), conf.alias("confidence"), (700 + v % 500).alias("width"), (800 + v % 300).alias("height")))
 
 
 @query(oracle("SELECT version_id, block_index, least(x, x + 40, x + 37, x - 3) AS x1, least(y, y + 2, y + 14, y + 12) AS y1, greatest(x, x + 40, x + 37, x - 3) AS x2, greatest(y, y + 2, y + 14, y + 12) AS y2 FROM (SELECT version_id, block_index, block_index * 7 % 500 AS x, block_index * 30 AS y FROM ocr_blocks)", "ocr_blocks"))
@@ -62,14 +66,17 @@ def polygon_to_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("version_id", "block_index", F.array_min(xs).alias("x1"), F.array_min(ys).alias("y1"), F.array_max(xs).alias("x2"), F.array_max(ys).alias("y2"))
 
 
-@query(oracle("SELECT version_id, page_number, row_number() OVER (PARTITION BY version_id, page_number ORDER BY block_index) - 1 AS block_order, trim(block_text) AS block_text, least(greatest(coalesce(CASE WHEN block_index % 3 = 0 THEN NULL ELSE block_index * 13 % 130 END, 75) / 100, 0.1), 1.0) AS confidence FROM ocr_blocks WHERE trim(block_text) <> ''", "ocr_blocks"))
+@query(oracle(f"""WITH lines AS (SELECT version_id, page_number, row_number() OVER (PARTITION BY version_id, page_number ORDER BY block_index) - 1 AS block_order, 1 AS first, {trim_sql('block_text')} AS block_text, CASE WHEN block_index % 3 <> 0 THEN block_index * 13 % 130 END AS given, 75 AS none
+    FROM ocr_blocks WHERE {trim_sql('block_text')} <> '' AND (version_id + page_number) % 8 <> 0),
+rest AS (SELECT version_id, page_number, {trim_sql('t.line')} AS line, t.i AS i, (version_id * 13 + page_number) % 140 AS given FROM ocr_pages p, LATERAL (SELECT unnest(string_split({trim_sql('p.raw_text')}, chr(10))) AS line, generate_subscripts(string_split({trim_sql('p.raw_text')}, chr(10)), 1) AS i) t
+    WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.version_id = p.version_id AND l.page_number = p.page_number)),
+both_kinds AS (SELECT * FROM lines UNION ALL SELECT version_id, page_number, row_number() OVER (PARTITION BY version_id, page_number ORDER BY i) - 1, 0, line, given, 80 FROM rest WHERE line <> '')
+SELECT version_id, page_number, block_order, block_order + first AS reading_order, block_text, CASE WHEN coalesce(given, 0) = 0 THEN none WHEN given < 10 THEN 10 WHEN given > 100 THEN 100 ELSE given END / 100 AS confidence FROM both_kinds""", "ocr_blocks", "ocr_pages"))
 def blocks_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line results without a confidence count 75 of 100; blank lines make no block."""
+    """Blocks of recognised lines; every eighth page has none and takes the lines of its text."""
     given = F.when(F.col("block_index") % 3 != 0, F.col("block_index") * 13 % 130)
-    rows = E.ocr_blocks(spark, sf_dir).withColumn("block_text", F.trim("block_text")).where("block_text <> ''")
-    order = F.row_number().over(Window.partitionBy("version_id", "page_number").orderBy("block_index")) - 1
-    conf = F.least(F.greatest(F.coalesce(given, F.lit(75)) / 100, F.lit(0.1)), F.lit(1.0))
-    return rows.select("version_id", "page_number", order.alias("block_order"), "block_text", conf.alias("confidence"))
+    lines = E.ocr_blocks(spark, sf_dir).where("(version_id + page_number) % 8 <> 0").select("version_id", "page_number", F.col("block_index").alias("line_index"), F.col("block_text").alias("text"), given.alias("confidence"))
+    return ocr.line_blocks(lines, E.ocr_pages(spark, sf_dir).select("version_id", "page_number", "raw_text", ((F.col("version_id") * 13 + F.col("page_number")) % 140).alias("confidence")))
 
 
 ENGINES_SQL = """WITH page AS (SELECT *, version_id % 6 = 1 AS vision_first, octet_length(encode(raw_text)) % 90000 > 50000 AS big, (version_id * 7 + page_number) % 3 = 0 AND trim(raw_text) <> '' AS layer, (version_id * 7 + page_number * 3) % 100 / 100 AS paddle_confidence,

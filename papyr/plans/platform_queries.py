@@ -152,7 +152,8 @@ STAGES = (
 
 
 def stage_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histories as the platform keeps them, JSON arrays of stage marks: a stage that was tried twice has two starts."""
+    """Histories as the platform keeps them, JSON arrays of stage marks: a stage that was tried twice has two starts, one
+    that is begun again after its end a start behind it."""
     p, v = F.col("page_count"), F.col("version_number")
     stages = F.array(*map(F.lit, STAGES))
     rows = current_versions(spark, sf_dir).withColumn("reached", (p % 14 + 1).cast("int"))
@@ -162,20 +163,30 @@ def stage_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
         begin = i * 100_000
         again = F.when((p + i) % 5 == 0, F.array(mark("PROCESSING", begin - 7000))).otherwise(F.array().cast("array<struct<stage:string,status:string,at:bigint>>"))
         done = F.when((i < F.col("reached") - 1) | (p % 3 != 0), F.array(mark("COMPLETED", begin + (p * 157 + v * 911 + i * 613) % 9000))).otherwise(F.array().cast("array<struct<stage:string,status:string,at:bigint>>"))
-        return F.concat(again, F.array(mark("PROCESSING", begin)), done)
+        anew = F.when((p * 3 + i) % 11 == 0, F.array(mark("PROCESSING", begin + 9500))).otherwise(F.array().cast("array<struct<stage:string,status:string,at:bigint>>"))
+        return F.concat(again, F.array(mark("PROCESSING", begin)), done, anew)
 
     history = F.to_json(F.flatten(F.transform(F.sequence(F.lit(0), F.col("reached") - 1), marks)))
     return rows.select("document_id", history.alias("stage_history"))
 
 
-@query("""SELECT document_id, count(*) AS stages, CAST(sum(ms) AS BIGINT) AS total_ms, max(ms) AS slowest_ms, CASE WHEN max(ms) > 5000 THEN 'SLOW' WHEN max(ms) > 2000 THEN 'WARN' ELSE 'OK' END AS worst
-  FROM (SELECT document_id, i, (page_count * 157 + version_number * 911 + i * 613) % 9000 AS ms, page_count % 14 AS last, page_count % 3 <> 0 AS ended
-    FROM (SELECT * FROM versions WHERE version_number = CASE WHEN document_id % 4 = 0 THEN 1 ELSE last_version END), range(14) t(i)) WHERE i < last OR (i = last AND ended) GROUP BY document_id""", "versions")
+RUNS_SQL = """runs AS (SELECT document_id, i, (page_count * 157 + version_number * 911 + i * 613) % 9000 AS ms FROM (SELECT *, page_count % 14 AS last, page_count % 3 <> 0 AS ended FROM versions
+  WHERE version_number = CASE WHEN document_id % 4 = 0 THEN 1 ELSE last_version END), range(14) t(i) WHERE i < last OR (i = last AND ended))"""
+
+
+@query(f"""WITH {RUNS_SQL} SELECT document_id, count(*) AS stages, CAST(sum(ms) AS BIGINT) AS total_ms, max(ms) AS slowest_ms, CASE WHEN max(ms) > 5000 THEN 'SLOW' WHEN max(ms) > 2000 THEN 'WARN' ELSE 'OK' END AS worst FROM runs GROUP BY document_id""", "versions")
 def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each stage that ended, the time since its last start; the longest decides the flag."""
+    """Of each stage that ended, the time since the last start before its end; the longest decides the flag."""
     return J.stage_timings(stage_histories(spark, sf_dir))
 
 
+@query(f"""WITH {RUNS_SQL}, ranked AS (SELECT [{', '.join(f"'{s}'" for s in STAGES)}][i + 1] AS stage, ms, row_number() OVER (PARTITION BY i ORDER BY ms) AS r, count(*) OVER (PARTITION BY i) AS n FROM runs)
+SELECT stage, n AS runs, max(ms) FILTER (r = ceil(n * 0.5)) AS p50_ms, max(ms) FILTER (r = ceil(n * 0.9)) AS p90_ms, max(ms) FILTER (r = ceil(n * 0.99)) AS p99_ms FROM ranked GROUP BY stage, n""", "versions")
+def stage_time_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each stage's time; the accuracy is beyond the number of runs here, so that the sketches are exact."""
+    return J.stage_time_quantiles(stage_histories(spark, sf_dir), 10_000_000)
+
+
 @query(f"""{ENGINES_SQL}, chosen AS (SELECT version_id, page_number, engine AS provider FROM chosen_engines)
 SELECT provider, count(*) AS blocks, CAST(sum(length(block_text)) AS BIGINT) AS chars, round(avg(confidence), 4) AS confidence, count(DISTINCT version_id * 100000 + page_number) AS pages, round(count(DISTINCT version_id * 100000 + page_number) / (SELECT count(*) FROM chosen), 6) AS page_share, provider NOT IN ('layer', 'paddle') AS is_fallback
 FROM ocr_blocks JOIN chosen USING (version_id, page_number) GROUP BY provider""", "ocr_pages", "ocr_blocks")
@@ -613,12 +624,16 @@ def delete_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.join(counts, ["conversation_id", "turn"], "left").select("conversation_id", "turn", F.coalesce("citations", F.lit(0)).alias("citations"))
 
 
-@query("""SELECT document_id, 'user' AS path, 'QUEUED' AS status, document_id % 3 + 1 AS retry_count, true AS clears_history, document_id % 3 + 1 >= 3 AS final_attempt FROM documents_meta WHERE status = 'FAILED' AND NOT is_deleted
-  UNION ALL SELECT document_id, 'admin', 'QUEUED', document_id % 3, false, document_id % 3 >= 3 FROM documents_meta WHERE status IN ('FAILED', 'QUEUED') AND NOT is_deleted""", "documents_meta")
+@query("""WITH newest AS (SELECT *, page_count % 4 AS tries FROM versions WHERE version_number = last_version AND page_count <> 1)
+SELECT d.document_id, v.version_number, w.path, 'QUEUED' AS status, 'QUEUED' AS processing_status, CASE w.path WHEN 'user' THEN 'FILE_VALIDATION' ELSE 'OCR' END AS processing_stage, CASE w.path WHEN 'user' THEN '[]' ELSE '[' || v.page_count || ']' END AS stage_history,
+  v.tries + CASE w.path WHEN 'user' THEN 1 ELSE 0 END AS retry_count, v.tries >= CASE w.path WHEN 'user' THEN 2 ELSE 3 END AS final_attempt,
+  CASE w.path WHEN 'user' THEN 'processing_error,processing_error_code,processing_error_stack,started_at,completed_at,processing_duration_ms' ELSE 'processing_error,processing_error_code,started_at,completed_at' END AS cleared
+FROM documents_meta d JOIN newest v ON v.document_id = d.document_id, (VALUES ('user'), ('admin')) w(path) WHERE NOT d.is_deleted AND (w.path = 'user' OR d.status IN ('FAILED', 'QUEUED'))""", "documents_meta", "versions")
 def retry_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State patches: a user's retry counts up and clears the history, the admin's bulk retry takes queued ones too and does neither."""
-    rows = live(spark, sf_dir).select("document_id", "status", (F.col("document_id") % 3).alias("retry_count"))
-    return J.retry_reset(rows, by_admin=False).unionByName(J.retry_reset(rows, by_admin=True))
+    """State patches of retries: a user's of any live document whose latest version has a storage key, the admin's of failed and queued ones."""
+    n = F.col("page_count")
+    versions = E.versions(spark, sf_dir).withColumns({"retry_count": n % 4, "stage_history": F.concat(F.lit("["), n.cast("string"), F.lit("]")), "processing_stage": F.lit("OCR")})
+    return J.retry_reset(live(spark, sf_dir), versions, by_admin=False).unionByName(J.retry_reset(live(spark, sf_dir), versions, by_admin=True))
 
 
 @query(r"""SELECT o_orderkey AS document_id, CASE WHEN token IN ('INVOICE', 'BANK_DOCUMENT', 'TAX_DOCUMENT', 'RESUME') THEN token ELSE 'UNKNOWN' END AS category, least(1.0, greatest(0.0, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 200000 END, 0))) AS confidence

@@ -50,31 +50,37 @@ def assemble_answers(deltas: DataFrame, patience: str = "1 hour") -> DataFrame:
     """(message_id, seq, delta, done) -> message_id, answer, complete: deltas joined in order of ``seq``.
 
     The last delta carries ``done``; a message is given out when all numbers up to it are there, whatever their order.
-    Repeated deltas count once. A message that gets no delta for ``patience`` is given out as it is, not complete, and
-    forgotten, so that the state doesn't grow with what never ends.
+    Repeated deltas count once, also those that come after the message was given out: that is remembered until no delta
+    has come for ``patience``. A message that gets none for so long before its end is given out as it is, not complete,
+    and forgotten, so that the state doesn't grow with what never ends.
     """
     wait = int(pd.Timedelta(patience).total_seconds() * 1000)
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = dict(zip(*state.get[:2], strict=True)) if state.exists else {}
+        given_out = state.exists and state.get[3]
         if state.hasTimedOut:
             state.remove()
+            if given_out:
+                return
             yield pd.DataFrame({"message_id": [key[0]], "answer": ["".join(held[i] for i in sorted(held))], "complete": [False]})
             return
+        if given_out:
+            state.setTimeoutDuration(wait)
+            return
         last = state.get[2] if state.exists else -1
         for pdf in parts:
             held |= dict(zip(pdf["seq"], pdf["delta"].fillna(""), strict=True))
             last = max([last, *pdf.loc[pdf["done"], "seq"]])
         if last >= 0 and all(i in held for i in range(last + 1)):
-            if state.exists:
-                state.remove()
+            state.update(([], [], last, True))
             yield pd.DataFrame({"message_id": [key[0]], "answer": ["".join(held[i] for i in range(last + 1))], "complete": [True]})
         else:
-            state.update((list(held), list(held.values()), last))
-            state.setTimeoutDuration(wait)
+            state.update((list(held), list(held.values()), last, False))
+        state.setTimeoutDuration(wait)
 
     out = "message_id long, answer string, complete boolean"
-    return deltas.groupBy("message_id").applyInPandasWithState(fold, out, "seqs array<long>, deltas array<string>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return deltas.groupBy("message_id").applyInPandasWithState(fold, out, "seqs array<long>, deltas array<string>, last long, given_out boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def ingest(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -114,17 +120,27 @@ def ingested(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_audit(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append audit rows to a table; a batch that can't be written is logged and passed over, the stream goes on."""
+    """Append audit rows to a table; a batch that can't be written is logged and passed over, the stream goes on.
+
+    A batch has a folder of its own, named after the stream's checkpoint and its number, and replaces what is there: a
+    batch that runs again, after it was written or half-way, leaves its rows once.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
         try:
-            batch.write.mode("append").parquet(path)
+            batch.write.mode("overwrite").parquet(f"{path}/batch={run}-{number}")
         except Exception:  # what is audited must never wait for its audit
             logging.getLogger(__name__).exception("audit batch %s was not written", number)
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def audited(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an audit table."""
+    return spark.read.parquet(path).drop("batch")
+
+
 def stuck_versions(versions: DataFrame, now: str) -> DataFrame:
     """Versions that wait beyond the job timeout and their back-off as of ``now``, and whether to try again."""
     return platform.stuck_versions(versions, F.lit(now).cast("timestamp"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from papyr.functions import fields as P
 from papyr.functions import text as T
 from papyr.functions.registry import register
-from papyr.operators import chunking, field_quality, platform, retrieval
+from papyr.operators import chunking, field_quality, ocr, platform, retrieval
 from papyr.plans import QUERIES, SQL, page_queries
 from papyr.sources import entities, files
 from papyr.streaming import jobs
@@ -229,6 +229,31 @@ def test_answers_embeddings_and_ingestion(spark, tmp_path):
     assert sorted(r.text for r in once.collect()) == ["a", "b"]
 
 
+def test_late_repeats_of_a_given_answer_give_nothing(spark, tmp_path):
+    path, schema = str(tmp_path / "d"), "message_id long, seq long, delta string, done boolean"
+    for part in ([(1, 0, "a", False), (1, 1, "b", True)], [(1, 0, "a", False)], [(1, 1, "b", True), (2, 0, "x", True)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(path)
+    got = until(spark, jobs.assemble_answers(source), "answers_once", 2)
+    assert sorted(map(tuple, got.collect())) == [(1, "ab", True), (2, "x", True)]
+
+
+def test_boxes_and_line_blocks_by_the_numbers_given(spark):
+    w, h, cases = 1200, 800, [
+        ([100.0, 500.0, 50.0, 250.0], None, [300, 40, 600, 80]), ([-10.0, 0.0, 2000.0, 990.0], [1.0, 1.0, 1.0, 1.0], [0, 0, 1188, 800]), (None, [0.1, 0.25, 0.5, 1.0], [120, 200, 600, 800]), (None, [5.0, 0.0, 1.0, 1.0], [6000, 0, 1200, 800]),
+        (None, [100.0, 100.0, 500.0, 1000.0], [120, 80, 600, 800]), (None, [100.4, 100.5, 500.0, 1000.5], [100, 101, 500, 1001]), (None, [-0.5, -1.5, 1001.0, 3.0], [0, -1, 1001, 3]), (None, [1.0, 2.0, 3.0], [0, 210, 1200, 240]), ([1.0], None, [0, 240, 1200, 270]),
+    ]
+    rows = [(1, 1, 2 * i, "x", a, b, None, w, h) for i, (a, b, _) in enumerate(cases)] + [(1, 1, 1, " ", None, None, 0.5, w, h), (2, 1, 0, "\u00a0y\u00a0", None, [100.0, 100.0, 500.0, 1000.0], 7.0, 1000, 1000)]
+    frame = spark.createDataFrame(rows, "version_id long, page_number long, block_index long, block_text string, box_2d array<double>, bbox array<double>, confidence double, width long, height long")
+    got = sorted(ocr.standard_blocks(frame).collect())
+    assert [[r.x1, r.y1, r.x2, r.y2] for r in got] == [box for *_, box in cases] + [[100, 100, 500, 1000]]
+    assert [r.confidence for r in got] == [0.95] * len(cases) + [1.0] and got[-1].block_text == "y"
+    lines = spark.createDataFrame([(1, 1, 0, " a ", 0.0), (1, 1, 1, "", 50.0), (1, 1, 2, "b", None), (1, 1, 3, "c", 3.0), (1, 1, 4, "d", 130.0), (2, 1, 0, "  ", 9.0), (4, 1, 0, "alone", 60.0)], "version_id long, page_number long, line_index long, text string, confidence double")
+    pages = spark.createDataFrame([(1, 1, "ignored", 10.0), (2, 1, "\n x \n\n y\n", 0.0), (3, 1, "z", 42.0), (5, 1, " ", 1.0), (6, 1, None, 1.0)], "version_id long, page_number long, raw_text string, confidence double")
+    got = sorted(map(tuple, ocr.line_blocks(lines, pages).collect()))
+    assert got == [(1, 1, 0, 1, "a", 0.75), (1, 1, 1, 2, "b", 0.75), (1, 1, 2, 3, "c", 0.1), (1, 1, 3, 4, "d", 1.0), (2, 1, 0, 0, "x", 0.8), (2, 1, 1, 1, "y", 0.8), (3, 1, 0, 0, "z", 0.42), (4, 1, 0, 1, "alone", 0.6)]
+
+
 def test_open_answers_are_given_up(spark, tmp_path):
     deltas = spark.createDataFrame([(2, 1, "open", False), (2, 0, "an ", False)], "message_id long, seq long, delta string, done boolean")
     path = str(tmp_path / "d")
@@ -265,7 +290,11 @@ def test_audit_stream_outlives_a_failure(spark, tmp_path):
     q.awaitTermination(60)
     assert q.exception() is None
     jobs.append_audit(source, str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination(60)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, jobs.audited(spark, str(tmp_path / "t")).collect())) == [(1, "a"), (2, "b")]
+    for done in (tmp_path / "c2" / "commits").iterdir():  # the batch was written, but the stream died before it noted that
+        done.unlink()
+    jobs.append_audit(source, str(tmp_path / "t"), str(tmp_path / "c2")).awaitTermination(60)
+    assert sorted(map(tuple, jobs.audited(spark, str(tmp_path / "t")).collect())) == [(1, "a"), (2, "b")]
 
 
 def test_stuck_versions(spark):
@@ -464,18 +493,22 @@ def test_platform_rules_on_fixed_rows(spark):
     def history(*marks):
         return json.dumps([{"stage": s, "status": t, "at": a} for s, t, a in marks])
 
-    rows = spark.createDataFrame([(1, history(("OCR", "PROCESSING", 0), ("OCR", "PROCESSING", 5000), ("OCR", "COMPLETED", 8000), ("CHUNKING", "PROCESSING", 8000), ("CHUNKING", "COMPLETED", 14001))), (2, history(("OCR", "PROCESSING", 0), ("OCR", "COMPLETED", 2001), ("X", "PROCESSING", 0))), (3, history(("OCR", "PROCESSING", 0))), (4, None)], "document_id long, stage_history string")
+    rows = spark.createDataFrame([(1, history(("OCR", "PROCESSING", 0), ("OCR", "PROCESSING", 5000), ("OCR", "COMPLETED", 8000), ("CHUNKING", "PROCESSING", 8000), ("CHUNKING", "COMPLETED", 14001))), (2, history(("OCR", "PROCESSING", 0), ("OCR", "COMPLETED", 2001), ("X", "PROCESSING", 0))), (3, history(("OCR", "PROCESSING", 0))), (4, None), (5, history(("OCR", "PROCESSING", 0), ("OCR", "COMPLETED", 500), ("OCR", "PROCESSING", 9000))), (6, history(("OCR", "COMPLETED", 7), ("OCR", "PROCESSING", 10), ("OCR", "COMPLETED", 6010), ("OCR", "PROCESSING", 7000), ("OCR", "COMPLETED", 7020)))], "document_id long, stage_history string")
     got = {r.document_id: (r.stages, r.total_ms, r.worst) for r in platform.stage_timings(rows).collect()}
-    assert got == {1: (2, 9001, "SLOW"), 2: (1, 2001, "WARN")}
+    assert got == {1: (2, 9001, "SLOW"), 2: (1, 2001, "WARN"), 5: (1, 500, "OK"), 6: (1, 20, "OK")}
+    assert {r.stage: (r.runs, r.p50_ms, r.p99_ms) for r in platform.stage_time_quantiles(rows).collect()} == {"OCR": (4, 500, 3000), "CHUNKING": (1, 6001, 6001)}
     inventory = spark.createDataFrame([(1, "COMPLETED", "INVOICE", 3, 2, "m1"), (2, "QUEUED", "-", 0, 0, ""), (3, "FAILED", "UNKNOWN", 1, 1, "m1,old")], "document_id long, status string, category string, field_count long, chunk_count long, models string")
     reasons = {r.document_id: r.reasons for r in platform.needs_repair(inventory).collect()}
     assert reasons == {2: ["no-fields", "bad-category", "no-chunks", "stuck"], 3: ["bad-category", "stale-embeddings"]}
     assert [r.document_id for r in platform.needs_repair(inventory, reasons=("stuck",)).collect()] == [2] and [r.document_id for r in platform.needs_repair(inventory, ids=[1]).collect()] == [1]
     requests = spark.createDataFrame([(m, p) for m, p in [("POST", "/api/auth/login"), ("GET", "/documents"), ("POST", "/documents/1"), ("POST", "/conversations/3/messages"), ("GET", "/conversations"), ("GET", "/search?q"), ("POST", "/review/1")]], "method string, path string").withColumn("ts", F.lit("2024-01-01 00:14:59").cast("timestamp"))
     assert [(r.allowed, r.span) for r in platform.with_rate_rule(requests).collect()] == [(10, 900), (150, 60), (20, 60), (40, 60), (150, 60), (80, 60), (150, 60)]
-    docs = spark.createDataFrame([(1, "FAILED", 1), (2, "QUEUED", 5), (3, "COMPLETED", 0)], "document_id long, status string, retry_count long")
-    assert [tuple(r) for r in platform.retry_reset(docs, by_admin=False).collect()] == [(1, "user", "QUEUED", 2, True, False)]
-    assert [r.document_id for r in platform.retry_reset(docs, by_admin=True).collect()] == [1, 2]
+    docs = spark.createDataFrame([(1, "FAILED"), (2, "QUEUED"), (3, "COMPLETED"), (4, "FAILED"), (5, "FAILED"), (6, "FAILED")], "document_id long, status string")
+    kept = spark.createDataFrame([(1, 1, None, "[1]", "OCR", 0), (1, 2, "k", "[2]", "OCR", 1), (2, 1, "PENDING", "[3]", "CHUNKING", 5), (3, 1, "k", "[4]", "OCR", 0), (4, 1, "k", "[]", "OCR", 0), (4, 2, None, "[]", "OCR", 0), (5, 1, "", "[]", "OCR", 0)], "document_id long, version_number long, storage_key string, stage_history string, processing_stage string, retry_count long")
+    mine = {r.document_id: (r.version_number, r.status, r.processing_stage, r.stage_history, r.retry_count, r.final_attempt, "processing_error_stack" in r.cleared) for r in platform.retry_reset(docs, kept, by_admin=False).collect()}
+    assert mine == {1: (2, "QUEUED", "FILE_VALIDATION", "[]", 2, False, True), 2: (1, "QUEUED", "FILE_VALIDATION", "[]", 6, True, True), 3: (1, "QUEUED", "FILE_VALIDATION", "[]", 1, False, True)}
+    bulk = {r.document_id: (r.processing_stage, r.stage_history, r.retry_count, r.final_attempt, "processing_error_stack" in r.cleared) for r in platform.retry_reset(docs, kept, by_admin=True).collect()}
+    assert bulk == {1: ("OCR", "[2]", 1, False, False), 2: ("CHUNKING", "[3]", 5, True, False)}
     versions = spark.createDataFrame([(1, 1, 2, 0, "a", "x"), (1, 1, 2, 1, "b", " same "), (1, 1, 2, 2, "a", "last"), (1, 2, 2, 0, "b", "same"), (1, 2, 2, 1, "c", "new"), (2, 1, 1, 0, "a", "alone")], "document_id long, version_number long, last_version long, seq int, name string, value string")
     diff = platform.version_field_diff(versions).orderBy("place").collect()
     assert [(r.version_number, r.field_name, r.old_value, r.new_value, r.change) for r in diff] == [(2, "c", None, "new", "ADDED"), (2, "a", "last", None, "REMOVED"), (2, "b", " same ", "same", "UNCHANGED")]
