@@ -8,6 +8,7 @@ implies is taken off.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,11 +22,14 @@ from papyr.llm.common import checkpointed, hash_share, held_out, named, numbered
 
 GRAMS = (3, 4)
 HASHES = 3
-#: Slots for each n-gram of the richest language, and the most bytes that all slots take; both only set how many false
-#: positives there are to correct.
-SLOTS_A_GRAM, FILTER_BYTES = 12, 1 << 26
-#: The fit takes at most about so many documents of a language.
+#: Slots for each n-gram of the richest language, and the most bytes that all slots take.
+SLOTS_A_GRAM, FILTER_BYTES = 32, 1 << 26
+#: No language fills more than about this share of its slots: a false positive is then rarer than one in eight.
+FILL = 0.5
+#: The fit takes at most about so many documents of a language, and fewer where their n-grams would fill the slots.
 SAMPLE_DOCS = 2000
+#: Odd factors whose products with an n-gram's hash are its slots, independent of one another.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9][:HASHES], np.uint64)
 #: Up to so many languages their sizes are broadcast; beyond that Spark chooses the join.
 BROADCAST_LANGUAGES = 10_000
 #: The columns that the operator adds.
@@ -127,12 +131,13 @@ class LanguageFilters:
                     has = (masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)
                     hits[:, i] += np.bincount(doc, weights=has, minlength=len(texts))
         n = np.maximum(total, 1)[:, None]
-        return np.clip((hits / n - self.fpr) / (1 - self.fpr), 0, 1)
+        told = 1 - self.fpr  # 0 for a full slice, which tells nothing
+        return np.clip(np.divide(hits / n - self.fpr, told, out=np.zeros(hits.shape), where=told > 0), 0, 1)
 
 
 def _slots_of(grams: np.ndarray, slot_bits: int) -> list[np.ndarray]:
-    mask = np.uint64((1 << slot_bits) - 1)
-    return [((grams >> np.uint64(i * 21)) & mask).astype(np.int64) for i in range(HASHES)]
+    """The slots of 64-bit hashes: the leading bits of each, mixed, times each factor."""
+    return [((grams ^ (grams >> np.uint64(32))) * f >> np.uint64(64 - slot_bits)).astype(np.int64) for f in FACTORS]
 
 
 def _own_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,14 +152,20 @@ def _own_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def slot_bits_for(grams: int, languages: int) -> int:
     """Enough slots for the richest language, as far as all slots together stay in ``FILTER_BYTES``."""
     wanted = max(grams * SLOTS_A_GRAM, 1 << 10).bit_length()
-    return min(wanted, (FILTER_BYTES // (8 * ((languages + 63) // 64 or 1))).bit_length() - 1, 63 // HASHES)
+    return min(wanted, (FILTER_BYTES // (8 * ((languages + 63) // 64 or 1))).bit_length() - 1)
+
+
+def overfull(grams: int, slot_bits: int) -> bool:
+    """Whether so many n-grams are expected to fill more than ``FILL`` of the slots."""
+    return grams * HASHES > -math.log(1 - FILL) * (1 << slot_bits)
 
 
 def fit_language_filters(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> LanguageFilters:
     """Learn the filters from at most about ``sample_docs`` whole texts of each language, chosen by hash of the id.
 
-    A language's filter takes every n-gram of those texts. The slots are filled on Spark; to the driver go the slots
-    themselves, at most ``FILTER_BYTES``, which are the model. Rows without text or language are passed over; without
+    A language's filter takes every n-gram of those texts; where they would fill more than ``FILL`` of the slots, half
+    as many texts are taken, and so on. The slots are filled on Spark; to the driver go the slots themselves, at most
+    ``FILTER_BYTES``, which are the model. Rows without text or language are passed over; without
     any row the filters know no language.
     """
     rows = labelled.select(labelled[id_col].alias("id"), labelled[lang_col].alias("lang"), labelled[text_col].alias("text")).where("lang is not null and text is not null")
@@ -165,13 +176,23 @@ def fit_language_filters(labelled: DataFrame, lang_col: str = "lang", text_col:
     numbers = rows.sparkSession.createDataFrame([(lang, i) for i, lang in enumerate(languages)], "lang string, number int")
     sizes = sizes.join(numbers, "lang")
     sizes = F.broadcast(sizes) if len(languages) <= BROADCAST_LANGUAGES else sizes
-    chosen = rows.join(sizes, "lang").where(hash_share(F.col("id").cast("string"), F.least(F.lit(1.0), sample_docs / F.col("n")), 9))
-    grams = checkpointed(chosen.select("number", "text").mapInPandas(_own_grams, "number int, gram long").distinct())
-    richest = grams.groupBy("number").count().agg(F.max("count")).first()[0] or 0
-    bits = slot_bits_for(richest, len(languages))
-    slots = F.array(*(F.shiftrightunsigned("gram", i * 21).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(HASHES)))
-    mask = F.expr("shiftleft(1L, number % 64)")
-    filled = grams.select((F.col("number") / 64).cast("int").alias("word"), F.explode(slots).alias("slot"), mask.alias("mask"))
+    while True:
+        chosen = rows.join(sizes, "lang").where(hash_share(F.col("id").cast("string"), F.least(F.lit(1.0), sample_docs / F.col("n")), 9))
+        grams = checkpointed(chosen.select("number", "text").mapInPandas(_own_grams, "number int, gram long").distinct())
+        richest = grams.groupBy("number").count().agg(F.max("count")).first()[0] or 0
+        bits = slot_bits_for(richest, len(languages))
+        if not overfull(richest, bits) or sample_docs <= 1:
+            break
+        sample_docs = sample_docs // 2
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            number, slots = pdf["number"].to_numpy(), _slots_of(pdf["gram"].to_numpy().view(np.uint64), bits)
+            mask = np.left_shift(np.uint64(1), (number % 64).astype(np.uint64)).view(np.int64)
+            for at in slots:
+                yield pd.DataFrame({"word": number // 64, "slot": at, "mask": mask})
+
+    filled = grams.mapInPandas(fill, "word int, slot long, mask long")
     filled = filled.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
     return LanguageFilters.of_slots(languages, bits, filled["word"].to_numpy(), filled["slot"].to_numpy(), filled["mask"].to_numpy(np.int64).view(np.uint64))
 

@@ -66,15 +66,12 @@ def shingle_hashes(words: Column) -> Column:
     return let(words, lambda w: _shingles(w, lambda x: F.xxhash64(*x)))
 
 
-def _mask(band: int) -> Column:
-    """The band's permutation of hashes: exclusive or with a constant, whose leading bits differ from band to band."""
-    bits = (band * 0x9E3779B97F4A7C15) % (1 << 64)
-    return F.lit(bits - (bits >> 63 << 64)).cast("long")
-
-
 def window_of(shingles: int) -> int:
-    """Shingles of a template's windows: the power of two from an eighth to a quarter of the template, at least one."""
-    return 1 << max((shingles // 4).bit_length() - 1, 0)
+    """Shingles of a template's windows: the power of two from an eighth to a quarter of the template, two at least.
+
+    Only a template that is one shingle has windows of one, in which a MinHash is the shingle itself.
+    """
+    return min(shingles, max(1 << max((shingles // 4).bit_length() - 1, 0), 2))
 
 
 def bands_for(shingles: int, containment: float = CONTAINMENT, miss: float = MISS) -> int:
@@ -88,9 +85,9 @@ def bands_for(shingles: int, containment: float = CONTAINMENT, miss: float = MIS
     return math.ceil(math.log(miss) / math.log(fails)) if 0 < fails < 1 else 1
 
 
-def _smallest(hashes: Column, mask: Column) -> Column:
-    """The MinHash: the hash that comes first in the permuted order."""
-    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(mask))).bitwiseXOR(mask)
+def _smallest(hashes: Column, band: Column) -> Column:
+    """The MinHash: the shingle hash that comes first in the band's permutation, a hash keyed by the band."""
+    return F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64(h, band).alias("rank"), h.alias("h"))))["h"]
 
 
 @dataclass(frozen=True)
@@ -108,7 +105,7 @@ def prepare_templates(spark: SparkSession, templates: dict[str, str], containmen
     rows = rows.select("license_id", F.array_distinct(shingle_texts(F.col("words"))).alias("shingles"), F.array_distinct(shingle_hashes(F.col("words"))).alias("hashes"))
     sizes = sorted(r[0] for r in rows.where(F.size("hashes") > 0).select(F.size("hashes")).distinct().collect())
     most = max((bands_for(m, containment) for m in sizes), default=1)
-    bands = F.array(*(_smallest(F.col("hashes"), _mask(b)) for b in range(most)))
+    bands = F.array(*(_smallest(F.col("hashes"), F.lit(b)) for b in range(most)))
     found = rows.where(F.size("hashes") > 0).select("license_id", F.size("hashes").alias("m"), bands.alias("bands")).orderBy("license_id").collect()
     parts, names, keys, size = [], [], {}, 0
     for r in found:
@@ -131,15 +128,15 @@ def _retrieved(hashes: Column, keys: dict[int, list[tuple[int, int, list[str]]]]
     """
     entries = {k: {(w, b if w > 1 else 0): None for w, b, _ in v} for k, v in keys.items()}
     ids = {k: {e: sorted({i for w, b, own in v for i in own if (w, b if w > 1 else 0) == e}) for e in entries[k]} for k, v in keys.items()}
-    table = F.create_map(*(x for k, v in ids.items() for x in (F.lit(k), F.array(*(F.struct(F.lit(w).alias("w"), _mask(b).alias("mask"), F.array(*map(F.lit, own)).alias("ids")) for (w, b), own in v.items())))))
+    table = F.create_map(*(x for k, v in ids.items() for x in (F.lit(k), F.array(*(F.struct(F.lit(w).alias("w"), F.lit(b).alias("band"), F.array(*map(F.lit, own)).alias("ids")) for (w, b), own in v.items())))))
     is_key = lambda h: h.isin(list(keys))
 
     def windows_agree(entry: Column, at: Column) -> Column:
-        half = (entry["w"] / 2).cast("int")
+        half = F.greatest((entry["w"] / 2).cast("int"), F.lit(1))
         first = F.floor(at / half).cast("int") * half
 
         def agrees(begin: Column) -> Column:
-            return (begin >= 0) & (_smallest(F.slice(hashes, F.greatest(begin, F.lit(0)) + 1, entry["w"]), entry["mask"]) == F.get(hashes, at))
+            return (begin >= 0) & (_smallest(F.slice(hashes, F.greatest(begin, F.lit(0)) + 1, entry["w"]), entry["band"]) == F.get(hashes, at))
 
         return (entry["w"] == 1) | agrees(first) | agrees(first - half)
 

@@ -112,10 +112,34 @@ def test_languages_that_tie_are_settled_by_name(spark):
 def test_filter_size_is_bounded():
     for grams, languages in ((1, 1), (50_000, 4), (10**7, 4), (10**6, 500), (10**9, 10**5)):
         bits = language_id.slot_bits_for(grams, languages)
-        assert 3 * bits <= 63 and 8 * -(-languages // 64) << bits <= max(language_id.FILTER_BYTES, 1)
+        assert 8 * -(-languages // 64) << bits <= max(language_id.FILTER_BYTES, 1)
     assert 1 << language_id.slot_bits_for(50_000, 4) >= 50_000 * language_id.SLOTS_A_GRAM
 
 
+def test_saturated_filters_tell_nothing_and_are_not_fitted(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    full = filters_of(("a", "b"), [rng.integers(0, 1 << 62, 40_000).astype(np.uint64), rng.integers(0, 1 << 62, 200).astype(np.uint64)], 10)
+    assert full.fpr[0] == 1 and full.fpr[1] < 1
+    shares = full.shares(["some words", "", "other words here"])
+    assert np.isfinite(shares).all() and (shares[:, 0] == 0).all()
+    assert language_id.overfull(10**6, 10) and not language_id.overfull(10**4, 20)
+    bits = language_id.slot_bits_for(10**8, 4)  # as many slots as fit, far too few
+    assert 8 << bits == language_id.FILTER_BYTES and language_id.overfull(10**8, bits)
+    monkeypatch.setattr(language_id, "FILTER_BYTES", 1 << 16)
+    words = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 60))
+    rows = [(i, words() + (" der die das und ist nicht" if i % 2 else " the and of that with which") * 40, "de" if i % 2 else "en") for i in range(200)]
+    fitted = language_id.fit_language_filters(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert fitted.slots.nbytes <= 1 << 16 and (fitted.fpr < 0.3).all()  # fewer texts are taken until they fit
+    assert fitted.shares(["der die das und ist nicht"])[0].argmax() == 0
+
+
+def test_slots_are_independent_of_one_another():
+    a, b, c = language_id._slots_of(np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(77), 12)
+    for x, y in ((a, b), (b, c), (a, c)):
+        assert len(np.unique(x * 4096 + y)) > 0.98 * (1 << 16)  # pairs hardly repeat
+    assert len(np.unique(language_id._slots_of(np.random.default_rng(0).integers(0, 1 << 63, 10**6).astype(np.uint64), 23)[2])) > 0.9 * 10**6
+
+
 def test_bit_slices_return_all_languages_and_correct_false_positives():
     rng = np.random.default_rng(1)
     members = [rng.integers(0, 1 << 62, 3000).astype(np.uint64) for _ in range(70)]
