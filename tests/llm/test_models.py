@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from papyr.llm import language_id, quality_cnn, toxicity
+from papyr.llm import labelled, language_id, quality_cnn, toxicity
 from papyr.llm.language_id import LanguageFilters, identify_languages
 from papyr.llm.quality_cnn import classify_quality
 from papyr.llm.toxicity import classify_toxicity
@@ -133,6 +133,21 @@ def test_saturated_filters_tell_nothing_and_are_not_fitted(spark, monkeypatch):
     assert fitted.shares(["der die das und ist nicht"])[0].argmax() == 0
 
 
+def test_samples_stay_within_their_bytes_and_keep_whole_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("toxic " if i % 2 else "clean ") * (200_000 if i % 40 < 2 else 20)) for i in range(400)] + [(7, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    whole = {(r.id, r.text) for r in labelled.sample_labelled(docs, labels, "toxic", 10_000, 5, 0)[0].collect()}
+    monkeypatch.setattr(labelled, "CLASS_BYTES", 3_000_000)
+    rows, share = labelled.sample_labelled(docs, labels, "toxic", 10_000, 5, 0)
+    rows = rows.collect()
+    assert {(r.id, r.text) for r in rows} < whole and abs(share - 0.5) < 0.1
+    for label in (0, 1):
+        own = sum(len(r.text) for r in rows if r.label == label)
+        assert 2_000_000 < own <= 3_000_000
+    monkeypatch.setattr(labelled, "CLASS_BYTES", 1)
+    assert {r.label for r in labelled.sample_labelled(docs, labels, "toxic", 10_000, 5, 0)[0].collect()} == {0, 1}
+
+
 def test_slots_are_independent_of_one_another():
     a, b, c = language_id._slots_of(np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(77), 12)
     for x, y in ((a, b), (b, c), (a, c)):
