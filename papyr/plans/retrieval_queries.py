@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from papyr.functions.text import query_language
 from papyr.operators import retrieval as R
+from papyr.operators.fulltext import english_topk
 from papyr.plans.text_queries import SP, trim_sql
 from papyr.sources import entities as E
 from papyr.sources.entities import oracle
@@ -77,6 +78,25 @@ def keyword_topk_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(R.keyword_scores(_chunks(spark, sf_dir), E.full_text_queries(spark, sf_dir)), "keyword_score", 10)
 
 
+@query()
+def text_rank_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The English full-text rank, stemmed and without stop words, of the chunks that have all words of a passage."""
+    found = english_topk(_chunks(spark, sf_dir), E.full_text_queries(spark, sf_dir), None).where("plain_rank > 0")
+    return found.select("query_id", "chunk_id", F.round("plain_rank", 5).alias("text_rank"))
+
+
+@query()
+def keyword_score_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole keyword scores, English ranks of plain and web syntax among them, of all chunks that qualify for a query in web syntax."""
+    return english_topk(_chunks(spark, sf_dir), E.web_queries(spark, sf_dir), None).select("query_id", "chunk_id", F.round("web_rank", 5).alias("web_rank"), "partial_score", "keyword_score")
+
+
+@query()
+def keyword_topk_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of each passage, whole, by the English keyword score, from an inverted index."""
+    return english_topk(_chunks(spark, sf_dir), E.full_text_queries(spark, sf_dir), 10).select("query_id", "chunk_id", "keyword_score", "rank")
+
+
 @query()
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = keyword_topk(spark, sf_dir).join(E.search_queries(spark, sf_dir), "query_id").join(_chunks(spark, sf_dir), "chunk_id")
@@ -248,7 +268,7 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per question: language, instruction, history, context and question, as the input of a model run elsewhere."""
     asked = E.messages(spark, sf_dir).where("role = 'USER'").withColumn("language", query_language(F.col("content")))
     questions = asked.select(F.struct("conversation_id", "turn").alias("id"), "content").select(F.to_json("id").alias("query_id"), F.col("content").alias("query"))
-    ranked = R.top_k(R.keyword_scores(_chunks(spark, sf_dir), questions), "keyword_score", 5)
+    ranked = english_topk(_chunks(spark, sf_dir), questions, 5).select("query_id", "chunk_id", "keyword_score", "rank")
     context = R.build_context(questions, ranked, _titled_chunks(spark, sf_dir))
     rows = asked.join(chat_history(spark, sf_dir), ["conversation_id", "turn"]).withColumn("query_id", F.to_json(F.struct("conversation_id", "turn"))).join(context, "query_id")
     instruction = F.when(F.col("language") == "hi", "Answer in Hindi and cite the sources.").otherwise("Answer in English and cite the sources.")

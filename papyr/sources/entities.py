@@ -165,6 +165,17 @@ def full_text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), F.col("text").alias("query"))
 
 
+def web_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries in web syntax, made of the words of the benchmark's passages: phrases, alternatives, exclusions, open quotes."""
+    w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit("the"))
+    kinds = (
+        F.concat(F.lit('"'), w(0), F.lit(" "), w(1), F.lit('" '), w(4)), F.concat(w(0), F.lit(" or "), w(3), F.lit(" "), w(6)), F.concat(w(0), F.lit(" "), w(1), F.lit(" -"), w(8)),
+        F.concat(w(2), F.lit(' -"'), w(5), F.lit(" "), w(6)),
+    )
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
+    return rows.select(F.col("item_id").alias("query_id"), F.get(F.array(*kinds), (F.col("item_id") % 4).cast("int")).alias("query"))
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", F.upper("role").alias("role"), F.col("text").alias("content"))
 
