@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from papyr.functions.fields import clamp, confidence_band
 from papyr.functions.schemas import CATEGORIES, EXPECTED_FIELDS
 from papyr.functions.text import let, trim_all
+from papyr.operators.joins import holding
 
 #: Milliseconds above which a stage is slow, or worth a warning (fixed values).
 SLOW_MS, WARN_MS = 5000, 2000
@@ -82,15 +84,19 @@ def search_filters(requests: DataFrame, docs: DataFrame) -> DataFrame:
     return d.join(r, on).select("r.query_id", "d.*")
 
 
-def contains_any(rows: DataFrame, needles: DataFrame, columns: list[str]) -> DataFrame:
-    """(query_id, needles: one for each column) -> the rows that hold a needle in its column, whatever the case.
+def contains_any(rows: DataFrame, needles: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """(query_id, needles: one for each column) -> (query_id, ``key``) of the rows that hold a needle in its column, whatever the case.
 
-    The needles, a stated query set, are the broadcast side.
+    ``key`` tells the rows apart. Null and empty needles match nothing. A needle meets the distinct values of its column
+    that have its rarest three characters: no pair of row and query is looked at by itself, nothing has to be small.
     """
-    on = F.lit(False)
+    found = []
     for i, c in enumerate(columns):
-        on = on | F.contains(F.lower(c), F.lower(F.get("needles", F.lit(i))))
-    return rows.join(needles, on)
+        low = rows.select(key, F.lower(c).alias("raw")).where("raw is not null")
+        own = needles.select("query_id", F.lower(F.get("needles", F.lit(i))).alias("value"))
+        held = holding(low.groupBy("raw").agg(F.count(F.lit(1)).alias("df")), own.select("value"))
+        found.append(own.join(held, "value").join(low, "raw").select("query_id", key))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def list_documents(requests: DataFrame, docs: DataFrame, latest: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyr.functions.text import SPACE, let, trim_all
+from papyr.operators.joins import join_by_hot_key
+from papyr.operators.storage import shared_checkpoint
 
 STRIP = "'\":*&|!()\\"
 #: Queries that one pass over the chunks looks for, and words of whole passages among them.
@@ -246,9 +248,13 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     # A user with many vectors or queries is cut: each slice of the vectors meets each part of the queries in one group.
     keys = ["user_id", "model"]
-    cuts = vectors.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices")).join(queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("parts")), keys)
-    left = vectors.join(cuts, keys).withColumn("slice", F.pmod(F.xxhash64("chunk_id"), "slices")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = queries.join(cuts, keys).withColumn("part", F.pmod(F.xxhash64("query_id"), "parts")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    # Users with many of them meet their number of cuts by a broadcast, so that they aren't brought together before.
+    count = lambda rows, name: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = shared_checkpoint(count(vectors, "v").join(count(queries, "q"), keys))
+    total = both.agg(F.coalesce(F.sum(F.col("v") + F.col("q")), F.lit(0))).first()[0]
+    cuts = both.select(*keys, F.ceil(F.col("v") / SLICE).alias("slices"), F.ceil(F.col("q") / SLICE).alias("parts"), F.greatest("v", "q").alias("n"))
+    left = join_by_hot_key(vectors, cuts, keys, total).withColumn("slice", F.pmod(F.xxhash64("chunk_id"), "slices")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = join_by_hot_key(queries, cuts, keys, total).withColumn("part", F.pmod(F.xxhash64("query_id"), "parts")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     empty = pd.DataFrame({"query_id": [], "chunk_id": [], "semantic_score": []})
     keys += ["slice", "part"]
     groups = left.drop("slices", "parts").groupBy(*keys).cogroup(right.drop("slices", "parts").groupBy(*keys))

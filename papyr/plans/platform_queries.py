@@ -280,7 +280,7 @@ def contains_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = (F.col("query_id") * 37).cast("string")
     needles = E.search_queries(spark, sf_dir).select("query_id", F.array(n, F.concat(F.lit("R#"), n, F.lit("@")), n).alias("needles"))
     rows = live(spark, sf_dir).join(E.users(spark, sf_dir).select("user_id", "email", "name"), "user_id")
-    return J.contains_any(rows, needles, ["title", "email", "name"]).select("query_id", "document_id")
+    return J.contains_any(rows, needles, ["title", "email", "name"], "document_id")
 
 
 def list_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ whole AS (SELECT query_id, doc_id, any_value(n) AS n FROM near JOIN needed USING
 one AS (SELECT query_id, doc_id, sum(0.1 / k / k) / 1.64493406685 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS k FROM near JOIN whole USING (query_id, doc_id) WHERE n = 1) GROUP BY query_id, doc_id),
 several AS (SELECT query_id, doc_id, 1 - exp(sum(ln(1 - 0.1 * sqrt(CASE WHEN d > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) END)))) AS rank FROM (SELECT a.query_id, a.doc_id, abs(a.pos - b.pos) AS d FROM near a JOIN whole USING (query_id, doc_id) JOIN near b ON b.query_id = a.query_id AND b.doc_id = a.doc_id AND b.token < a.token WHERE n > 1) WHERE d > 0 GROUP BY query_id, doc_id),
 ranks AS (SELECT query_id, doc_id AS chunk_id, coalesce(one.rank, several.rank, 1e-20) AS text_rank FROM whole LEFT JOIN one USING (query_id, doc_id) LEFT JOIN several USING (query_id, doc_id)),
-held AS (SELECT query_id, chunk_id, contains(low, lower(query)) AS holds, 0.10 + 0.35 * len(list_filter(terms, lambda w: contains(low, lower(w)))) / greatest(len(terms), 1) AS share, len(list_filter(terms, lambda w: length(w) >= 3 AND contains(low, lower(w)))) > 0 AS long
+held AS (SELECT query_id, chunk_id, contains(low, lower(query)) AS holds, 0.10 + 0.35 * (len(list_filter(terms, lambda w: contains(low, lower(w)))) / greatest(len(terms), 1)) AS share, len(list_filter(terms, lambda w: length(w) >= 3 AND contains(low, lower(w)))) > 0 AS long
   FROM terms, (SELECT doc_id AS chunk_id, lower(text) AS low FROM documents)),
 scored AS (SELECT query_id, chunk_id, holds, floor(share * 10000 + 0.5) / 10000 AS partial_score, floor(greatest(CASE WHEN holds THEN 0.95 ELSE 0.0 END, 1.5 * coalesce(text_rank, 0), share) * 10000 + 0.5) / 10000 AS keyword_score
   FROM held LEFT JOIN ranks USING (query_id, chunk_id) WHERE holds OR long OR text_rank IS NOT NULL)"""

@@ -157,7 +157,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def full_text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +239,7 @@ SQL = {
     "ocr_pages": """SELECT version_id, page_number, lang, array_to_string(lines[(page_number - 1) * 20 + 1 : page_number * 20], chr(10)) AS raw_text
   FROM (SELECT doc_id AS version_id, lang, string_split(text, chr(10)) AS lines, unnest(range(1, 1 + (len(string_split(text, chr(10))) + 19) // 20)) AS page_number FROM documents)""",
     "doc_embeddings": "SELECT vec_id AS chunk_id, vec_id AS document_id, CASE WHEN label < 8 THEN 'm1' ELSE 'local-hash-fallback' END AS model, CAST(len(embedding) AS INTEGER) AS dimension, embedding FROM embeddings",
-    "search_queries": "SELECT item_id AS query_id, substr(text, 1, 60) AS query FROM benchmark",
+    "search_queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
     "messages": "SELECT conv_id AS conversation_id, turn, upper(role) AS role, text AS content FROM conversations",
     "audit_logs": "SELECT event_id AS audit_id, user_id AS actor_id, event_type, ts AS created_at, props AS changes, CASE event_type WHEN 'purchase' THEN 'DOCUMENT' WHEN 'click' THEN 'FIELD' ELSE 'USER' END AS resource_type, event_id AS document_id FROM events",
     "verification_events": "SELECT event_id, event_id // 6 AS document_id, CASE WHEN event_id % 2 = 0 THEN 'total_amount' ELSE 'tax_amount' END AS field_name, user_id AS reviewer_id, CASE event_type WHEN 'click' THEN 'ACCEPTED' WHEN 'purchase' THEN 'EDITED' ELSE 'REJECTED' END AS action, ' ' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) || ' ' AS new_value, ts AS created_at FROM events WHERE event_type IN ('click', 'purchase', 'error')",
