@@ -246,6 +246,7 @@ def semantic_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 out.append(pd.DataFrame({"query_id": q, "chunk_id": left["chunk_id"].to_numpy()[order], "semantic_score": row[order]}))
         return pd.concat(out)
 
+    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # they may be made of the same rows
     # A user with many vectors or queries is cut: each slice of the vectors meets each part of the queries in one group.
     keys = ["user_id", "model"]
     # Users with many of them meet their number of cuts by a broadcast, so that they aren't brought together before.

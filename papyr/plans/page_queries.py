@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyr.operators import ocr
 from papyr.operators import retrieval as R
+from papyr.operators.vectors import ivf_topk
 from papyr.plans.retrieval_queries import LEXICAL, TERMS, _vector_queries, _vectors, keyword_topk
 from papyr.plans.text_queries import trim_sql
 from papyr.sources import entities as E
@@ -199,63 +197,14 @@ def _all_vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_topk_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth vector's ten nearest of its user group and model, by random projections."""
-    return approx_topk(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10)
+    """Every tenth vector's ten nearest of its user group and model, by an inverted file of cells."""
+    return ivf_topk(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10)
 
 
 @query()
 def semantic_topk_approx_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over all users' vectors, deleted documents too: every vector is indexed."""
-    return approx_topk(_all_vectors(spark, sf_dir), _all_vector_queries(spark, sf_dir), 10)
-
-
-#: Share of the spread that a bucket covers, and tables. Near vectors that are hardly nearer than any others, as the
-#: given ones, need buckets as wide as that for a recall of 0.9; clustered ones then meet few others.
-BUCKET_SHARE, TABLES = 1 / 4, 9
-
-
-def approx_topk(rows: DataFrame, asked: DataFrame, k: int, share: float = BUCKET_SHARE, tables: int = TABLES) -> DataFrame:
-    """(user_id, model, chunk_id, embedding) x (query_id, user_id, model, vector) -> query_id, chunk_id, semantic_score, rank.
-
-    Random projections of unit vectors find the candidates within a user and model, which are ranked exactly whatever
-    their distance. The buckets' length follows from the spread of the projections, measured on a bounded sample, so
-    that a bucket holds about ``share`` of the vectors. A query with fewer than ``k`` candidates is compared with all
-    vectors of its user and model. Vectors have a length above 0.
-    """
-    unit = lambda c: array_to_vector(F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y.cast("double") * y))))
-    own = rows.select("user_id", "model", "chunk_id", unit(F.col("embedding")).alias("vector"))
-    ask = asked.select("query_id", "user_id", "model", unit(F.col("vector")).alias("vector"))
-    sample = own.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_003)) < _sample_bound(own)).select("vector").limit(SAMPLE).collect()
-    if not sample:
-        return R.semantic_topk(rows, asked, k)
-    length = float(max(_spread([r[0].toArray() for r in sample]) * share, 1e-9))
-    lsh = BucketedRandomProjectionLSH(inputCol="vector", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=3).fit(own)
-    bucket = F.posexplode(F.transform("hashes", lambda h: vector_to_array(h)[0]))
-    left = lsh.transform(ask).select("query_id", "user_id", "model", bucket.alias("table", "bucket"))
-    right = lsh.transform(own).select("chunk_id", "user_id", "model", bucket.alias("table", "bucket"))
-    pairs = left.join(right, ["user_id", "model", "table", "bucket"]).select("query_id", "chunk_id").distinct()
-    near = pairs.join(ask.select("query_id", F.col("vector").alias("q")), "query_id").join(own.select("chunk_id", "vector"), "chunk_id")
-    dot = F.aggregate(F.zip_with(vector_to_array("q"), vector_to_array("vector"), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    found = R.top_k(near.select("query_id", "chunk_id", F.round(F.greatest(dot, F.lit(0.0)), 4).alias("semantic_score")), "semantic_score", k)
-    full = found.where(F.col("rank") == k).select("query_id")
-    short = asked.join(full, "query_id", "left_anti")
-    return found.join(full, "query_id", "left_semi").unionByName(R.semantic_topk(rows, short, k))
-
-
-#: Vectors that the spread is measured on.
-SAMPLE = 2000
-
-
-def _sample_bound(rows: DataFrame) -> Column:
-    return F.lit(max(int(1_000_003 * min(1.0, 2 * SAMPLE / max(rows.count(), 1))), 1))
-
-
-def _spread(vectors: list[np.ndarray]) -> float:
-    """Range that holds the middle of the projections on random directions: four standard deviations."""
-    x = np.array(vectors)
-    directions = np.random.default_rng(5).normal(size=(x.shape[1], 64))
-    directions /= np.linalg.norm(directions, axis=0)
-    return 4 * float((x @ directions).std(0).mean())
+    return ivf_topk(_all_vectors(spark, sf_dir), _all_vector_queries(spark, sf_dir), 10)
 
 
 @query(oracle(f"""WITH {TERMS}, wanted AS (SELECT DISTINCT query_id, lower(unnest(terms)) AS term FROM terms), toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents),
