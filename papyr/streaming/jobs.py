@@ -23,6 +23,8 @@ from papyr.operators.retrieval import hash_embed_column
 
 #: Folders that the versions of a batch are dealt over.
 BUCKETS = 16
+#: Times its limit that a version which waits no more is remembered, so that an older state doesn't begin the wait again.
+KEPT_FOR = 10
 
 
 def rate_windows(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -144,3 +146,37 @@ def audited(spark: SparkSession, path: str) -> DataFrame:
 def stuck_versions(versions: DataFrame, now: str) -> DataFrame:
     """Versions that wait beyond the job timeout and their back-off as of ``now``, and whether to try again."""
     return platform.stuck_versions(versions, F.lit(now).cast("timestamp"))
+
+
+def stuck_monitor(versions: DataFrame, timeout: float = platform.JOB_TIMEOUT, backoff: float = platform.BACKOFF, attempts: int = platform.ATTEMPTS) -> DataFrame:
+    """A stream of (document_id, version_number, version_status, version_created_at, attempts) -> what to do with versions that wait too long.
+
+    Each state of a version that is queued or in work sets a timer: ``timeout`` seconds and a back-off that doubles with
+    each attempt, from when the state was reached. When it goes off the version is to be tried again (RETRY), which is
+    one attempt more and sets the next timer, or has failed (FAIL) when it has had ``attempts``. Any other status ends
+    the wait, for good if the same state comes again; of several states the newest counts. Timers are kept in the state
+    and go on after a restart. The rows: document_id, version_number, attempts, action.
+    """
+
+    def watch(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        since, tried, waiting = state.get if state.exists else (-1, 0, False)
+        if state.hasTimedOut:
+            if not waiting:
+                state.remove()
+                return
+            last = tried >= attempts
+            yield pd.DataFrame({"document_id": [key[0]], "version_number": [key[1]], "attempts": [tried], "action": ["FAIL" if last else "RETRY"]})
+            since, tried, waiting = (since, tried, False) if last else (now, tried + 1, True)
+        else:
+            for pdf in parts:
+                for status, at, n in zip(pdf["version_status"], pdf["at"], pdf["attempts"], strict=True):
+                    if (at, n) > (since, tried) or (at, n) == (since, tried) and status not in ("QUEUED", "PROCESSING"):
+                        since, tried, waiting = int(at), int(n), status in ("QUEUED", "PROCESSING")
+        state.update((since, tried, waiting))
+        limit = 1000 * (timeout + backoff * 2**tried)
+        state.setTimeoutDuration(max(int(since + limit - now), 1) if waiting else int(KEPT_FOR * limit))
+
+    rows = versions.select("document_id", "version_number", "version_status", F.unix_millis(F.col("version_created_at").cast("timestamp")).alias("at"), F.coalesce("attempts", F.lit(0)).cast("int").alias("attempts"))
+    out = "document_id long, version_number long, attempts int, action string"
+    return rows.groupBy("document_id", "version_number").applyInPandasWithState(watch, out, "since long, tried int, waiting boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -230,6 +230,37 @@ def test_answers_embeddings_and_ingestion(spark, tmp_path):
     assert sorted(r.text for r in once.collect()) == ["a", "b"]
 
 
+def test_stuck_versions_by_timers_that_outlive_a_restart(spark, tmp_path):
+    """One stays queued, one is done in time, one is in work at its last attempt, one came long ago, one is done before an older state comes."""
+    now, old = datetime.datetime.now(), datetime.datetime(2020, 1, 1)
+    schema = "document_id long, version_number long, version_status string, version_created_at timestamp, attempts int"
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def land(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(landing)
+
+    def acted():
+        found = [] if not os.path.exists(out) else spark.read.schema("document_id long, version_number long, attempts int, action string").parquet(out).collect()
+        return sorted((r.document_id, r.attempts, r.action) for r in found)
+
+    def watch(enough):
+        source = spark.readStream.schema(schema).parquet(landing)
+        q = jobs.stuck_monitor(source, timeout=1.0, backoff=0.01).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").start()
+        for _ in range(80):
+            if enough():
+                break
+            q.awaitTermination(1)
+        q.stop()
+        assert q.exception() is None
+
+    later = now + datetime.timedelta(days=1)
+    land((1, 1, "QUEUED", now, 0), (2, 1, "PROCESSING", later, 0), (3, 1, "PROCESSING", now, 3), (4, 1, "QUEUED", old, 2), (5, 1, "COMPLETED", later, 0), (5, 1, "QUEUED", now, 0))
+    watch(lambda: (3, 3, "FAIL") in acted() and (4, 2, "RETRY") in acted())
+    land((2, 1, "COMPLETED", later, 0), (5, 1, "QUEUED", now, 0))
+    watch(lambda: (1, 3, "FAIL") in acted() and (4, 3, "FAIL") in acted())
+    assert acted() == [(1, 0, "RETRY"), (1, 1, "RETRY"), (1, 2, "RETRY"), (1, 3, "FAIL"), (3, 3, "FAIL"), (4, 2, "RETRY"), (4, 3, "FAIL")]
+
+
 def test_late_repeats_of_a_given_answer_give_nothing(spark, tmp_path):
     path, schema = str(tmp_path / "d"), "message_id long, seq long, delta string, done boolean"
     for part in ([(1, 0, "a", False), (1, 1, "b", True)], [(1, 0, "a", False)], [(1, 1, "b", True), (2, 0, "x", True)]):
