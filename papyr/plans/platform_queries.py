@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from papyr.functions.fields import enum_token
 from papyr.operators import platform as J
+from papyr.operators.paging import pages
 from papyr.plans.page_queries import ENGINES_SQL, ocr_waterfall
 from papyr.sources import entities as E
 from papyr.sources import files
@@ -466,6 +467,25 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "document_id", "field_name", "confidence", place.alias("place"), F.count(F.lit(1)).over(of).alias("total"))
 
 
+@query("""WITH asked AS (SELECT user_id, user_id % 3 + 1 AS page, user_id % 4 * 5 + 1 AS size, CASE WHEN user_id % 5 = 0 THEN 'INVOICE' END AS category, CASE user_id % 7 WHEN 0 THEN 'AMOUNT' WHEN 1 THEN '12' END AS search FROM users),
+queue AS (SELECT a.page, a.size, d.user_id, f.document_id, f.field_name, f.confidence, row_number() OVER (PARTITION BY d.user_id ORDER BY f.confidence, f.document_id, f.field_name) AS place, count(*) OVER (PARTITION BY d.user_id) AS total
+  FROM fields f JOIN documents_meta d ON d.document_id = f.document_id JOIN asked a ON a.user_id = d.user_id WHERE f.confidence < 0.65 AND NOT (is_verified OR is_rejected) AND d.status = 'COMPLETED' AND NOT d.is_deleted AND (a.category IS NULL OR d.category = a.category)
+  AND (a.search IS NULL OR f.field_name ILIKE '%' || a.search || '%' OR f.raw_value ILIKE '%' || a.search || '%' OR d.title ILIKE '%' || a.search || '%'))
+SELECT user_id, document_id, field_name, confidence, place, total, CAST(ceil(total / size) AS BIGINT) AS total_pages FROM queue WHERE place > (page - 1) * size AND place <= page * size""", "fields", "documents_meta", "users")
+def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each user's review queue, by category and search where asked for; only the page's buckets are sorted."""
+    u = F.col("user_id")
+    asked = E.users(spark, sf_dir).select(
+        "user_id", (u % 3 + 1).alias("page"), (u % 4 * 5 + 1).alias("size"), F.when(u % 5 == 0, "INVOICE").alias("want_category"), F.when(u % 7 == 0, "AMOUNT").when(u % 7 == 1, "12").alias("search"),
+    )
+    done = live(spark, sf_dir).where("status = 'COMPLETED'").select("document_id", "user_id", "title", "category").join(asked.select("user_id", "want_category", "search"), "user_id")
+    done = done.where("want_category is null or category = want_category")
+    has = lambda c: F.contains(F.lower(c), F.lower("search"))
+    rows = E.fields(spark, sf_dir).where(LOW).join(done, "document_id").where(F.col("search").isNull() | has("field_name") | has("raw_value") | has("title"))
+    rows = rows.select("user_id", "document_id", "field_name", "confidence")
+    return pages(rows, asked.select("user_id", "page", "size"), "user_id", "confidence", "document_id", "field_name")
+
+
 @query("""SELECT u.user_id, u.email, d.document_id, d.status, coalesce(v.version_number, 0) AS latest_version, v.version_status, v.error FROM users u, documents_meta d LEFT JOIN versions v ON v.document_id = d.document_id AND v.version_number = v.last_version WHERE d.user_id = u.user_id AND NOT d.is_deleted""", "users", "documents_meta", "versions")
 def user_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live documents of every user with their latest version's number, status and error."""
