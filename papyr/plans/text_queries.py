@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyr.functions import text as T
@@ -212,12 +212,28 @@ def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_by_hot_key(rows, first, "content_key", total).select("doc_id", "content_key", "embed_with", (F.col("doc_id") == F.col("embed_with")).alias("embeds"))
 
 
-@query(r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') || '<', '>([^<]+)<', 1), lambda p: trim(regexp_replace(p, '[\x20\t\n\r]+', ' ', 'g'))), lambda p: p <> ''), ' ') AS page_text FROM pages""")
-def page_text_from_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""), r"(?s)<!--.*?-->", "")
+LAYER_SQL = r"""list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') || '<', '>([^<]+)<', 1), lambda p: trim(regexp_replace(p, '[\x20\t\n\r]+', ' ', 'g'))), lambda p: p <> '')"""
+#: Confidence of a block and of a page that come from a text layer (fixed values).
+LAYER_BLOCK, LAYER_PAGE = 0.99, 0.98
+
+
+def layer_items(html: Column) -> Column:
+    """The runs of text between tags, in order, without scripts, styles and comments."""
+    plain = F.regexp_replace(F.regexp_replace(html, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""), r"(?s)<!--.*?-->", "")
     runs = F.regexp_extract_all(F.concat(plain, F.lit("<")), F.lit(">([^<]+)<"), 1)
-    items = F.filter(F.transform(runs, lambda p: F.trim(F.regexp_replace(p, r"[\x20\t\n\r]+", " "))), lambda p: p != "")
-    return E.table(spark, sf_dir, "pages").select("page_id", F.array_join(items, " ").alias("page_text"))
+    return F.filter(F.transform(runs, lambda p: F.trim(F.regexp_replace(p, r"[\x20\t\n\r]+", " "))), lambda p: p != "")
+
+
+@query(f"SELECT page_id, array_to_string({LAYER_SQL}, ' ') AS page_text FROM pages")
+def page_text_from_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.table(spark, sf_dir, "pages").select("page_id", F.array_join(layer_items(F.col("html")), " ").alias("page_text"))
+
+
+@query(f"""SELECT page_id, i - 1 AS block_order, i AS reading_order, items[i] AS block_text, 0.99 AS confidence, 0.98 AS page_confidence FROM (SELECT page_id, items, unnest(range(1, len(items) + 1)) AS i FROM (SELECT page_id, {LAYER_SQL} AS items FROM pages))""")
+def page_blocks_from_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One block per run of a page's text layer, and the confidence that such pages have; pages without text have none."""
+    rows = E.table(spark, sf_dir, "pages").select("page_id", F.posexplode(layer_items(F.col("html"))).alias("block_order", "block_text"))
+    return rows.select("page_id", "block_order", (F.col("block_order") + 1).alias("reading_order"), "block_text", F.lit(LAYER_BLOCK).alias("confidence"), F.lit(LAYER_PAGE).alias("page_confidence"))
 
 
 @query("SELECT doc_id, length(replace(text || chr(65), 'A', '')) AS kept_chars, text AS clean FROM documents")
