@@ -233,12 +233,13 @@ def next_version_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT document_id, [{', '.join(f"'{s}'" for s in STAGES)}][done + 1] AS current_stage, done AS stages_done, CASE WHEN done = 14 THEN 100 ELSE least(100, CAST(round(100.0 * done / 14) AS INTEGER)) END AS progress
-  FROM (SELECT document_id, CASE WHEN status = 'COMPLETED' THEN 14 ELSE document_id % 14 END AS done FROM documents_meta)""", "documents_meta")
+  FROM (SELECT d.document_id, CASE WHEN d.status = 'COMPLETED' THEN 14 ELSE (v.page_count * 5 + v.version_number * 3) % 14 END AS done FROM documents_meta d JOIN versions v ON v.document_id = d.document_id AND v.version_number = CASE WHEN d.document_id % 4 = 0 THEN 1 ELSE v.last_version END)""", "documents_meta", "versions")
 def stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages before the current one (which the fixture draws from the key), and the progress that they make."""
+    """Stages before the current one, which the fixture draws from the current version's pages and number, and the progress that they make."""
+    current = current_versions(spark, sf_dir).select("document_id", ((F.col("page_count") * 5 + F.col("version_number") * 3) % 14).alias("at"))
     stages = spark.createDataFrame(list(enumerate(STAGES)), "stages_done long, current_stage string")
-    done = F.when(F.col("status") == "COMPLETED", F.lit(14)).otherwise(F.col("document_id") % 14).cast("long")
-    rows = E.documents_meta(spark, sf_dir).select("document_id", done.alias("stages_done")).join(F.broadcast(stages), "stages_done", "left")
+    done = F.when(F.col("status") == "COMPLETED", F.lit(14)).otherwise(F.col("at")).cast("long")
+    rows = E.documents_meta(spark, sf_dir).join(current, "document_id").select("document_id", done.alias("stages_done")).join(F.broadcast(stages), "stages_done", "left")
     return rows.select("document_id", "current_stage", "stages_done", F.when(F.col("stages_done") == 14, 100).otherwise(F.least(F.lit(100), percent(F.col("stages_done"), F.lit(14)))).alias("progress"))
 
 
@@ -656,14 +657,22 @@ def retry_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.retry_reset(live(spark, sf_dir), versions, by_admin=False).unionByName(J.retry_reset(live(spark, sf_dir), versions, by_admin=True))
 
 
-@query(r"""SELECT o_orderkey AS document_id, CASE WHEN token IN ('INVOICE', 'BANK_DOCUMENT', 'TAX_DOCUMENT', 'RESUME') THEN token ELSE 'UNKNOWN' END AS category, least(1.0, greatest(0.0, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 200000 END, 0))) AS confidence
-  FROM (SELECT *, regexp_replace(regexp_replace(upper(trim(coalesce([' invoice ', 'Bank-Document', 'tax   document!', 'RESUME', 'Novel', NULL, ''][o_orderkey % 7 + 1], ''))), '[\s-]+', '_', 'g'), '[^A-Z0-9_]', '', 'g') AS token FROM orders)""")
+_NAMES = "[" + ", ".join(f"'{c}'" for c in J.CATEGORIES) + "]"
+
+
+@query(rf"""WITH named AS (SELECT *, {_NAMES}[o_custkey % {len(J.CATEGORIES)} + 1] AS name FROM orders), raw AS (SELECT *, CASE o_orderkey % 7 WHEN 0 THEN '  ' || replace(lower(name), '_', ' ') || ' ' WHEN 1 THEN replace(name, '_', '-') WHEN 2 THEN name WHEN 3 THEN replace(lower(name), '_', '   ') || '!' WHEN 4 THEN name || 'S' WHEN 5 THEN '' END AS category FROM named)
+SELECT o_orderkey AS document_id, CASE WHEN list_contains({_NAMES}, token) THEN token ELSE 'UNKNOWN' END AS category, least(1.0, greatest(0.0, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 200000 END, 0))) AS confidence
+  FROM (SELECT *, regexp_replace(regexp_replace(upper(trim(coalesce(category, ''))), '[\s-]+', '_', 'g'), '[^A-Z0-9_]', '', 'g') AS token FROM raw)""")
 def conform_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category names as a model spells them -> the platform's, else UNKNOWN; confidence clamped, 0 where there is none."""
-    raw = F.get(F.array(*map(F.lit, (" invoice ", "Bank-Document", "tax   document!", "RESUME", "Novel", None, ""))), (F.col("o_orderkey") % 7).cast("int"))
+    name, k = F.get(F.array(*map(F.lit, J.CATEGORIES)), (F.col("o_custkey") % len(J.CATEGORIES)).cast("int")), F.col("o_orderkey") % 7
+    low = lambda gap: F.replace(F.lower(name), F.lit("_"), F.lit(gap))
+    raw = (
+        F.when(k == 0, F.concat(F.lit("  "), low(" "), F.lit(" "))).when(k == 1, F.replace(name, F.lit("_"), F.lit("-"))).when(k == 2, name).when(k == 3, F.concat(low("   "), F.lit("!")))
+        .when(k == 4, F.concat(name, F.lit("S"))).when(k == 5, F.lit(""))
+    )
     conf = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") / 200000)
-    rows = E.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), raw.alias("category"), conf.alias("confidence"))
-    return J.conform_category(rows, enum_token)
+    return J.conform_category(E.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), raw.alias("category"), conf.alias("confidence")), enum_token)
 
 
 @query("""WITH expected AS ({registry}), of AS (SELECT document_id, coalesce((SELECT any_value(e.category) FROM expected e WHERE e.category = d.category), 'UNKNOWN') AS category FROM documents_meta d)
