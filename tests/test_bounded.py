@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from papyr.operators import retrieval
+from papyr.operators import fulltext, retrieval
 
 
 def searched(spark):
@@ -31,3 +31,14 @@ def test_rows_of_a_batch_of_texts_come_in_parts(monkeypatch):
     parts = list(retrieval._rows_of(iter([batch]), found, retrieval.KeywordMatcher.scores))
     assert sum(len(c) for _, c in parts) == 29 * 20 and max(len(c) for _, c in parts) <= 60
     assert [c for _, part in parts for c in part.to_pylist()] == [i for i in range(29) for _ in range(20)]
+
+
+def test_english_search_reads_each_text_once_a_block(spark, monkeypatch):
+    chunks, queries = searched(spark)
+    plans = [f(chunks, queries)._jdf.queryExecution().optimizedPlan().toString() for f in (fulltext.english_ranks, lambda c, q: fulltext.english_topk(c, q, None))]
+    assert all("MapInArrow" in p and "Join" not in p for p in plans)
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 7)
+    every = {(r.query_id, r.chunk_id): r.plain_rank for r in fulltext.english_topk(chunks, queries, None).where("plain_rank > 0").collect()}
+    assert every == {(r.query_id, r.chunk_id): r.plain_rank for r in fulltext.english_ranks(chunks, queries).collect()} and every
+    index = fulltext.build_index(chunks)
+    assert sorted(map(tuple, fulltext.english_topk(chunks, queries, 4).collect())) == sorted(map(tuple, fulltext.english_topk(chunks, queries, 4, index).select("query_id", "chunk_id", "plain_rank", "web_rank", "partial_score", "keyword_score", "rank").collect()))
