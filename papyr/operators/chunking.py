@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,69 +12,67 @@ from papyr.functions import text as T
 
 TARGET_MIN, TARGET_MAX, HARD_MAX, MIN_CHARS = 300, 600, 1000, 20
 WORDS_PER_PIECE = int(HARD_MAX / 1.3)
-
-
-def fold_blocks(blocks: Column) -> Column:
-    """Trimmed blocks -> array of (section, content): headings start sections, 300 tokens close a chunk, 600 are the most.
-
-    Words and headings are looked up once a block, before the fold.
-    """
-    kind = "struct<section:string,content:string>"
-    start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("words"), F.lit(None).cast("string").alias("section"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def state(buf: Column, words: Column, section: Column, out: Column) -> Column:
-        return F.struct(buf.alias("buf"), words.cast("int").alias("words"), section.alias("section"), out.alias("out"))
-
-    def piece(section: Column, content: Column) -> Column:
-        return F.array(F.struct(section.alias("section"), content.alias("content")))
-
-    def step(acc: Column, known: Column) -> Column:
-        block, own = known["text"], known["words"]
-        words = acc["words"] + own
-        flushed = F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], piece(acc["section"], acc["buf"])))
-        joined = F.when(acc["buf"] == "", block).otherwise(F.concat(acc["buf"], F.lit("\n\n"), block))
-        full = T.tokens_of_words(words) > TARGET_MAX
-        alone = T.tokens_of_words(own) >= TARGET_MAX
-        empty, none = F.lit(""), F.lit(0)
-        return (
-            F.when(known["heading"], state(block, own, block, flushed))
-            .when(full & (acc["buf"] != "") & alone, state(empty, none, acc["section"], F.concat(flushed, piece(acc["section"], block))))
-            .when(full & (acc["buf"] != ""), state(block, own, acc["section"], flushed))
-            .when(T.tokens_of_words(words) >= TARGET_MIN, state(empty, none, acc["section"], F.concat(acc["out"], piece(acc["section"], joined))))
-            .otherwise(state(joined, words, acc["section"], acc["out"]))
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], piece(acc["section"], acc["buf"])))
-
-    known = F.transform(blocks, lambda b: F.struct(b.alias("text"), T.word_count(b).alias("words"), T.is_trimmed_heading(b).alias("heading")))
-    return F.aggregate(known, start, step, finish)
-
-
-def enforce_hard_limit(content: Column) -> Column:
+JOIN = "\n\n"
+
+
+def fold_blocks(blocks: Iterable[str]) -> Iterator[tuple[str | None, str]]:
+    """Trimmed blocks -> (section, content): headings start sections, 300 tokens close a chunk, 600 are the most."""
+    held: list[str] = []
+    words, section = 0, None
+    for block in blocks:
+        own = T.count_words(block)
+        both = T.token_estimate(words + own)
+        if T.trimmed_heading(block):
+            if held:
+                yield section, JOIN.join(held)
+            held, words, section = [block], own, block
+        elif both > TARGET_MAX and held:
+            yield section, JOIN.join(held)
+            held, words = [block], own
+            if T.token_estimate(own) >= TARGET_MAX:
+                yield section, block
+                held, words = [], 0
+        else:
+            held.append(block)
+            words += own
+            if both >= TARGET_MIN:
+                yield section, JOIN.join(held)
+                held, words = [], 0
+    if held:
+        yield section, JOIN.join(held)
+
+
+def limited(content: str) -> list[str]:
     """A text of over 1000 tokens -> sentences packed up to 1000; a longer sentence is cut every 769 words."""
-    start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("words"), F.array().cast("array<string>").alias("out"))
+    if T.token_estimate(T.count_words(content)) <= HARD_MAX:
+        return [content]
+    out: list[str] = []
+    held: list[str] = []
+    words = 0
+    for sentence in T.sentence_list(content):
+        own = T.count_words(sentence)
+        long = T.token_estimate(own) > HARD_MAX
+        if held and (long or T.token_estimate(words + own) > HARD_MAX):
+            out.append(" ".join(held))
+            held, words = [], 0
+        if long:
+            all_words = T.word_list(sentence)
+            out += [" ".join(all_words[i : i + WORDS_PER_PIECE]) for i in range(0, own, WORDS_PER_PIECE)]
+        else:
+            held.append(sentence)
+            words += own
+    return out + [" ".join(held)] if held else out
 
-    def step(acc: Column, known: Column) -> Column:
-        sentence, own = known["text"], known["words"]
-        flushed = F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"])))
-        words = F.filter(F.split(sentence, rf"[{T.SPACE}]+"), lambda w: w != "")
-        cuts = F.sequence(F.lit(1), F.greatest(own, F.lit(1)), F.lit(WORDS_PER_PIECE))
-        pieces = T.let(words, lambda w: F.transform(cuts, lambda i: F.array_join(F.slice(w, i, WORDS_PER_PIECE), " ")))
-        fits = T.tokens_of_words(acc["words"] + own) <= HARD_MAX
 
-        def state(buf: Column, n: Column, out: Column) -> Column:
-            return F.struct(buf.alias("buf"), n.cast("int").alias("words"), out.alias("out"))
+def enforce_hard_limit(content: Column) -> Column:
+    """``limited`` as a column."""
+    return T.by_text(limited, "array<string>", content)
 
-        return (
-            F.when(T.tokens_of_words(own) > HARD_MAX, state(F.lit(""), F.lit(0), F.concat(flushed, pieces)))
-            .when(fits, state(F.when(acc["buf"] == "", sentence).otherwise(F.concat(acc["buf"], F.lit(" "), sentence)), acc["words"] + own, acc["out"]))
-            .otherwise(state(sentence, own, flushed))
-        )
 
-    known = F.transform(T.sentences(content), lambda s: F.struct(s.alias("text"), T.word_count(s).alias("words")))
-    packed = F.aggregate(known, start, step, lambda acc: F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"]))))
-    return F.when(T.estimate_tokens(content) <= HARD_MAX, F.array(content)).otherwise(packed)
+def page_chunks(text: str, hard_limit: bool) -> list[tuple[str | None, str, int, int]]:
+    """(section, content, tokens, characters) of a page's chunks."""
+    pieces = ((section, T.trimmed(p)) for section, content in fold_blocks(T.block_list(text)) for p in (limited(content) if hard_limit else (content,)))
+    return [(section, p, T.token_estimate(T.count_words(p)), len(p)) for section, p in pieces if len(p) >= MIN_CHARS]
 
 
 def chunk_pages(pages: DataFrame, text_col: str = "raw_text", hard_limit: bool = True) -> DataFrame:
@@ -80,16 +80,9 @@ def chunk_pages(pages: DataFrame, text_col: str = "raw_text", hard_limit: bool =
 
     Blank and null pages give no chunk. Without ``hard_limit`` a block of over 1000 tokens stays whole.
     """
-
-    def limited(c: Column) -> Column:
-        pieces = enforce_hard_limit(c["content"]) if hard_limit else F.array(c["content"])
-        return F.transform(pieces, lambda p: F.struct(c["section"].alias("section"), T.trim_all(p).alias("content")))
-
-    folded = T.let(T.blocks(F.col(text_col)), fold_blocks)
-    cut = F.filter(F.flatten(F.transform(folded, limited)), lambda c: F.length(c["content"]) >= MIN_CHARS)
+    cut = T.by_text(lambda t: page_chunks(t, hard_limit), "array<struct<section_title:string,content:string,token_count:int,char_count:int>>", F.col(text_col))
     keep = [c for c in pages.columns if c != text_col]
-    rows = pages.where(T.trim_all(F.col(text_col)) != "").select(*keep, F.posexplode(cut).alias("pos", "chunk"))
-    return rows.select(*keep, "pos", F.col("chunk.section").alias("section_title"), F.col("chunk.content").alias("content"), T.estimate_tokens(F.col("chunk.content")).alias("token_count"), F.length("chunk.content").alias("char_count"))
+    return pages.select(*keep, F.posexplode(cut).alias("pos", "chunk")).select(*keep, "pos", "chunk.*")
 
 
 def chunk_documents(pages: DataFrame, hard_limit: bool = True) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import pyarrow as pa
 
-from papyr.operators import fulltext, retrieval
+from papyr.functions import text
+from papyr.operators import chunking, field_quality, fulltext, retrieval
 
 
 def searched(spark):
     words = ["the", "of", "cat", "dog", "bird", "fish", "c++", "a"]
-    text = lambda i: None if i % 97 == 0 else " ".join(words[(i * j) % 7 if j % 3 else i % 8] for j in range(1, 4 + i % 5))
-    chunks = spark.createDataFrame([(i, text(i)) for i in range(600)], "chunk_id long, content string").repartition(3)
-    return chunks, spark.createDataFrame([(i, text(i + 7) or "") for i in range(40)], "query_id long, query string")
+    made = lambda i: None if i % 97 == 0 else " ".join(words[(i * j) % 7 if j % 3 else i % 8] for j in range(1, 4 + i % 5))
+    chunks = spark.createDataFrame([(i, made(i)) for i in range(600)], "chunk_id long, content string").repartition(3)
+    return chunks, spark.createDataFrame([(i, made(i + 7) or "") for i in range(40)], "query_id long, query string")
 
 
 def test_keyword_topk_is_that_of_all_pairs_and_each_task_passes_on_k_a_query(spark, monkeypatch):
@@ -42,3 +43,17 @@ def test_english_search_reads_each_text_once_a_block(spark, monkeypatch):
     assert every == {(r.query_id, r.chunk_id): r.plain_rank for r in fulltext.english_ranks(chunks, queries).collect()} and every
     index = fulltext.build_index(chunks)
     assert sorted(map(tuple, fulltext.english_topk(chunks, queries, 4).collect())) == sorted(map(tuple, fulltext.english_topk(chunks, queries, 4, index).select("query_id", "chunk_id", "plain_rank", "web_rank", "partial_score", "keyword_score", "rank").collect()))
+
+
+def test_chunks_and_fields_are_worked_out_by_row_helpers(spark):
+    spaced = "A  b.  c! d। e　\n\nHEAD\n\nx y z\n"
+    assert text.block_list(spaced) == ["A  b.  c! d। e", "HEAD", "x y z"] and text.sentence_list("A  b.  c! d। e") == ["A  b.", "c!", "d।", "e"]
+    long = " ".join(["word"] * 2000) + ". end."
+    assert [text.count_words(p) for p in chunking.limited(long)] == [769, 769, 462, 1] and list(chunking.fold_blocks(["HEAD", "x"])) == [("HEAD", "HEAD\n\nx")]
+    rows = spark.createDataFrame([("3rd of March 2024", "CURRENCY"), ("3/2/2024", "DATE"), (None, "DATE")], "raw_value string, field_type string").repartition(1)
+    rows = rows.selectExpr("*", "'f' as field_name", "0.5d as confidence", "false as is_rejected")
+    found = field_quality.validated(rows)
+    assert {(r.raw_value, str(r.parsed_date), r.amount) for r in found.collect()} == {("3rd of March 2024", "None", None), ("3/2/2024", "2024-02-03", None), (None, "None", None)}
+    for plan in (found, chunking.chunk_pages(rows.withColumnRenamed("raw_value", "raw_text"))):
+        shown = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEvalPython" in shown and "aggregate(" not in shown and "regexp_extract" not in shown
