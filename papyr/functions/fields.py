@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papyr.functions.text import SPACE, let, trim_all
+from papyr.functions.text import SPACE, SPACES, by_text, let, trim_all, trimmed, word_list
 
 #: Month names (fixed values).
 ENGLISH_MONTHS = {
@@ -37,53 +41,60 @@ GSTIN = r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][A-Z0-9]Z[A-Z0-9]$"
 HIGH, MEDIUM = 0.85, 0.65
 
 
-def _date(text: Column, pattern: str, year: int, month: Column | int, day: int) -> Column:
-    """A calendar date of the years 1000 to 9999 from a pattern's groups; null where there is no such day.
-
-    ``month`` is a group's number, or the month itself. The groups are looked up once.
-    """
-    group = lambda i: F.regexp_extract(text, pattern, i)
-    parts = F.struct(group(year).alias("y"), (group(month).try_cast("int") if isinstance(month, int) else month).alias("m"), group(day).alias("d"))
-
-    def made(g: Column) -> Column:
-        date = F.concat_ws("-", g["y"], F.lpad(g["m"].cast("string"), 2, "0"), F.lpad(g["d"], 2, "0")).try_cast("date")
-        return F.when((g["m"] > 0) & (g["d"] != "") & (F.length(g["y"]) == 4) & (g["y"] >= "1000"), date)
-
-    return let(parts, made)
+_DMY, _YMD = re.compile(r"([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})"), re.compile(r"([0-9]{4})[/.-]([0-9]{1,2})[/.-]([0-9]{1,2})")
+_ENGLISH, _AMERICAN = re.compile(r"([0-9]{1,2}) ([a-zA-Z]+) ([0-9]{4})"), re.compile(r"([a-zA-Z]+)\.? ([0-9]{1,2}),? ([0-9]{4})")
+_HINDI, _DEVANAGARI = re.compile(r"([0-9]{1,2})[^0-9]+([0-9]{4})"), re.compile("[\u0900-\u097f]")
+_ORDINAL, _OF = re.compile(r"([0-9]{1,2})(?:[sS][tT]|[nN][dD]|[rR][dD]|[tT][hH])\b"), re.compile(r"\b[oO][fF]\b")
+_MARKS, _NUMBER = re.compile(CURRENCY_MARKS, re.ASCII), re.compile(r"[0-9]+(?:\.[0-9]+)?")
+_WITHOUT = str.maketrans("", "", SPACES + ",")
+
+
+def _day(year: str, month: int | None, day: str) -> datetime.date | None:
+    """A calendar date of the years 1000 to 9999; none where there is no such day."""
+    try:
+        return datetime.date(int(year), month, int(day)) if month and year >= "1000" else None
+    except ValueError:
+        return None
+
+
+@lru_cache(1 << 14)
+def date_of(text: str) -> datetime.date | None:
+    """D/M/YYYY, YYYY/M/D (also with - or .), English and Hindi month names; none for anything else."""
+    t = trimmed(text)
+    found = None
+    if m := _DMY.fullmatch(t):
+        found = _day(m[3], int(m[2]), m[1])
+    if not found and (m := _YMD.fullmatch(t)):
+        found = _day(m[1], int(m[2]), m[3])
+    plain = "" if found else " ".join(word_list(_OF.sub(" ", _ORDINAL.sub(r"\1", t))))
+    if not found and (m := _ENGLISH.fullmatch(plain)):
+        found = _day(m[3], ENGLISH_MONTHS.get(m[2].lower()), m[1])
+    if not found and (m := _AMERICAN.fullmatch(plain)):
+        found = _day(m[3], ENGLISH_MONTHS.get(m[1].lower()), m[2])
+    if not found and _DEVANAGARI.search(t) and (m := _HINDI.search(t)):
+        found = _day(m[2], next((n for name, n in HINDI_MONTHS.items() if name in t), None), m[1])
+    return found
+
+
+def amount_of(text: str) -> float | None:
+    """The number of an amount of money without its marks; parentheses or a minus make it negative."""
+    t = _MARKS.sub("", text).translate(_WITHOUT).removesuffix("/-").removesuffix(".")
+    bracketed = len(t) > 1 and t[0] == "(" and t[-1] == ")"
+    inner = t[1:-1] if bracketed else t
+    digits = inner[1:] if inner[:1] in ("-", "+") else inner
+    if not _NUMBER.fullmatch(digits):
+        return None
+    return -float(digits) if bracketed or inner[:1] == "-" else float(digits)
 
 
 def parse_date(raw: Column) -> Column:
-    """D/M/YYYY, YYYY/M/D (also with - or .), English and Hindi month names; null for anything else."""
-    return let(trim_all(F.coalesce(raw, F.lit(""))), _parse_trimmed)
-
-
-def _parse_trimmed(t: Column) -> Column:
-    names = F.create_map(*(F.lit(x) for kv in ENGLISH_MONTHS.items() for x in kv))
-    plain = F.regexp_replace(F.regexp_replace(t, r"(?i)(\d{1,2})(st|nd|rd|th)\b", "$1"), r"(?i)\bof\b", " ")
-    plain = trim_all(F.regexp_replace(plain, rf"[{SPACE}]+", " "))
-
-    def named(p: Column) -> Column:
-        english, american = r"^(\d{1,2}) ([a-zA-Z]+) (\d{4})$", r"^([a-zA-Z]+)\.? (\d{1,2}),? (\d{4})$"
-        month = lambda pattern, i: F.try_element_at(names, F.lower(F.regexp_extract(p, pattern, i)))
-        return F.coalesce(_date(p, english, 3, month(english, 2), 1), _date(p, american, 3, month(american, 1), 2))
-
-    hindi = F.coalesce(*(F.when(F.contains(t, F.lit(name)), F.lit(n)) for name, n in HINDI_MONTHS.items()))
-    return F.coalesce(
-        _date(t, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", 3, 2, 1), _date(t, r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})$", 1, 2, 3),
-        let(plain, named), F.when(t.rlike("[\\x{900}-\\x{97F}]"), _date(t, r"(\d{1,2})\D+(\d{4})", 2, hindi, 1)),
-    )
+    """``date_of`` as a column."""
+    return by_text(date_of, "date", raw)
 
 
 def parse_amount(raw: Column) -> Column:
-    """The number of an amount of money without its marks; parentheses or a minus make it negative."""
-    t = F.regexp_replace(F.coalesce(raw, F.lit("")), CURRENCY_MARKS, "")
-    t = F.regexp_replace(F.regexp_replace(t, rf"[{SPACE},]", ""), r"/-$", "")
-    t = F.regexp_replace(t, r"\.$", "")
-    inner = F.regexp_replace(t, r"^\((.*)\)$", "$1")
-    negative = t.rlike(r"^\(.*\)$") | F.startswith(inner, F.lit("-"))
-    digits = F.regexp_replace(inner, r"^[-+]", "")
-    number = F.when(digits.rlike(r"^\d+(\.\d+)?$"), digits.try_cast("double"))
-    return F.when(negative, -number).otherwise(number)
+    """``amount_of`` as a column."""
+    return by_text(amount_of, "double", raw)
 
 
 def looks_like_gstin(raw: Column) -> Column:

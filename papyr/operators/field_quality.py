@@ -32,7 +32,7 @@ def validated(fields: DataFrame) -> DataFrame:
     raw, c, open_one = F.col("raw_value"), F.col("confidence"), ~F.col("is_rejected")
     is_id = (F.col("field_type") == "ID_NUMBER") | F.contains("field_name", F.lit("gstin"))
     by_type = {"parsed_date": ("DATE", P.parse_date), "amount": ("CURRENCY", P.parse_amount)}
-    rows = fields.withColumns({c: F.when(open_one & (F.col("field_type") == t), parse(raw)) for c, (t, parse) in by_type.items()})
+    rows = fields.withColumns({c: parse(F.when(open_one & (F.col("field_type") == t), raw)) for c, (t, parse) in by_type.items()})
     by_date = F.when(F.col("parsed_date").isNull(), F.least(c, F.lit(0.40))).otherwise(c)
     by_amount = (
         F.when(F.col("amount").isNull(), F.least(c, F.lit(0.40))).when(F.col("amount") < 0, F.greatest(F.lit(0.1), c - 0.25))
