@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papyr.functions.text import SPACE, SPACES, by_text, let, trim_all, trimmed, word_list
+from papyr.functions.text import SPACE, SPACES, by_text, trim_all, trimmed, word_list
 
 #: Month names (fixed values).
 ENGLISH_MONTHS = {
@@ -121,11 +121,7 @@ def enum_token(raw: Column) -> Column:
 def field_type(raw: Column, field_name: Column) -> Column:
     """A known type, its other names, what the field's name tells, else TEXT."""
     aliases = F.create_map(*(F.lit(x) for kv in TYPE_ALIASES.items() for x in kv))
-
-    def found(given: Column) -> Column:
-        by_name = F.lit("TEXT")
-        for pattern, kind in reversed(TYPE_BY_NAME):
-            by_name = F.when(given["name"].rlike(pattern), kind).otherwise(by_name)
-        return F.when(given["token"].isin(*FIELD_TYPES), given["token"]).otherwise(F.coalesce(F.try_element_at(aliases, given["token"]), by_name))
-
-    return let(F.struct(enum_token(raw).alias("token"), F.lower(field_name).alias("name")), found)
+    token, name, by_name = enum_token(raw), F.lower(field_name), F.lit("TEXT")
+    for pattern, kind in reversed(TYPE_BY_NAME):
+        by_name = F.when(name.rlike(pattern), kind).otherwise(by_name)
+    return F.when(token.isin(*FIELD_TYPES), token).otherwise(F.coalesce(F.try_element_at(aliases, token), by_name))

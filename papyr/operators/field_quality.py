@@ -118,13 +118,18 @@ def merge_extractions(old: DataFrame, new: DataFrame, order: list[str]) -> DataF
 
     Blank new values are passed over. One shuffle, by document and name.
     """
+    return _merged(old, new, order).select(*old.columns)
+
+
+def _merged(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """The same with ``_first``, which tells the rows of a document and name apart."""
     preserved = old.where("is_verified or is_rejected").withColumn("_old", F.lit(True))
     fresh = new.where(trim_all("raw_value") != "").withColumns({"is_verified": F.lit(False), "is_rejected": F.lit(False), "_old": F.lit(False)})
     of = Window.partitionBy("document_id", "field_name")
     extra = [c for c in order if c not in preserved.columns]
     both = preserved.unionByName(fresh.select(*preserved.columns, *extra), allowMissingColumns=True)
     both = both.withColumns({"_blocked": F.max("_old").over(of), "_first": F.row_number().over(of.orderBy("_old", *order))})
-    return both.where(F.col("_old") | (~F.col("_blocked") & (F.col("_first") == 1))).select(*old.columns)
+    return both.where(F.col("_old") | (~F.col("_blocked") & (F.col("_first") == 1))).select(*old.columns, "_first")
 
 
 def field_quality_pipeline(old: DataFrame, raw: DataFrame, blocks: DataFrame, order: list[str]) -> DataFrame:
@@ -132,8 +137,13 @@ def field_quality_pipeline(old: DataFrame, raw: DataFrame, blocks: DataFrame, or
 
     Rejected fields stay in the table as they are, but for what a cross-check sets: it reaches every field of the
     document that has the name in question.
+
+    The merged rows are made once: each meets the blocks of its document in one join, after which all is by document.
     """
-    merged = merge_extractions(old, conform_extractions(raw), order)
-    best = F.when(~F.col("is_rejected"), F.col("best_block"))
-    scored = merged.join(best_block_confidence(merged, blocks), ["document_id", "field_name"], "left").withColumn("best_block", best)
-    return cross_check(validated(_mixed(scored)))
+    merged = _merged(old, conform_extractions(raw), order)
+    rows = merged.withColumn("_value", F.when(~F.col("is_rejected"), F.lower(trim_all("raw_value"))))
+    b = blocks.select(F.col("version_id").alias("_document"), F.lower(trim_all("block_text")).alias("_block"), F.col("confidence").alias("_confidence")).where(F.length("_block") >= 3)
+    holds = (F.length("_value") >= 3) & (F.contains("_block", F.col("_value")) | F.contains("_value", F.col("_block")))
+    scored = rows.join(b, (F.col("document_id") == F.col("_document")) & holds, "left").groupBy(*merged.columns).agg(F.max("_confidence").alias("_best"))
+    best = F.when(~F.col("is_rejected"), F.max("_best").over(Window.partitionBy("document_id", "field_name")))
+    return cross_check(validated(_mixed(scored.withColumn("best_block", best)))).drop("_best", "_first")

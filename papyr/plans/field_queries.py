@@ -171,9 +171,9 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new extraction of every document, as a model spells it: names and types out of form, some twice, some blank."""
     k = F.col("document_id")
     kind = F.when(k % 3 == 0, F.lower("field_type")).when(k % 3 == 1, F.lit("weird")).otherwise(F.replace("field_type", F.lit("_"), F.lit(" ")))
-    rows = E.fields(spark, sf_dir).select(k, F.concat(F.lit(" "), "field_name").alias("field_name"), kind.alias("field_type"), "raw_value", (F.col("confidence") * 1.3 - 0.1).alias("confidence"), (k % 4 - 0.5).alias("source_page"), F.lit(0).alias("seq"))
-    again = rows.where(k % 6 == 0).withColumns({"raw_value": F.when(k % 12 == 0, F.lit("  ")).otherwise(F.lit("1,000")), "seq": F.lit(1)})
-    return rows.unionByName(again)
+    rows = E.fields(spark, sf_dir).select(k, F.concat(F.lit(" "), "field_name").alias("field_name"), kind.alias("field_type"), "raw_value", (F.col("confidence") * 1.3 - 0.1).alias("confidence"), (k % 4 - 0.5).alias("source_page"), F.explode(F.when(k % 6 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("seq"))
+    again = F.when(k % 12 == 0, F.lit("  ")).otherwise(F.lit("1,000"))
+    return rows.withColumn("raw_value", F.when(F.col("seq") == 1, again).otherwise(F.col("raw_value")))
 
 
 def _field_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

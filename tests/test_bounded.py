@@ -57,3 +57,16 @@ def test_chunks_and_fields_are_worked_out_by_row_helpers(spark):
     for plan in (found, chunking.chunk_pages(rows.withColumnRenamed("raw_value", "raw_text"))):
         shown = plan._jdf.queryExecution().optimizedPlan().toString()
         assert "ArrowEvalPython" in shown and "aggregate(" not in shown and "regexp_extract" not in shown
+
+
+def test_the_field_pipeline_makes_its_rows_once(spark):
+    """One join, and one scan of either extraction; rows of one name are scored by the name's best open block."""
+    fields = "document_id long, field_name string, field_type string, raw_value string, confidence double, is_verified boolean, is_rejected boolean"
+    old = spark.createDataFrame([(1, "a", "TEXT", "alpha", 0.5, True, False), (1, "a", "TEXT", "gone", 0.5, False, True), (1, "a", "TEXT", "other", 0.5, True, False)], fields)
+    new = spark.createDataFrame([(1, " b ", "weird", "beta", 0.4, 1.0, 0), (1, "a", "weird", "beta", 0.4, 1.0, 0), (2, "c", "TEXT", "xy", 0.2, 1.0, 0)], "document_id long, field_name string, field_type string, raw_value string, confidence double, source_page double, seq int")
+    blocks = spark.createDataFrame([(1, "ALPHA beta", 0.9), (1, "gone", 1.0), (2, "xy", 1.0)], "version_id long, block_text string, confidence double")
+    found = field_quality.field_quality_pipeline(old, new, blocks, ["seq"])
+    assert sorted((r.document_id, r.field_name, r.raw_value, r.confidence) for r in found.collect()) == [
+        (1, "a", "alpha", 0.62), (1, "a", "gone", 0.5), (1, "a", "other", 0.62), (1, "b", "beta", 0.55), (2, "c", "xy", 0.2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("LogicalRDD") == 3
