@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from papyr.operators.joins import join_by_hot_key
 from papyr.operators.retrieval import semantic_topk, top_k
@@ -23,8 +24,8 @@ from papyr.operators.storage import shared_checkpoint
 ONE_CELL, MOST_CELLS, FIT_A_CELL, ROUNDS = 256, 1024, 32, 8
 #: Parts of a residual that are quantised apart, code words of each, and residuals of a model that they are fitted on.
 PARTS, WORDS, FIT_RESIDUALS = 8, 64, 8192
-#: Vectors of a group, about; candidates by code, times ``k``, that are ranked exactly in a group.
-SLICE, KEPT = 20_000, 8
+#: Vectors of a group and queries of a group, about; queries that are looked up at once; candidates by code, times ``k``, that are ranked exactly in a cell.
+SLICE, ASKED, AT_ONCE, KEPT = 20_000, 10_000, 256, 8
 #: Queries on which the share of cells to look into is measured, and the share of true neighbours that it is to reach there.
 MEASURED, RECALL = 200, 0.95
 KEYS = ["user_id", "model"]
@@ -146,6 +147,12 @@ def build_vector_index(rows: DataFrame) -> VectorIndex:
     return VectorIndex(shared_checkpoint(vectors), cells, book)
 
 
+def _near_cells(q: np.ndarray, centres: np.ndarray, share: float | None) -> np.ndarray:
+    """The share of the cells (all for none) that each query looks into, nearest first."""
+    near = np.argsort(-(q @ centres.T - (centres**2).sum(1) / 2), 1, kind="stable")
+    return near if share is None else near[:, : max(1, int(np.ceil(share * near.shape[1])))]
+
+
 def _probes(index: VectorIndex, queries: DataFrame, share: float | None) -> DataFrame:
     """The cells that each query looks into, nearest first: query_id, user_id, model, vector, cell, place (share of cells before it)."""
     kinds = [queries.schema[c].dataType.simpleString() for c in ("query_id", *KEYS)]
@@ -157,11 +164,11 @@ def _probes(index: VectorIndex, queries: DataFrame, share: float | None) -> Data
         right = right.sort_values("cell")
         for at in range(0, len(left) if len(right) else 0, 256):
             part = left.iloc[at : at + 256]
-            q, centres = _unit(_matrix(part["vector"])), _matrix(right["centroid"])
-            near = np.argsort(-(q @ centres.T - (centres**2).sum(1) / 2), 1, kind="stable")
-            keep = near.shape[1] if share is None else max(1, int(np.ceil(share * near.shape[1])))
+            q = _unit(_matrix(part["vector"]))
+            near = _near_cells(q, _matrix(right["centroid"]), share)
+            keep, count = near.shape[1], len(right)
             rows = np.repeat(np.arange(len(part)), keep)
-            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[rows], **{c: part[c].to_numpy()[rows] for c in KEYS}, "vector": [q[i] for i in rows], "cell": near[:, :keep].ravel(), "place": np.tile(np.arange(keep) / near.shape[1], len(part))}))
+            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[rows], **{c: part[c].to_numpy()[rows] for c in KEYS}, "vector": [q[i] for i in rows], "cell": near.ravel(), "place": np.tile(np.arange(keep) / count, len(part))}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", *KEYS, "vector", "cell", "place")})
 
     schema = f"query_id {kinds[0]}, user_id {kinds[1]}, model {kinds[2]}, vector array<float>, cell int, place double"
@@ -179,35 +186,90 @@ def measured_share(rows: DataFrame, index: VectorIndex, queries: DataFrame, k: i
     return 1.0 if place is None else float(place) + 1e-9
 
 
+def _bundles(index: VectorIndex, queries: DataFrame) -> DataFrame:
+    """The cells of users who ask: user_id, model, cell, n, slices, bundle, low, high, most, parts.
+
+    Cells that follow one another are bundled up to about ``SLICE`` vectors, a larger one is cut into slices; low and
+    high are a bundle's first and last cell, most its most slices, parts the parts that the user's queries are cut into.
+    """
+    asked = queries.groupBy(*KEYS).agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts"))
+    sizes = index.vectors.groupBy(*KEYS, "cell").agg(F.count(F.lit(1)).alias("n")).join(asked, KEYS)
+    before = F.sum("n").over(Window.partitionBy(*KEYS).orderBy("cell")) - F.col("n")
+    sizes = sizes.withColumns({"slices": F.ceil(F.col("n") / SLICE).cast("int"), "bundle": F.floor(before / SLICE).cast("int")})
+    of = Window.partitionBy(*KEYS, "bundle")
+    return shared_checkpoint(sizes.withColumns({"low": F.min("cell").over(of), "high": F.max("cell").over(of), "most": F.max("slices").over(of)}))
+
+
+def _asked_bundles(index: VectorIndex, queries: DataFrame, bundles: DataFrame, share: float) -> DataFrame:
+    """The bundles that each query looks into: query_id, user_id, model, vector, bundle, most, part, cells (bits of its cells, from the lowest)."""
+    kinds = [queries.schema[c].dataType.simpleString() for c in ("query_id", *KEYS)]
+    own = queries.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(64)))
+    cells = index.cells.select(*KEYS, "cell", "centroid").join(bundles.drop("n", "slices"), [*KEYS, "cell"], "left")
+    cells = _apart(cells.join(own.select(*KEYS, "deal").distinct(), KEYS))
+    names = ["query_id", *KEYS, "vector", "bundle", "most", "parts", "cells"]
+
+    def order(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("cell")
+            number, centres = right["cell"].to_numpy(), _matrix(right["centroid"])
+            groups = right.dropna(subset=["bundle"]).drop_duplicates("bundle")[["bundle", "low", "high", "most", "parts"]].astype(int)
+            for at in range(0, len(left), AT_ONCE):
+                part = left.iloc[at : at + AT_ONCE]
+                q = _unit(_matrix(part["vector"]))
+                wanted = np.zeros((len(part), number[-1] + 1), bool)
+                wanted[np.arange(len(part))[:, None], number[_near_cells(q, centres, share)]] = True
+                for bundle, low, high, most, parts in groups.itertuples(index=False):
+                    bits = wanted[:, low : high + 1]
+                    rows = np.flatnonzero(bits.any(1))
+                    if not len(rows):
+                        continue
+                    packed = [x.tobytes() for x in np.packbits(bits[rows], axis=1)]
+                    out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[rows], **{c: part[c].to_numpy()[rows] for c in KEYS}, "vector": list(q[rows]), "bundle": bundle, "most": most, "parts": parts, "cells": packed}))
+        return pd.concat(out)[names] if out else pd.DataFrame({c: [] for c in names}, dtype=object)
+
+    schema = f"query_id {kinds[0]}, user_id {kinds[1]}, model {kinds[2]}, vector array<float>, bundle int, most int, parts int, cells binary"
+    asked = own.groupBy(*KEYS, "deal").cogroup(cells.groupBy(*KEYS, "deal")).applyInPandas(order, schema)
+    return asked.withColumn("part", F.pmod(F.xxhash64(F.lit(9), "query_id"), F.col("parts")).cast("int")).drop("parts")
+
+
 def search_vectors(rows: DataFrame, index: VectorIndex, queries: DataFrame, k: int, share: float) -> DataFrame:
     """query_id, chunk_id, semantic_score, rank: the best ``k`` found for each query in ``share`` of its user's cells.
 
-    In a group of one cell the codes pick ``KEPT`` times ``k`` candidates a query, which are scored whole. A query with
-    fewer than ``k`` results is compared with all vectors of its user and model.
+    A group is a bundle of cells and a part of the queries that look into some of them. In each cell the codes pick
+    ``KEPT`` times ``k`` candidates a query, which are scored whole, all queries of a block in one product of matrices; a
+    group passes on ``k`` a query. A query with fewer than ``k`` results is compared with all vectors of its user and model.
     """
-    asked = _probes(index, queries, share).drop("place")
-    sizes = shared_checkpoint(index.vectors.groupBy(*KEYS, "cell").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")))
-    key = [*KEYS, "cell", "slice"]
-    left = index.vectors.join(F.broadcast(sizes.where("slices > 1")), [*KEYS, "cell"], "left")  # few cells are so large
-    left = left.withColumn("slice", F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("slices")), F.lit(0)).cast("int")).drop("slices")
-    right = asked.join(sizes, [*KEYS, "cell"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    right = _apart(right.join(index.cells.select(*KEYS, "cell", "centroid"), [*KEYS, "cell"]))
+    bundles = _bundles(index, queries)
+    total = bundles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    key = [*KEYS, "bundle", "slice", "part"]
+    left = join_by_hot_key(index.vectors, bundles.select(*KEYS, "cell", "n", "slices", "bundle", "low", "parts"), [*KEYS, "cell"], total)
+    left = left.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("slices", "parts")
+    right = _asked_bundles(index, queries, bundles, share).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).drop("most")
+    left, right = _apart(left), _apart(right)
     books = {r["model"]: [np.array(w, np.float32) for w in r["words"]] for r in index.books.collect()}
     shipped = rows.sparkSession.sparkContext.broadcast(books)
 
     def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            x, ids = _matrix(a["embedding"]), a["chunk_id"].to_numpy()
+            a = a.sort_values(["cell", "chunk_id"])
+            x, ids, cell = _matrix(a["embedding"]), a["chunk_id"].to_numpy(), a["cell"].to_numpy()
             codes = np.frombuffer(b"".join(a["code"]), np.uint8).reshape(len(a), -1)
-            words, centre = shipped.value[a["model"].iloc[0]], np.array(b["centroid"].iloc[0], np.float32)
             cuts = _parts(x.shape[1])
-            for q, name in zip(_matrix(b["vector"]), b["query_id"], strict=True):
-                rough = sum((w.reshape(-1, p.stop - p.start) @ q[p])[codes[:, i]] for i, (p, w) in enumerate(zip(cuts, words, strict=True))) + q @ centre
-                near = np.argpartition(-rough, KEPT * k)[: KEPT * k] if len(a) > KEPT * k else np.arange(len(a))
-                exact = np.round(np.maximum(x[near].astype(np.float64) @ q.astype(np.float64), 0), 4)
-                best = np.lexsort((ids[near], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": name, "chunk_id": ids[near][best], "semantic_score": exact[best]}))
+            coded = np.concatenate([w.reshape(-1, p.stop - p.start)[codes[:, i]] for i, (p, w) in enumerate(zip(cuts, shipped.value[a["model"].iloc[0]], strict=True))], 1)
+            ends = np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)]
+            for at in range(0, len(b), AT_ONCE):
+                part = b.iloc[at : at + AT_ONCE]
+                q = _matrix(part["vector"])
+                wanted = np.unpackbits(np.frombuffer(b"".join(part["cells"]), np.uint8).reshape(len(part), -1), axis=1).astype(bool)
+                found = [_best_of_cell(x[i:j], coded[i:j], q, np.flatnonzero(wanted[:, cell[i] - a["low"].iloc[0]]), k, i) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                query, place, score = (np.concatenate(c) for c in zip(*found, strict=True))
+                order = np.lexsort((ids[place], -score, query))
+                query = query[order]
+                begin = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])[: len(query)]
+                order, query = (z[np.arange(len(query)) - np.repeat(begin, np.diff(np.r_[begin, len(query)])) < k] for z in (order, query))
+                out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[query], "chunk_id": ids[place[order]], "semantic_score": score[order]}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "chunk_id", "semantic_score")})
 
     kinds = [queries.schema["query_id"].dataType.simpleString(), rows.schema["chunk_id"].dataType.simpleString()]
@@ -218,6 +280,23 @@ def search_vectors(rows: DataFrame, index: VectorIndex, queries: DataFrame, k: i
     return best.join(full, "query_id", "left_semi").unionByName(semantic_topk(rows, short, k))
 
 
+def _best_of_cell(x: np.ndarray, coded: np.ndarray, q: np.ndarray, asking: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each asking query (its number in ``q``) the ``k`` best vectors of a cell: query, place (from ``first``) and score.
+
+    ``coded`` are the residuals as their codes have them; the centre adds the same to all of a cell.
+    """
+    own = q[asking]
+    if len(x) > KEPT * k:
+        near = np.sort(np.argpartition(-(own @ coded.T), KEPT * k, axis=1)[:, : KEPT * k], axis=1)  # vectors are in the order of their ids
+        score = np.matmul(x[near].astype(np.float64), own.astype(np.float64)[:, :, None])[:, :, 0]
+    else:
+        near = np.broadcast_to(np.arange(len(x)), (len(own), len(x)))
+        score = own.astype(np.float64) @ x.astype(np.float64).T
+    score = np.round(np.maximum(score, 0), 4)
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return np.repeat(asking, best.shape[1]), np.take_along_axis(near, best, 1).ravel() + first, np.take_along_axis(score, best, 1).ravel()
+
+
 def ivf_topk(rows: DataFrame, queries: DataFrame, k: int, recall: float = RECALL, told: Callable[[float], None] | None = None) -> DataFrame:
     """(user_id, model, chunk_id, embedding) x (query_id, user_id, model, vector) -> query_id, chunk_id, semantic_score, rank.
 

@@ -67,3 +67,18 @@ def test_lloyd_and_codes():
     assert [len(set(near[i : i + 50].tolist())) for i in (0, 50, 100)] == [1, 1, 1] and len(set(near.tolist())) == 3
     assert len(vectors.lloyd(x[:2], 9, 3)) == 2
     assert [(p.start, p.stop) for p in vectors._parts(10)][-1][1] == 10 and len(vectors._parts(3)) == 3
+
+
+def test_a_group_answers_many_queries_at_once_and_passes_on_k_of_all_its_cells(spark, monkeypatch):
+    """The rows between scan and ranking are k a query and bundle of cells, not k a query and cell; the results are those of all cells one by one."""
+    rows, asked = clustered(spark, 3000, clusters=6)
+    index, passed = vectors.build_vector_index(rows), []
+    top = vectors.top_k
+    monkeypatch.setattr(vectors, "top_k", lambda found, *a: passed.append(found.count()) or top(found, *a))
+    whole = vectors.search_vectors(rows, index, asked, 5, 1.0).collect()
+    assert passed[0] <= 5 * asked.count() and index.cells.where("user_id = 1").count() > 50
+    monkeypatch.setattr(vectors, "SLICE", 150)
+    monkeypatch.setattr(vectors, "ASKED", 20)
+    monkeypatch.setattr(vectors, "AT_ONCE", 7)
+    cut = vectors.search_vectors(rows, index, asked, 5, 1.0).collect()
+    assert passed[1] > passed[0] and sorted(map(tuple, cut)) == sorted(map(tuple, whole))
