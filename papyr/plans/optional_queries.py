@@ -73,9 +73,7 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle(f"WITH {LEXICAL} SELECT query_id, chunk_id, keyword_score FROM scored JOIN documents ON doc_id = chunk_id QUALIFY row_number() OVER (PARTITION BY query_id, text {_BEST}) = 1", "search_queries"))
 def context_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of chunks with the same text the best of each query."""
-    keys = _chunks(spark, sf_dir).select("chunk_id", F.sha2("content", 256).alias("content_key"))
-    best = F.max_by(F.struct("chunk_id", "keyword_score"), F.struct("keyword_score", -F.col("chunk_id"))).alias("b")
-    return _ranked(spark, sf_dir).join(keys, "chunk_id").groupBy("query_id", "content_key").agg(best).select("query_id", "b.*")
+    return R.keyword_scores(R.distinct_texts(_chunks(spark, sf_dir)), E.search_queries(spark, sf_dir))
 
 
 @query(oracle(f"WITH {LEXICAL} SELECT query_id, chunk_id, keyword_score FROM scored WHERE keyword_score >= {MIN_SCORE}", "search_queries"))

@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from papyr.functions import text
 from papyr.operators import chunking, field_quality, fulltext, retrieval
+from papyr.plans import optional_queries
 
 
 def searched(spark):
@@ -70,3 +71,20 @@ def test_the_field_pipeline_makes_its_rows_once(spark):
         (1, "a", "alpha", 0.62), (1, "a", "gone", 0.5), (1, "a", "other", 0.62), (1, "b", "beta", 0.55), (2, "c", "xy", 0.2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("LogicalRDD") == 3
+
+
+def test_copies_go_before_they_are_scored(spark):
+    """Of equal texts the smallest id is scored, once; no pairs of queries and chunks are joined or grouped."""
+    rows = [(i, None if i % 50 == 0 else f"the cat {i % 7} of dog") for i in range(1, 300)] + [(9, "the cat 2 of dog"), (9, "own text cat")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string").repartition(5)
+    queries = spark.createDataFrame([(1, "cat"), (2, "dog 3"), (3, "own")], "query_id long, query string")
+    want = {}
+    for r in retrieval.keyword_scores(chunks, queries).join(chunks, "chunk_id").collect():
+        key = (r.query_id, r.content)
+        want[key] = min(want.get(key, (r.chunk_id, r.keyword_score)), (r.chunk_id, r.keyword_score))
+    found = retrieval.keyword_scores(retrieval.distinct_texts(chunks), queries)
+    assert sorted((r.query_id, r.chunk_id, r.keyword_score) for r in found.where("chunk_id <> 9").collect()) == sorted((q, *v) for (q, _), v in want.items() if v[0] != 9)
+    assert {(r.chunk_id, r.content) for r in retrieval.distinct_texts(chunks).where("chunk_id = 9").collect()} == {(9, "own text cat")}
+    plan = optional_queries.context_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert "Aggregate" not in above and "Join" not in above
