@@ -25,6 +25,8 @@ RATE_RULES = (
 DEFAULT_RULE = (150, 60)
 #: Seconds that a job may take, and the first back-off, which doubles with each attempt; attempts in all (fixed values).
 JOB_TIMEOUT, BACKOFF, ATTEMPTS = 600, 5, 3
+#: Field names that one number holds as bits.
+BITS = 62
 
 
 def stage_timings(histories: DataFrame) -> DataFrame:
@@ -249,14 +251,23 @@ def registry_sql() -> str:
 
 
 def schema_completeness(docs: DataFrame, fields: DataFrame) -> DataFrame:
-    """Per document: its category in the registry (else UNKNOWN), how many fields that expects, and how many are there."""
-    registry = docs.sparkSession.createDataFrame([(c, f, t) for c, own in EXPECTED_FIELDS.items() for f, t in own.items()], "category string, field_name string, field_type string")
-    sizes = registry.groupBy("category").agg(F.count(F.lit(1)).alias("expected"))
+    """Per document: its category in the registry (else UNKNOWN), how many fields that expects, and how many are there.
+
+    The names that a document has are bits of a few numbers, so that a task holds one short row a document, not one a field.
+    """
+    names = sorted({f for own in EXPECTED_FIELDS.values() for f in own})
+    parts = [{f: 1 << i for i, f in enumerate(names[at : at + BITS])} for at in range(0, len(names), BITS)]
+    wanted = [(c, len(own), *(sum(bits.get(f, 0) for f in own) for bits in parts)) for c, own in EXPECTED_FIELDS.items()]
+    registry = docs.sparkSession.createDataFrame(wanted, "category string, expected long, " + ", ".join(f"_want_{i} long" for i in range(len(parts))))
     known = F.when(F.col("category").isin(*EXPECTED_FIELDS), F.col("category")).otherwise("UNKNOWN")
-    rows = docs.select("document_id", known.alias("category"))
-    there = fields.where("not is_rejected").select("document_id", "field_name").distinct()
-    hits = rows.join(there, "document_id").join(F.broadcast(registry), ["category", "field_name"]).groupBy("document_id").agg(F.count(F.lit(1)).alias("present"))
-    counted = rows.join(F.broadcast(sizes), "category").join(hits, "document_id", "left").withColumn("present", F.coalesce("present", F.lit(0)))
+
+    def bit(bits: dict[str, int]) -> Column:
+        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x).cast(k) for f, b in bits.items() for x, k in ((f, "string"), (b, "long")))), F.col("field_name")), F.lit(0).cast("long"))
+
+    there = fields.where("not is_rejected").groupBy("document_id").agg(*(F.bit_or(bit(bits)).alias(f"_have_{i}") for i, bits in enumerate(parts)))
+    counted = docs.select("document_id", known.alias("category")).join(F.broadcast(registry), "category").join(there, "document_id", "left")
+    present = sum(F.bit_count(F.col(f"_have_{i}").bitwiseAND(F.col(f"_want_{i}"))).cast("long") for i in range(len(parts)))
+    counted = counted.withColumn("present", F.coalesce(present, F.lit(0).cast("long")))
     return counted.select("document_id", "category", "expected", "present", F.round(F.col("present") / F.col("expected"), 6).alias("completeness"))
 
 

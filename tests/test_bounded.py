@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 
 from papyr.functions import text
-from papyr.operators import chunking, field_quality, fulltext, retrieval
+from papyr.operators import chunking, field_quality, fulltext, platform, retrieval
 from papyr.plans import optional_queries
 
 
@@ -88,3 +88,19 @@ def test_copies_go_before_they_are_scored(spark):
     plan = optional_queries.context_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("MapInArrow")]
     assert "Aggregate" not in above and "Join" not in above
+
+
+def test_completeness_groups_one_row_a_document(spark, monkeypatch):
+    registry = platform.EXPECTED_FIELDS
+    known = [c for c in registry if c != "UNKNOWN"]
+    docs = spark.createDataFrame([(i, known[i % len(known)] if i % 5 else None) for i in range(60)] + [(60, "no such")], "document_id long, category string")
+    own = lambda i: registry[known[i % len(known)] if i % 5 else "UNKNOWN"]
+    rows = [(i, f, n % 4 == 3) for i in range(60) for n, f in enumerate([*own(i), *own(i), "other", None]) if n % 3]
+    fields = spark.createDataFrame(rows, "document_id long, field_name string, is_rejected boolean")
+    want = sorted((i, len({f for j, f, no in rows if j == i and not no} & own(i).keys()), len(own(i))) for i in range(60)) + [(60, 0, len(registry["UNKNOWN"]))]
+    for bits in (62, 5):
+        monkeypatch.setattr(platform, "BITS", bits)
+        found = platform.schema_completeness(docs, fields)
+        assert sorted((r.document_id, r.present, r.expected) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("Join ") == 2
