@@ -213,12 +213,5 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT query_id, tf.doc_id AS chunk_id, floor(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) * 1000 + 0.5) / 1000 AS bm25 FROM wanted JOIN tf USING (term) JOIN df USING (term) JOIN len ON len.doc_id = tf.doc_id CROSS JOIN stats GROUP BY query_id, tf.doc_id""", "search_queries"))
 def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of the query terms over whole documents, from term and document frequencies."""
-    asked = E.search_queries(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.transform(R.query_terms(F.col("query")), F.lower))).alias("term"))
-    docs = E.table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0).alias("tokens"))
-    lengths = docs.select("doc_id", F.size("tokens").alias("n")).where("n > 0")
-    stats = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    counts = docs.select("doc_id", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = counts.join(df, "term").join(asked, "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))
-    part = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
-    return rows.groupBy("query_id", F.col("doc_id").alias("chunk_id")).agg((F.floor(F.sum(part) * 1000 + 0.5) / 1000).alias("bm25"))
+    chunks = E.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return R.bm25_scores(chunks, E.search_queries(spark, sf_dir))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 
 from papyr.functions import text
@@ -90,6 +92,28 @@ def test_copies_go_before_they_are_scored(spark):
     assert "Aggregate" not in above and "Join" not in above
 
 
+def test_bm25_counts_words_text_by_text(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PAIRS", 50)
+    chunks, queries = searched(spark)
+    plan = retrieval.bm25_scores(chunks, queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Generate" not in plan
+    texts = {r.chunk_id: retrieval.TOKEN.findall(r.content.lower()) for r in chunks.collect() if r.content is not None}
+    texts = {i: t for i, t in texts.items() if t}
+    mean = sum(map(len, texts.values())) / len(texts)
+    want = {}
+    for r in queries.selectExpr("query_id", "query").collect():
+        for term in {w.translate(str.maketrans("", "", retrieval.STRIP)) for w in r.query.split()} if r.query.strip() else ():
+            own = {i: t.count(term) for i, t in texts.items() if term in t and len(term) > 1}
+            for i, tf in own.items():
+                gain = math.log(1 + (len(texts) - len(own) + 0.5) / (len(own) + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(texts[i]) / mean))
+                want[r.query_id, i] = want.get((r.query_id, i), 0) + gain
+    for at_once in (5000, 9):
+        monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", at_once)
+        got = {(r.query_id, r.chunk_id): r.bm25 for r in retrieval.bm25_scores(chunks, queries).collect()}
+        assert got.keys() == want.keys() and len(got) > 1000 and all(abs(got[k] - want[k]) < 6e-4 for k in got)
+    assert retrieval.bm25_scores(chunks.limit(0), queries).collect() == [] and retrieval.bm25_scores(chunks, queries.limit(0)).collect() == []
+
+
 def test_completeness_groups_one_row_a_document(spark, monkeypatch):
     registry = platform.EXPECTED_FIELDS
     known = [c for c in registry if c != "UNKNOWN"]
