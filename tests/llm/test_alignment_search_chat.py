@@ -228,3 +228,27 @@ def test_chat_formatting_of_hard_rows(spark):
     broken = chat_format.conversation_digests(chat_format.format_conversations(turns.where("conv_id = 4 and turn < 9"), rewriting)).first()
     assert broken["turns_sha256"] is None and broken["conv_id"] == 4
     assert chat_format.conversation_digests(chat_format.format_conversations(turns.limit(0))).collect() == []
+
+
+def reminding(turns):
+    """Says something of its own after every twentieth turn."""
+    return "".join(f"<s>{r}: {chat_format.escape(t)}</s>" + ("<s>system: be kind</s>" if i % 20 == 19 else "") for i, (r, t) in enumerate(turns))
+
+
+def closing(turns):
+    """Marks the thirtieth turn for as long as it is the last one."""
+    return "".join(f"<s>{r}: {chat_format.escape(t)}</s>" for r, t in turns) + ("(thirty)" if len(turns) == 30 else "")
+
+
+def test_each_prefix_is_rendered_whole(spark, monkeypatch):
+    turns = [(("user", "assistant")[i % 2], f"turn {i}") for i in range(45)]
+    given = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for render, rewritten in ((reminding, []), (closing, [30])):
+        rows, text = sorted(chat_format.format_conversations(given, render).collect(), key=lambda r: r["n"]), ""
+        for n, r in enumerate(rows):
+            text = text[: r["begin"]] + r["piece"]
+            assert text == render(turns[: n + 1])
+        assert [r["n"] for r in rows if r["rewrites"]] == rewritten
+    monkeypatch.setattr(chat_format, "WHOLE_TURNS", 10)  # beyond it context is dropped where a turn is the same without
+    rows = sorted(chat_format.format_conversations(given).collect(), key=lambda r: r["n"])
+    assert "".join(r["piece"] for r in rows) == chat_format.marked_turns(turns) and [r["loss"] for r in rows] == [r == "assistant" for r, _ in turns]
