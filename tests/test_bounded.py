@@ -128,3 +128,12 @@ def test_completeness_groups_one_row_a_document(spark, monkeypatch):
         assert sorted((r.document_id, r.present, r.expected) for r in found.collect()) == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and plan.count("Join ") == 2
+
+
+def test_block_matches_trim_without_regular_expressions(spark):
+    """A Java class of many ranges tries each of them for every character of every block."""
+    fields = spark.createDataFrame([(1, "a", "　Total 12 \n"), (1, "b", " x﻿"), (2, "a", "none")], "document_id long, field_name string, raw_value string")
+    blocks = spark.createDataFrame([(1, " the TOTAL 12 is ", 0.4), (1, "\ttotal ", 0.7), (2, "​other", 0.9)], "version_id long, block_text string, confidence double")
+    best = field_quality.best_block_confidence(fields, blocks)
+    assert [tuple(r) for r in best.collect()] == [(1, "a", 0.7)]
+    assert "regexp" not in best._jdf.queryExecution().optimizedPlan().toString()
