@@ -87,11 +87,19 @@ def cross_check(validated: DataFrame) -> DataFrame:
     return _with_band(rows, set_to).drop(*(f"_{n}" for n in dates | amounts))
 
 
+def _matchable(rows: DataFrame, text: str) -> DataFrame:
+    """``text`` trimmed and in small letters, of rows where that has three characters or more.
+
+    It is exploded from an array of one: a filter over a plain column is moved below it and works the text out again.
+    """
+    return rows.withColumn(text, F.explode(F.array(F.lower(trim_all(text))))).where(F.length(text) >= 3)
+
+
 def best_block_confidence(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     """(document_id, field_name, raw_value) and (version_id = document_id, block_text, confidence): the highest confidence
     of a block that holds the value or lies in it, both of three characters or more; fields without such block are left out."""
-    f = fields.select("document_id", "field_name", F.lower(trim_all("raw_value")).alias("value")).where(F.length("value") >= 3)
-    b = blocks.select(F.col("version_id").alias("document_id"), F.lower(trim_all("block_text")).alias("block"), F.col("confidence").alias("block_confidence")).where(F.length("block") >= 3)
+    f = _matchable(fields.select("document_id", "field_name", F.col("raw_value").alias("value")), "value")
+    b = _matchable(blocks.select(F.col("version_id").alias("document_id"), F.col("block_text").alias("block"), F.col("confidence").alias("block_confidence")), "block")
     hits = f.join(b, "document_id").where(F.contains("block", F.col("value")) | F.contains("value", F.col("block")))
     return hits.groupBy("document_id", "field_name").agg(F.max("block_confidence").alias("best_block"))
 
@@ -142,7 +150,7 @@ def field_quality_pipeline(old: DataFrame, raw: DataFrame, blocks: DataFrame, or
     """
     merged = _merged(old, conform_extractions(raw), order)
     rows = merged.withColumn("_value", F.when(~F.col("is_rejected"), F.lower(trim_all("raw_value"))))
-    b = blocks.select(F.col("version_id").alias("_document"), F.lower(trim_all("block_text")).alias("_block"), F.col("confidence").alias("_confidence")).where(F.length("_block") >= 3)
+    b = _matchable(blocks.select(F.col("version_id").alias("_document"), F.col("block_text").alias("_block"), F.col("confidence").alias("_confidence")), "_block")
     holds = (F.length("_value") >= 3) & (F.contains("_block", F.col("_value")) | F.contains("_value", F.col("_block")))
     scored = rows.join(b, (F.col("document_id") == F.col("_document")) & holds, "left").groupBy(*merged.columns).agg(F.max("_confidence").alias("_best"))
     best = F.when(~F.col("is_rejected"), F.max("_best").over(Window.partitionBy("document_id", "field_name")))

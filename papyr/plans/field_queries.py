@@ -134,10 +134,13 @@ def check_invoice_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of the text documents: the second word of the text, its first 40 characters, a value that isn't there."""
+    """Fields of the text documents: the second word of the text, its first 40 characters, a value that isn't there.
+
+    A text is split no further than behind its second word.
+    """
     docs = E.table(spark, sf_dir, "documents")
     made = F.array(
-        F.struct(F.lit("second_word").alias("n"), F.get(F.split("text", " "), F.lit(1)).alias("v")),
+        F.struct(F.lit("second_word").alias("n"), F.get(F.split("text", " ", 3), F.lit(1)).alias("v")),
         F.struct(F.lit("opening").alias("n"), F.substring("text", 1, 40).alias("v")),
         F.struct(F.lit("absent").alias("n"), F.lit("~none~").alias("v")),
     )

@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from papyr.functions import text
 from papyr.operators import chunking, field_quality, fulltext, platform, retrieval
-from papyr.plans import optional_queries
+from papyr.plans import field_queries, optional_queries
 
 
 def searched(spark):
@@ -137,3 +137,23 @@ def test_block_matches_trim_without_regular_expressions(spark):
     best = field_quality.best_block_confidence(fields, blocks)
     assert [tuple(r) for r in best.collect()] == [(1, "a", 0.7)]
     assert "regexp" not in best._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_block_matches_work_a_text_out_once(spark):
+    """The filter by length reads the trimmed text in small letters that the join reads."""
+    fields = spark.createDataFrame([(1, "a", " Bé1 "), (1, "b", "x"), (1, "c", None), (2, "a", "long value")], "document_id long, field_name string, raw_value string")
+    blocks = spark.createDataFrame([(1, "\tA BÉ1", 0.4), (1, "bé", 0.9), (1, None, 0.9), (2, " VALUE\n", 0.2), (2, " \u00a0", 0.8)], "version_id long, block_text string, confidence double")
+    best = field_quality.best_block_confidence(fields, blocks)
+    assert sorted(map(tuple, best.collect())) == [(1, "a", 0.4), (2, "a", 0.2)]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == plan.count("trim(") == 2
+
+
+def test_second_words_split_no_more_of_a_text(spark, tmp_path):
+    texts = {1: None, 2: "", 3: "one", 4: "one ", 5: " two", 6: "one  three", 7: "one two", 8: "one two three four", 9: "one\ntwo three"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = field_queries._text_fields(spark, str(tmp_path))
+    second = {r.document_id: r.raw_value for r in found.collect() if r.field_name == "second_word"}
+    assert second == {k: t.split(" ")[1] for k, t in texts.items() if t and " " in t}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 3)" in plan and ", -1)" not in plan
