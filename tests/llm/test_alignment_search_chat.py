@@ -252,3 +252,21 @@ def test_each_prefix_is_rendered_whole(spark, monkeypatch):
     monkeypatch.setattr(chat_format, "WHOLE_TURNS", 10)  # beyond it context is dropped where a turn is the same without
     rows = sorted(chat_format.format_conversations(given).collect(), key=lambda r: r["n"])
     assert "".join(r["piece"] for r in rows) == chat_format.marked_turns(turns) and [r["loss"] for r in rows] == [r == "assistant" for r, _ in turns]
+
+
+def late(turns):
+    """Says something of its own after the 1100th turn, and marks the 1060th for as long as it is the last one."""
+    return "".join(f"<s>{r}: {t}</s>" + ("<s>system: be kind</s>" if i == 1099 else "") for i, (r, t) in enumerate(turns)) + ("(1060)" if len(turns) == 1060 else "")
+
+
+def test_prefixes_of_long_conversations_are_rendered_whole(spark):
+    turns = [(("user", "assistant")[i % 2], f"turn {i}") for i in range(1110)]
+    given = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    text, rewritten = "", []
+    for n, r in enumerate(sorted(chat_format.format_conversations(given, late).collect(), key=lambda r: r["n"]), 1):
+        text = text[: r["begin"]] + r["piece"]
+        rewritten += [n] * r["rewrites"]
+        assert n % 10 or text == late(turns[:n])
+    assert text == late(turns) and rewritten == [1061]
+    spans = chat_format.Spans(reminding, chat_format.unescape)
+    assert "".join(spans.add(t)[0] for t in turns[:45]) == reminding(turns[:45])
