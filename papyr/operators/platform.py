@@ -25,6 +25,8 @@ RATE_RULES = (
 DEFAULT_RULE = (150, 60)
 #: Seconds that a job may take, and the first back-off, which doubles with each attempt; attempts in all (fixed values).
 JOB_TIMEOUT, BACKOFF, ATTEMPTS = 600, 5, 3
+#: Changes of a field between two versions, in the order in which they are shown (fixed values).
+CHANGES = ("CHANGED", "ADDED", "REMOVED", "UNCHANGED")
 #: Field names that one number holds as bits.
 BITS = 62
 
@@ -125,31 +127,60 @@ def audit_query(events: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.withColumn("n", n).where(F.col("n") <= F.greatest(F.lit(1), F.least(F.lit(50), F.col("most"))))
 
 
-def compare_versions(fields: DataFrame) -> DataFrame:
-    """Fields of versions -> document_id, version_number, field_name, old and new value, change against the version before.
+def field_pairs(fields: DataFrame) -> DataFrame:
+    """Fields of versions -> document_id, version_number, ``old`` and ``new``: (name, value) of the version before and its own, in order.
 
-    Of a name that comes twice in a version the last one counts. Each field goes to its own and to the next version, so
-    one shuffle and one aggregate compare all of them.
+    Each field goes to its own and to the next version, so one shuffle brings both together.
     """
     sides = F.array(F.struct(F.col("version_number").alias("v"), F.lit(True).alias("new")), F.struct((F.col("version_number") + 1).alias("v"), F.lit(False).alias("new")))
     rows = fields.withColumn("side", F.explode(sides)).where("side.v > 1 and side.v <= last_version")
 
-    def last(new: bool) -> Column:
-        return F.max_by("value", F.when(F.col("side.new") == new, F.col("seq")))
+    def own(new: bool) -> Column:
+        listed = F.collect_list(F.when(F.col("side.new") == new, F.struct("seq", "name", "value")))
+        return F.transform(F.sort_array(listed), lambda f: F.struct(f["name"], f["value"]))
 
-    pairs = rows.groupBy("document_id", F.col("side.v").alias("version_number"), F.col("name").alias("field_name")).agg(last(False).alias("old_value"), last(True).alias("new_value"))
-    change = (
-        F.when(F.col("old_value").isNull(), "ADDED").when(F.col("new_value").isNull(), "REMOVED")
-        .when(trim_all(F.col("old_value")) == trim_all(F.col("new_value")), "UNCHANGED").otherwise("CHANGED")
-    )
-    return pairs.withColumn("change", change)
+    return rows.groupBy("document_id", F.col("side.v").alias("version_number")).agg(own(False).alias("old"), own(True).alias("new"))
+
+
+def field_changes(old: Column, new: Column) -> Column:
+    """Two lists of fields -> (no, field_name, old_value, new_value) of each name, by the change's place in ``CHANGES``, then by name.
+
+    Of a name that comes twice in a list the last one counts.
+    """
+
+    def value(fields: Column, name: Column) -> Column:
+        return F.try_element_at(F.filter(fields, lambda f: f["name"].eqNullSafe(name)), F.lit(-1))["value"]
+
+    def numbered(f: Column) -> Column:
+        same = trim_all(f["old_value"]) == trim_all(f["new_value"])
+        change = F.when(f["old_value"].isNull(), "ADDED").when(f["new_value"].isNull(), "REMOVED").when(same, "UNCHANGED").otherwise("CHANGED")
+        return F.struct(F.array_position(F.array(*map(F.lit, CHANGES)), change).alias("no"), f["field_name"].alias("field_name"), f["old_value"].alias("old_value"), f["new_value"].alias("new_value"))
+
+    names = F.array_distinct(F.concat(old["name"], new["name"]))
+    values = F.transform(names, lambda n: F.struct(n.alias("field_name"), value(old, n).alias("old_value"), value(new, n).alias("new_value")))
+    return F.sort_array(F.transform(values, numbered))
+
+
+def pairs_diff(pairs: DataFrame) -> DataFrame:
+    """Rows of ``field_pairs`` -> document_id, version_number, field_name, old and new value, change, and the field's place. No shuffle."""
+    rows = pairs.select("document_id", "version_number", F.posexplode(field_changes(F.col("old"), F.col("new"))).alias("at", "f"))
+    change = F.element_at(F.array(*map(F.lit, CHANGES)), F.col("f.no").cast("int"))
+    return rows.select("document_id", "version_number", "f.field_name", "f.old_value", "f.new_value", change.alias("change"), (F.col("at") + 1).cast("long").alias("place"))
+
+
+def pairs_summary(pairs: DataFrame) -> DataFrame:
+    """Rows of ``field_pairs`` -> document_id, version_number and the number of fields of each change. No shuffle."""
+    rows = pairs.select("document_id", "version_number", field_changes(F.col("old"), F.col("new"))["no"].alias("no"))
+
+    def counted(i: int) -> Column:
+        return F.size(F.filter("no", lambda no: no == i)).cast("long")
+
+    return rows.select("document_id", "version_number", *(counted(i).alias(c.lower()) for i, c in enumerate(CHANGES, 1)))
 
 
 def version_field_diff(fields: DataFrame) -> DataFrame:
-    """``compare_versions`` with each field's place: changed, added, removed, unchanged, by name within."""
-    order = F.array_position(F.array(*map(F.lit, ("CHANGED", "ADDED", "REMOVED", "UNCHANGED"))), F.col("change"))
-    place = F.row_number().over(Window.partitionBy("document_id", "version_number").orderBy(order, "field_name"))
-    return compare_versions(fields).withColumn("place", place.cast("long"))
+    """Fields of versions, one a row, against the version before: changed, added, removed, unchanged, by name within."""
+    return pairs_diff(field_pairs(fields))
 
 
 def apply_review_events(fields: DataFrame, events: DataFrame) -> DataFrame:

@@ -376,13 +376,12 @@ compared AS (SELECT document_id, v AS version_number, name AS field_name, old.va
 @query(f"{DIFF_SQL} SELECT *, row_number() OVER (PARTITION BY document_id, version_number ORDER BY CASE change WHEN 'CHANGED' THEN 1 WHEN 'ADDED' THEN 2 WHEN 'REMOVED' THEN 3 ELSE 4 END, field_name) AS place FROM compared", "versions", "version_fields")
 def version_field_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fields of every two consecutive versions, in the order changed, added, removed, unchanged."""
-    return J.version_field_diff(E.version_fields(spark, sf_dir))
+    return J.pairs_diff(E.version_field_pairs(spark, sf_dir))
 
 
 @query(f"{DIFF_SQL} SELECT document_id, version_number, count(*) FILTER (change = 'CHANGED') AS changed, count(*) FILTER (change = 'ADDED') AS added, count(*) FILTER (change = 'REMOVED') AS removed, count(*) FILTER (change = 'UNCHANGED') AS unchanged FROM compared GROUP BY ALL", "versions", "version_fields")
 def version_diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = J.compare_versions(E.version_fields(spark, sf_dir))
-    return rows.groupBy("document_id", "version_number").agg(*(count_if(f"change = '{c.upper()}'").alias(c) for c in ("changed", "added", "removed", "unchanged")))
+    return J.pairs_summary(E.version_field_pairs(spark, sf_dir))
 
 
 @query("""SELECT version_id, count(*) AS chunks, count(*) FILTER (has) AS embedded, count(*) FILTER (NOT has) AS missing, count(*) FILTER (has) = 0 AS fails, CAST(round(100.0 * count(*) FILTER (has) / count(*)) AS INTEGER) AS coverage
