@@ -61,17 +61,19 @@ def _stage_runs(marks: Column) -> Column:
     return let(let(F.coalesce(marks, F.array().cast("array<struct<stage:string,status:string,at:bigint>>")), of), last)
 
 
-def stage_time_quantiles(histories: DataFrame, accuracy: int = 1000) -> DataFrame:
+def stage_time_quantiles(histories: DataFrame) -> DataFrame:
     """(document_id, stage_history) -> per stage the number of timed runs and the 50th, 90th and 99th percentile of them.
 
-    Percentiles come from mergeable sketches: each task keeps one per stage, and only those are shuffled. Their rank
-    error is 1 / ``accuracy`` at most.
+    The percentiles are exact, the times at rank ceil(n * p). Runs of one time are counted, by the tasks first, so that
+    only counts are shuffled and put in order: no task holds the runs of a stage.
     """
     runs = _stage_runs(F.from_json("stage_history", "array<struct<stage:string,status:string,at:bigint>>"))
-    rows = histories.select(F.inline(runs))
-    marks = F.percentile_approx("ms", [0.5, 0.9, 0.99], accuracy)
-    found = rows.groupBy("stage").agg(F.count(F.lit(1)).alias("runs"), marks.alias("q"))
-    return found.select("stage", "runs", *(F.col("q")[i].alias(n) for i, n in enumerate(("p50_ms", "p90_ms", "p99_ms"))))
+    counts = histories.select(F.inline(runs)).groupBy("stage", "ms").agg(F.count(F.lit(1)).alias("n"))
+    of = Window.partitionBy("stage")
+    upto = F.sum("n").over(of.orderBy("ms").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = counts.withColumns({"upto": upto, "runs": F.sum("n").over(of)})
+    marks = (F.min(F.when(F.col("upto") * 100 >= F.col("runs") * p, F.col("ms"))).alias(f"p{p}_ms") for p in (50, 90, 99))
+    return rows.groupBy("stage").agg(F.max("runs").alias("runs"), *marks)
 
 
 def search_filters(requests: DataFrame, docs: DataFrame) -> DataFrame:

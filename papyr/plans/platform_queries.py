@@ -184,8 +184,8 @@ def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {RUNS_SQL}, ranked AS (SELECT [{', '.join(f"'{s}'" for s in STAGES)}][i + 1] AS stage, ms, row_number() OVER (PARTITION BY i ORDER BY ms) AS r, count(*) OVER (PARTITION BY i) AS n FROM runs)
 SELECT stage, n AS runs, max(ms) FILTER (r = ceil(n * 0.5)) AS p50_ms, max(ms) FILTER (r = ceil(n * 0.9)) AS p90_ms, max(ms) FILTER (r = ceil(n * 0.99)) AS p99_ms FROM ranked GROUP BY stage, n""", "versions")
 def stage_time_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of each stage's time; the accuracy is beyond the number of runs here, so that the sketches are exact."""
-    return J.stage_time_quantiles(stage_histories(spark, sf_dir), 10_000_000)
+    """Exact percentiles of each stage's time."""
+    return J.stage_time_quantiles(stage_histories(spark, sf_dir))
 
 
 @query(f"""{ENGINES_SQL}, chosen AS (SELECT version_id, page_number, engine AS provider FROM chosen_engines)
