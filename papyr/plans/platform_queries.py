@@ -537,7 +537,8 @@ def needs_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT document_id, v AS version_number, name AS field_name FROM (SELECT document_id, version_number AS v, name FROM version_fields WHERE version_number > 1 UNION SELECT document_id, version_number + 1, name FROM version_fields WHERE version_number < last_version)", "versions", "version_fields")
 def field_name_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names of two consecutive versions' fields, each once."""
-    return J.compare_versions(E.version_fields(spark, sf_dir)).select("document_id", "version_number", "field_name")
+    names = F.array_distinct(F.concat("old.name", "new.name"))
+    return E.version_field_pairs(spark, sf_dir).select("document_id", "version_number", F.explode(names).alias("field_name"))
 
 
 _KIND = lambda i: "[" + ", ".join(f"'{k[i]}'" for k in E.FILE_KINDS) + "][doc_id % 7 + 1]"
